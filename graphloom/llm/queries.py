@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontam, mixing, token_counts, token_store
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op7_token_ids": token_store.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 
 SQL = {
     "op8_mixing": mixing.OP8_SQL,
+    "op10_decontamination": decontam.OP10_SQL,
 }
