@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, token_counts, token_store
+from . import decontam, mixing, simhash, token_counts, token_store
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op7_token_ids": token_store.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
+    "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontam.op10_decontamination,
 }
 
