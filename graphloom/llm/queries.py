@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, outliers, simhash, token_counts, token_store
+from . import decontam, langid, mixing, outliers, simhash, token_counts, token_store
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_outliers": outliers.op3_outliers,
+    "op6_language_id": langid.op6_language_id,
     "op7_token_ids": token_store.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
