@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,13 @@ def pieces(sizes: list[int], most: int):
         yield start, len(sizes)
 
 
+def text_runs(batch: pa.RecordBatch, column: str, most: int):
+    """(from, to, texts) of about `most` bytes each; null counts as empty. Only one run's texts are Python strings at a time."""
+    col = batch.column(batch.schema.get_field_index(column))
+    for a, b in pieces(pc.fill_null(pc.binary_length(col), 0).to_pylist(), most):
+        yield a, b, [t or "" for t in col.slice(a, b - a).to_pylist()]
+
+
 def with_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.RecordBatch:
     cols = {c: batch.column(batch.schema.get_field_index(c)) for c in keep} | new
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))

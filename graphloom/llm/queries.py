@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, outliers, simhash, token_counts, token_store
+from . import decontam, langid, mixing, outliers, quality, simhash, token_counts, token_store
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_outliers": outliers.op3_outliers,
     "op6_language_id": langid.op6_language_id,
