@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, outliers, quality, simhash, token_counts, token_store
+from . import decontam, langid, mixing, outliers, quality, simhash, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_outliers": outliers.op3_outliers,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_language_id": langid.op6_language_id,
     "op7_token_ids": token_store.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
