@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import map_arrow
 from . import common
 
 WINDOW = 10
@@ -220,7 +221,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
                     contaminated=pa.array([r[1] > 0 for r in rows], pa.bool_()),
                 )
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

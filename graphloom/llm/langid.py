@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import map_arrow
 from . import common
 
 #: Hash buckets of n-grams.
@@ -145,7 +146,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
                     n += 1
         yield pa.RecordBatch.from_pydict({"k": pa.array(range(-1, DIMS), pa.int32()), "n": pa.array([n, *total.tolist()], pa.int64())})
 
-    df = dict(rows.select("text").mapInArrow(frequencies, "k int, n long").groupBy("k").agg(F.sum("n")).collect())
+    df = dict(map_arrow(rows.select("text"), frequencies, "k int, n long").groupBy("k").agg(F.sum("n")).collect())
     if not df.get(-1):
         return None
     idf = np.log((1 + df[-1]) / (1 + np.array([df[k] for k in range(DIMS)]))) + 1
@@ -192,7 +193,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                         lang[a + i], score[a + i], cosine[a + i], rejected[a + i] = r[0], float(r[1]), float(r[2]), bool(r[3])
             yield common.with_columns(batch, keep, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()), cosine=pa.array(cosine, pa.float64()), rejected=pa.array(rejected, pa.bool_()))
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def learnt(docs: DataFrame) -> DataFrame:

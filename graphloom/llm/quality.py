@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import map_arrow
 from . import common
 from .calibration import Curve
 
@@ -135,7 +136,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
             out = [own.score(t.encode()) if own else 0.5 for _, _, texts in common.text_runs(batch, text, 1 << 20) for t in texts]
             yield common.with_columns(batch, keep, score=pa.array(out, pa.float64()), predicted=pa.array([int(s >= threshold) for s in out], pa.int32()))
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, outliers, quality, simhash, token_counts, token_store, toxicity
+from . import decontam, langid, mixing, outliers, quality, simhash, suffix_dedup, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_outliers": outliers.op3_outliers,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_language_id": langid.op6_language_id,
     "op7_token_ids": token_store.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import map_arrow
 from . import common
 
 BITS, SHINGLE, RADIUS, SEED = 64, 3, 3, 42
@@ -55,7 +56,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
             fp = np.fromiter((fingerprint(t, shingle) for t in common.texts_of(batch, text)), np.uint64, batch.num_rows)
             yield common.with_columns(batch, keep, fp=pa.array(fp.view(np.int64)))
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, text), run, schema)
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -221,7 +222,7 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
         for rest in held:
             yield compare(*rest)
 
-    return dealt.select("fp", "key", "side").mapInArrow(run, _LINKS).distinct()
+    return map_arrow(dealt.select("fp", "key", "side"), run, _LINKS).distinct()
 
 
 def components(scratch: common.Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:

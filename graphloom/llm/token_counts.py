@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.shipping import map_arrow
 from . import common
 
 MODEL = "piece_bpe_32k.model"
@@ -134,7 +135,7 @@ def count_tokens(docs: DataFrame, text: str = "text", model_file: str | None = N
             n = [x for a, b in common.pieces(sizes, CALL_BYTES) for x in own.counts(texts[a:b])]
             yield common.with_columns(batch, keep, n_bytes=pa.array(sizes, pa.int64()), n_tokens=pa.array(n, pa.int64()), over_limit=pa.array([x > limit for x in n], pa.bool_()))
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

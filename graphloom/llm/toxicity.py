@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import map_arrow
 from . import common
 from .calibration import Curve
 from .quality import labelled
@@ -79,7 +80,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"k": pa.array(some.astype(np.int32)), "n": pa.array(total[some])})
 
     out = np.zeros(n, np.int64)
-    for k, v in docs.select(text).mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n")).collect():
+    for k, v in map_arrow(docs.select(text), count, "k int, n long").groupBy("k").agg(F.sum("n")).collect():
         out[k] = v
     return out
 
@@ -250,7 +251,7 @@ def sample(docs: DataFrame, labels: DataFrame, model: LanguageModel, label: str,
                 yield common.with_columns(batch.slice(a, b - a), ["y", "key"], m=pa.array([(x[0][0] >> 1) if x else 0 for x in least], pa.int64()), w=pa.array([[v for _, v in x] for x in least], pa.list_(pa.binary())))
 
     schema = T.StructType([some.schema["y"], some.schema["key"], *T.StructType.fromDDL("m long, w array<binary>").fields])
-    got = sorted(((r.y, r.key, r.m, [bytes(v) for v in r.w]) for r in some.mapInArrow(run, schema).collect()), key=lambda r: (r[1], r[3]))
+    got = sorted(((r.y, r.key, r.m, [bytes(v) for v in r.w]) for r in map_arrow(some, run, schema).collect()), key=lambda r: (r[1], r[3]))
     by = {k: [r for r in got if r[0] == k][:rows] for k in (0, 1)}
     return [(r[0], r[2], r[3]) for r in sorted(by[0] + by[1], key=lambda r: (r[1], r[3]))]
 
@@ -286,7 +287,7 @@ def score(docs: DataFrame, models: tuple[LanguageModel, Lexicon | None], text: s
                     scores.append(lexicon.score(plain) if lexicon else 0.5)
             yield common.with_columns(batch, keep, score=pa.array(scores, pa.float64()), predicted=pa.array([int(bool(lexicon) and s >= threshold) for s in scores], pa.int32()), restored=pa.array(changed, pa.bool_()))
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
