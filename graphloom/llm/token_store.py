@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,14 +16,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import map_arrow
 from . import common
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids in a block, about: a block is written when it has as many, and never splits a document.
 BLOCK_IDS = 1 << 19
-#: Distinct words whose ids a worker remembers.
+#: Distinct words, and distinct stretches between spaces, whose ids a worker remembers.
 REMEMBERED = 400_000
+#: How the tokenizer's file states its words; a tokenizer with another rule gets whole texts.
+_FIXED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 MAGIC = b"GLTK0001"
 #: magic, documents, ids, bytes of an id, low bits of a boundary, bytes of the high bits
@@ -109,38 +114,91 @@ class Block:
         return self.ids[a:b]
 
 
+def _plain(kind: str) -> str:
+    """Characters below U+0250 of a Unicode category, as a class of a regular expression."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
 class Encoder:
     """Ids as the library gives them for whole texts.
 
-    The library drops white space and no rule of this tokenizer looks across it: a text's ids are those of its
-    stretches between spaces, tabs and line ends, in order. So the library encodes each distinct stretch once, as long
-    as it is remembered.
+    The tokenizer drops white space, folds case character by character, and cuts a text into words by a pattern, beyond
+    which no rule of it looks: a text's ids are those of its words, in order. So the library's model encodes each
+    distinct word once, as long as it is remembered. Words are cut here by the same pattern where a stretch between
+    spaces has plain Latin characters only, on which all Unicode versions and both engines agree; any other stretch, and
+    one that may hold a special token, goes to the whole library as it is, as do all texts if the tokenizer's file
+    states other rules.
     """
 
+    _LETTER, _NUMBER = _plain("L"), _plain("N")
+    _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ {_LETTER}{_NUMBER}]+")
+    _ODD = re.compile(r"[^\t\n\r -~\u00a1-\u012f\u0131-\u024f]")
+
     def __init__(self, tokenizer_file: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(tokenizer_file)
+        self.model = self.library.model
         self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-
-    _PARTS = str.maketrans("\t\n\r", "   ")
+        self.stretches: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        stated = self.library.to_str()
+        self.own_words = _FIXED_PATTERN in stated and all(f'"type":"{kind}"' in stated for kind in ("NFC", "Lowercase", "ByteLevel", "BPE"))
+        # How the model writes the bytes of a character; lower case may add U+0307 to a Latin letter.
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in (*range(0xA1, 0x250), 0x307)}
+
+    def _odd(self, text: str) -> bool:
+        return "<|" in text or self._ODD.search(text) is not None
+
+    def _split(self, text: str, odd: set[str]) -> list[str]:
+        """Stretches between spaces: folded where they are plain, else as they are, and noted as odd."""
+        if not self.own_words:
+            odd.add(text)
+            return [text]
+        if not self._odd(text):
+            return text.lower().split()
+        out = []
+        for s in re.split("[ \t\n\r]+", text):
+            if self._odd(s):
+                odd.add(s)
+                out.append(s)
+            elif s:
+                out.append(s.lower())
+        return out
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word if word.isascii() else word.translate(self.written))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def _learn(self, new: set[str], odd: set[str]) -> None:
+        words, stretches = self.words, self.stretches
+        if len(words) + len(new) > self.remembered:
+            words.clear()
+        for s in new:
+            if s in odd:
+                ids = self.library.encode(s, add_special_tokens=False).ids
+                stretches[s] = struct.pack(f"<{len(ids)}I", *ids)
+                continue
+            own = self._WORDS.findall(s)
+            for w in own:
+                if w not in words:
+                    words[w] = self._word(w)
+            stretches[s] = words[own[0]] if len(own) == 1 else b"".join(map(words.__getitem__, own))
 
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[bytes]:
         """Per text its ids as little-endian 32-bit numbers, and end_id after them."""
-        split = [t.translate(self._PARTS).split(" ") if t else [] for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        odd: set[str] = set()
+        split = [self._split(t, odd) for t in texts]
+        every = set().union(*split)
+        new = every.difference(self.stretches)
+        if len(self.stretches) + len(new) > self.remembered:
+            self.stretches.clear()
+            new = every
+        self._learn(new, odd)
         end = b"" if end_id is None else struct.pack("<I", end_id)
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        return [b"".join(map(self.stretches.__getitem__, words)) + end for words in split]
 
 
 @lru_cache(maxsize=1)
@@ -182,9 +240,8 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in common.pieces([len(t) for t in texts], 1 << 20):
-                for d, x in zip(keys[a:b], own.encode(texts[a:b], end_id), strict=True):
+            for a, b, texts in common.text_runs(batch, "text", 1 << 20):
+                for d, x in zip(keys[a:b], own.encode(texts, end_id), strict=True):
                     held.append((d, x))
                     held_ids += len(x) // 4
                     if held_ids >= block_ids:
@@ -193,7 +250,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
         if held:
             yield out()
 
-    rows.mapInArrow(run, _BLOCKS).write.mode("overwrite").parquet(path)
+    map_arrow(rows, run, _BLOCKS).write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -219,7 +276,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(b.doc_ids, mask=~b.known), "start": pa.array(starts + (bases.value[part] + first)), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return blocks.select("partition", "first_id", "payload").mapInArrow(run, _DOCS)
+    return map_arrow(blocks.select("partition", "first_id", "payload"), run, _DOCS)
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
