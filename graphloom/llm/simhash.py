@@ -263,8 +263,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     # Texts with one fingerprint are one node, so copies add no links; nodes and links are of the size of the distinct fingerprints.
     nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = scratch.write(components(scratch, scratch.write(links(nodes.select("fp")), "links")), "roots")
-    merged = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    merged = scratch.write(merged, "merged")
+    merged = scratch.write(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "merged")
     smallest = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.write(merged.join(smallest, "root").select("fp", "root", "component_id"), "named")
     out = rows.join(named, "fp")
