@@ -241,7 +241,7 @@ def _shards(rows: Iterator[tuple[int, int, bytes]], length: int) -> Iterator[tup
         yield out()
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch], length: int, span: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _parse_batches(batches: Iterator[pa.RecordBatch], length: int, span: int, gram: int, buckets: int, meets: int) -> Iterator[pa.RecordBatch]:
     """Phrases of documents: the first of each in a shard goes to its anchor's bucket, the others repeat."""
     for batch in batches:
         docs, bases = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -255,7 +255,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], length: int, span: int, gr
             order, first = _split_first((whole,), doc_of, pos)
             reps, again = order[first], order[~first]
             # The anchor's lower half gives the bucket, its upper half goes with the phrase's hash.
-            bucket = (anchor[reps] & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets
+            bucket = (anchor[reps] & np.uint64(0xFFFFFFFF)).astype(np.int64) % meets
             yield _pack_pair(REPS, bucket, anchor[reps], whole[reps], doc_of[reps], pos[reps], n[reps])
             if len(again):
                 yield _pack(MARKS, _bucket(doc_of[again], buckets), None, doc_of[again], pos[again], n[again])
@@ -343,7 +343,7 @@ def _rows_of(texts: pa.Table, packed: pa.Table) -> Iterator[tuple[int, int, int,
         yield i, ids[i], bases[i], t, pos[x:y], n[x:y]
 
 
-def _sort_asked(texts: pa.Table, asked: pa.Table, length: int, buckets: int) -> pa.Table:
+def _sort_asked(texts: pa.Table, asked: pa.Table, length: int, buckets: int, meets: int) -> pa.Table:
     """Windows of the phrases that were asked for, in the order of their suffixes: the first of each in a shard goes to the bucket of its hash."""
     out: list[pa.RecordBatch] = []
 
@@ -366,7 +366,7 @@ def _sort_asked(texts: pa.Table, asked: pa.Table, length: int, buckets: int) ->
         one = inside[first]
         again = inside[~first]
         second = Hashes(data, _POWERS[1]).at(order[one], length)
-        out.append(_pack_pair(REPS, (w[one] % np.uint64(buckets)).astype(np.int64), second, w[one], d[one], p[one], np.ones(len(one), np.int64)))
+        out.append(_pack_pair(REPS, (w[one] % np.uint64(meets)).astype(np.int64), second, w[one], d[one], p[one], np.ones(len(one), np.int64)))
         if len(again):
             out.append(_with_a(_pack(MARKS, _bucket(d[again], buckets), None, d[again], p[again], np.ones(len(again), np.int64))))
     return pa.Table.from_batches(out, schema=_REPS_ARROW)
@@ -444,14 +444,16 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     ship(spark)
     scratch = common.Scratch(spark)
     rows, repeated = _placed(scratch, common.hidden(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    # Texts are dealt over `buckets`, phrases and windows over `meets`; what goes from one to another is one packed row.
+    meets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * meets + 1
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    phrases = map_arrow(rows, lambda it: (_with_a(b) for b in _parse_batches(it, length, span, gram, buckets)), _REPS)
+    phrases = map_arrow(rows, lambda it: (_with_a(b) for b in _parse_batches(it, length, span, gram, buckets, meets)), _REPS)
     met = scratch.write(map_arrow(dealt(phrases), lambda it: _meet_phrases(it, buckets), _PACKED), "met")
     texts = rows.select(_bucket_column(F.col("doc"), buckets).alias("bucket"), "doc", "base", "text")
     packed = ("bucket", "doc", "pos", "n")
     asked = met.filter(F.col("kind") == ASKED).select(*packed)
-    sorted_ = texts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(lambda a, b: _sort_asked(a, b, length, buckets), _REPS)
+    sorted_ = texts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(lambda a, b: _sort_asked(a, b, length, buckets, meets), _REPS)
     windows = map_arrow(dealt(sorted_), lambda it: _meet_windows(it, buckets), _PACKED)
     marks = met.filter(F.col("kind") == MARKS).select(*packed).union(windows.select(*packed))
     out = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(lambda a, b: _remove(a, b, length), _RESULT)
