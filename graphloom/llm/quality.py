@@ -77,17 +77,18 @@ def _train(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICT_BYTES:]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(id, t, y, key) of about twice `rows` rows per label 0 and 1 at most, by hash of the id: a bounded sample.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """(id, t, y, key) of about twice `rows` rows per label 0 and 1 at most, by hash of the id; and all rows per label.
 
-    Labels are joined on doc_id; a null label, id or text is left out; an id that is labelled twice counts each time.
+    The sample is of labels, counted, and so small that it goes to the documents: no text is shuffled. A null label, id
+    or text is left out; an id that is labelled twice counts each time.
     """
-    both = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1)), "id").filter("t is not null")
-    sizes = {r[0]: r[1] for r in labels.groupBy(label).count().collect()}
+    own = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64("doc_id", F.lit(11)).alias("key")).filter("id is not null and y in (0, 1)")
+    sizes = {r[0]: r[1] for r in own.groupBy("y").count().collect()}
     rate = F.when(F.col("y") == 1, F.lit(min(1.0, 2 * rows / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, 2 * rows / max(1, sizes.get(0, 0)))))
-    key = F.xxhash64("id", F.lit(11))
-    some = both.withColumn("key", key).filter(F.pmod(F.col("key"), F.lit(1 << 20)) < rate * (1 << 20))
-    return some
+    some = common.Scratch(docs.sparkSession).write(own.filter(F.pmod(F.col("key"), F.lit(1 << 20)) < rate * (1 << 20)), "labelled")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).filter("t is not null")
+    return common.attach(texts, some, ["id"], "inner"), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> Model | None:
@@ -96,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     Two thirds of the sampled rows make the dictionaries, the last third the calibration, where each counts as its label's
     share of all labelled rows is, so the score is a probability on whole data.
     """
-    sample = labelled(docs, labels, label, fit_rows)
+    sample, share = labelled(docs, labels, label, fit_rows)
     chosen = F.transform(
         F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / BLOCK).cast("int")), lambda i: F.struct(F.xxhash64("id", i).alias("h"), i.alias("i")))), 1, FIT_BLOCKS),
         lambda x: F.substring(F.col("t"), x["i"] * BLOCK + 1, F.lit(BLOCK)),
@@ -108,7 +109,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     cut = {y: [x for i, x in enumerate(rows) if i % 3 != 2] for y, rows in by.items()}
     held = {y: [x for i, x in enumerate(rows) if i % 3 == 2] or rows for y, rows in by.items()}
     model = Model(*(_train([b for x in cut[y] for b in x]) for y in (1, 0)))
-    share = dict(labels.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect())
     x, y = [], []
     for k in (0, 1):
         # Rows of the rarer label in full, of the other in the share it has.

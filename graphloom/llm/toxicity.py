@@ -240,7 +240,7 @@ class Lexicon:
 
 def sample(docs: DataFrame, labels: DataFrame, model: LanguageModel, label: str, rows: int) -> list[tuple[int, int, list[bytes]]]:
     """(label, least word hash, distinct words of the restored text) of at most `rows` rows per label, by hash."""
-    some = labelled(docs, labels, label, rows).select("y", "key", "t")
+    some = labelled(docs, labels, label, rows)[0].select("y", "key", "t")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
