@@ -35,7 +35,7 @@ SIZE = 28
 
 #: Labelled rows per label that the lexicon is learnt from, those of least hash; of each, at most so many distinct
 #: words, those of least hash.
-FIT_ROWS, FIT_WORDS = 3000, 4000
+FIT_ROWS, FIT_WORDS = 1500, 3000
 PREFIXES = (4, 5, 6)
 LEAST_SUPPORT, LEAST_ODDS, MOST_FEATURES = 3, 2.0, 50_000
 THRESHOLD = 0.5
@@ -202,15 +202,15 @@ class Lexicon:
     Support counts rows whose least word hash differs, so near copies of one text count about once.
     """
 
-    def __init__(self, rows: list[tuple[int, int, list[bytes]]], support: int = LEAST_SUPPORT):
+    def __init__(self, rows: list[tuple[int, int, bytes]], support: int = LEAST_SUPPORT):
         learn = [r for i, r in enumerate(rows) if i % 3 != 2]
         self.odds: dict[bytes, float] = {}
         seen: tuple[defaultdict, defaultdict] = defaultdict(set), defaultdict(set)
         totals = [len({m for y, m, _ in learn if y == k}) for k in (0, 1)]
-        bad = Counter(f for y, _, w in learn if y for f in features(set(w)))
+        bad = Counter(f for y, _, w in learn if y for f in features(set(w.split())))
         bad_features = {f for f, n in bad.items() if n >= support}
         for y, m, w in learn:
-            for f in features(set(w)) & bad_features:
+            for f in features(set(w.split())) & bad_features:
                 seen[y][f].add(m)
         odds = {}
         for f in bad_features:
@@ -220,7 +220,7 @@ class Lexicon:
                 odds[f] = float(x)
         self.odds = dict(sorted(odds.items(), key=lambda v: (-v[1], v[0]))[:MOST_FEATURES])
         held = [r for i, r in enumerate(rows) if i % 3 == 2]
-        x = np.array([self.summary(set(w)) for _, _, w in held] or [[0.0] * 5])
+        x = np.array([self.summary(set(w.split())) for _, _, w in held] or [[0.0] * 5])
         self.curve = Curve(x, np.array([y for y, _, _ in held] or [0], float), decay=0.1)
 
     def summary(self, some: set[bytes]) -> list[float]:
@@ -238,8 +238,8 @@ class Lexicon:
         return self.curve(self.summary(words(text)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, model: LanguageModel, label: str, rows: int) -> list[tuple[int, int, list[bytes]]]:
-    """(label, least word hash, distinct words of the restored text) of at most `rows` rows per label, by hash."""
+def sample(docs: DataFrame, labels: DataFrame, model: LanguageModel, label: str, rows: int) -> list[tuple[int, int, bytes]]:
+    """(label, least word hash, distinct words of the restored text, parted by spaces) of at most `rows` rows per label, by hash."""
     some = labelled(docs, labels, label, rows)[0].select("y", "key", "t")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -248,10 +248,10 @@ def sample(docs: DataFrame, labels: DataFrame, model: LanguageModel, label: str,
         for batch in batches:
             for a, b, texts in common.text_runs(batch, "t", 1 << 20):
                 least = [sorted((xxhash.xxh64_intdigest(w), w) for w in words(own.restore(t.lower())))[:FIT_WORDS] for t in texts]
-                yield common.with_columns(batch.slice(a, b - a), ["y", "key"], m=pa.array([(x[0][0] >> 1) if x else 0 for x in least], pa.int64()), w=pa.array([[v for _, v in x] for x in least], pa.list_(pa.binary())))
+                yield common.with_columns(batch.slice(a, b - a), ["y", "key"], m=pa.array([(x[0][0] >> 1) if x else 0 for x in least], pa.int64()), w=pa.array([b" ".join(v for _, v in x) for x in least], pa.binary()))
 
-    schema = T.StructType([some.schema["y"], some.schema["key"], *T.StructType.fromDDL("m long, w array<binary>").fields])
-    got = sorted(((r.y, r.key, r.m, [bytes(v) for v in r.w]) for r in map_arrow(some, run, schema).collect()), key=lambda r: (r[1], r[3]))
+    schema = T.StructType([some.schema["y"], some.schema["key"], *T.StructType.fromDDL("m long, w binary").fields])
+    got = sorted(((r.y, r.key, r.m, bytes(r.w)) for r in map_arrow(some, run, schema).collect()), key=lambda r: (r[1], r[3]))
     by = {k: [r for r in got if r[0] == k][:rows] for k in (0, 1)}
     return [(r[0], r[2], r[3]) for r in sorted(by[0] + by[1], key=lambda r: (r[1], r[3]))]
 
