@@ -1 +1,178 @@
+"""Queries over vectors, fused results and what answers are made of."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators import retrieval
+from ..sources.tables import load
+from . import graph_plans
+from .registry import query
+
+_DOT = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return v, v.filter("vec_id = 0")
+
+
+@query("j08_vector_topk", f"SELECT e.vec_id, round({_DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {_DOT} DESC, e.vec_id LIMIT 5")
+def j08_vector_topk(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return retrieval.top_k(v, q).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("p05_vector_threshold", f"SELECT e.vec_id, round({_DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND {_DOT} >= 0.2 ORDER BY {_DOT} DESC, e.vec_id LIMIT 20")
+def p05_vector_threshold(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    return retrieval.top_k(v, q, 20, 0.2).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("j08_multi_query", f"SELECT q.vec_id AS query_id, e.vec_id, round({_DOT}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 20 QUALIFY rank <= 5")
+def j08_multi_query(spark, sf_dir):
+    v, _ = _vectors(spark, sf_dir)
+    out = retrieval.top_k_of_each(v, v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("r02_ivf_topk")
+def r02_ivf_topk(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    indexed, centres = retrieval.inverted_file(v)
+    return retrieval.probed_top_k(indexed, centres, q).select("vec_id", F.round("score", 6).alias("score"))
+
+
+KINDS = ["text", "image", "table", "chart"]
+
+
+def hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The vectors nearest to the first one, with documents in the part of their chunks."""
+    v, q = _vectors(spark, sf_dir)
+    top = retrieval.top_k(v, q, k)
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 200).alias("content"), F.col("source").alias("file_id"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.pmod("vec_id", F.lit(4)) + 1).cast("int"))
+    return top.join(d, "vec_id", "left").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), "file_id", "content", kind.alias("content_type"), "score", F.col("vec_id").alias("seq"))
+
+
+def fused(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    p = graph_plans.paths(spark, sf_dir).filter("term = 'ASIA'")
+    # Ten paths at most, so ranking them in one task is no burden.
+    return retrieval.fuse(hits(spark, sf_dir, k), p.select(F.col("nodes").alias("path"), F.row_number().over(W.orderBy("key")).cast("long").alias("seq")))
+
+
+def _fused_sql(k: int) -> str:
+    return f"""{graph_plans.PATHS_SQL},
+top AS (SELECT e.vec_id, {_DOT} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {_DOT} DESC, e.vec_id LIMIT {k}),
+u AS (SELECT 'vector' AS type, ['text', 'image', 'table', 'chart'][vec_id % 4 + 1] AS content_type, text[1:200] AS content, source AS file_id, 'c' || vec_id AS chunk_id, score, CAST(NULL AS VARCHAR) AS path, 0 AS part, vec_id AS seq FROM top LEFT JOIN documents ON doc_id = vec_id
+  UNION ALL SELECT 'graph', 'graph', NULL, NULL, NULL, 0.8::DOUBLE, nodes, 1, row_number() OVER (ORDER BY key) FROM best WHERE term = 'ASIA'),
+fused AS (SELECT *, CAST(row_number() OVER (ORDER BY content_type <> 'text' DESC, score DESC, part, seq) AS INTEGER) AS rank FROM u QUALIFY rank <= 15)"""
+
+
+@query("r04_fusion", f"WITH RECURSIVE {_fused_sql(5)} SELECT rank, type, content_type, chunk_id, file_id, content, path, round(score, 6) AS score FROM fused")
+def r04_fusion(spark, sf_dir):
+    return fused(spark, sf_dir).select("rank", "type", "content_type", "chunk_id", "file_id", "content", "path", F.round("score", 6).alias("score"))
+
+
+@query("r06_media_map", f"WITH RECURSIVE {_fused_sql(12)} SELECT chunk_id, content_type, content, rank FROM fused WHERE content_type NOT IN ('text', 'graph')")
+def r06_media_map(spark, sf_dir):
+    return retrieval.media_map(fused(spark, sf_dir, 12))
+
+
+_PIECE = "CASE WHEN type = 'graph' THEN '关系信息 ' || rank || '：' || chr(10) || '相关实体关系信息' || chr(10) {} ELSE '文档片段 ' || rank || '：' || chr(10) || content || chr(10) END"
+
+
+@query("r07_context", f"WITH RECURSIVE {_fused_sql(5)} SELECT string_agg({_PIECE.format('')}, chr(10) ORDER BY rank) AS context FROM fused")
+def r07_context(spark, sf_dir):
+    return retrieval.context(fused(spark, sf_dir))
+
+
+_MEDIA = "WHEN content_type <> 'text' THEN '多媒体内容 ' || rank || '（' || content_type || '）：[' || upper(content_type) || ':' || chunk_id || ']' || chr(10) || '描述：' || content || chr(10)"
+
+
+@query("r08_context_placeholders", f"WITH RECURSIVE {_fused_sql(5)} SELECT string_agg({_PIECE.format(_MEDIA)}, chr(10) ORDER BY rank) AS context FROM fused")
+def r08_context_placeholders(spark, sf_dir):
+    return retrieval.context(fused(spark, sf_dir), placeholders=True)
+
+
+@query(
+    "r25_placeholders",
+    f"""WITH RECURSIVE {_fused_sql(12)}, m AS (SELECT chunk_id, content FROM fused WHERE content_type NOT IN ('text', 'graph')),
+        a AS (SELECT doc_id AS answer_id, regexp_extract_all('See [IMAGE:c' || doc_id || '] and [TABLE:c' || (doc_id + 1) || '], not [this] ' || text[1:20], '(\\[[A-Z]+:[^\\]]+\\])', 1) AS marks FROM documents),
+        p AS (SELECT answer_id, CAST(i - 1 AS INTEGER) AS position, marks[i] AS mark FROM a, LATERAL (SELECT unnest(range(1, len(marks) + 1)) AS i)),
+        k AS (SELECT answer_id, position, lower(regexp_extract(mark, '^\\[([A-Z]+):', 1)) AS kind, regexp_extract(mark, ':([^\\]]+)\\]$', 1) AS chunk_id FROM p)
+        SELECT answer_id, position, kind, k.chunk_id, m.chunk_id IS NOT NULL AS known, m.content AS description FROM k LEFT JOIN m ON k.chunk_id = m.chunk_id""",
+)
+def r25_placeholders(spark, sf_dir):
+    i = F.col("doc_id")
+    text = F.concat(F.lit("See [IMAGE:c"), i.cast("string"), F.lit("] and [TABLE:c"), (i + 1).cast("string"), F.lit("], not [this] "), F.substring("text", 1, 20))
+    return retrieval.resolve_placeholders(load(spark, sf_dir, "documents").select(i.alias("answer_id"), text.alias("text")), retrieval.media_map(fused(spark, sf_dir, 12)))
+
+
+_ASKED = ["显示图片", "统计数据", "what is this"]
+
+
+@query(
+    "r17_layout",
+    f"""WITH RECURSIVE {_fused_sql(5)}, q AS (SELECT unnest([{', '.join(f"'{x}'" for x in _ASKED)}]) AS query),
+        c AS (SELECT 0 AS position, 'images' AS section, '相关图片' AS title, count_if(content_type = 'image') AS count, true AS interactive FROM fused UNION ALL SELECT 1, 'tables', '数据表格', count_if(content_type = 'table'), true FROM fused
+              UNION ALL SELECT 2, 'charts', '图表分析', count_if(content_type = 'chart'), true FROM fused UNION ALL SELECT 3, 'text_summary', '详细解答', 1, false)
+        SELECT query, CAST(position AS INTEGER) AS position, section, title, CAST(count AS BIGINT) AS count, interactive, CASE WHEN contains(query, '图') THEN 'media_first' WHEN contains(query, '表格') OR contains(query, '数据') OR contains(query, '统计') THEN 'mixed' ELSE 'text_first' END AS content_flow
+        FROM c, q WHERE count > 0""",
+)
+def r17_layout(spark, sf_dir):
+    own = fused(spark, sf_dir)
+    return reduce(DataFrame.union, [retrieval.layout(own, F.lit(q)).select(F.lit(q).alias("query"), "*") for q in _ASKED])
+
+
+@query("a09_type_histogram", f"WITH RECURSIVE {_fused_sql(12)} SELECT content_type, count(*) AS n, bool_or(content_type = 'image') AS images FROM fused GROUP BY content_type")
+def a09_type_histogram(spark, sf_dir):
+    return fused(spark, sf_dir, 12).groupBy("content_type").agg(F.count("*").alias("n"), F.bool_or(F.col("content_type") == "image").alias("images"))
+
+
+@query(
+    "r20_key_points",
+    r"""WITH d AS (SELECT source, ['text', 'image', 'text', 'chart'][doc_id % 4 + 1] AS k, replace(text, '.', '。') AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 5),
+        p AS (SELECT source, n, i, CASE WHEN k = 'text' THEN regexp_replace(string_split(c, '。')[i], '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS s, k, c FROM d, (SELECT unnest([1, 2]) AS i) WHERE length(c) > 50 AND (k = 'text' OR i = 1)),
+        o AS (SELECT source, n, i, CASE WHEN k = 'text' THEN s || '。' ELSE k || '内容：' || c[1:100] || '...' END AS point FROM p WHERE k <> 'text' OR length(s) > 20)
+        SELECT source, array_to_string(list(point ORDER BY n, i)[1:5], '|') AS points FROM o GROUP BY source""",
+)
+def r20_key_points(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("text", "image", "text", "chart"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    d = load(spark, sf_dir, "documents").withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter("n <= 5")
+    rows = d.select("source", F.struct("n", kind.alias("content_type"), F.replace("text", F.lit("."), F.lit("。")).alias("content")).alias("r")).groupBy("source").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return rows.select("source", F.array_join(retrieval.key_points(F.col("r")), "|").alias("points")).filter("points <> ''")
+
+
+@query(
+    "r21_recommendations",
+    """WITH t AS (SELECT conv_id, list(DISTINCT ['text', 'image', 'table', 'chart', 'graph'][(conv_id + turn) % 5 + 1]) AS k FROM conversations GROUP BY conv_id)
+       SELECT conv_id, array_to_string(list_concat(CASE WHEN list_contains(k, 'image') THEN ['建议仔细查看相关图片以获得更直观的理解'] ELSE [] END, CASE WHEN list_contains(k, 'table') THEN ['建议分析表格数据以发现更多数据模式'] ELSE [] END,
+              CASE WHEN list_contains(k, 'chart') THEN ['建议研究图表趋势以了解数据变化'] ELSE [] END, ['可以基于这些内容提出更具体的问题', '建议关注关键数据点和趋势分析'])[1:4], '|') AS recommendations FROM t""",
+)
+def r21_recommendations(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, [*KINDS, "graph"])), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) + 1).cast("int"))
+    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(kind).alias("k"))
+    return rows.select("conv_id", F.array_join(retrieval.recommendations(F.col("k")), "|").alias("recommendations"))
+
+
+@query(
+    "r22_suggestions",
+    """SELECT conv_id, turn, array_to_string(list_concat(CASE WHEN contains(q, '表格') OR contains(q, '数据') THEN ['显示相关的数据表格', '分析表格中的趋势', '比较不同数据项'] ELSE [] END,
+              CASE WHEN contains(q, '图') OR contains(q, '图片') THEN ['解释图表内容', '描述图像信息', '分析视觉元素'] ELSE [] END, ['总结文档主要内容', '提取关键信息', '查找相关章节'])[1:5], '|') AS suggestions
+       FROM (SELECT conv_id, turn, text || ['', ' 数据', ' 图片', ' 表格和图'][(conv_id + turn) % 4 + 1] AS q FROM conversations WHERE role = 'user')""",
+)
+def r22_suggestions(spark, sf_dir):
+    extra = F.element_at(F.array(*map(F.lit, ("", " 数据", " 图片", " 表格和图"))), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)) + 1).cast("int"))
+    rows = load(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat("text", extra).alias("q"))
+    return rows.select("conv_id", "turn", F.array_join(retrieval.suggestions(F.col("q")), "|").alias("suggestions"))
+
+
+@query("r23_multimodal_list", "SELECT event_id, event_type, CAST(props ->> '$.k' AS INTEGER) AS k FROM events WHERE user_id = 8 AND CAST(props ->> '$.k' AS INTEGER) % 2 = 0")
+def r23_multimodal_list(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return load(spark, sf_dir, "events").filter("user_id = 8").select("event_id", "event_type", k.alias("k")).filter("k % 2 = 0")

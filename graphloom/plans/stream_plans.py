@@ -1 +1,45 @@
+"""Queries that run a stream over what is there and read its table; their SQL is that of the batch."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import jobs
+from . import text_plans
+from .registry import query
+
+
+@query("g01_stream_ingest", text_plans._RECORDS)
+def g01_stream_ingest(spark, sf_dir):
+    d = jobs.source(spark, f"{sf_dir}/documents.parquet")
+    pages = d.select(F.col("source").alias("file_id"), F.pmod("doc_id", F.lit(1000)).cast("int").alias("page_number"), "text")
+    return jobs.ingest(pages, jobs.shared_folder(spark)).select("chunk_id", "file_id", "content_type", "content", "page_number", "chunk_index", "metadata.length", "metadata.language")
+
+
+@query("g02_stream_status", "SELECT user_id AS file_id, max_by(event_id % 101, (ts, event_id)) AS progress, max_by(event_type, (ts, event_id)) AS message FROM events GROUP BY user_id")
+def g02_stream_status(spark, sf_dir):
+    e = jobs.source(spark, f"{sf_dir}/events.parquet")
+    log = e.select(F.col("user_id").alias("file_id"), "ts", F.col("event_id").alias("seq"), F.pmod("event_id", F.lit(101)).alias("progress"), F.col("event_type").alias("message"))
+    return jobs.latest_status(log, jobs.shared_folder(spark))
+
+
+@query(
+    "g04_stream_history",
+    """SELECT conv_id AS session_id, string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || text, chr(10) ORDER BY turn) AS history
+       FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) GROUP BY conv_id""",
+)
+def g04_stream_history(spark, sf_dir):
+    c = jobs.source(spark, f"{sf_dir}/conversations.parquet")
+    return jobs.bounded_history(c.select(F.col("conv_id").alias("session_id"), "turn", "role", "text"), jobs.shared_folder(spark), 3)
+
+
+@query(
+    "g05_stream_sessions",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new FROM events),
+       s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def g05_stream_sessions(spark, sf_dir):
+    e = jobs.source(spark, f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = jobs.session_windows(e, jobs.shared_folder(spark))
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
