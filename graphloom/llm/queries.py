@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_suffix_dedup": suffix_dedup.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_decontamination": decontam.OP10_SQL,
 }

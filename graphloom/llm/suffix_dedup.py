@@ -467,3 +467,16 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(common.documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+f AS (SELECT k, min((doc_id, i)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT w.doc_id, w.i, CASE WHEN w.i <= lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) + 100 THEN 0 ELSE 1 END AS new FROM w JOIN f ON w.k = f.k WHERE (w.doc_id, w.i) > f.first),
+r AS (SELECT doc_id, g, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s) GROUP BY doc_id, g),
+p AS (SELECT r.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS kept FROM r JOIN d ON r.doc_id = d.doc_id WINDOW o AS (PARTITION BY r.doc_id ORDER BY a)),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(kept, '' ORDER BY a) AS kept FROM p GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
