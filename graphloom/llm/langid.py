@@ -15,10 +15,11 @@ from . import common
 
 #: Hash buckets of n-grams.
 DIMS = 4096
-#: Learnt rows per language that the centroids are fitted on; document frequencies count all learnt rows.
-FIT_ROWS = 1500
+#: Learnt rows per language that the centroids are fitted on, and over all languages; document frequencies count all
+#: learnt rows.
+FIT_ROWS, ALL_FIT_ROWS = 700, 10_000
 #: Characters of a fitted row's stretch: a fitted text is cut into stretches and one of them, by hash, is used.
-FIT_CHARS = 4000
+FIT_CHARS = 3000
 CENTROIDS = 4
 STEPS = 12
 #: Languages that a model may hold; more raise an error, as the model goes to every task.
@@ -79,12 +80,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Model:
     """Languages, their centroids, document frequencies' weights, and the cosine below which each rejects."""
 
-    def __init__(self, idf: np.ndarray, rows: dict[str, np.ndarray], centroids: int = CENTROIDS):
+    def __init__(self, idf: np.ndarray, texts: dict[str, list[str]], centroids: int = CENTROIDS):
         self.idf = idf.astype(np.float32)
-        self.languages = sorted(rows)
+        self.languages = sorted(texts)
         parts, self.of, self.floor = [], [], np.zeros(len(self.languages))
         for k, lang in enumerate(self.languages):
-            x = self.vectors(rows[lang])
+            x = self.vectors(np.stack([counts(t) for t in texts[lang]]))
             c = _cluster(x, centroids)
             parts.append(c)
             self.of += [k] * len(c)
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     """Learns from rows with a text with letters and a non-null lang; None if there are none.
 
     Document frequencies are counted over all rows, in vectors of DIMS numbers. Centroids are fitted on at most fit_rows
-    rows per language, those of least hash, each a stretch of FIT_CHARS characters chosen by hash: a bounded sample.
+    rows per language (fewer if languages are many), those of least hash, each a stretch of FIT_CHARS characters chosen by hash: a bounded sample.
     """
     rows = common.hidden(docs, text=text, lang=lang, order=order).filter("lang is not null and text is not null")
 
@@ -156,17 +157,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    fit_rows = max(20, min(fit_rows, ALL_FIT_ROWS // max(1, len(sizes))))
     # About twice the rows wanted, by hash, so the exact choice is of a bounded number of rows.
     odds = F.lit(1.0)
     for name, n in sizes.items():
         odds = F.when(F.col("lang") == name, F.lit(min(1.0, 2 * fit_rows / n))).otherwise(odds)
     chosen = rows.select("lang", "text", key.alias("key"), start.cast("int").alias("start")).filter(F.pmod(F.col("key"), F.lit(1 << 20)) < odds * (1 << 20))
-    by: dict[str, list] = {}
-    for r in chosen.select("lang", "key", F.col("text").substr(F.col("start"), F.lit(FIT_CHARS)).alias("t")).collect():
-        c = counts(r.t)
-        if c is not None:
-            by.setdefault(r.lang, []).append((r.key, r.t, c))
-    return Model(idf, {name: np.stack([c for _, _, c in sorted(x, key=lambda v: v[:2])[:fit_rows]]) for name, x in by.items()})
+    by: dict[str, list[tuple[int, str]]] = {}
+    for r in chosen.select("lang", "key", F.col("text").substr(F.col("start"), F.lit(FIT_CHARS)).alias("t")).toLocalIterator():
+        if any(c.isalpha() for c in r.t):
+            by.setdefault(r.lang, []).append((r.key, r.t))
+    return Model(idf, {name: [t for _, t in sorted(x)[:fit_rows]] for name, x in by.items()}) if by else None
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
