@@ -129,7 +129,7 @@ def f24_progress_message(spark, sf_dir):
 
 @query(
     "a01_daily_stats",
-    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS processing_date, count(*) AS total_files, count_if(o_orderstatus = 'F') AS completed_files, count_if(o_orderstatus = 'O') AS processing_files, count_if(o_orderstatus = 'P') AS failed_files,
+    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS processing_date, count(*) AS total_files, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed_files, count(*) FILTER (WHERE o_orderstatus = 'O') AS processing_files, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed_files,
               round(avg(o_totalprice), 4) AS avg_file_size, CAST(sum(o_custkey) AS BIGINT) AS total_chunks, CAST(sum(o_orderkey % 3) AS BIGINT) AS total_images, CAST(sum(o_orderkey % 2) AS BIGINT) AS total_tables
        FROM orders GROUP BY ALL""",
 )
@@ -157,14 +157,14 @@ CHUNKS_SQL = """chunks AS (
 
 @query(
     "a03_chunk_counters",
-    f"""WITH {CHUNKS_SQL}, c AS (SELECT file_id, count_if(content_type = 'text') AS t, count_if(content_type = 'image') AS i, count_if(content_type = 'table') AS b FROM chunks GROUP BY file_id)
+    f"""WITH {CHUNKS_SQL}, c AS (SELECT file_id, count(*) FILTER (WHERE content_type = 'text') AS t, count(*) FILTER (WHERE content_type = 'image') AS i, count(*) FILTER (WHERE content_type = 'table') AS b FROM chunks GROUP BY file_id)
         SELECT f.file_id, coalesce(t, 0) AS total_chunks, coalesce(i, 0) AS total_images, coalesce(b, 0) AS total_tables FROM (SELECT unnest(range(60)) AS file_id) f LEFT JOIN c ON f.file_id = c.file_id""",
 )
 def a03_chunk_counters(spark, sf_dir):
     return catalog.counters(spark.range(60).withColumnRenamed("id", "file_id"), chunks(spark, sf_dir))
 
 
-@query("a04_type_counts", f"WITH {CHUNKS_SQL} SELECT file_id, count(*) AS total, count_if(content_type = 'text') AS text, count_if(content_type = 'image') AS image, count_if(content_type = 'table') AS \"table\", count_if(content_type = 'chart') AS chart FROM chunks GROUP BY file_id")
+@query("a04_type_counts", f"WITH {CHUNKS_SQL} SELECT file_id, count(*) AS total, count(*) FILTER (WHERE content_type = 'text') AS text, count(*) FILTER (WHERE content_type = 'image') AS image, count(*) FILTER (WHERE content_type = 'table') AS \"table\", count(*) FILTER (WHERE content_type = 'chart') AS chart FROM chunks GROUP BY file_id")
 def a04_type_counts(spark, sf_dir):
     return catalog.type_counts(chunks(spark, sf_dir))
 

@@ -104,7 +104,7 @@ def j04_nodes_exist(spark, sf_dir):
     return graph.nodes_exist(q, _places(spark, sf_dir)[0])
 
 
-@query("j06_unsafe_relations", f"WITH {_REL}, n AS (SELECT c_name AS name FROM customer WHERE c_custkey % 3 = 0 UNION SELECT n_name FROM nation WHERE n_nationkey < 12) SELECT predicate, count_if(subject IN (SELECT name FROM n) AND object IN (SELECT name FROM n)) AS created, count_if(subject NOT IN (SELECT name FROM n) OR object NOT IN (SELECT name FROM n)) AS failed FROM rel GROUP BY predicate")
+@query("j06_unsafe_relations", f"WITH {_REL}, n AS (SELECT c_name AS name FROM customer WHERE c_custkey % 3 = 0 UNION SELECT n_name FROM nation WHERE n_nationkey < 12) SELECT predicate, count(*) FILTER (WHERE subject IN (SELECT name FROM n) AND object IN (SELECT name FROM n)) AS created, count(*) FILTER (WHERE subject NOT IN (SELECT name FROM n) OR object NOT IN (SELECT name FROM n)) AS failed FROM rel GROUP BY predicate")
 def j06_unsafe_relations(spark, sf_dir):
     n = load(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_name").alias("name")).union(load(spark, sf_dir, "nation").filter("n_nationkey < 12").select("n_name")).distinct()
     a, b = n.select(F.col("name").alias("subject"), F.lit(1).alias("a")), n.select(F.col("name").alias("object"), F.lit(1).alias("b"))
