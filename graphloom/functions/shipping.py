@@ -31,7 +31,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc)
 
 
+#: Bytes of an Arrow batch, at most: rows here are whole documents, and the default of 64 MB takes several times that in
+#: the JVM's and the worker's memory.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and bounds Arrow batches where the session allows larger ones."""
+    ship(spark)
+    now = (spark.conf.get(_BATCH_CONF, None) or "").rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with the package shipped first."""
-    ship(df.sparkSession)
+    """df.mapInArrow, prepared."""
+    prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
