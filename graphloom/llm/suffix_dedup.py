@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.shipping import map_arrow, ship
+from ..functions.shipping import map_arrow, prepare
 from . import common
 
 LENGTH = 100
@@ -441,7 +441,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     if gram + span - 1 > length or span & (span - 1):
         raise ValueError("span is a power of two, and gram + span - 1 at most length")
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     scratch = common.Scratch(spark)
     rows, repeated = _placed(scratch, common.hidden(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")))
     # Texts are dealt over `buckets`, phrases and windows over `meets`; what goes from one to another is one packed row.
