@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,36 +157,27 @@ def search(texts: list[bytes], pat: Patterns) -> dict:
     return found
 
 
-def item_blocks(items: DataFrame, most: int = BLOCK_BYTES) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about `most` bytes, by hash of their id; each block is bounded, whatever the benchmark's size."""
+def item_blocks(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about `most` bytes, by hash of their id, one block on the driver at a time."""
     total = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
     n = -(-total // most) or 1
-    rows = lambda k: items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
-    return [[(name, text.encode()) for name, text in rows(k).collect()] for k in range(n)]
-
-
-def _per_shard(texts: list[bytes], pats: list[Patterns]) -> list[tuple[int, int, list[str], list[tuple[int, str, int]]]]:
-    """Per text: words, hit words over all blocks of items, ids of items found, and matches (word, item, longest length)."""
-    hits, items, matches, n_words = [None] * len(texts), [set() for _ in texts], [[] for _ in texts], [0] * len(texts)
-    several = len(pats) > 1
-    for pat in pats:
-        found = search(texts, pat)
-        n_words = found["n_words"].tolist()
-        if not several:
-            hits = found["n_hit"].tolist()
-        for t, i, at, n in zip(*(found[c].tolist() for c in ("text", "item", "at", "length")), strict=True):
-            items[t].add(pat.names[i])
-            matches[t].append((at, pat.names[i], n))
-    if several:
-        for t, own in enumerate(matches):
-            covered: set[int] = set()
-            for at, _, n in own:
-                covered.update(range(at, at + n))
-            hits[t] = len(covered)
-    return [(n_words[t], hits[t] or 0, sorted(items[t]), matches[t]) for t in range(len(texts))]
-
-
-MATCH_TYPE = "array<struct<at:bigint,item_id:string,length:bigint>>"
+    own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    for k in range(n):
+        yield [(name, text.encode()) for name, text in own.filter(F.pmod(F.xxhash64("name"), F.lit(n)) == k).collect()]
+
+
+_MATCH = pa.list_(pa.struct([("at", pa.int64()), ("item_id", pa.string()), ("length", pa.int64())]))
+_NEW = "n_words long, n_hit long, item_ids array<string>, matches array<struct<at:bigint,item_id:string,length:bigint>>, contaminated boolean"
+
+
+def _covered(matches: list[dict]) -> int:
+    """Words that lie in any match."""
+    total = end = 0
+    for m in sorted(matches, key=lambda m: m["at"]):
+        stop = m["at"] + m["length"]
+        total += max(0, stop - max(end, m["at"]))
+        end = max(end, stop)
+    return total
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -196,32 +186,38 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
     A match is a place (word number) where a window of an item starts in the text, with the length of the longest
     verbatim match there. Null and empty texts have no words; null and empty items are no windows; items that share an
     id count as one; a null item id reads `null`. Empty tables give no rows, or no hits. A benchmark of more than
-    block_bytes is searched block by block in one pass over the documents.
+    block_bytes is searched block after block in one pass over the documents; each step holds one block, and adds to the
+    matches of the steps before it.
     """
     spark = docs.sparkSession
-    blocks = item_blocks(items.select("item_id", "text"), block_bytes)
-    held = spark.sparkContext.broadcast(blocks)
-    new = ["n_words", "n_hit", "item_ids", "matches", "contaminated"]
-    keep = [c for c in docs.columns if c not in new]
-    src = docs.select(*keep)
-    schema = T.StructType([*src.schema.fields, *T.StructType.fromDDL(f"n_words long, n_hit long, item_ids array<string>, matches {MATCH_TYPE}, contaminated boolean").fields])
-    match_arrow = pa.list_(pa.struct([("at", pa.int64()), ("item_id", pa.string()), ("length", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pats = [Patterns(b, window) for b in held.value]
-        for whole in batches:
-            texts = common.texts_of(whole, text)
-            for a, b in common.pieces([len(t) for t in texts], SHARD_BYTES):
-                rows = _per_shard(texts[a:b], pats)
-                yield common.with_columns(
-                    whole.slice(a, b - a), keep,
-                    n_words=pa.array([r[0] for r in rows], pa.int64()), n_hit=pa.array([r[1] for r in rows], pa.int64()),
-                    item_ids=pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                    matches=pa.array([[{"at": x, "item_id": i, "length": n} for x, i, n in r[3]] for r in rows], match_arrow),
-                    contaminated=pa.array([r[1] > 0 for r in rows], pa.bool_()),
-                )
-
-    return map_arrow(src, run, schema)
+    keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "matches", "contaminated")]
+    out = docs.select(*keep)
+    schema = T.StructType([*out.schema.fields, *T.StructType.fromDDL(_NEW).fields])
+
+    def step(before: DataFrame, block: list[tuple[str, bytes]], first: bool) -> DataFrame:
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pat = Patterns(held.value, window)
+            for whole in batches:
+                texts = common.texts_of(whole, text)
+                for a, b in common.pieces([len(t) for t in texts], SHARD_BYTES):
+                    part = whole.slice(a, b - a)
+                    found = search(texts[a:b], pat)
+                    matches: list[list[dict]] = [[] for _ in range(a, b)] if first else [m or [] for m in part.column(part.schema.get_field_index("matches")).to_pylist()]
+                    for t, i, at, n in zip(*(found[c].tolist() for c in ("text", "item", "at", "length")), strict=True):
+                        matches[t].append({"at": at, "item_id": pat.names[i], "length": n})
+                    hit = [_covered(m) for m in matches]
+                    yield common.with_columns(
+                        part, keep, n_words=pa.array(found["n_words"], pa.int64()), n_hit=pa.array(hit, pa.int64()), item_ids=pa.array([sorted({x["item_id"] for x in m}) for m in matches], pa.list_(pa.string())),
+                        matches=pa.array(matches, _MATCH), contaminated=pa.array([h > 0 for h in hit], pa.bool_()),
+                    )
+
+        return map_arrow(before, run, schema)
+
+    for k, block in enumerate(item_blocks(items.select("item_id", "text"), block_bytes)):
+        out = step(out, block, k == 0)
+    return out
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
