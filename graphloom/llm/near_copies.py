@@ -195,10 +195,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), key.alias("key")), "doc_id", "text", "key")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("carried").alias("key"))
     keys = scratch.write(found.groupBy("component_root", "doc_id", "carried").agg(F.count("*").alias("times")), "keys")
-    winners = keys.groupBy("component_root").agg(F.min(rank).alias("won"))
-    lost = keys.join(winners, "component_root").filter(~(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("carried").alias("key")) == F.col("won")) | (F.col("times") > 1))
+    # A group's winner is an (id, key) of its own, so losers are found by that, and no large group meets in one task.
+    won = scratch.write(keys.groupBy("component_root").agg(F.min(rank).alias("won")).select(F.col("won.doc_id").alias("w_id"), F.col("won.key").alias("w_key")), "won")
+    placed = keys.join(won, keys["doc_id"].eqNullSafe(won["w_id"]) & (keys["carried"] == won["w_key"]), "left").select("doc_id", "carried", "times", F.col("w_key").isNotNull().alias("won"))
     # What goes is a table of ids; of rows that are there twice, one is taken back.
-    lost = scratch.write(lost.select("doc_id", "carried", "times", (F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("carried").alias("key")) == F.col("won")).alias("won")), "lost")
+    lost = scratch.write(placed.filter(~F.col("won") | (F.col("times") > 1)), "lost")
     rows = docs.withColumn("__key", key)
     on = lambda t: [rows[doc_id].eqNullSafe(t["doc_id"]), rows["__key"] == t["carried"]]
     kept = rows.hint("merge").join(lost, on(lost), "left_anti")
