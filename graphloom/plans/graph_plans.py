@@ -26,7 +26,7 @@ def k08_entity_dedup(spark, sf_dir):
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "customer").join(F.broadcast(load(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     one = c.select(F.col("c_name").alias("subject"), F.lit("LIVES_IN").alias("predicate"), F.col("n_name").alias("object"), F.col("c_custkey").alias("seq"))
     again = one.filter("seq % 4 = 0").withColumn("seq", F.col("seq") + 10_000_000)
     return one.union(again)

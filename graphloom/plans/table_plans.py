@@ -34,7 +34,7 @@ PARTS_SQL = """tb AS (
 
 
 def nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = load(spark, sf_dir, "nation").join(F.broadcast(load(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return _grouped(n.select(F.col("r_name").alias("chunk_id"), "n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("cells")), "chunk_id", "n_nationkey", ["id", "nation"])
 
 
