@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 from weakref import WeakSet
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: WeakSet = WeakSet()
@@ -45,7 +47,21 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
 
 
+def _release() -> None:
+    """Gives freed memory back: a worker is used again by later stages, beside which it would otherwise keep its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow, prepared."""
+    """df.mapInArrow, prepared; the worker's freed memory is given back at the end of a task."""
     prepare(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        yield from run(batches)
+        _release()
+
+    return df.mapInArrow(whole, schema)
