@@ -236,11 +236,12 @@ def components(scratch: common.Scratch, edges: DataFrame, name: str = "cc") -> D
     step, last = 0, None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Least neighbours are written before they are joined: a node with very many links is then split over tasks.
         # large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), f"{name}least")
+        large = scratch.write(both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").filter("a <> b").distinct(), f"{name}large")
         # small star: the smaller neighbours of a node, and the node, are linked to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n")
+        low = scratch.write(large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n"), f"{name}low")
         small = large.join(low, F.col("b") == F.col("n")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
         step += 1
         new = scratch.write(small, f"{name}{step}")
