@@ -24,7 +24,9 @@ END_ID = 2
 #: Ids in a block, about: a block is written when it has as many, and never splits a document.
 BLOCK_IDS = 1 << 19
 #: Distinct words, and distinct stretches between spaces, whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Characters of what is remembered, at most.
+LONGEST = 64
 #: How the tokenizer's file states its words; a tokenizer with another rule gets whole texts.
 _FIXED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -119,6 +121,30 @@ def _plain(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
+@lru_cache(maxsize=None)
+def _packer(n: int):
+    return struct.Struct(f"<{n}I").pack
+
+
+class _Memory(dict):
+    """Results of a function, remembered until there are more than `most` at a trim."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def learn(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(key) <= LONGEST:
+            self[key] = found
+        return found
+
+    __missing__ = learn
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
+
 class Encoder:
     """Ids as the library gives them for whole texts.
 
@@ -140,9 +166,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(tokenizer_file)
         self.model = self.library.model
-        self.remembered = remembered
-        self.stretches: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = _Memory(self._word, remembered)
+        self.stretches = _Memory(self.stretch, remembered)
+        #: Stretches of the texts at hand that only the whole library may encode.
+        self.odd: set[str] = set()
         stated = self.library.to_str()
         self.own_words = _FIXED_PATTERN in stated and all(f'"type":"{kind}"' in stated for kind in ("NFC", "Lowercase", "ByteLevel", "BPE"))
         # How the model writes the bytes of a character; lower case may add U+0307 to a Latin letter.
@@ -152,17 +179,17 @@ class Encoder:
     def _odd(self, text: str) -> bool:
         return "<|" in text or self._ODD.search(text) is not None
 
-    def _split(self, text: str, odd: set[str]) -> list[str]:
+    def _split(self, text: str) -> list[str]:
         """Stretches between spaces: folded where they are plain, else as they are, and noted as odd."""
         if not self.own_words:
-            odd.add(text)
+            self.odd.add(text)
             return [text]
         if not self._odd(text):
             return text.lower().split()
         out = []
         for s in re.split("[ \t\n\r]+", text):
             if self._odd(s):
-                odd.add(s)
+                self.odd.add(s)
                 out.append(s)
             elif s:
                 out.append(s.lower())
@@ -170,35 +197,28 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         tokens = self.model.tokenize(word if word.isascii() else word.translate(self.written))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-
-    def _learn(self, new: set[str], odd: set[str]) -> None:
-        words, stretches = self.words, self.stretches
-        if len(words) + len(new) > self.remembered:
-            words.clear()
-        for s in new:
-            if s in odd:
-                ids = self.library.encode(s, add_special_tokens=False).ids
-                stretches[s] = struct.pack(f"<{len(ids)}I", *ids)
-                continue
-            own = self._WORDS.findall(s)
-            for w in own:
-                if w not in words:
-                    words[w] = self._word(w)
-            stretches[s] = words[own[0]] if len(own) == 1 else b"".join(map(words.__getitem__, own))
+        return _packer(len(tokens))(*[t.id for t in tokens])
+
+    def stretch(self, s: str) -> bytes:
+        """Ids of a stretch that is not remembered."""
+        if s in self.odd:
+            ids = self.library.encode(s, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        words = self.words
+        if s.isalpha():
+            return words.get(s) or words.learn(s)
+        # Most other stretches are letters and one mark; the pattern cuts the rest.
+        own = [s[:-1], s[-1]] if s[-1] in ".,!" and s[:-1].isalpha() else self._WORDS.findall(s)
+        return b"".join([words.get(w) or words.learn(w) for w in own])
 
     def encode(self, texts: list[str], end_id: int | None = END_ID) -> list[bytes]:
         """Per text its ids as little-endian 32-bit numbers, and end_id after them."""
-        odd: set[str] = set()
-        split = [self._split(t, odd) for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.stretches)
-        if len(self.stretches) + len(new) > self.remembered:
-            self.stretches.clear()
-            new = every
-        self._learn(new, odd)
+        self.odd.clear()
+        self.stretches.trim()
+        self.words.trim()
         end = b"" if end_id is None else struct.pack("<I", end_id)
-        return [b"".join(map(self.stretches.__getitem__, words)) + end for words in split]
+        find = self.stretches.__getitem__
+        return [b"".join(map(find, self._split(t))) + end for t in texts]
 
 
 @lru_cache(maxsize=1)
