@@ -178,7 +178,7 @@ def corpus_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
 
 
 _PACKED = "kind int, bucket int, key array<long>, doc array<long>, pos array<long>, n array<int>"
-REPS, MARKS, ASKED = 0, 1, 2
+REPS, MARKS, ASKED, MIXED = 0, 1, 2, 3
 
 
 def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
@@ -254,9 +254,19 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], length: int, span: int, gr
             doc_of, pos = doc[own], base[own] + begin - starts[own]
             order, first = _split_first((whole,), doc_of, pos)
             reps, again = order[first], order[~first]
+            # An anchor with several phrases in this very shard is known to have several: they go by their own hash, and
+            # the anchor's bucket gets one row without windows that says so. A hot anchor thus costs a row per shard.
+            _, group, size = np.unique(anchor[reps], return_inverse=True, return_counts=True)
+            mixed = size[group] > 1
+            alone, several = reps[~mixed], reps[mixed]
+            told = several[np.unique(anchor[several], return_index=True)[1]] if len(several) else several
+            sent = np.concatenate((alone, told))
+            windows = np.concatenate((n[alone], np.zeros(len(told), n.dtype)))
             # The anchor's lower half gives the bucket, its upper half goes with the phrase's hash.
-            bucket = (anchor[reps] & np.uint64(0xFFFFFFFF)).astype(np.int64) % meets
-            yield _pack_pair(REPS, bucket, anchor[reps], whole[reps], doc_of[reps], pos[reps], n[reps])
+            bucket = (anchor[sent] & np.uint64(0xFFFFFFFF)).astype(np.int64) % meets
+            yield _pack_pair(REPS, bucket, anchor[sent], whole[sent], doc_of[sent], pos[sent], windows)
+            if len(several):
+                yield _pack_pair(MIXED, (whole[several] % np.uint64(meets)).astype(np.int64), anchor[several], whole[several], doc_of[several], pos[several], n[several])
             if len(again):
                 yield _pack(MARKS, _bucket(doc_of[again], buckets), None, doc_of[again], pos[again], n[again])
 
@@ -275,16 +285,17 @@ def _with_a(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch if "a" in batch.schema.names else pa.RecordBatch.from_arrays([*batch.columns, pa.array([None] * batch.num_rows, pa.list_(pa.int32()))], names=[*batch.schema.names, "a"])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table | None, list[pa.RecordBatch]]]:
-    """(bucket, rows of kind REPS or None, batches of other kinds) of batches sorted by bucket."""
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table | None, pa.Table | None, pa.Table | None]]:
+    """Of each bucket (batches are sorted by it): rows of kind REPS, of kind MIXED and of kind MARKS, each or None."""
     held: list[pa.RecordBatch] = []
     now = None
 
     def out():
         t = pa.Table.from_batches(held)
         kinds = t.column("kind").to_numpy()
-        reps = t.filter(pa.array(kinds == REPS)) if (kinds == REPS).any() else None
-        return now, reps, t.filter(pa.array(kinds != REPS)).to_batches()
+        some = lambda mask: t.filter(pa.array(mask)) if mask.any() else None
+        rest = some((kinds != REPS) & (kinds != MIXED))
+        return some(kinds == REPS), some(kinds == MIXED), rest
 
     for batch in batches:
         b = batch.column(1).to_numpy(zero_copy_only=False)
@@ -302,23 +313,53 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Tabl
 
 
 def _meet_phrases(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of an anchor: an equal one that is not the first repeats; of an anchor with several, the firsts are asked for."""
-    for _, reps, others in _by_bucket(batches):
-        yield from (b.select(["kind", "bucket", "key", "doc", "pos", "n"]) for b in others if b.num_rows)
-        if reps is None:
-            continue
-        key, a, doc, pos, n = (_flat(reps, c) for c in ("key", "a", "doc", "pos", "n"))
-        order, first = _split_first((a, key), doc, pos)
-        again = order[~first]
-        if len(again):
-            yield _pack(MARKS, _bucket(doc[again], buckets), None, doc[again], pos[again], n[again])
-        firsts = order[first]
-        same = a[firsts]
-        edge = np.concatenate(([True], same[1:] != same[:-1]))
-        size = np.diff(np.append(np.flatnonzero(edge), len(firsts)))
-        asked = firsts[np.repeat(size > 1, size)]
-        if len(asked):
-            yield _pack(ASKED, _bucket(doc[asked], buckets), None, doc[asked], pos[asked], n[asked])
+    """Equal phrases that are not the first repeat; the firsts are asked for where their anchor has several phrases.
+
+    Equal phrases that went different ways, by anchor and by their own hash, are both asked for, and meet as windows.
+    """
+
+    for reps, mixed, passing in _by_bucket(batches):
+        marks, asked = _Ranges(), _Ranges()
+        if passing is not None:
+            marks.add(*(_flat(passing, c) for c in ("doc", "pos", "n")))
+        if reps is not None:
+            key, a, *ranges = (_flat(reps, c) for c in ("key", "a", "doc", "pos", "n"))
+            doc, pos, n = ranges
+            known = np.unique(a[n == 0])
+            real = np.flatnonzero(n > 0)
+            order, first = _split_first((a[real], key[real]), doc[real], pos[real])
+            order = real[order]
+            marks.add(*(x[order[~first]] for x in ranges))
+            firsts = order[first]
+            if len(firsts):
+                same = a[firsts]
+                edge = np.concatenate(([True], same[1:] != same[:-1]))
+                size = np.diff(np.append(np.flatnonzero(edge), len(firsts)))
+                own = firsts[np.repeat(size > 1, size) | np.isin(same, known)]
+                asked.add(*(x[own] for x in ranges))
+        if mixed is not None:
+            key, a, *ranges = (_flat(mixed, c) for c in ("key", "a", "doc", "pos", "n"))
+            order, first = _split_first((key, a), *ranges[:2])
+            marks.add(*(x[order[~first]] for x in ranges))
+            asked.add(*(x[order[first]] for x in ranges))
+        yield from marks.packed(MARKS, buckets)
+        yield from asked.packed(ASKED, buckets)
+
+
+class _Ranges:
+    """Ranges (doc, pos, n) gathered, to go out as one packed row per bucket of documents."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, *part: np.ndarray) -> None:
+        if len(part[0]):
+            self.parts.append(part)
+
+    def packed(self, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            doc, pos, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            yield _pack(kind, _bucket(doc, buckets), None, doc, pos, n)
 
 
 def _runs(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -377,15 +418,15 @@ _REPS_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("key", p
 
 def _meet_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Windows of a hash: all but the first repeat."""
-    for _, reps, others in _by_bucket(batches):
-        yield from (b.select(["kind", "bucket", "key", "doc", "pos", "n"]) for b in others if b.num_rows)
-        if reps is None:
-            continue
-        key, a, doc, pos, n = (_flat(reps, c) for c in ("key", "a", "doc", "pos", "n"))
-        order, first = _split_first((key, a), doc, pos)
-        again = order[~first]
-        if len(again):
-            yield _pack(MARKS, _bucket(doc[again], buckets), None, doc[again], pos[again], n[again])
+    for reps, _, passing in _by_bucket(batches):
+        marks = _Ranges()
+        if passing is not None:
+            marks.add(*(_flat(passing, c) for c in ("doc", "pos", "n")))
+        if reps is not None:
+            key, a, *ranges = (_flat(reps, c) for c in ("key", "a", "doc", "pos", "n"))
+            order, first = _split_first((key, a), *ranges[:2])
+            marks.add(*(x[order[~first]] for x in ranges))
+        yield from marks.packed(MARKS, buckets)
 
 
 _RESULT = "doc long, base long, n_bytes long, spans array<struct<start:long,end:long>>, n_removed long, kept_sha256 string"
