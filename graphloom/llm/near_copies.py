@@ -1,4 +1,6 @@
-"""Near copies at a similarity of 0.8: wide SimHash fingerprints, met in tables of sampled bits, compared bit-sliced."""
+"""Near copies at a similarity of 0.8: wide SimHash fingerprints, met in tables of sampled bits, compared bit-sliced, give
+candidates; the exact similarity of their shingles decides.
+"""
 
 from __future__ import annotations
 
@@ -19,11 +21,13 @@ from .suffix_dedup import _mix
 SHINGLE, WIDE = 5, 4
 BITS = 64 * WIDE
 #: Similarity (Jaccard, of shingles) that is sought, and chance that two texts just as similar miss every table.
-SIMILARITY, MISS = 0.8, 0.03
+SIMILARITY, MISS = 0.8, 0.001
 #: Least bits of a table's key.
 LEAST_KEY = 14
 #: Fingerprints that one comparison holds; a larger bucket is cut into blocks.
 BLOCK = 2048
+#: Texts of candidates whose shingles meet in one task are at most two such blocks.
+EXACT_BLOCK = 256
 
 
 def agreement(similarity: float) -> float:
@@ -31,33 +35,67 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-#: Bits in which texts of the similarity sought differ, and one standard deviation more.
-RADIUS = round(BITS * (1 - agreement(SIMILARITY)) + math.sqrt(BITS * agreement(SIMILARITY) * (1 - agreement(SIMILARITY))))
+#: Bits in which texts of the similarity sought differ, and one standard deviation more; candidates lie within three, and
+#: within a group of candidates pairs within five are checked.
+DEVIATION = math.sqrt(BITS * agreement(SIMILARITY) * (1 - agreement(SIMILARITY)))
+RADIUS = round(BITS * (1 - agreement(SIMILARITY)) + DEVIATION)
+CANDIDATE_RADIUS, CHECKED = RADIUS + round(2 * DEVIATION), RADIUS + round(4 * DEVIATION)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, digest=xxhash.xxh64_intdigest) -> np.ndarray:
-    """WIDE words; each takes its own hash of every shingle, made from one. A text without words has 0."""
+def shingles(text: bytes, shingle: int = SHINGLE, digest=xxhash.xxh64_intdigest) -> np.ndarray:
+    """Distinct hashes of a text's shingles in order; a text of fewer words is one shingle, and one without words has none."""
     words = text.translate(simhash._LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts, ends = (ends - lengths)[:n].tolist(), ends[len(words) - n :].tolist()
+    return np.unique(np.fromiter((digest(joined[a:b], simhash.SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two texts' shingles (distinct, in order); texts without words are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE words; each takes its own hash of every shingle, made from one. Each distinct shingle counts once."""
     counts = np.zeros((WIDE, 64), np.int64)
-    if words:
-        n = max(1, len(words) - shingle + 1)
-        joined = b" ".join(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts, ends = (ends - lengths)[:n].tolist(), ends[len(words) - n :].tolist()
-        for i in range(0, n, 8192):
-            h = np.array([digest(joined[a:b], simhash.SEED) for a, b in zip(starts[i : i + 8192], ends[i : i + 8192], strict=True)], np.uint64)
-            h = np.unique(h)  # a shingle counts once in a stretch, so repeated lines do not outweigh the rest
-            for k in range(WIDE):
-                own = _mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype("<u8")
-                counts[k] += 2 * np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) - len(h)
+    for i in range(0, len(hashes), 8192):
+        h = hashes[i : i + 8192]
+        for k in range(WIDE):
+            own = _mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).astype("<u8")
+            counts[k] += 2 * np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) - len(h)
     return ((counts > 0) * simhash._WEIGHTS).sum(axis=1, dtype=np.uint64)
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE, digest=xxhash.xxh64_intdigest) -> np.ndarray:
+    """WIDE words from a text's distinct shingles. A text without words has 0."""
+    return _fingerprint(shingles(text, shingle, digest))
+
+
+def missed(bits: int, count: int) -> float:
+    """Chance that texts just as similar as is sought share none of so many keys, over all distances that they may have."""
+    p = 1 - agreement(SIMILARITY)
+    return sum(math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d) * (1 - math.comb(BITS - d, bits) / math.comb(BITS, bits)) ** count for d in range(BITS + 1))
+
+
 def tables(rows: int) -> tuple[int, int]:
-    """(bits of a key, tables) for so many fingerprints: keys of about log2(rows) bits hold a bucket's chance size level."""
+    """(bits of a key, tables) for so many fingerprints: keys of about log2(rows) bits hold a bucket's chance size level, and
+    more bits take more tables, so that the chance of a miss stays MISS.
+    """
     bits = max(LEAST_KEY, math.ceil(math.log2(max(rows, 1) + 1)) - 4)
-    return bits, math.ceil(math.log(1 / MISS) / agreement(SIMILARITY) ** bits)
+    count = 1
+    while missed(bits, count) > MISS:
+        count += max(1, count // 16)
+    return bits, count
 
 
 def _keys(fps: np.ndarray, bits: int, count: int) -> np.ndarray:
@@ -117,7 +155,7 @@ def _compare(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, sides: np.ndarr
     return simhash.forest(np.arange(len(pair)), np.arange(len(pair)) + len(pair), np.concatenate((pair[:, 0], pair[:, 1])))
 
 
-def links(nodes: DataFrame, rows: int, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, rows: int, radius: int = CANDIDATE_RADIUS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between nodes (id, fp: WIDE words as bytes) within the radius that share a key of some table.
 
     A key with more than `block` rows is cut into blocks by hash, and each pair of its blocks is a task's work of its own;
@@ -165,23 +203,104 @@ def links(nodes: DataFrame, rows: int, radius: int = RADIUS, block: int = BLOCK)
     return map_arrow(dealt.repartition("key").sortWithinPartitions("key", "side"), meet, "a long, b long").filter("a <> b").distinct()
 
 
+def _alike(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose similarity is reached, of one group or of two sides of one; nearest pairs are
+    checked first, and a pair that is already joined needs no check.
+    """
+    two = sides.min() != sides.max()
+    size = np.array([len(x) for x in sets])
+    some: list[np.ndarray] = []
+    for i in range(len(ids)):
+        j = np.flatnonzero(sides != sides[i]) if two else np.arange(i + 1, len(ids))
+        if two and sides[i]:
+            break
+        apart = np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1, dtype=np.int64)
+        ok = (apart <= CHECKED) & (np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i])) & (ids[j] != ids[i])
+        some.append(np.stack((apart[ok], np.full(ok.sum(), i), j[ok]), axis=1))
+    parent = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    pairs = np.concatenate(some) if some else np.zeros((0, 3), np.int64)
+    for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+        a, b = root(i), root(j)
+        if a != b and similarity(sets[i], sets[j]) >= SIMILARITY:
+            parent[a] = b
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def verified(members: DataFrame, block: int = EXACT_BLOCK) -> DataFrame:
+    """Links (a, b) of similarity SIMILARITY or more among members (id, root, text) of candidate groups, by their shingles.
+
+    All pairs of a group are looked at, whatever table they met in. A group with more than `block` members is cut into
+    blocks by hash, and each pair of its blocks is a task's work of its own. Of a group's links a spanning forest goes on.
+    """
+    scratch = common.Scratch(members.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in common.texts_of(batch)]
+            fps = [_fingerprint(x).astype("<u8").tobytes() for x in sets]
+            yield common.with_columns(batch, ["id", "root"], fp=pa.array(fps, pa.binary()), shingles=pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()))
+
+    sets = scratch.write(map_arrow(members.select("id", "root", "text"), cut, "id long, root long, fp binary, shingles binary"), "sets")
+    large = scratch.write(sets.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > block), "large")
+    n_blocks = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(7)), n_blocks).cast("int")
+    dealt = common.attach(sets, large, ["root"]).select("id", "fp", "shingles", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "fp", (F.col("own") > F.col("other")).alias("side"), "shingles")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            ids, fps, sides, own = zip(*rows, strict=True)
+            found = _alike(np.array(ids), np.frombuffer(b"".join(fps), "<u8").reshape(-1, WIDE), [np.frombuffer(x, "<u8") for x in own], np.array(sides))
+            return pa.RecordBatch.from_pydict({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+        now, held = None, []
+        for batch in batches:
+            for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and key != now:
+                    yield out(held)
+                    held = []
+                now = key
+                held.append(tuple(row))
+        if held:
+            yield out(held)
+
+    return map_arrow(dealt.repartition("key").sortWithinPartitions("key", "side"), meet, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
-    """Per row: doc_id, carried (the column `key`), component_root; rows with one root are copies or near copies.
+    """Per row: doc_id, carried (the column `key`, a hash of the row's id and text), component_root; rows with one root are
+    copies, or near copies by the similarity of their shingles, of each other or by way of others.
 
-    Null and blank texts are copies of each other. Texts with the same fingerprint are one node.
+    Null and blank texts are copies of each other. Texts with the same shingles are one node.
     """
     scratch = common.Scratch(docs.sparkSession)
+    own = common.hidden(docs, doc_id=doc_id, text=text, carried=key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t).astype("<u8").tobytes() for t in common.texts_of(batch)]
-            yield common.with_columns(batch, ["doc_id", "carried"], fp=pa.array(fps, pa.binary()))
-
-    rows = map_arrow(common.hidden(docs, doc_id=doc_id, text=text, carried=key), run, "doc_id long, carried long, fp binary")
-    rows = scratch.write(rows.select("doc_id", "carried", "fp", F.xxhash64("fp").alias("id")), "fingerprints")
-    nodes = scratch.write(rows.groupBy("id").agg(F.first("fp").alias("fp")), "nodes")
-    found = scratch.write(links(nodes, nodes.count()), "links")
-    roots = scratch.write(simhash.components(scratch, found), "roots")
+            fps, ids = [], []
+            for t in common.texts_of(batch):
+                x = shingles(t)
+                fps.append(_fingerprint(x).astype("<u8").tobytes())
+                ids.append(xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), simhash.SEED) - (1 << 63))
+            yield common.with_columns(batch, ["doc_id", "carried"], fp=pa.array(fps, pa.binary()), id=pa.array(ids, pa.int64()))
+
+    rows = scratch.write(map_arrow(own, run, "doc_id long, carried long, fp binary, id long"), "fingerprints")
+    nodes = scratch.write(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("carried").alias("carried")), "nodes")
+    near = scratch.write(simhash.components(scratch, scratch.write(links(nodes.select("id", "fp"), nodes.count()), "links")), "near")
+    # One row's text of each node that has candidates; only these texts move.
+    asked = scratch.write(nodes.join(near, nodes.id == near.node).select("carried", "id", "root"), "asked")
+    members = common.attach(own.select("carried", "text"), asked, ["carried"], "inner").select("id", "root", "text")
+    roots = scratch.write(simhash.components(scratch, scratch.write(verified(members), "alike"), "exact"), "roots")
     return rows.join(roots, rows.id == roots.node, "left").select("doc_id", "carried", F.coalesce("root", "id").alias("component_root"))
 
 

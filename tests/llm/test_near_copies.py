@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import near_copies as nc
 
@@ -91,3 +92,46 @@ def test_odd_rows(spark):
     kept = nc.one_of_each(docs).collect()
     assert sorted((x.g, x.doc_id or 0) for x in kept) == [(1, 5), (2, 5), (3, 6), (4, 0), (5, 9)]
     assert nc.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_links_are_those_of_exact_similarity(spark):
+    r = random.Random(3)
+    rows, pairs = [], []
+    for g in range(240):
+        base = [f"w{r.randrange(10**9)}" for _ in range(250)]
+        other = list(base)
+        for k in r.sample(range(2, 248), r.randint(4, 8)):
+            other[k] = f"x{r.randrange(10**9)}"
+        pairs.append((2 * g, 2 * g + 1, *({tuple(w[i : i + 5]) for i in range(246)} for w in (base, other))))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    true = {b: len(x & y) / len(x | y) for _, b, x, y in pairs}
+    assert sum(0.75 <= s < 0.8 for s in true.values()) > 20 and sum(0.8 <= s < 0.85 for s in true.values()) > 20
+    kept = {x.doc_id for x in nc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [s for b, s in true.items() if (b in kept) != (s < 0.8)]
+    assert not [s for s in wrong if s < 0.8]  # nothing below the threshold goes
+    assert len(wrong) <= 1  # and a pair above it is missed with a chance of 0.002
+
+
+@pytest.mark.parametrize("block", [nc.EXACT_BLOCK, 16])
+def test_a_large_group_is_joined_across_blocks(spark, block):
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**9)}" for _ in range(200)]
+    rows = [(i, i // 40, edited(r, base if i < 40 else base[:100] + ["z"] * 100, 1)) for i in range(80)]
+    found = nc.verified(spark.createDataFrame(rows, "id long, root long, text string").withColumn("root", F.lit(5).cast("long")), block).collect()
+    text = {i: nc.shingles(t.encode()) for i, _, t in rows}
+    assert all(nc.similarity(text[x.a], text[x.b]) >= nc.SIMILARITY for x in found)
+    parent = {i: i for i in text}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in found:
+        parent[root(x.a)] = root(x.b)
+    assert len({root(i) for i in range(40)}) == 1 == len({root(i) for i in range(40, 80)}) and root(0) != root(79)
+
+
+def test_a_shingle_counts_once_however_often_it_comes(spark):
+    rows = [(1, "a b c d e " * 20_000 + " ".join(f"u{i}" for i in range(60))), (2, "a b c d e " * 20_000 + " ".join(f"v{i}" for i in range(60)))]
+    assert nc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
