@@ -24,8 +24,12 @@ CENTROIDS = 4
 STEPS = 12
 #: Languages that a model may hold; more raise an error, as the model goes to every task.
 MOST_LANGUAGES = 500
-#: A document is rejected if its cosine is below the one that this share of fitted rows of its language falls under, times the slack.
-REJECT_SHARE, REJECT_SLACK = 0.005, 0.4
+#: A document is rejected if its cosine is below a floor for its language and length. This share of the language's fitted
+#: rows, cut to that length, falls under `own`; this share of other languages' rows exceeds `other`. Where these lie apart
+#: the floor is below `own` by REJECT_GAP of the way to `other`, else it is `own`.
+REJECT_SHARE, REJECT_GAP = 0.005, 0.25
+#: Characters that fitted rows are cut to, and rows of such a length that a floor takes at least.
+REJECT_CUTS, LEAST_CUT_ROWS = (5, 10, 20, 40, 80, 160, 320, 640, 1280, FIT_CHARS), 20
 #: Sharpness of the score.
 TEMPERATURE = 0.05
 #: Bytes of text whose n-grams are held at once.
@@ -78,34 +82,67 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Languages, their centroids, document frequencies' weights, and the cosine below which each rejects."""
+    """Languages, their centroids, document frequencies' weights, and the cosine below which each rejects, by length."""
 
     def __init__(self, idf: np.ndarray, texts: dict[str, list[str]], centroids: int = CENTROIDS):
         self.idf = idf.astype(np.float32)
         self.languages = sorted(texts)
-        parts, self.of, self.floor = [], [], np.zeros(len(self.languages))
+        parts, self.of = [], []
         for k, lang in enumerate(self.languages):
             x = self.vectors(np.stack([counts(t) for t in texts[lang]]))
             c = _cluster(x, centroids)
             parts.append(c)
             self.of += [k] * len(c)
-            self.floor[k] = REJECT_SLACK * np.quantile((x @ c.T).max(axis=1), REJECT_SHARE)
         self.centres = np.concatenate(parts) if parts else np.zeros((0, DIMS), np.float32)
         self.of = np.array(self.of, np.int64)
+        self.floors = self._floors(texts)
+
+    def _floors(self, texts: dict[str, list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per language the floors, and the logs of the n-grams of a text that they hold for."""
+        found: list[list[tuple[float, float]]] = [[] for _ in self.languages]
+        for cut in (*REJECT_CUTS, None):
+            best, size, of = [], [], []
+            for k, lang in enumerate(self.languages):
+                if cut is None and found[k]:
+                    continue  # all rows at their own lengths stand in only where each cut had too few
+                n = [c for t in texts[lang] if cut is None or len(t) >= cut if (c := counts(t[:cut])) is not None]
+                if n:
+                    n = np.stack(n)
+                    best.append(self.cosines(n))
+                    size.append(np.log(n.sum(axis=1)))
+                    of.append(np.full(len(n), k))
+            if not of:
+                continue
+            best, size, of = np.concatenate(best), np.concatenate(size), np.concatenate(of)
+            for k in range(len(self.languages)):
+                if (of == k).sum() < (LEAST_CUT_ROWS if cut else 1):
+                    continue
+                own = other = np.quantile(best[of == k, k], REJECT_SHARE)
+                if (of != k).any():
+                    other = min(own, np.quantile(best[of != k, k], 1 - REJECT_SHARE))
+                found[k].append((float(size[of == k].mean()), float(own - REJECT_GAP * (own - other))))
+        return [(np.array([x for x, _ in f]), np.array([y for _, y in f])) for f in found]
 
     def vectors(self, n: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(n) * self.idf)
 
-    def predict(self, n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score, cosine and rejection of rows of counts."""
+    def cosines(self, n: np.ndarray) -> np.ndarray:
+        """To the nearest centroid of each language, of rows of counts."""
         cos = self.vectors(n) @ self.centres.T
         best = np.full((len(n), len(self.languages)), -1.0)
         for k in range(len(self.languages)):
             best[:, k] = cos[:, self.of == k].max(axis=1)
+        return best
+
+    def predict(self, n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, cosine and rejection of rows of counts."""
+        best = self.cosines(n)
         at = best.argmax(axis=1)
         top = best[np.arange(len(n)), at]
+        size = np.log(n.sum(axis=1))
+        floor = np.array([np.interp(x, *self.floors[k]) for x, k in zip(size, at, strict=True)])
         share = np.exp((best - top[:, None]) / TEMPERATURE)
-        return [self.languages[k] for k in at], 1 / share.sum(axis=1), top, top < self.floor[at]
+        return [self.languages[k] for k in at], 1 / share.sum(axis=1), top, top < floor
 
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:

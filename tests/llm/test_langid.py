@@ -57,3 +57,21 @@ def test_long_texts_are_counted_whole():
     parts = langid.counts(text)
     whole = np.bincount(langid._buckets(np.frombuffer(text.encode("utf-32-le"), np.uint32)), minlength=langid.DIMS)
     assert abs(parts - whole).sum() <= 20  # a stretch begins and ends with a space of its own
+
+
+def test_a_language_left_out_of_training_is_rejected(spark):
+    rows = corpus()
+    for lang in SETS:
+        model = langid.fit(spark.createDataFrame([r for r in rows if r[2] != lang and r[0] % 4 != 2], "doc_id long, text string, lang string"))
+        got = langid.predict(spark.createDataFrame([r for r in rows if r[0] % 4 == 2], "doc_id long, text string, truth string"), model).collect()
+        assert sum(r.rejected for r in got if r.truth == lang) >= 0.9 * sum(r.truth == lang for r in got)
+        assert sum(r.rejected for r in got if r.truth != lang) <= 0.03 * sum(r.truth != lang for r in got)
+
+
+def test_documents_of_a_language_left_out_are_rejected(spark):
+    docs = langid.common.documents(spark, "/root/testdata/sf0.01", "doc_id", "text", "lang")
+    model = langid.fit(docs.filter("lang <> 'de'"))
+    got = langid.predict(docs, model).filter("lang_pred <> 'und'").collect()
+    known, unknown = [r for r in got if r.lang != "de"], [r for r in got if r.lang == "de"]
+    assert len(unknown) > 50 and sum(r.rejected for r in unknown) >= 0.9 * len(unknown)
+    assert sum(r.rejected for r in known) <= 0.01 * len(known)
