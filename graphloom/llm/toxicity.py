@@ -22,12 +22,10 @@ from .quality import labelled
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 
 #: Costs of the channel, in nats: a letter written as a symbol, a symbol that is meant, a letter run that is shortened to
-#: one or to two, and a run that is meant.
-AS_SYMBOL, MEANT_SYMBOL, TO_ONE, TO_TWO, MEANT_RUN = 0.7, 9.0, 0.3, 0.8, 9.0
-#: A stretch of at most so many characters is decoded; longer ones are ids, hashes or rulers.
-LONGEST = 48
-#: Decoded stretches that a worker remembers.
-REMEMBERED = 50_000
+#: one or to two, a run that is meant, and a break between words of a spaced stretch.
+AS_SYMBOL, MEANT_SYMBOL, TO_ONE, TO_TWO, MEANT_RUN, BREAK = 0.7, 9.0, 0.3, 0.8, 9.0, 1.0
+#: Decoded stretches that a worker remembers, and the length of the longest of them; longer ones are decoded each time.
+REMEMBERED, LONGEST_REMEMBERED = 50_000, 48
 
 #: Letters of the language model: a to z, any other letter, and a space for all else.
 OTHER, SPACE = 26, 27
@@ -42,7 +40,7 @@ THRESHOLD = 0.5
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SYMBOL = re.escape("".join(LEET))
-_MIXED = re.compile(rf"[a-z][{_SYMBOL}]+[a-z]|(?<!\S)[{_SYMBOL}]+[a-z]{{2}}")
+_ANY_SYMBOL, _ANY_LETTER = re.compile(f"[{_SYMBOL}]"), re.compile("[a-z]")
 _SPACED = re.compile(rf"(?<!\S)(?:[a-z{_SYMBOL}][ .\-_*]){{3,}}[a-z{_SYMBOL}](?![a-z{_SYMBOL}])")
 _RUN = re.compile(r"([a-z])\1\1")
 _EDGE = ".,;:?\"'()[]{}<>#%&*"
@@ -102,6 +100,14 @@ def _code(c: str) -> int:
     return ord(c) - 97 if "a" <= c <= "z" else OTHER if c.isalpha() else SPACE
 
 
+def _text(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, s = chain
+        out.append(s)
+    return "".join(reversed(out))
+
+
 class Restorer:
     """Finds obfuscated stretches of lower-case text and decodes each to what it most likely was."""
 
@@ -119,62 +125,85 @@ class Restorer:
             c, n = chars[i], 1
             while i + n < len(chars) and chars[i + n] == c:
                 n += 1
-            if c in LEET:
+            if c in LEET and n > 2:
+                out.append([o for x in LEET[c] for o in ((x, n * AS_SYMBOL + TO_ONE), (x * 2, n * AS_SYMBOL + TO_TWO))] + [(c * n, n * MEANT_SYMBOL)])
+            elif c in LEET:
                 for _ in range(n):
                     out.append([(x, AS_SYMBOL) for x in LEET[c]] + [(c, MEANT_SYMBOL)])
+            elif spaced and n == 2:
+                out += [[(c, 0.0)], [(c, 0.0)]]  # a word may end between them
             elif c.isalpha() and n > 2:
                 out.append([(c, TO_ONE), (c * 2, TO_TWO), (c * n, MEANT_RUN)])
             else:
                 out.append([(c * n, 0.0)])
             i += n
+        if spaced:
+            out[1:] = [options + [(" " + x, cost + BREAK) for x, cost in options] for options in out[1:]]
         return out
 
     def decode(self, stretch: str) -> str:
-        """The cheapest path through the lattice; the state is the last two letters."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(SPACE, SPACE): (0.0, "")}
+        """The cheapest path through the lattice; the state is the last two letters.
+
+        A path is a chain of its pieces, and what all paths share is put out as soon as one is left, so time and memory
+        are linear in the stretch.
+        """
+        done: list[str] = []
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(SPACE, SPACE): (0.0, None)}
         for options in [*self.lattice(stretch), [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in paths.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, chain) in paths.items():
                 for s, channel in options:
                     x, y, total = a, b, cost + channel
                     for c in s:
                         k = _code(c)
                         total += self.cost[x][y][k]
                         x, y = y, k
-                    if (x, y) not in new or (total, text + s) < new[x, y]:
-                        new[x, y] = (total, text + s)
+                    old = new.get((x, y))
+                    if old is None or total < old[0] or total == old[0] and _text((chain, s)) < _text(old[1]):
+                        new[x, y] = (total, (chain, s))
             paths = new
-        return min(paths.values())[1][:-1]
+            if len(paths) == 1:
+                state, (cost, chain) = paths.popitem()
+                done.append(_text(chain))
+                paths = {state: (cost, None)}
+        best = min(x for x, _ in paths.values())
+        return ("".join(done) + min(_text(chain) for x, chain in paths.values() if x == best))[:-1]
 
     def restore(self, text: str) -> str:
-        """The text (lower case) with its obfuscated stretches decoded; what lies between them stays as it is."""
-        text = _SPACED.sub(lambda m: self._known(m[0]) if len(m[0]) <= LONGEST else m[0], text)
-        spans: list[tuple[int, int]] = []
-        for pattern in (_MIXED, _RUN):
+        """The text (lower case) with its obfuscated stretches decoded; what lies between them stays as it is.
+
+        A stretch between white space is decoded if, without the marks at its edges, it has letters and symbols that may
+        stand for letters, wherever these are, or a run of one letter. Symbols alone stay: they are numbers and rulers.
+        """
+        text = _SPACED.sub(lambda m: self._known(m[0]), text)
+        spans: list[tuple[int, int, str]] = []
+        for pattern in (_ANY_SYMBOL, _RUN):
             at = 0
             while m := pattern.search(text, at):
                 # The whole stretch between white space around the find.
                 a, b = m.start(), m.end()
-                while a > at and not text[a - 1].isspace() and m.start() - a <= LONGEST:
+                while a > at and not text[a - 1].isspace():
                     a -= 1
-                while b < len(text) and not text[b].isspace() and b - m.end() <= LONGEST:
+                while b < len(text) and not text[b].isspace():
                     b += 1
-                spans.append((a, b))
+                core = text[a:b].strip(_EDGE)
+                core = core.rstrip("!") or core
+                if pattern is _RUN or _ANY_SYMBOL.search(core) and _ANY_LETTER.search(core):
+                    spans.append((a, b, core))
                 at = b
         if not spans:
             return text
         out, at = [], 0
-        for a, b in sorted(spans):
+        for a, b, core in sorted(spans):
             if a < at:
                 continue
-            stretch = text[a:b]
-            core = stretch.strip(_EDGE)
-            core = core.rstrip("!") or core
-            out += [text[at:a], stretch.replace(core, self._known(core), 1) if 0 < len(core) <= LONGEST else stretch]
+            out += [text[at:a], text[a:b].replace(core, self._known(core), 1) if core else text[a:b]]
             at = b
         return "".join([*out, text[at:]])
 
     def _known(self, stretch: str) -> str:
+        if len(stretch) > LONGEST_REMEMBERED:
+            return self.decode(stretch)
         found = self.remembered.get(stretch)
         if found is None:
             if len(self.remembered) >= REMEMBERED:

@@ -101,3 +101,39 @@ def test_no_rows(spark):
     model, lexicon = tox.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert lexicon is None and np.isfinite(model.cost).all()
     assert tox.score(docs, (model, lexicon)).count() == 0
+
+
+EDGES = [("idi07", "idiot"), ("1d107", "idiot"), ("a$$", "ass"), ("tra$$", "trass"), ("worthle55", "worthless"), ("(1diot)", "(idiot)"), ('"5cum', '"scum'), ("*5cum*", "*scum*")]
+
+
+@pytest.mark.parametrize("hidden,plain", EDGES)
+def test_restores_symbols_at_the_edges(models, hidden, plain):
+    assert tox.Restorer(models[0]).restore(hidden) == plain
+
+
+LONG = [("stu" + "p" * 60 + "id", "stupid"), ("l" + "0" * 60 + "ser", "loser"), ("the-hand/" * 8 + "m0r0n", "the-hand/" * 8 + "moron")]
+
+
+@pytest.mark.parametrize("hidden,plain", LONG)
+def test_restores_long_stretches(models, hidden, plain):
+    assert tox.Restorer(models[0]).restore(hidden).replace("loo", "lo") == plain
+
+
+def test_spaced_phrases_come_out_as_words(spark):
+    plain = "you are so stupid and worthless"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([plain, "the other day we are so tired", "you and the dog are here", "a stupid idea and a worthless plan", "it is shit that you hit the ship"] * 20)], "doc_id long, text string")
+    own = tox.Restorer(tox.LanguageModel(tox.trigram_counts(docs)))
+    assert own.restore(" ".join(plain.replace(" ", ""))) == plain
+    assert own.restore("s t u p i d") == "stupid" and own.restore("sh!+") == "shit"
+
+
+def test_time_is_linear_in_a_stretch(models):
+    import time
+
+    own = tox.Restorer(models[0])
+    took = []
+    for n in (5_000, 40_000):
+        start = time.time()
+        own.decode("a1b0" * n)
+        took.append(time.time() - start)
+    assert took[1] < 20 * took[0]
