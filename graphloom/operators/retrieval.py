@@ -35,16 +35,20 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int = TOP_K, threshold: float
 
 
 def top_k_of_each(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, most_queries: int = 1000) -> DataFrame:
-    """As top_k for a stated set of queries (query_id, embedding), at most most_queries of them: the k best of each.
+    """As top_k for a stated set of queries (query_id, embedding): the k best of each.
 
-    Queries go to the vectors as one array; a task keeps k rows per query (partial top-k) before the shuffle.
+    Queries go to the vectors in blocks of about most_queries, each as one array; a task keeps k rows per query (partial
+    top-k) before the shuffle.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries; search them in blocks")
-    scored = vectors.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("__q")))).select("query_id", "vec_id", dot(F.col("embedding"), F.col("__q")).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    scored = None
+    n = max(1, -(-queries.count() // most_queries))
+    for i in range(n):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries
+        part = vectors.join(F.broadcast(own.select("query_id", F.col("embedding").alias("__q")))).select("query_id", "vec_id", dot(F.col("embedding"), F.col("__q")).alias("score"))
+        part = part.withColumn("rank", rank).filter(F.col("rank") <= k)
+        scored = part if scored is None else scored.unionByName(part)
+    return scored
 
 
 def inverted_file(vectors: DataFrame, lists: int = 128, sample_rows: int = 20_000, seed: int = 7):
@@ -69,6 +73,15 @@ def probed_top_k(indexed: DataFrame, centres: DataFrame, query: DataFrame, k: in
     return top_k(indexed.join(F.broadcast(lists), "list", "left_semi"), query, k)
 
 
+def probed_top_k_of_each(indexed: DataFrame, centres: DataFrame, queries: DataFrame, k: int = TOP_K, probes: int = 10) -> DataFrame:
+    """As probed_top_k for many queries (query_id, embedding): each searches the lists nearest to it."""
+    near = top_k_of_each(centres.select(F.col("list").cast("long").alias("vec_id"), F.col("centre").alias("embedding")), queries, probes)
+    asked = queries.select("query_id", F.col("embedding").alias("__q")).join(near.select("query_id", F.col("vec_id").cast("int").alias("list")), "query_id")
+    scored = indexed.join(asked, "list").select("query_id", "vec_id", dot(F.col("embedding"), F.col("__q")).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def fuse(vector_hits: DataFrame, graph_hits: DataFrame, most: int = FUSED) -> DataFrame:
     """Vector hits (chunk_id, file_id, content, content_type, score, seq) and graph hits (path, seq), media before text, then by
     score, then in order of arrival; the first fifteen, with their rank.

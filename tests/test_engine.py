@@ -163,3 +163,10 @@ def test_status_overlay(spark):
     live = spark.createDataFrame([("a", 9, "busy"), ("c", 9, "busy")], "file_id string, progress long, message string")
     got = {r.file_id: (r.progress, r.message) for r in catalog.with_status(f, live).collect()}
     assert got["a"] == (9, "busy") and got["b"][0] == 3 and got["c"] == (4, "状态未知")
+
+
+def test_search_in_blocks_of_queries(spark, sf):
+    v = src.load(spark, sf, "embeddings").select("vec_id", "embedding")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = lambda n: sorted((r.query_id, r.rank, r.vec_id) for r in retrieval.top_k_of_each(v, q, most_queries=n).collect())
+    assert rows(100) == rows(10_000) and len({r[0] for r in rows(100)}) == v.count()
