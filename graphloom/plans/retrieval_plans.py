@@ -40,11 +40,16 @@ def j08_multi_query(spark, sf_dir):
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: Lists that a search of the index probes, of 128: as many as a recall of 0.9 of the five nearest takes.
+PROBES = 64
+
+
 @query("r02_ivf_topk")
 def r02_ivf_topk(spark, sf_dir):
-    v, q = _vectors(spark, sf_dir)
+    v, _ = _vectors(spark, sf_dir)
     indexed, centres = retrieval.inverted_file(v)
-    return retrieval.probed_top_k(indexed, centres, q).select("vec_id", F.round("score", 6).alias("score"))
+    queries = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.probed_top_k_of_each(indexed, centres, queries, probes=PROBES).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 KINDS = ["text", "image", "table", "chart"]

@@ -170,3 +170,15 @@ def test_search_in_blocks_of_queries(spark, sf):
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")
     rows = lambda n: sorted((r.query_id, r.rank, r.vec_id) for r in retrieval.top_k_of_each(v, q, most_queries=n).collect())
     assert rows(100) == rows(10_000) and len({r[0] for r in rows(100)}) == v.count()
+
+
+def test_registered_index_search_finds_most_of_the_nearest(spark):
+    from graphloom.plans import retrieval_plans
+
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        v = src.load(spark, sf, "embeddings").select("vec_id", "embedding")
+        q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        want = {(r.query_id, r.vec_id) for r in retrieval.top_k_of_each(v, q).collect()}
+        got = {(r.query_id, r.vec_id) for r in retrieval_plans.r02_ivf_topk(spark, sf).collect()}
+        assert {i for i, _ in got} == {i for i, _ in want}
+        assert len(got & want) >= 0.9 * len(want)
