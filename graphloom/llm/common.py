@@ -78,8 +78,8 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
-    """big joined to small on keys, nulls equal; small must have been written, as it is counted.
+def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16, small_rows: int | None = None) -> DataFrame:
+    """big joined to small on keys, nulls equal; small must have been written, as it is counted, unless its rows are known.
 
     Up to BROADCAST_ROWS rows small is broadcast. Beyond, its rows are copied once per salt and big is salted,
     so a key with a third of all rows is dealt to several tasks.
@@ -87,7 +87,7 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     left = big
     right = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
     on = [left[k].eqNullSafe(right[f"__{k}"]) for k in keys]
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if (small.limit(BROADCAST_ROWS + 1).count() if small_rows is None else small_rows) <= BROADCAST_ROWS:
         right = F.broadcast(right)
     else:
         left = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))

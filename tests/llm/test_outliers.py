@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -27,43 +28,86 @@ def test_statistics_equal_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for x in outliers.base_statistics(docs).collect():
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == plain(texts[x.doc_id])
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[x.doc_id] or "")
+        assert (x.n_letters, x.n_distinct) == (sum(c.isalpha() for c in texts[x.doc_id] or ""), len(set(words)))
 
 
-def reference_mcd(x, floors, core, steps):
-    """The same estimate with NumPy: two starts, concentration steps over bins of the distance, the smaller determinant."""
-    floor = np.diag(np.square(floors))
-    med = np.median(x, axis=0)
-    mad = np.median(abs(x - med), axis=0) * outliers.MAD_SCALE
+def reference_mcd(x, mu0, cov0, core, prior, steps=60):
+    """The estimate with NumPy, exact cores: the parent's covariance counts as `prior` documents; two starts, the smaller determinant."""
     best = None
-    for mu, cov in ((med, np.diag(mad**2) + floor), (x.mean(0), np.cov(x.T, bias=True) + floor)):
+
+    def fitted(part):
+        off = part - part.mean(0)
+        return part.mean(0), (off.T @ off + cov0 * prior) / (len(part) + prior)
+
+    for mu, cov in ((mu0, cov0), fitted(x)):
         for _ in range(steps):
             d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
-            b = np.floor(np.log2(d + 1e-6) * outliers.BINS)
-            inside = np.array([(b < v).sum() < core * len(x) for v in b])
-            mu, cov = x[inside].mean(0), np.cov(x[inside].T, bias=True) + floor
+            nearest = np.argsort(d, kind="stable")[: math.ceil(core * len(x))]
+            mu, cov = fitted(x[nearest])
         det = np.linalg.slogdet(cov)[1]
-        if best is None or det < best[0]:
-            best = det, mu, cov * outliers.CORE_SCALE
+        if best is None or det < best[0] - 1e-9:
+            best = det, mu, cov
     return best[1:]
 
 
 def test_estimates_equal_numpy(spark):
     r = np.random.default_rng(5)
-    parts = []
-    for g, n in (("a", 401), (None, 301)):
-        x = r.normal(size=(n, 3)) @ np.array([[1, 0.8, 0], [0, 0.5, 0.1], [0, 0, 0.3]]) + 2
+    parts = {}
+    for lang, source, n in (("a", "s", 401), ("a", None, 90), (None, "s", 301), ("b", "s", 3)):
+        x = r.normal(size=(n, 3)) @ np.array([[1, 0.8, 0], [0, 0.5, 0.1], [0, 0, 0.3]]) + (2 if lang == "a" else 0)
         x[: n // 5] += 15
-        parts.append((g, x))
-    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in parts for v in x], "g string, x double, y double, z double")
-    floors = {"x": 0.1, "y": 0.1, "z": 0.1}
-    got = outliers.estimates(common.Scratch(spark), rows, ["g"], floors, 0.75, 3, "t").collect()
-    for g, x in parts:
-        est = next(e.est for e in got if e.g == g)
-        mu, cov = reference_mcd(x, [0.1] * 3, 0.75, 3)
-        low = np.array([[est[f"l_{i}_{j}"] if j <= i else 0 for j in range(3)] for i in range(3)])
-        assert np.allclose([est[f"mu_{i}"] for i in range(3)], mu, atol=1e-9)
-        assert np.allclose(low @ low.T, cov, atol=1e-9)
-        assert np.allclose(mu, 2, atol=0.4)
+        parts[lang, source] = x
+    points = spark.createDataFrame([(*g, *map(float, v)) for g, x in parts.items() for v in x], "lang string, source string, z_0 double, z_1 double, z_2 double")
+    got = {(e.level, e.lang, e.source): e for e in outliers.estimates(common.Scratch(spark), points, 3).collect()}
+    assert len(got) == 1 + 3 + 4
+    assert got[0, None, None].rows == 795 and got[2, "b", "s"].rows == 3
+
+    def close(key, want):
+        e = got[key].best
+        low = np.array([[e[f"l_{i}_{j}"] if j <= i else 0 for j in range(3)] for i in range(3)])
+        # The core's edge is found in bins, so a row or two near it may differ.
+        assert np.allclose([e[f"mu_{i}"] for i in range(3)], want[0], atol=0.05)
+        assert np.allclose(low @ low.T, want[1], atol=0.05, rtol=0.1)
+        return want
+
+    args = (outliers.CORE, outliers.PRIOR)
+    top = close((0, None, None), reference_mcd(np.concatenate(list(parts.values())), np.zeros(3), np.eye(3) / outliers.consistency(outliers.CORE, 3), *args))
+    for lang in ("a", "b", None):
+        own = close((1, lang, None), reference_mcd(np.concatenate([x for g, x in parts.items() if g[0] == lang]), *top, *args))
+        for g, x in parts.items():
+            if g[0] == lang:
+                close((2, *g), reference_mcd(x, *own, *args))
+
+
+def test_distances_of_normal_data_are_chi_square(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(4000, 4)) @ np.array([[1, 0.8, 0, 0.2], [0, 0.5, 0.1, 0], [0, 0, 0.3, 0.7], [0, 0, 0, 2]])
+    points = spark.createDataFrame([("l", "s", *map(float, v)) for v in x], "lang string, source string, z_0 double, z_1 double, z_2 double, z_3 double")
+    est = [e.best for e in outliers.estimates(common.Scratch(spark), points, 4).collect() if e.level == 2][0]
+    low = np.array([[est[f"l_{i}_{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+    off = x - [est[f"mu_{i}"] for i in range(4)]
+    d = np.einsum("ij,jk,ik->i", off, np.linalg.inv(low @ low.T), off) / outliers.consistency(outliers.CORE, 4)
+    assert abs(np.median(d) - outliers.quantile(0.5, 4)) < 0.25
+    assert abs((d > outliers.quantile(0.99, 4)).mean() - 0.01) < 0.006
+
+
+@pytest.mark.parametrize("x,p,want", [(3.841459, 1, 0.95), (5.991465, 2, 0.95), (18.46683, 4, 0.999), (0.0, 3, 0.0)])
+def test_chi_square(x, p, want):
+    assert abs(outliers.chi_square(x, p) - want) < 1e-6
+    assert not want or abs(outliers.quantile(want, p) - x) < 1e-3
+
+
+def test_a_source_is_judged_by_itself(spark):
+    """Long words are normal in one source and odd in another of the same language."""
+    r = random.Random(4)
+    word = lambda a, b: "".join(r.choice("etaoinshr") for _ in range(r.randint(a, b)))
+    text = lambda a, b: " ".join(word(a, b) for _ in range(r.randint(80, 160)))
+    rows = [(i, text(2, 5), "en", "short") for i in range(200)] + [(200 + i, text(9, 14), "en", "long") for i in range(200)] + [(400, text(9, 14), "en", "short"), (401, text(2, 5), "en", "long")]
+    got = {x.doc_id: x for x in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(not got[i].kept for i in range(400)) <= 2
+    assert not got[400].kept and not got[401].kept
+    assert 0.3 < np.median([got[i].distance for i in range(400)]) < 5
 
 
 def test_junk_goes_and_clean_text_stays(spark):
@@ -75,7 +119,7 @@ def test_junk_goes_and_clean_text_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept boolean, distance double")
     got = {x.doc_id: x for x in outliers.judge(docs).collect()}
     assert len(got) == len(rows)
-    assert all(got[i].kept for i in range(300))
+    assert [(i, got[i].distance) for i in range(300) if not got[i].kept] == []
     assert not any(got[i].kept for i in range(300, 310 + len(ODD)) if i < 310 or got[i].base_failed)
     assert got[310].base_failed and got[313].base_failed
     for i, t in enumerate(ODD):
