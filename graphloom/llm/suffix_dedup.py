@@ -9,6 +9,9 @@ How equal strings meet: the trigger of a window of `length` bytes is the place o
 SPAN places. It depends on the window's bytes alone, so equal windows have their triggers at equal places. Windows that
 share a trigger make up a phrase; all of them hold the `length - SPAN + 1` bytes from the trigger on, its anchor. So
 phrases with different anchors have no window in common, and anchors spread the work.
+
+What is equal: in a shard, bytes are compared; between tasks, digests of 96 bits (phrases) or 128 bits (windows) are.
+Rolling hashes only choose triggers.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,11 +34,14 @@ LENGTH = 100
 SPAN, GRAM = 64, 16
 #: Bytes that are parsed, or sorted, at once; a longer text is cut into segments that overlap by length - 1 bytes.
 SHARD = 3 << 19
+#: Bytes of text that a task of a shuffle, and a group of texts in it, are sized for.
+TASK_BYTES, GROUP_BYTES = 64 << 20, 8 << 20
 #: Phrases of the inner parse, whose dictionary and parse get suffix arrays: bytes of a trigger, and one trigger in so many.
 INNER_GRAM, INNER_RATE = 8, 32
 
 _PLACE = np.uint64((1 << 28) - 1)
-#: The id that a null id is ordered as.
+_LOW, _HIGH = np.uint64((1 << 32) - 1), np.uint64(((1 << 32) - 1) << 32)
+#: The id that a null id is ordered as; a document that bears it counts with them.
 _NULL = -(1 << 63)
 
 
@@ -63,7 +70,7 @@ class _Powers:
 
 
 class Hashes:
-    """Hashes of any stretches of some bytes: differences of prefix sums, moved to the start."""
+    """Rolling hashes that choose triggers: differences of prefix sums, moved to the start. Equal ones prove nothing."""
 
     def __init__(self, data: np.ndarray, powers: _Powers):
         powers.grow(len(data) + 1)
@@ -71,28 +78,33 @@ class Hashes:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(powers.byte[data] * powers.up[: len(data)], out=self.sums[1:])
 
-    def at(self, start: np.ndarray, length) -> np.ndarray:
-        return (self.sums[start + length] - self.sums[start]) * self.powers.down[start]
-
     def all(self, length: int) -> np.ndarray:
         n = max(0, len(self.sums) - length)
         return (self.sums[length:] - self.sums[:n]) * self.powers.down[:n]
 
 
-_POWERS = (_Powers(1), _Powers(2))
+_POWERS = _Powers(2)
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of stretches of data, as two numbers each."""
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Phrases of segments [start, end) of data: first window, number of windows, anchor hash, hash of the whole phrase.
+    """Phrases of segments [start, end) of data: first window, number of windows, anchor's and phrase's names.
 
-    A phrase reaches from its first window's start to its last window's end.
+    A phrase reaches from its first window's start to its last window's end. Its name is 64 bits of its digest; its
+    anchor's name holds 32 bits of the anchor's digest, and below them 32 more of the phrase's.
     """
-    second = Hashes(data, _POWERS[1])
     n = len(data)
+    none = np.zeros(0, np.int64)
+    nothing = none, none, none.astype(np.uint64), none.astype(np.uint64)
     if n < length:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    key = _mix(second.all(gram)) & ~_PLACE | (_PLACE - np.arange(n - gram + 1, dtype=np.uint64))
+        return nothing
+    key = _mix(Hashes(data, _POWERS).all(gram)) & ~_PLACE | (_PLACE - np.arange(n - gram + 1, dtype=np.uint64))
     step = 1
     while step < span:
         key = np.minimum(key[:-step], key[step:])
@@ -103,8 +115,7 @@ def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, s
     np.add.at(valid, ends[long] - length + 1, -1)
     at = np.flatnonzero(np.cumsum(valid[:-1]))
     if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     trigger = (_PLACE - (key[at] & _PLACE)).astype(np.int64)
     new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(trigger) != 0)))
     # Segments that touch: a window that starts a segment starts a phrase.
@@ -112,9 +123,10 @@ def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, s
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     begin, trigger = at[first], trigger[first]
-    whole = Hashes(data, _POWERS[0]).at(begin, count + length - 1)
-    whole = _mix(whole ^ ((trigger - begin) * 65536 + count).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return begin, count, _mix(second.at(trigger, length - span + 1)), whole
+    whole = data.tobytes()
+    name, more = digests(whole, begin, begin + count + length - 1)
+    anchor, _ = digests(whole, trigger, trigger + length - span + 1)
+    return begin, count, anchor & _HIGH | more & _LOW, name
 
 
 def doubled(rank: np.ndarray, end: np.ndarray, depth: int, known: int = 1) -> np.ndarray:
@@ -129,37 +141,34 @@ def doubled(rank: np.ndarray, end: np.ndarray, depth: int, known: int = 1) -> np
     return rank
 
 
-def corpus_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the segments of data in the order of their suffixes, to `depth` bytes, and each place's hash of `depth` bytes.
+def corpus_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the segments of data in the order of their suffixes, to `depth` bytes.
 
     Prefix-free parsing: phrases begin at triggers and reach to the end of the next; the dictionary holds each distinct
     phrase once and gets a suffix array, the parse (phrases in order) another. No phrase's suffix is a proper prefix of
     another's, so a place is ordered by its phrase's suffix, and among equal ones by the rank of the parse after it.
     """
-    h = Hashes(data, _POWERS[1])
-    whole = Hashes(data, _POWERS[0])
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n >= INNER_GRAM:
-        cut[: n - INNER_GRAM + 1] = _mix(h.all(INNER_GRAM)) % np.uint64(INNER_RATE) == 0
+        cut[: n - INNER_GRAM + 1] = _mix(Hashes(data, _POWERS).all(INNER_GRAM)) % np.uint64(INNER_RATE) == 0
     segment = np.repeat(np.arange(len(starts)), ends - starts)
     # A trigger is whole inside its segment.
     room = ends[segment] - np.arange(n) >= INNER_GRAM
     cut[:n] &= room
-    cut[starts] = True
+    cut[starts[starts < ends]] = True
     begin = np.flatnonzero(cut[:n])
     seg = segment[begin]
     last = np.append(seg[1:] != seg[:-1], True)
     stop = np.where(last, ends[seg], np.append(begin[1:], n) + INNER_GRAM)
     stop = np.minimum(stop, ends[seg])
-    size = stop - begin
-    # dictionary
-    _, first, phrase = np.unique(_mix(whole.at(begin, size) ^ size.astype(np.uint64)), return_index=True, return_inverse=True)
-    d_size = size[first]
+    # dictionary: phrases are told apart by their bytes
+    whole, known = data.tobytes(), {}
+    phrase = np.array([known.setdefault(whole[a:b], len(known)) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
+    text = np.frombuffer(b"".join(known), np.uint8).astype(np.int64) + 1
+    d_size = np.array([len(x) for x in known], np.int64)
     d_start = np.concatenate(([0], np.cumsum(d_size)[:-1]))
     d_end = np.repeat(d_start + d_size, d_size)
-    source = np.repeat(begin[first] - d_start, d_size) + np.arange(d_size.sum())
-    text = data[source].astype(np.int64) + 1
     place = np.arange(len(text))
     rank = text
     for k in (1, 2, 3):
@@ -171,10 +180,28 @@ def corpus_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
     p_rank = doubled(d_rank[d_start[phrase]], p_end, depth)
     after = np.where(last, 0, np.append(p_rank[1:], 0))
     owner = np.searchsorted(begin, np.arange(n), "right") - 1
-    order = np.lexsort((after[owner], d_rank[d_start[phrase[owner]] + np.arange(n) - begin[owner]]))
-    hashes = np.zeros(n, np.uint64)
-    hashes[: max(0, n - depth + 1)] = whole.all(depth)
-    return order, hashes
+    return np.lexsort((after[owner], d_rank[d_start[phrase[owner]] + np.arange(n) - begin[owner]]))
+
+
+def agree(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Whether each place in order has a common prefix of `length` bytes with the place before it: bytes are compared, eight at a time.
+
+    Every place has `length` bytes after it.
+    """
+    out = np.zeros(len(order), bool)
+    if len(order) < 2:
+        return out
+    if length < 8:
+        words, step = data.astype(np.uint64), 1
+    else:
+        words, step = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel(), 8
+    live = np.arange(1, len(order))
+    for k in [*range(0, length - step, step), length - step]:
+        live = live[words[order[live] + k] == words[order[live - 1] + k]]
+        if not len(live):
+            break
+    out[live] = True
+    return out
 
 
 _PACKED = "kind int, bucket int, key array<long>, doc array<long>, pos array<long>, n array<int>"
@@ -252,18 +279,17 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], length: int, span: int, gr
             own = np.searchsorted(starts, begin, "right") - 1
             # An empty segment shares its start with the one after it, which is the one that holds windows.
             doc_of, pos = doc[own], base[own] + begin - starts[own]
-            order, first = _split_first((whole,), doc_of, pos)
+            order, first = _split_first((whole, anchor), doc_of, pos)
             reps, again = order[first], order[~first]
             # An anchor with several phrases in this very shard is known to have several: they go by their own hash, and
             # the anchor's bucket gets one row without windows that says so. A hot anchor thus costs a row per shard.
-            _, group, size = np.unique(anchor[reps], return_inverse=True, return_counts=True)
+            _, group, size = np.unique(anchor[reps] >> np.uint64(32), return_inverse=True, return_counts=True)
             mixed = size[group] > 1
             alone, several = reps[~mixed], reps[mixed]
-            told = several[np.unique(anchor[several], return_index=True)[1]] if len(several) else several
+            told = several[np.unique(anchor[several] >> np.uint64(32), return_index=True)[1]] if len(several) else several
             sent = np.concatenate((alone, told))
             windows = np.concatenate((n[alone], np.zeros(len(told), n.dtype)))
-            # The anchor's lower half gives the bucket, its upper half goes with the phrase's hash.
-            bucket = (anchor[sent] & np.uint64(0xFFFFFFFF)).astype(np.int64) % meets
+            bucket = (anchor[sent] >> np.uint64(32)).astype(np.int64) % meets
             yield _pack_pair(REPS, bucket, anchor[sent], whole[sent], doc_of[sent], pos[sent], windows)
             if len(several):
                 yield _pack_pair(MIXED, (whole[several] % np.uint64(meets)).astype(np.int64), anchor[several], whole[several], doc_of[several], pos[several], n[several])
@@ -272,17 +298,17 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], length: int, span: int, gr
 
 
 def _pack_pair(kind: int, bucket: np.ndarray, a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """As _pack, with key b and, in a column of its own, the upper half of a."""
+    """As _pack, with key b, and a in a column of its own."""
     packed = _pack(kind, bucket, b.view(np.int64), doc, pos, n)
-    high = _pack(kind, bucket, None, doc, pos, (a >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    return pa.RecordBatch.from_arrays([*packed.columns, high.column(5)], names=[*packed.schema.names, "a"])
+    more = _pack(kind, bucket, a.view(np.int64), doc, pos, n)
+    return pa.RecordBatch.from_arrays([*packed.columns, more.column(2)], names=[*packed.schema.names, "a"])
 
 
-_REPS = _PACKED + ", a array<int>"
+_REPS = _PACKED + ", a array<long>"
 
 
 def _with_a(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch if "a" in batch.schema.names else pa.RecordBatch.from_arrays([*batch.columns, pa.array([None] * batch.num_rows, pa.list_(pa.int32()))], names=[*batch.schema.names, "a"])
+    return batch if "a" in batch.schema.names else pa.RecordBatch.from_arrays([*batch.columns, pa.array([None] * batch.num_rows, pa.list_(pa.int64()))], names=[*batch.schema.names, "a"])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table | None, pa.Table | None, pa.Table | None]]:
@@ -325,14 +351,15 @@ def _meet_phrases(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         if reps is not None:
             key, a, *ranges = (_flat(reps, c) for c in ("key", "a", "doc", "pos", "n"))
             doc, pos, n = ranges
-            known = np.unique(a[n == 0])
+            anchor = a >> 32
+            known = np.unique(anchor[n == 0])
             real = np.flatnonzero(n > 0)
-            order, first = _split_first((a[real], key[real]), doc[real], pos[real])
+            order, first = _split_first((anchor[real], key[real], a[real]), doc[real], pos[real])
             order = real[order]
             marks.add(*(x[order[~first]] for x in ranges))
             firsts = order[first]
             if len(firsts):
-                same = a[firsts]
+                same = anchor[firsts]
                 edge = np.concatenate(([True], same[1:] != same[:-1]))
                 size = np.diff(np.append(np.flatnonzero(edge), len(firsts)))
                 own = firsts[np.repeat(size > 1, size) | np.isin(same, known)]
@@ -385,7 +412,7 @@ def _rows_of(texts: pa.Table, packed: pa.Table) -> Iterator[tuple[int, int, int,
 
 
 def _sort_asked(texts: pa.Table, asked: pa.Table, length: int, buckets: int, meets: int) -> pa.Table:
-    """Windows of the phrases that were asked for, in the order of their suffixes: the first of each in a shard goes to the bucket of its hash."""
+    """Windows of the phrases that were asked for, in the order of their suffixes: the first of each in a shard goes to the bucket of its digest."""
     out: list[pa.RecordBatch] = []
 
     def stretches():
@@ -395,29 +422,29 @@ def _sort_asked(texts: pa.Table, asked: pa.Table, length: int, buckets: int, mee
                     yield doc, int(a), text[a - base : b - base + length - 1]
 
     for data, starts, ends, doc, base in _shards(stretches(), length):
-        order, window = corpus_order(data, starts, ends, length)
+        order = corpus_order(data, starts, ends, length)
         own = np.searchsorted(starts, np.arange(len(data)), "right") - 1
         order = order[(ends[own] - np.arange(len(data)) >= length)[order]]
         if not len(order):
             continue
-        w, d, p = window[order], doc[own[order]], (base[own] + np.arange(len(data)) - starts[own])[order]
-        # Equal windows stand side by side; in each run the earliest is the one that stays.
-        run = np.cumsum(np.concatenate(([True], w[1:] != w[:-1])))
+        d, p = doc[own[order]], (base[own] + np.arange(len(data)) - starts[own])[order]
+        # Windows that agree stand side by side; in each run the earliest is the one that stays.
+        run = np.cumsum(~agree(data, order, length))
         inside, first = _split_first((run,), d, p)
         one = inside[first]
         again = inside[~first]
-        second = Hashes(data, _POWERS[1]).at(order[one], length)
-        out.append(_pack_pair(REPS, (w[one] % np.uint64(meets)).astype(np.int64), second, w[one], d[one], p[one], np.ones(len(one), np.int64)))
+        name, more = digests(data.tobytes(), order[one], order[one] + length)
+        out.append(_pack_pair(REPS, (name % np.uint64(meets)).astype(np.int64), more, name, d[one], p[one], np.ones(len(one), np.int64)))
         if len(again):
             out.append(_with_a(_pack(MARKS, _bucket(d[again], buckets), None, d[again], p[again], np.ones(len(again), np.int64))))
     return pa.Table.from_batches(out, schema=_REPS_ARROW)
 
 
-_REPS_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.list_(pa.int64())), ("doc", pa.list_(pa.int64())), ("pos", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("a", pa.list_(pa.int32()))])
+_REPS_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("key", pa.list_(pa.int64())), ("doc", pa.list_(pa.int64())), ("pos", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("a", pa.list_(pa.int64()))])
 
 
 def _meet_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows of a hash: all but the first repeat."""
+    """Windows of a digest: all but the first repeat."""
     for reps, _, passing in _by_bucket(batches):
         marks = _Ranges()
         if passing is not None:
@@ -485,19 +512,22 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     prepare(spark)
     scratch = common.Scratch(spark)
     rows, repeated = _placed(scratch, common.hidden(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")))
-    # Texts are dealt over `buckets`, phrases and windows over `meets`; what goes from one to another is one packed row.
-    meets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * meets + 1
-    dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    # Texts are dealt over `buckets`, phrases and windows over `meets`, both in measure of the texts' bytes; what goes from
+    # one to another is one packed row.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    meets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    buckets = max(2 * meets + 1, -(-size // GROUP_BYTES))
+    by_bucket = lambda df: df.repartition(meets, "bucket")
+    dealt = lambda df: by_bucket(df).sortWithinPartitions("bucket")
     phrases = map_arrow(rows, lambda it: (_with_a(b) for b in _parse_batches(it, length, span, gram, buckets, meets)), _REPS)
     met = scratch.write(map_arrow(dealt(phrases), lambda it: _meet_phrases(it, buckets), _PACKED), "met")
-    texts = rows.select(_bucket_column(F.col("doc"), buckets).alias("bucket"), "doc", "base", "text")
+    texts = by_bucket(rows.select(_bucket_column(F.col("doc"), buckets).alias("bucket"), "doc", "base", "text"))
     packed = ("bucket", "doc", "pos", "n")
     asked = met.filter(F.col("kind") == ASKED).select(*packed)
-    sorted_ = texts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(lambda a, b: _sort_asked(a, b, length, buckets, meets), _REPS)
+    sorted_ = texts.groupBy("bucket").cogroup(by_bucket(asked).groupBy("bucket")).applyInArrow(lambda a, b: _sort_asked(a, b, length, buckets, meets), _REPS)
     windows = map_arrow(dealt(sorted_), lambda it: _meet_windows(it, buckets), _PACKED)
     marks = met.filter(F.col("kind") == MARKS).select(*packed).union(windows.select(*packed))
-    out = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(lambda a, b: _remove(a, b, length), _RESULT)
+    out = texts.groupBy("bucket").cogroup(by_bucket(marks).groupBy("bucket")).applyInArrow(lambda a, b: _remove(a, b, length), _RESULT)
     if repeated:
         # The second of equal rows is a copy from its first byte on.
         copy = (F.row_number().over(W.partitionBy("doc", "base", "kept_sha256").orderBy("n_removed")) > 1) & (F.col("n_bytes") >= length)
