@@ -30,89 +30,104 @@ LONGEST = 64
 #: How the tokenizer's file states its words; a tokenizer with another rule gets whole texts.
 _FIXED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-MAGIC = b"GLTK0001"
-#: magic, documents, ids, bytes of an id, low bits of a boundary, bytes of the high bits
-_HEAD = struct.Struct("<8sQQBBQ")
+MAGIC = b"GLTK0002"
+#: magic, documents, those of them with a null id, least id, ids of tokens, bytes of such an id; then, of the documents' ids
+#: and of their ends, low bits of a number and bytes of the high bits
+_HEAD = struct.Struct("<8sQQqQBBQBQ")
 
 
 class EliasFano:
-    """A growing list of n numbers up to u in about n * (2 + log2(u / n)) bits.
+    """A list of n numbers that never falls, up to u, in about n * (2 + log2(u / n)) bits.
 
-    The low bits stand packed; the high part of the i-th number is a one at place high + i of a bit array, so select(i)
-    (place of the i-th one, less i) returns it. Every 512th one's place is kept when the list is opened.
+    The low bits stand packed; the high part of the i-th number is a one at place high + i of a bit array, so that select
+    (place of the i-th one, less i) returns it. Opened, the list keeps its two strings of bits and the place of every
+    512th one, from which select looks on: 8 bytes for 512 numbers, and no table of them.
     """
 
     STEP = 512
+    #: Bytes of the high bits that are looked through at once.
+    PIECE = 1 << 16
 
     def __init__(self, n: int, bits: int, low: bytes, high: bytes):
-        self.n, self.bits, self.low, self.high = n, bits, low, high
-        ones = np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little")
-        count = np.add.reduceat(ones, np.arange(0, len(ones), 8), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
-        self.before = np.concatenate(([0], np.cumsum(count)))  # ones before each byte
-        self.samples = np.searchsorted(self.before, np.arange(0, n, self.STEP), "right") - 1
+        self.n, self.bits = n, bits
+        self.low, self.high = np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)
+        places, seen = [], 0
+        for at in range(0, len(self.high), self.PIECE):
+            ones = np.flatnonzero(np.unpackbits(self.high[at : at + self.PIECE], bitorder="little"))
+            places.append(ones[-seen % self.STEP :: self.STEP] + at * 8)
+            seen += len(ones)
+        self.samples = np.concatenate(places) if places else np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, numbers: np.ndarray) -> EliasFano:
+        """From unsigned 64-bit numbers."""
+        numbers = numbers.astype(np.uint64)
         n, most = len(numbers), int(numbers[-1]) if len(numbers) else 0
         bits = max(0, (most // max(n, 1)).bit_length() - 1)
-        low = ((numbers[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel() if bits else np.zeros(0, np.uint8)
+        low = ((numbers[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel() if bits else np.zeros(0, np.uint8)
         ones = np.zeros((most >> bits) + n + 1, np.uint8)
-        ones[(numbers >> bits) + np.arange(n)] = 1
+        ones[(numbers >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
         return cls(n, bits, np.packbits(low, bitorder="little").tobytes(), np.packbits(ones, bitorder="little").tobytes())
 
-    def select(self, i: int) -> int:
-        """The i-th number: its sample gives a byte to start from, the byte with the i-th one is near."""
-        byte = int(self.samples[i // self.STEP])
-        byte += int(np.searchsorted(self.before[byte:], i, "right")) - 1
-        left, place, b = i - int(self.before[byte]), 0, self.high[byte]
-        while left or not b & 1:
-            left -= b & 1
-            b >>= 1
-            place += 1
-        high = byte * 8 + place - i
-        at = i * self.bits
-        window = int.from_bytes(self.low[at // 8 : (at + self.bits + 7) // 8], "little") >> (at % 8)
-        return high << self.bits | window & ((1 << self.bits) - 1)
-
-    def all(self) -> np.ndarray:
-        """Every number: the places of all ones at once."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)) << self.bits
-        if not self.bits:
-            return high
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits)
-        return high | low.astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
-
-
-def pack(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A block: head, doc ids, which of them are not null, Elias-Fano ends of the documents, ids."""
+    def select(self, i: int, count: int = 1) -> np.ndarray:
+        """Numbers i to i + count - 1, as unsigned 64-bit: the sample before the first gives the byte to look on from."""
+        if not 0 <= i <= i + count <= self.n:
+            raise IndexError(i)
+        if not count:
+            return np.zeros(0, np.uint64)
+        first, beyond = i // self.STEP, (i + count - 1) // self.STEP + 1
+        at = int(self.samples[first]) // 8
+        stop = int(self.samples[beyond]) // 8 + 1 if beyond < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at:stop], bitorder="little")) + at * 8
+        skip = int(np.searchsorted(ones, self.samples[first])) + i - first * self.STEP
+        out = (ones[skip : skip + count] - np.arange(i, i + count)).astype(np.uint64) << np.uint64(self.bits)
+        if self.bits:
+            a, b = i * self.bits, (i + count) * self.bits
+            own = np.unpackbits(self.low[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a].reshape(count, self.bits)
+            out |= (own.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return out
+
+
+def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A block: head, Elias-Fano ids of the documents (ascending, nulls first) and ends of the documents, ids of tokens."""
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    known = [d for d in doc_ids if d is not None]
+    least = known[0] if known else 0
+    names = EliasFano.of(np.array([d - least for d in known], np.uint64))
     ends = EliasFano.of(np.cumsum(lengths.astype(np.int64)))
-    head = _HEAD.pack(MAGIC, len(doc_ids), len(ids), width, ends.bits, len(ends.high))
-    return b"".join((head, doc_ids.astype("<i8").tobytes(), np.packbits(known.astype(np.uint8)).tobytes(), ends.low, ends.high, ids.astype(f"<u{width}").tobytes()))
+    head = _HEAD.pack(MAGIC, len(doc_ids), len(doc_ids) - len(known), least, len(ids), width, names.bits, len(names.high), ends.bits, len(ends.high))
+    return b"".join((head, names.low.tobytes(), names.high.tobytes(), ends.low.tobytes(), ends.high.tobytes(), ids.astype(f"<u{width}").tobytes()))
 
 
 class Block:
-    """Reads a block: ids of the i-th document, without a table of offsets."""
+    """Reads a block: ids of its documents and of their tokens, by select, without tables of ids or offsets."""
 
     def __init__(self, data: bytes):
-        magic, self.n, self.n_ids, width, bits, high = _HEAD.unpack_from(data)
+        magic, self.n, self.nulls, self.least, self.n_ids, width, *shapes = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
         at = _HEAD.size
-        self.doc_ids = np.frombuffer(data, "<i8", self.n, at)
-        at += 8 * self.n
-        self.known = np.unpackbits(np.frombuffer(data, np.uint8, (self.n + 7) // 8, at))[: self.n].astype(bool)
-        at += (self.n + 7) // 8
-        low = (self.n * bits + 7) // 8
-        self.ends = EliasFano(self.n, bits, data[at : at + low], data[at + low : at + low + high])
-        self.ids = np.frombuffer(data, f"<u{width}", self.n_ids, at + low + high)
-
-    def span(self, i: int) -> tuple[int, int]:
-        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+        lists = []
+        for n, bits, high in ((self.n - self.nulls, *shapes[:2]), (self.n, *shapes[2:])):
+            low = (n * bits + 7) // 8
+            lists.append(EliasFano(n, bits, data[at : at + low], data[at + low : at + low + high]))
+            at += low + high
+        self.names, self.ends = lists
+        self.ids = np.frombuffer(data, f"<u{width}", self.n_ids, at)
+
+    def doc_ids(self, i: int, count: int) -> pa.Array:
+        """Ids of documents i to i + count - 1."""
+        nulls = max(0, min(self.nulls - i, count))
+        some = (self.names.select(i + nulls - self.nulls, count - nulls) + np.uint64(self.least & (1 << 64) - 1)).view(np.int64)
+        return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(some, pa.int64())])
+
+    def bounds(self, i: int, count: int) -> np.ndarray:
+        """Where documents i to i + count - 1 start, and where the last of them ends."""
+        before = self.ends.select(i - 1, 1) if i else np.zeros(1, np.uint64)
+        return np.concatenate((before, self.ends.select(i, count))).astype(np.int64)
 
     def __getitem__(self, i: int) -> np.ndarray:
-        a, b = self.span(i)
+        a, b = self.bounds(i, 1).tolist()
         return self.ids[a:b]
 
 
@@ -238,7 +253,9 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     A text longer than a block is a block of its own. An empty table writes no blocks.
     """
     rows = common.hidden(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # Rows of one id, or of none, are dealt by how their texts begin, so a hot id is no single task's.
+    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32).asc_nulls_first())
+    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_file:
@@ -253,9 +270,8 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
         held_ids = 0
 
         def out() -> pa.RecordBatch:
-            known = np.array([d is not None for d, _ in held], bool)
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            data = pack(np.array([d or 0 for d, _ in held], np.int64), known, np.array([len(x) // 4 for _, x in held], np.int64), ids)
+            data = pack([d for d, _ in held], np.array([len(x) // 4 for _, x in held], np.int64), ids)
             return pa.RecordBatch.from_pydict({"partition": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "first_id": pa.array([first], pa.int64()), "n_docs": pa.array([len(held)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([data], pa.binary())})
 
         for batch in batches:
@@ -290,11 +306,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, first, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 b = Block(data)
-                ends = b.ends.all()
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                ids = b.ids.astype("<u4")
-                crc = [zlib.crc32(ids[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(b.doc_ids, mask=~b.known), "start": pa.array(starts + (bases.value[part] + first)), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
+                for i in range(0, b.n, EliasFano.STEP):
+                    n = min(EliasFano.STEP, b.n - i)
+                    at = b.bounds(i, n)
+                    crc = [zlib.crc32(b.ids[x:y].astype("<u4")) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": b.doc_ids(i, n), "start": pa.array(at[:-1] + (bases.value[part] + first)), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
 
     return map_arrow(blocks.select("partition", "first_id", "payload"), run, _DOCS)
 

@@ -71,16 +71,57 @@ def test_short_memory_gives_the_same_ids():
 @pytest.mark.parametrize("seed", range(8))
 def test_elias_fano(seed):
     r = np.random.default_rng(seed)
-    numbers = np.cumsum(r.integers(0, [1, 2, 5, 100, 10_000][seed % 5], r.integers(1, 2000)))
+    numbers = np.cumsum(r.integers(0, [1, 2, 5, 100, 10_000, 1 << 40][seed % 6], r.integers(1, 5000)))
     ef = ts.EliasFano.of(numbers)
-    assert ef.all().tolist() == numbers.tolist()
+    assert ef.select(0, len(numbers)).tolist() == numbers.tolist()
     for i in r.integers(0, len(numbers), 50).tolist():
-        assert ef.select(i) == numbers[i]
+        n = int(r.integers(0, len(numbers) - i + 1))
+        assert ef.select(i, n).tolist() == numbers[i : i + n].tolist()
     assert len(ef.low) + len(ef.high) <= len(numbers) * (2 + np.log2(max(2, numbers[-1] / len(numbers) + 2))) / 8 + 16
+    with pytest.raises(IndexError):
+        ef.select(len(numbers))
 
 
 def test_block_reads_documents():
     ids = np.arange(70_000, 70_010, dtype=np.uint32)
-    b = ts.Block(ts.pack(np.array([5, 6, 9]), np.array([True, False, True]), np.array([3, 0, 7]), ids))
-    assert [b[i].tolist() for i in range(3)] == [ids[:3].tolist(), [], ids[3:].tolist()]
-    assert b.known.tolist() == [True, False, True]
+    b = ts.Block(ts.pack([None, -(1 << 63), 9, 9, (1 << 63) - 1], np.array([3, 0, 6, 0, 1]), ids))
+    assert [b[i].tolist() for i in range(5)] == [ids[:3].tolist(), [], ids[3:9].tolist(), [], ids[9:].tolist()]
+    assert b.doc_ids(0, 5).to_pylist() == [None, -(1 << 63), 9, 9, (1 << 63) - 1]
+    assert b.doc_ids(2, 2).to_pylist() == [9, 9]
+    empty = ts.Block(ts.pack([None], np.array([0]), ids[:0]))
+    assert empty.doc_ids(0, 1).to_pylist() == [None] and empty[0].tolist() == []
+
+
+def test_an_opened_block_holds_no_table():
+    r = np.random.default_rng(1)
+    n = 20_000
+    doc_ids = np.cumsum(r.integers(1, 30, n)).tolist()
+    lengths = r.integers(0, 60, n)
+    b = ts.Block(ts.pack(doc_ids, lengths, np.zeros(int(lengths.sum()), np.uint32)))
+    held = [v for ef in (b.names, b.ends) for v in vars(ef).values() if isinstance(v, np.ndarray)]
+    assert not any(v.dtype != np.uint8 and len(v) > n // ts.EliasFano.STEP + 1 for v in held)
+    # The lists themselves, of ids and of ends, and the samples beside them.
+    assert sum(v.nbytes for v in held) < 2 * 1.5 * n
+    assert sum(ef.samples.nbytes for ef in (b.names, b.ends)) < 0.04 * n
+    assert [b.bounds(i, 1).tolist() for i in (0, 777, n - 1)] == [[int(lengths[:i].sum()), int(lengths[: i + 1].sum())] for i in (0, 777, n - 1)]
+
+
+def test_a_hot_id_is_dealt_to_several_tasks(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text {i % 500}") for i in range(3000)], "doc_id long, text string")
+    scratch = ts.common.Scratch(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ts.write(docs, scratch.path("b"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(scratch.path("b")).select("partition").distinct().count() >= 3
+    got = ts.read(spark, scratch.path("b")).orderBy("start").collect()
+    order = sorted([(r.doc_id is not None, r.doc_id or 0, r.text) for r in docs.collect()])
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == [x[:2] for x in order]
+    want = library_ids([t for *_, t in order])
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+
+
+def test_counts_of_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (4, "a b"), (4, "a b")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens) for r in tc.count_tokens(docs).collect())
+    n = len(tc.counter(P.path(tc.MODEL)).sp.encode("a b"))
+    assert got == [(0, 0), (0, n), (4, n), (4, n)]
