@@ -118,7 +118,7 @@ class Block:
     def doc_ids(self, i: int, count: int) -> pa.Array:
         """Ids of documents i to i + count - 1."""
         nulls = max(0, min(self.nulls - i, count))
-        some = (self.names.select(i + nulls - self.nulls, count - nulls) + np.uint64(self.least & (1 << 64) - 1)).view(np.int64)
+        some = (self.names.select(max(0, i - self.nulls), count - nulls) + np.uint64(self.least & (1 << 64) - 1)).view(np.int64)
         return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(some, pa.int64())])
 
     def bounds(self, i: int, count: int) -> np.ndarray:
