@@ -19,9 +19,9 @@ from .calibration import Curve
 #: dictionaries and not by its own beginning.
 BLOCK = 2048
 DICT_BYTES, LEVEL = 64 * 1024, 3
-#: The model is fitted on at most so many labelled rows per label, those of least hash; of each, at most so many blocks
-#: chosen by hash from the whole text.
-FIT_ROWS, FIT_BLOCKS = 2500, 8
+#: The model is fitted on at most so many labelled rows per label, those of least hash, whole; on fewer where their texts
+#: have more bytes.
+FIT_ROWS, FIT_BYTES = 2500, 16 << 20
 #: From this score on a document is predicted good.
 THRESHOLD = 0.7
 #: Bytes that each size has to begin with, so that those of very short texts do not jump.
@@ -91,39 +91,67 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple
     return common.attach(texts, some, ["id"], "inner"), sizes
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> Model | None:
-    """Learns from docs (doc_id, text) and labels (doc_id, label); None if one of the labels has no row.
+def chosen(sample: DataFrame, rows: int, most_bytes: int) -> dict[int, list[int]]:
+    """Per label the keys of the sampled rows (t, y, key) that a model is fitted on, in order: those of least key, at most
+    `rows`, and as long as their texts add up to at most most_bytes (the first in any case).
+    """
+    found = sorted(tuple(r) for r in sample.select("y", "key", F.octet_length("t")).collect())
+    out: dict[int, list[int]] = {0: [], 1: []}
+    held = [0, 0]
+    for y, key, size in found:
+        if len(out[y]) < rows and (not out[y] or held[y] + size <= most_bytes):
+            out[y].append(key)
+            held[y] += size
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model | None:
+    """Learns from docs (doc_id, text) and labels (doc_id, label); None if one of the labels has no row with a text.
 
     Two thirds of the sampled rows make the dictionaries, the last third the calibration, where each counts as its label's
-    share of all labelled rows is, so the score is a probability on whole data.
+    share of all labelled rows is, so the score is a probability on whole data. All are read whole. Null and empty texts
+    and null labels teach nothing; a row that is there, or labelled, several times counts as often; rows of equal hash
+    are taken in the order of their texts' lengths.
     """
     sample, share = labelled(docs, labels, label, fit_rows)
-    chosen = F.transform(
-        F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / BLOCK).cast("int")), lambda i: F.struct(F.xxhash64("id", i).alias("h"), i.alias("i")))), 1, FIT_BLOCKS),
-        lambda x: F.substring(F.col("t"), x["i"] * BLOCK + 1, F.lit(BLOCK)),
-    )
-    parts = sample.filter("length(t) > 0").select("y", "key", chosen.alias("blocks")).collect()
-    by = {y: [[b.encode() for b in r.blocks] for r in sorted((r for r in parts if r.y == y), key=lambda r: r.key)[:fit_rows]] for y in (0, 1)}
+    own = common.Scratch(docs.sparkSession).write(sample.filter("length(t) > 0").select("t", "y", "key"), "sample")
+    by = chosen(own, fit_rows, fit_bytes)
     if not by[0] or not by[1]:
         return None
-    cut = {y: [x for i, x in enumerate(rows) if i % 3 != 2] for y, rows in by.items()}
-    held = {y: [x for i, x in enumerate(rows) if i % 3 == 2] or rows for y, rows in by.items()}
-    model = Model(*(_train([b for x in cut[y] for b in x]) for y in (1, 0)))
-    x, y = [], []
-    for k in (0, 1):
-        # Rows of the rarer label in full, of the other in the share it has.
-        want = max(1, min(len(held[k]), round(min(len(held[v]) / share[v] for v in (0, 1)) * share[k])))
-        x += [model.features(b"".join(t)) for t in held[k][:want]]
-        y += [k] * want
-    model.calibrate(np.array(x), np.array(y, float))
+    cut = {y: sorted(x for i, x in enumerate(keys) if i % 3 != 2) for y, keys in by.items()}
+    held = {y: [x for i, x in enumerate(keys) if i % 3 == 2] or keys for y, keys in by.items()}
+    # Rows of the rarer label in full, of the other in the share it has.
+    want = {y: max(1, min(len(held[y]), round(min(len(held[v]) / share[v] for v in (0, 1)) * share[y]))) for y in (0, 1)}
+    model = Model(*(_train([b for t in _texts(own, y, cut[y]) for b in blocks(t)]) for y in (1, 0)))
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in common.text_runs(batch, "t", 1 << 20):
+                yield common.with_columns(batch.slice(a, b - a), ["y", "key"], x=pa.array([known.value.features(t.encode()) for t in texts], pa.list_(pa.float64())))
+
+    calibration = [r for y in (0, 1) for r in map_arrow(_rows(own, y, held[y][: want[y]]), measure, "y int, key long, x array<double>").collect()]
+    calibration.sort(key=lambda r: (r.y, r.key, r.x))
+    model.calibrate(np.array([r.x for r in calibration]), np.array([r.y for r in calibration], float))
     return model
 
 
+def _rows(sample: DataFrame, y: int, keys: list[int]) -> DataFrame:
+    """The rows of a label that have one of the keys, which are few."""
+    few = sample.sparkSession.createDataFrame([(k,) for k in sorted(set(keys))], "key long")
+    return sample.filter(F.col("y") == y).join(F.broadcast(few), "key", "left_semi").select("t", "y", "key")
+
+
+def _texts(sample: DataFrame, y: int, keys: list[int]) -> list[bytes]:
+    return [r.t.encode() for r in sorted(_rows(sample, y, keys).collect(), key=lambda r: (r.key, r.t))]
+
+
 def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted; columns of docs with these names give way.
 
-    Whole texts are read, block by block. Null and empty texts get the score of no difference at no length. Without a model every
-    score is 0.5.
+    Whole texts are read, block by block. Null and empty texts get the score of no difference at no length. Rows that
+    repeat a text get its score each; a score of just the threshold is predicted good. Without a model every score is
+    0.5. An empty table gives no rows.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     src = docs.select(*keep)

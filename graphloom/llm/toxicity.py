@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.shipping import map_arrow
 from . import common
 from .calibration import Curve
-from .quality import labelled
+from .quality import FIT_BYTES, chosen, labelled
 
 # Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -31,17 +31,18 @@ REMEMBERED, LONGEST_REMEMBERED = 50_000, 48
 OTHER, SPACE = 26, 27
 SIZE = 28
 
-#: Labelled rows per label that the lexicon is learnt from, those of least hash; of each, at most so many distinct
-#: words, those of least hash.
-FIT_ROWS, FIT_WORDS = 1500, 3000
+#: Labelled rows per label that the lexicon is learnt from, whole, those of least hash; fewer where their texts have more
+#: than FIT_BYTES.
+FIT_ROWS = 1500
 PREFIXES = (4, 5, 6)
-LEAST_SUPPORT, LEAST_ODDS, MOST_FEATURES = 3, 2.0, 50_000
+LEAST_SUPPORT, LEAST_ODDS = 3, 2.0
 THRESHOLD = 0.5
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SYMBOL = re.escape("".join(LEET))
 _ANY_SYMBOL, _ANY_LETTER = re.compile(f"[{_SYMBOL}]"), re.compile("[a-z]")
-_SPACED = re.compile(rf"(?<!\S)(?:[a-z{_SYMBOL}][ .\-_*]){{3,}}[a-z{_SYMBOL}](?![a-z{_SYMBOL}])")
+_SPACED = re.compile(rf"(?<!\S)(?:[a-z{_SYMBOL}][ .\-_*]{{1,3}}){{3,}}[a-z{_SYMBOL}](?![a-z{_SYMBOL}])")
+_GAP = re.compile(r"[ .\-_*]+")
 _RUN = re.compile(r"([a-z])\1\1")
 _EDGE = ".,;:?\"'()[]{}<>#%&*"
 
@@ -116,15 +117,24 @@ class Restorer:
         self.remembered: dict[str, str] = {}
 
     def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
-        """Per place of the stretch the strings that it may stand for, with their channel costs."""
+        """Per place of the stretch the strings that it may stand for, with their channel costs.
+
+        In a spaced stretch a word may end before any place, and does where the gap is wider than others.
+        """
         spaced = _SPACED.fullmatch(stretch) is not None
         out: list[list[tuple[str, float]]] = []
         i = 0
-        chars = [c for k, c in enumerate(stretch) if not (spaced and k % 2)]
+        chars, ends = stretch, set()
+        if spaced:
+            # A gap that is wider than the least one ends a word.
+            chars, gaps = "".join(_GAP.split(stretch)), [len(g) for g in _GAP.findall(stretch)]
+            ends = {k + 1 for k, g in enumerate(gaps) if g > min(gaps)}
+        first: list[int] = []
         while i < len(chars):
             c, n = chars[i], 1
-            while i + n < len(chars) and chars[i + n] == c:
+            while i + n < len(chars) and chars[i + n] == c and i + n not in ends:
                 n += 1
+            before = len(out)
             if c in LEET and n > 2:
                 out.append([o for x in LEET[c] for o in ((x, n * AS_SYMBOL + TO_ONE), (x * 2, n * AS_SYMBOL + TO_TWO))] + [(c * n, n * MEANT_SYMBOL)])
             elif c in LEET:
@@ -136,9 +146,13 @@ class Restorer:
                 out.append([(c, TO_ONE), (c * 2, TO_TWO), (c * n, MEANT_RUN)])
             else:
                 out.append([(c * n, 0.0)])
+            first += [i] * (len(out) - before)
             i += n
         if spaced:
-            out[1:] = [options + [(" " + x, cost + BREAK) for x, cost in options] for options in out[1:]]
+            for k in range(1, len(out)):
+                broken = [(" " + x, cost) for x, cost in out[k]]
+                whole_word = first[k] in ends and first[k] != first[k - 1]
+                out[k] = broken if whole_word else out[k] + [(x, cost + BREAK) for x, cost in broken]
         return out
 
     def decode(self, stretch: str) -> str:
@@ -247,7 +261,7 @@ class Lexicon:
             x = np.log((t + 0.5) / (totals[1] + 1)) - np.log((n + 0.5) / (totals[0] + 1))
             if t >= support and x >= LEAST_ODDS:
                 odds[f] = float(x)
-        self.odds = dict(sorted(odds.items(), key=lambda v: (-v[1], v[0]))[:MOST_FEATURES])
+        self.odds = odds
         held = [r for i, r in enumerate(rows) if i % 3 == 2]
         x = np.array([self.summary(set(w.split())) for _, _, w in held] or [[0.0] * 5])
         self.curve = Curve(x, np.array([y for y, _, _ in held] or [0], float), decay=0.1)
@@ -267,22 +281,23 @@ class Lexicon:
         return self.curve(self.summary(words(text)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, model: LanguageModel, label: str, rows: int) -> list[tuple[int, int, bytes]]:
+def sample(docs: DataFrame, labels: DataFrame, model: LanguageModel, label: str, rows: int, most_bytes: int = FIT_BYTES) -> list[tuple[int, int, bytes]]:
     """(label, least word hash, distinct words of the restored text, parted by spaces) of at most `rows` rows per label, by hash."""
-    some = labelled(docs, labels, label, rows)[0].select("y", "key", "t")
+    some = common.Scratch(docs.sparkSession).write(labelled(docs, labels, label, rows)[0].select("y", "key", "t"), "sample")
+    keys = [(y, k) for y, own in chosen(some, rows, most_bytes).items() for k in own]
+    few = docs.sparkSession.createDataFrame(sorted(set(keys)), "y int, key long")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Restorer(held.value)
         for batch in batches:
             for a, b, texts in common.text_runs(batch, "t", 1 << 20):
-                least = [sorted((xxhash.xxh64_intdigest(w), w) for w in words(own.restore(t.lower())))[:FIT_WORDS] for t in texts]
-                yield common.with_columns(batch.slice(a, b - a), ["y", "key"], m=pa.array([(x[0][0] >> 1) if x else 0 for x in least], pa.int64()), w=pa.array([b" ".join(v for _, v in x) for x in least], pa.binary()))
+                found = [sorted(words(own.restore(t.lower()))) for t in texts]
+                least = [min(map(xxhash.xxh64_intdigest, x)) >> 1 if x else 0 for x in found]
+                yield common.with_columns(batch.slice(a, b - a), ["y", "key"], m=pa.array(least, pa.int64()), w=pa.array([b" ".join(x) for x in found], pa.binary()))
 
-    schema = T.StructType([some.schema["y"], some.schema["key"], *T.StructType.fromDDL("m long, w binary").fields])
-    got = sorted(((r.y, r.key, r.m, bytes(r.w)) for r in map_arrow(some, run, schema).collect()), key=lambda r: (r[1], r[3]))
-    by = {k: [r for r in got if r[0] == k][:rows] for k in (0, 1)}
-    return [(r[0], r[2], r[3]) for r in sorted(by[0] + by[1], key=lambda r: (r[1], r[3]))]
+    got = map_arrow(some.join(F.broadcast(few), ["y", "key"], "left_semi").select("y", "key", "t"), run, "y int, key long, m long, w binary").collect()
+    return [(r.y, r.m, bytes(r.w)) for r in sorted(got, key=lambda r: (r.key, bytes(r.w)))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[LanguageModel, Lexicon | None]:
@@ -295,8 +310,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
 def score(docs: DataFrame, models: tuple[LanguageModel, Lexicon | None], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score, predicted and restored (whether decoding changed the text); columns with these names give way.
 
-    Whole texts are restored and scored. Null and empty texts have no words, and get the score of that. Without a
-    lexicon every score is 0.5 and nothing is predicted toxic.
+    Whole texts are restored and scored. Null and empty texts have no words, and get the score of that. Rows that repeat
+    a text get its score each; of paths that cost the same the first in code point order is taken. Without a lexicon
+    every score is 0.5 and nothing is predicted toxic. An empty table gives no rows.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted", "restored")]
     src = docs.select(*keep)

@@ -124,7 +124,8 @@ def test_spaced_phrases_come_out_as_words(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([plain, "the other day we are so tired", "you and the dog are here", "a stupid idea and a worthless plan", "it is shit that you hit the ship"] * 20)], "doc_id long, text string")
     own = tox.Restorer(tox.LanguageModel(tox.trigram_counts(docs)))
     assert own.restore(" ".join(plain.replace(" ", ""))) == plain
-    assert own.restore("s t u p i d") == "stupid" and own.restore("sh!+") == "shit"
+    assert own.restore("y o u  a r e   s t u p i d") == own.restore("y-o-u--a-r-e--s-t-u-p-i-d") == "you are stupid"
+    assert own.restore("s t u p i d") == own.restore("s  t  u  p  i  d") == "stupid" and own.restore("sh!+") == "shit"
 
 
 def test_time_is_linear_in_a_stretch(models):
@@ -137,3 +138,45 @@ def test_time_is_linear_in_a_stretch(models):
         own.decode("a1b0" * n)
         took.append(time.time() - start)
     assert took[1] < 20 * took[0]
+
+
+def plain_lexicon(rows, support=tox.LEAST_SUPPORT):
+    """Odds of words and beginnings, counted feature by feature over the rows that are learnt from."""
+    learn = [(y, m, w.split()) for i, (y, m, w) in enumerate(rows) if i % 3 != 2]
+    every = lambda words: set(words) | {w[:k] + b"-" for w in words for k in (4, 5, 6) if len(w) > k}
+    totals = [len({m for y, m, _ in learn if y == k}) for k in (0, 1)]
+    odds = {}
+    for f in {f for y, _, w in learn if y for f in every(w)}:
+        seen = [{m for y, m, w in learn if y == k and f in every(w)} for k in (0, 1)]
+        x = np.log((len(seen[1]) + 0.5) / (totals[1] + 1)) - np.log((len(seen[0]) + 0.5) / (totals[0] + 1))
+        if len(seen[1]) >= support and x >= tox.LEAST_ODDS:
+            odds[f] = x
+    return odds
+
+
+def test_lexicon_and_score_equal_brute_force(spark, models):
+    rows = corpus(150)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    found = tox.sample(docs, labels, models[0], "toxic", 1500)
+    own = tox.Restorer(models[0])
+    assert sorted(w for _, _, w in found) == sorted(b" ".join(sorted(set(own.restore(t.lower()).encode().translate(tox._LETTERS).split()))) for _, t, _ in rows)
+    lexicon = tox.Lexicon(found)
+    want = plain_lexicon(found)
+    assert want and lexicon.odds.keys() == want.keys()
+    assert all(abs(lexicon.odds[f] - x) < 1e-12 for f, x in want.items())
+    got = {r.doc_id: r.score for r in tox.score(docs, (models[0], lexicon)).collect()}
+    for i, t, _ in rows:
+        words = set(own.restore(t.lower()).encode().translate(tox._LETTERS).split())
+        best = {w: max([want.get(w, 0)] + [want.get(w[:k] + b"-", 0) for k in (4, 5, 6) if len(w) > k]) for w in words}
+        best = sorted((x for x in best.values() if x > 0), reverse=True)
+        x = [*(best[:3] + [0, 0, 0])[:3], np.log1p(len(best)), np.log1p(100 * len(best) / (len(words) + 20))]
+        z = (np.array(x) - lexicon.curve.mean) / lexicon.curve.spread @ lexicon.curve.weights[:-1] + lexicon.curve.weights[-1]
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_every_word_of_a_labelled_text_counts(spark, models):
+    text = " ".join("".join(random.Random(i).choices("abcdefghijklmnop", k=8)) for i in range(6000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (_, _, w), = tox.sample(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), models[0], "toxic", 10)
+    assert set(w.split()) == set(tox.Restorer(models[0]).restore(text).encode().split())
