@@ -15,21 +15,19 @@ from . import common
 
 #: Hash buckets of n-grams.
 DIMS = 4096
-#: Learnt rows per language that the centroids are fitted on, and over all languages; document frequencies count all
-#: learnt rows.
-FIT_ROWS, ALL_FIT_ROWS = 700, 10_000
-#: Characters of a fitted row's stretch: a fitted text is cut into stretches and one of them, by hash, is used.
-FIT_CHARS = 3000
+#: Learnt rows per language that the centroids are fitted on, whole, and over all languages; and bytes of their texts over
+#: all languages, beyond which fewer rows are taken (one per language at least). Document frequencies count all learnt rows.
+FIT_ROWS, ALL_FIT_ROWS, ALL_FIT_BYTES = 700, 10_000, 32 << 20
 CENTROIDS = 4
 STEPS = 12
-#: Languages that a model may hold; more raise an error, as the model goes to every task.
-MOST_LANGUAGES = 500
+#: Languages whose centroids (64 KB each) go to a task at once; more go block after block, with the same results.
+BLOCK_LANGUAGES = 500
 #: A document is rejected if its cosine is below a floor for its language and length. This share of the language's fitted
 #: rows, cut to that length, falls under `own`; this share of other languages' rows exceeds `other`. Where these lie apart
 #: the floor is below `own` by REJECT_GAP of the way to `other`, else it is `own`.
 REJECT_SHARE, REJECT_GAP = 0.005, 0.25
-#: Characters that fitted rows are cut to, and rows of such a length that a floor takes at least.
-REJECT_CUTS, LEAST_CUT_ROWS = (5, 10, 20, 40, 80, 160, 320, 640, 1280, FIT_CHARS), 20
+#: Characters that fitted rows are cut to: five, and twice as many each time, while so many rows of a language are as long.
+LEAST_CUT, LEAST_CUT_ROWS = 5, 20
 #: Sharpness of the score.
 TEMPERATURE = 0.05
 #: Bytes of text whose n-grams are held at once.
@@ -38,11 +36,6 @@ CALL_BYTES = 1 << 18
 _MIX = np.uint32(2654435761)
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Hash buckets of the 2- and 3-grams of a text's characters: lower case, all but letters folded to one space."""
-    return _buckets(np.frombuffer(text.lower().encode("utf-32-le"), np.uint32))
-
-
 _LETTER = np.zeros(0x110000, bool)
 _ready = False
 
@@ -55,26 +48,38 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def _buckets(codes: np.ndarray) -> np.ndarray:
-    letter = _letters()[codes]
-    c = np.concatenate((np.array([32], np.uint32), np.where(letter, codes, np.uint32(32)), np.array([32], np.uint32)))
-    keep = np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))
-    c = c[keep]
+def _folded(codes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """`before` and codes after it, all but letters as one space."""
+    c = np.concatenate((before, np.where(_letters()[codes], codes, np.uint32(32))))
+    return c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
+
+
+def _buckets(c: np.ndarray, known: int) -> np.ndarray:
+    """Hash buckets of the 2- and 3-grams of folded characters that end after the first `known`."""
     two = c[:-1] * np.uint32(0x10001) + c[1:] * np.uint32(0x3D4D51CB)
     three = two[:-1] * np.uint32(0x85EBCA6B) + c[2:] * np.uint32(0xC2B2AE35)
-    return np.concatenate((two * _MIX >> np.uint32(20), three * _MIX >> np.uint32(20))).astype(np.int64)
+    return np.concatenate((two[known - 1 :] * _MIX >> np.uint32(20), three[max(0, known - 2) :] * _MIX >> np.uint32(20))).astype(np.int64)
 
 
-def counts(text: str) -> np.ndarray | None:
-    """N-gram counts of a whole text, stretch by stretch; None if it has no letters."""
-    out = np.zeros(DIMS, np.float32)
-    some = False
+def counts(text: str, stretch: int = CALL_BYTES) -> np.ndarray | None:
+    """Counts of a whole text's n-grams by hash bucket, stretch by stretch; None if it has no letters.
+
+    Lower case; all but letters fold to one space, and a space stands at both ends. The last characters of a stretch go
+    before the next, so the counts are those of the text as one.
+    """
+    out = np.zeros(DIMS, np.int64)
     low = text.lower()
-    for i in range(0, len(low), CALL_BYTES):
-        codes = np.frombuffer(low[max(0, i - 2) : i + CALL_BYTES].encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.array([32], np.uint32)
+    some = False
+    for i in range(0, len(low) + 1, stretch):
+        codes = np.frombuffer(low[i : i + stretch].encode("utf-32-le", "surrogatepass"), np.uint32)
         some = some or bool(_letters()[codes].any())
-        out += np.bincount(_buckets(codes), minlength=DIMS)
-    return out if some else None
+        if i + stretch > len(low):
+            codes = np.append(codes, np.uint32(32))
+        before = c[-2:]
+        c = _folded(codes, before)
+        out += np.bincount(_buckets(c, len(before)), minlength=DIMS)
+    return out.astype(np.float32) if some else None
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -100,29 +105,36 @@ class Model:
     def _floors(self, texts: dict[str, list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per language the floors, and the logs of the n-grams of a text that they hold for."""
         found: list[list[tuple[float, float]]] = [[] for _ in self.languages]
-        for cut in (*REJECT_CUTS, None):
-            best, size, of = [], [], []
-            for k, lang in enumerate(self.languages):
-                if cut is None and found[k]:
-                    continue  # all rows at their own lengths stand in only where each cut had too few
-                n = [c for t in texts[lang] if cut is None or len(t) >= cut if (c := counts(t[:cut])) is not None]
-                if n:
-                    n = np.stack(n)
-                    best.append(self.cosines(n))
-                    size.append(np.log(n.sum(axis=1)))
-                    of.append(np.full(len(n), k))
-            if not of:
-                continue
-            best, size, of = np.concatenate(best), np.concatenate(size), np.concatenate(of)
-            for k in range(len(self.languages)):
-                if (of == k).sum() < (LEAST_CUT_ROWS if cut else 1):
-                    continue
-                own = other = np.quantile(best[of == k, k], REJECT_SHARE)
-                if (of != k).any():
-                    other = min(own, np.quantile(best[of != k, k], 1 - REJECT_SHARE))
-                found[k].append((float(size[of == k].mean()), float(own - REJECT_GAP * (own - other))))
+        cut = LEAST_CUT
+        while any(sum(len(t) >= cut for t in x) >= LEAST_CUT_ROWS for x in texts.values()):
+            self._floor(texts, cut, found)
+            cut *= 2
+        self._floor(texts, None, found)
         return [(np.array([x for x, _ in f]), np.array([y for _, y in f])) for f in found]
 
+    def _floor(self, texts: dict[str, list[str]], cut: int | None, found: list[list[tuple[float, float]]]) -> None:
+        """Adds the floors of texts cut to a length; without one, those of whole texts, where no cut had rows enough."""
+        best, size, of = [], [], []
+        for k, lang in enumerate(self.languages):
+            if cut is None and found[k]:
+                continue
+            n = [c for t in texts[lang] if cut is None or len(t) >= cut if (c := counts(t[:cut])) is not None]
+            if n:
+                n = np.stack(n)
+                best.append(self.cosines(n))
+                size.append(np.log(n.sum(axis=1)))
+                of.append(np.full(len(n), k))
+        if not of:
+            return
+        best, size, of = np.concatenate(best), np.concatenate(size), np.concatenate(of)
+        for k in range(len(self.languages)):
+            if (of == k).sum() < (LEAST_CUT_ROWS if cut else 1):
+                continue
+            own = other = np.quantile(best[of == k, k], REJECT_SHARE)
+            if (of != k).any():
+                other = min(own, np.quantile(best[of != k, k], 1 - REJECT_SHARE))
+            found[k].append((float(size[of == k].mean()), float(own - REJECT_GAP * (own - other))))
+
     def vectors(self, n: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(n) * self.idf)
 
@@ -134,15 +146,26 @@ class Model:
             best[:, k] = cos[:, self.of == k].max(axis=1)
         return best
 
-    def predict(self, n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score, cosine and rejection of rows of counts."""
+    def blocks(self, most: int) -> list[Model]:
+        """The model in parts of at most so many languages."""
+        out = []
+        for a in range(0, len(self.languages), most):
+            part = object.__new__(Model)
+            part.idf, part.languages, part.floors = self.idf, self.languages[a : a + most], self.floors[a : a + most]
+            own = (self.of >= a) & (self.of < a + most)
+            part.centres, part.of = self.centres[own], self.of[own] - a
+            out.append(part)
+        return out
+
+    def nearest(self, n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows of counts: the nearest language (the first of equals), its cosine, the floor it has to reach, and the
+        weight of all languages, in which the nearest has 1.
+        """
         best = self.cosines(n)
         at = best.argmax(axis=1)
         top = best[np.arange(len(n)), at]
-        size = np.log(n.sum(axis=1))
-        floor = np.array([np.interp(x, *self.floors[k]) for x, k in zip(size, at, strict=True)])
-        share = np.exp((best - top[:, None]) / TEMPERATURE)
-        return [self.languages[k] for k in at], 1 / share.sum(axis=1), top, top < floor
+        floor = np.array([np.interp(x, *self.floors[k]) for x, k in zip(np.log(n.sum(axis=1)), at, strict=True)])
+        return [self.languages[k] for k in at], top, floor, np.exp((best - top[:, None]) / TEMPERATURE).sum(axis=1)
 
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:
@@ -170,7 +193,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     """Learns from rows with a text with letters and a non-null lang; None if there are none.
 
     Document frequencies are counted over all rows, in vectors of DIMS numbers. Centroids are fitted on at most fit_rows
-    rows per language (fewer if languages are many), those of least hash, each a stretch of FIT_CHARS characters chosen by hash: a bounded sample.
+    rows per language (fewer if languages are many, or texts long), whole, those of least hash: a bounded sample. Rows
+    that repeat teach as often as they are there; rows of equal hash are taken in the order of their texts.
     """
     rows = common.hidden(docs, text=text, lang=lang, order=order).filter("lang is not null and text is not null")
 
@@ -188,50 +212,76 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "d
     if not df.get(-1):
         return None
     idf = np.log((1 + df[-1]) / (1 + np.array([df[k] for k in range(DIMS)]))) + 1
-    key = F.xxhash64("order", "text")
-    n_parts = F.greatest(F.floor(F.length("text") / FIT_CHARS), F.lit(1))
-    start = F.pmod(F.xxhash64("order", "text", F.lit(1)), n_parts) * FIT_CHARS + 1
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    fit_rows = max(20, min(fit_rows, ALL_FIT_ROWS // max(1, len(sizes))))
+    scratch = common.Scratch(docs.sparkSession)
+    sizes = scratch.write(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    languages = max(1, sizes.count())
+    fit_rows = max(20, min(fit_rows, ALL_FIT_ROWS // languages))
     # About twice the rows wanted, by hash, so the exact choice is of a bounded number of rows.
-    odds = F.lit(1.0)
-    for name, n in sizes.items():
-        odds = F.when(F.col("lang") == name, F.lit(min(1.0, 2 * fit_rows / n))).otherwise(odds)
-    chosen = rows.select("lang", "text", key.alias("key"), start.cast("int").alias("start")).filter(F.pmod(F.col("key"), F.lit(1 << 20)) < odds * (1 << 20))
-    by: dict[str, list[tuple[int, str]]] = {}
-    for r in chosen.select("lang", "key", F.col("text").substr(F.col("start"), F.lit(FIT_CHARS)).alias("t")).toLocalIterator():
-        if any(c.isalpha() for c in r.t):
-            by.setdefault(r.lang, []).append((r.key, r.t))
-    return Model(idf, {name: [t for _, t in sorted(x)[:fit_rows]] for name, x in by.items()}) if by else None
-
-
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    key = F.xxhash64("order", "text")
+    some = common.attach(rows.select("lang", "text", key.alias("key")), sizes, ["lang"], "inner", small_rows=languages)
+    some = scratch.write(some.filter(F.pmod("key", F.lit(1 << 20)) < F.lit(2.0 * fit_rows) / F.col("n") * (1 << 20)).select("lang", "key", "text"), "sample")
+    held: dict[str, list[int]] = {}
+    took: dict[str, int] = {}
+    for name, k, size in sorted(tuple(r) for r in some.select("lang", "key", F.octet_length("text")).collect()):
+        own = held.setdefault(name, [])
+        if len(own) < fit_rows and (not own or took[name] + size <= ALL_FIT_BYTES // languages):
+            own.append(k)
+            took[name] = took.get(name, 0) + size
+    few = docs.sparkSession.createDataFrame(sorted({(name, k) for name, own in held.items() for k in own}), "lang string, key long")
+    by: dict[str, list[str]] = {}
+    for name, _, t in sorted(tuple(r) for r in some.join(F.broadcast(few), ["lang", "key"], "left_semi").select("lang", "key", "text").collect()):
+        if any(c.isalpha() for c in t):
+            by.setdefault(name, []).append(t)
+    return Model(idf, by) if by else None
+
+
+_NEW = "lang_pred string, score double, cosine double, rejected boolean"
+
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text", block: int = BLOCK_LANGUAGES) -> DataFrame:
     """docs with lang_pred, score, cosine and rejected; columns of docs with these names give way.
 
-    Texts that are null or have no letter are `und`, with score 0, and rejected. Whole texts are read, in stretches.
-    Without a model every text is `und`.
+    Texts that are null or have no letter are `und`, with score 0, and rejected. Whole texts are read, in stretches. Of
+    languages that are as near the first by name is taken; rows that repeat are judged alike. Without a model every text
+    is `und`; an empty table gives no rows. A model of more than `block` languages is asked block after block: each step
+    holds one block's centroids, and goes on from the nearest language of the steps before it.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "cosine", "rejected")]
-    src = docs.select(*keep)
-    schema = T.StructType([*src.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, cosine double, rejected boolean").fields])
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        for batch in batches:
-            lang, score, cosine, rejected = ["und"] * batch.num_rows, [0.0] * batch.num_rows, [0.0] * batch.num_rows, [True] * batch.num_rows
-            col = batch.column(batch.schema.get_field_index(text))
-            for a in range(0, batch.num_rows if own else 0, 256):
-                n = [counts(t) if t else None for t in col.slice(a, 256).to_pylist()]
-                at = [i for i, c in enumerate(n) if c is not None]
-                if at:
-                    for i, *r in zip(at, *own.predict(np.stack([n[i] for i in at])), strict=True):
-                        lang[a + i], score[a + i], cosine[a + i], rejected[a + i] = r[0], float(r[1]), float(r[2]), bool(r[3])
-            yield common.with_columns(batch, keep, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()), cosine=pa.array(cosine, pa.float64()), rejected=pa.array(rejected, pa.bool_()))
-
-    return map_arrow(src, run, schema)
+    out = docs.select(*keep)
+    schema = T.StructType([*out.schema.fields, *T.StructType.fromDDL(_NEW).fields])
+
+    def step(before: DataFrame, part: Model | None, first: bool) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = held.value
+            for batch in batches:
+                of = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
+                lang, score, cosine, rejected = ([x] * batch.num_rows for x in ("und", 0.0, 0.0, True)) if first else map(of, ("lang_pred", "score", "cosine", "rejected"))
+                col = batch.column(batch.schema.get_field_index(text))
+                for a in range(0, batch.num_rows if own else 0, 256):
+                    n = [counts(t) if t else None for t in col.slice(a, 256).to_pylist()]
+                    at = [i for i, c in enumerate(n) if c is not None]
+                    if not at:
+                        continue
+                    for i, name, top, floor, weight in zip(at, *own.nearest(np.stack([n[i] for i in at])), strict=True):
+                        k = a + i
+                        if score[k] == 0:  # no language has been asked yet
+                            lang[k], cosine[k], rejected[k], score[k] = name, float(top), bool(top < floor), float(1 / weight)
+                            continue
+                        # Weights are in measure of the nearest language of those asked so far.
+                        both = max(cosine[k], float(top))
+                        total = np.exp((cosine[k] - both) / TEMPERATURE) / score[k] + weight * np.exp((top - both) / TEMPERATURE)
+                        if top > cosine[k]:
+                            lang[k], cosine[k], rejected[k] = name, float(top), bool(top < floor)
+                        score[k] = float(1 / total)
+                yield common.with_columns(batch, keep, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()), cosine=pa.array(cosine, pa.float64()), rejected=pa.array(rejected, pa.bool_()))
+
+        return map_arrow(before, run, schema)
+
+    for k, part in enumerate(model.blocks(block) if model else [None]):
+        out = step(out, part, k == 0)
+    return out
 
 
 def learnt(docs: DataFrame) -> DataFrame:

@@ -52,11 +52,78 @@ def test_no_rows(spark):
     assert langid.predict(docs, None).count() == 0
 
 
-def test_long_texts_are_counted_whole():
-    text = "".join(random.Random(1).choice("abc de") for _ in range(langid.CALL_BYTES * 2 + 77))
-    parts = langid.counts(text)
-    whole = np.bincount(langid._buckets(np.frombuffer(text.encode("utf-32-le"), np.uint32)), minlength=langid.DIMS)
-    assert abs(parts - whole).sum() <= 20  # a stretch begins and ends with a space of its own
+def plain_counts(text):
+    """N-grams of the folded text as one, bucket by bucket in whole numbers."""
+    folded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in folded:
+        folded = folded.replace("  ", " ")
+    out = np.zeros(langid.DIMS, np.int64)
+    c = list(map(ord, folded))
+    for i in range(len(c) - 1):
+        two = c[i] * 0x10001 + c[i + 1] * 0x3D4D51CB & 0xFFFFFFFF
+        out[(two * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        if i + 2 < len(c):
+            out[((two * 0x85EBCA6B + c[i + 2] * 0xC2B2AE35) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_texts_are_counted_whole(seed):
+    r = random.Random(seed)
+    text = "".join(r.choice(["abc de", "a  12", "é中 ñ!", " x"][seed]) for _ in range(3000)) + "z"
+    whole = plain_counts(text)
+    for stretch in (1, 2, 3, 7, 64, 1000, len(text), len(text) + 1, langid.CALL_BYTES):
+        assert abs(langid.counts(text, stretch) - whole).sum() == 0
+    text = "".join(r.choice("abc de") for _ in range(langid.CALL_BYTES * 2 + 77))
+    assert abs(langid.counts(text) - langid.counts(text, len(text) * 2)).sum() == 0
+    assert langid.counts(" 1 ", 1) is None and langid.counts("") is None
+
+
+def test_predictions_equal_brute_force(spark):
+    """Document frequencies, vectors, cosines, scores and rejection, one document at a time, from the model's centroids and floors."""
+    rows = corpus(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    n = np.stack([plain_counts(t) for _, t, _ in rows])
+    idf = np.log((1 + len(rows)) / (1 + (n > 0).sum(0))) + 1
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    assert all((model.of == k).sum() >= 1 for k in range(3)) and model.languages == sorted(SETS)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for (i, _, _), c in zip(rows, n, strict=True):
+        v = np.log1p(c) * idf
+        cos = model.centres @ (v / np.linalg.norm(v))
+        best = [max(x for x, of in zip(cos, model.of, strict=True) if of == k) for k in range(3)]
+        k = int(np.argmax(best))
+        assert got[i].lang_pred == model.languages[k] and abs(got[i].cosine - best[k]) < 1e-4
+        assert abs(got[i].score - 1 / sum(np.exp((x - best[k]) / 0.05) for x in best)) < 1e-2
+        floor = np.interp(np.log(c.sum()), *model.floors[k])
+        assert got[i].rejected == (best[k] < floor) or abs(best[k] - floor) < 1e-4
+
+
+def test_centroids_equal_brute_force():
+    """Spherical k-means from the farthest rows, in plain loops."""
+    r = np.random.default_rng(3)
+    x = langid._unit(np.abs(r.normal(size=(60, 12))) * (r.random((60, 12)) < 0.4) + 1e-3)
+    centres = [x[int(np.argmax([v @ x.mean(0) for v in x]))]]
+    while len(centres) < 3:
+        centres.append(x[int(np.argmin([max(v @ c for c in centres) for v in x]))])
+    for _ in range(langid.STEPS):
+        own = [int(np.argmax([v @ c for c in centres])) for v in x]
+        centres = [langid._unit(np.mean([v for v, o in zip(x, own, strict=True) if o == i], axis=0)) if i in own else c for i, c in enumerate(centres)]
+    own = [int(np.argmax([v @ c for c in centres])) for v in x]
+    want = [c for i, c in enumerate(centres) if own.count(i) >= min(len(x) * 0.02, max(own.count(j) for j in range(3)))]
+    assert np.allclose(langid._cluster(x, 3), want, atol=1e-6)
+
+
+def test_languages_in_blocks_give_the_same(spark):
+    rows = corpus(150)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + ODD if i is not None], "doc_id long, text string")
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = sorted((r.doc_id, r.lang_pred, r.rejected, round(r.score, 9), round(r.cosine, 9)) for r in langid.predict(docs, model).collect())
+    for block in (1, 2):
+        got = sorted((r.doc_id, r.lang_pred, r.rejected, round(r.score, 9), round(r.cosine, 9)) for r in langid.predict(docs, model, block=block).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert all(abs(g[3] - w[3]) < 1e-6 and abs(g[4] - w[4]) < 1e-6 for g, w in zip(got, want, strict=True))
 
 
 def test_a_language_left_out_of_training_is_rejected(spark):
