@@ -96,6 +96,26 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     return left.join(right, on, how).drop("__salt", "__salt2", *[f"__{k}" for k in keys])
 
 
+#: A key is hot if it holds more than one row in HOT_KEYS of all, so fewer keys than that are, and more than LEAST_HOT rows.
+HOT_KEYS, LEAST_HOT = 1000, 1000
+
+
+def attach_counted(big: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
+    """big inner-joined to small on key, where small has been written and has one row per key, and in `count` the rows that
+    big has of it; that column is dropped.
+
+    Hot keys, fewer than HOT_KEYS whatever the data, are broadcast, and their rows in big stay where they are. Only the
+    other keys are shuffled, so no task gets more of a key than that share of all rows.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    edge = max(total // HOT_KEYS, LEAST_HOT)
+    hot, cold = small.filter(F.col(count) > edge).drop(count), small.filter(F.col(count) <= edge).drop(count)
+    if total <= edge or hot.isEmpty():
+        return big.join(cold, key)
+    near = big.join(F.broadcast(hot), key)
+    return near.unionByName(big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts of an Arrow batch as UTF-8 bytes; null counts as empty."""
     return [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]

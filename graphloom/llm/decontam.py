@@ -16,8 +16,9 @@ from . import common
 WINDOW = 10
 #: Bytes of documents that one suffix array covers.
 SHARD_BYTES = 2 << 20
-#: Bytes of benchmark text that are searched at once; a larger benchmark is searched in several such blocks.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that are searched at once; a larger benchmark is searched in several such blocks, each for so
+#: many bytes of documents.
+BLOCK_BYTES, ROUND_BYTES = 8 << 20, 16 << 20
 
 #: ASCII letters fold to lower case, digits and bytes from 0x80 stay, all else parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -170,54 +171,94 @@ _MATCH = pa.list_(pa.struct([("at", pa.int64()), ("item_id", pa.string()), ("len
 _NEW = "n_words long, n_hit long, item_ids array<string>, matches array<struct<at:bigint,item_id:string,length:bigint>>, contaminated boolean"
 
 
-def _covered(matches: list[dict]) -> int:
-    """Words that lie in any match."""
-    total = end = 0
-    for m in sorted(matches, key=lambda m: m["at"]):
-        stop = m["at"] + m["length"]
-        total += max(0, stop - max(end, m["at"]))
-        end = max(end, stop)
-    return total
+class Findings:
+    """What has been found in some texts, over blocks of the benchmark: words hit, items, and the longest match of each place."""
+
+    def __init__(self, texts: int):
+        self.n_words = np.zeros(texts, np.int64)
+        self.items: list[set[str]] = [set() for _ in range(texts)]
+        #: place -> (length, item), per text with any
+        self.longest: dict[int, dict[int, tuple[int, str]]] = {}
+
+    def add(self, found: dict, pat: Patterns, first: int) -> None:
+        """Findings of a shard whose first text is number `first`."""
+        self.n_words[first : first + len(found["n_words"])] = found["n_words"]
+        if not len(found["text"]):
+            return
+        # A place may match many items, or one at many offsets: the longest is kept, of equals that of the first item.
+        text, at, item, length = (found[c] for c in ("text", "at", "item", "length"))
+        for t, i in np.unique(np.stack((text, item)), axis=1).T.tolist():
+            self.items[first + t].add(pat.names[i])
+        order = np.lexsort((item, -length, at, text))
+        new = np.concatenate(([True], (np.diff(text[order]) != 0) | (np.diff(at[order]) != 0)))
+        for t, p, i, n in zip(*(x[order][new].tolist() for x in (text, at, item, length)), strict=True):
+            own = self.longest.setdefault(first + t, {})
+            better = (-n, pat.names[i])
+            old = own.get(p)
+            if old is None or better < (-old[0], old[1]):
+                own[p] = (n, pat.names[i])
+
+    def matches(self, t: int) -> list[dict]:
+        return [{"at": p, "item_id": name, "length": n} for p, (n, name) in sorted(self.longest.get(t, {}).items())]
+
+    def hit(self, t: int) -> int:
+        """Words that lie in any match."""
+        total = end = 0
+        for p, (n, _) in sorted(self.longest.get(t, {}).items()):
+            total += max(0, p + n - max(end, p))
+            end = max(end, p + n)
+        return total
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, item_ids (sorted), matches and contaminated; columns of docs with these names give way.
 
-    A match is a place (word number) where a window of an item starts in the text, with the length of the longest
-    verbatim match there. Null and empty texts have no words; null and empty items are no windows; items that share an
-    id count as one; a null item id reads `null`. Empty tables give no rows, or no hits. A benchmark of more than
-    block_bytes is searched block after block in one pass over the documents; each step holds one block, and adds to the
-    matches of the steps before it.
+    A match is a place (word number) where a window of an item starts in the text, with the longest verbatim match there
+    and its item (of as long ones, the first by name). Null and empty texts have no words; null and empty items are no
+    windows; items that share an id count as one; a null item id reads `null`; rows that repeat are judged alike. Empty
+    tables give no rows, or no hits. Documents are read once: a benchmark of more than block_bytes is searched block
+    after block for some ROUND_BYTES of documents at a time, so a task holds one block's patterns.
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "matches", "contaminated")]
-    out = docs.select(*keep)
-    schema = T.StructType([*out.schema.fields, *T.StructType.fromDDL(_NEW).fields])
-
-    def step(before: DataFrame, block: list[tuple[str, bytes]], first: bool) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pat = Patterns(held.value, window)
-            for whole in batches:
-                texts = common.texts_of(whole, text)
-                for a, b in common.pieces([len(t) for t in texts], SHARD_BYTES):
-                    part = whole.slice(a, b - a)
-                    found = search(texts[a:b], pat)
-                    matches: list[list[dict]] = [[] for _ in range(a, b)] if first else [m or [] for m in part.column(part.schema.get_field_index("matches")).to_pylist()]
-                    for t, i, at, n in zip(*(found[c].tolist() for c in ("text", "item", "at", "length")), strict=True):
-                        matches[t].append({"at": at, "item_id": pat.names[i], "length": n})
-                    hit = [_covered(m) for m in matches]
-                    yield common.with_columns(
-                        part, keep, n_words=pa.array(found["n_words"], pa.int64()), n_hit=pa.array(hit, pa.int64()), item_ids=pa.array([sorted({x["item_id"] for x in m}) for m in matches], pa.list_(pa.string())),
-                        matches=pa.array(matches, _MATCH), contaminated=pa.array([h > 0 for h in hit], pa.bool_()),
-                    )
-
-        return map_arrow(before, run, schema)
-
-    for k, block in enumerate(item_blocks(items.select("item_id", "text"), block_bytes)):
-        out = step(out, block, k == 0)
-    return out
+    src = docs.select(*keep)
+    schema = T.StructType([*src.schema.fields, *T.StructType.fromDDL(_NEW).fields])
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items.select("item_id", "text"), block_bytes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = Patterns(blocks[0].value, window) if len(blocks) == 1 else None
+        for held in _rounds(batches, ROUND_BYTES if only is None else 1):
+            texts = [common.texts_of(b, text) for b in held]
+            found = [Findings(len(t)) for t in texts]
+            for block in blocks:
+                pat = only or Patterns(block.value, window)
+                if only is None:
+                    vars(block).pop("_value", None)  # the next block takes its place in memory
+                for own, some in zip(found, texts, strict=True):
+                    for a, b in common.pieces([len(t) for t in some], SHARD_BYTES):
+                        own.add(search(some[a:b], pat), pat, a)
+            for batch, own in zip(held, found, strict=True):
+                every = range(batch.num_rows)
+                hit = [own.hit(t) for t in every]
+                yield common.with_columns(
+                    batch, keep, n_words=pa.array(own.n_words), n_hit=pa.array(hit, pa.int64()), item_ids=pa.array([sorted(own.items[t]) for t in every], pa.list_(pa.string())),
+                    matches=pa.array([own.matches(t) for t in every], _MATCH), contaminated=pa.array([h > 0 for h in hit], pa.bool_()),
+                )
+
+    return map_arrow(src, run, schema)
+
+
+def _rounds(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that add up to about `most` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,11 @@ class Model:
             out.append(part)
         return out
 
+    def predict(self, n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, cosine and rejection of rows of counts."""
+        names, top, floor, weight = self.nearest(n)
+        return names, 1 / weight, top, top < floor
+
     def nearest(self, n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of rows of counts: the nearest language (the first of equals), its cosine, the floor it has to reach, and the
         weight of all languages, in which the nearest has 1.

@@ -280,7 +280,9 @@ def classes(docs: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
     """Per row: doc_id, carried (the column `key`, a hash of the row's id and text), component_root; rows with one root are
     copies, or near copies by the similarity of their shingles, of each other or by way of others.
 
-    Null and blank texts are copies of each other. Texts with the same shingles are one node.
+    Null and blank texts are copies of each other. Texts with the same shingles are one node, however many rows have
+    them; rows that repeat an id are rows of their own. An empty table gives no rows; other columns are not carried, so
+    none can clash.
     """
     scratch = common.Scratch(docs.sparkSession)
     own = common.hidden(docs, doc_id=doc_id, text=text, carried=key)
@@ -295,13 +297,14 @@ def classes(docs: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
             yield common.with_columns(batch, ["doc_id", "carried"], fp=pa.array(fps, pa.binary()), id=pa.array(ids, pa.int64()))
 
     rows = scratch.write(map_arrow(own, run, "doc_id long, carried long, fp binary, id long"), "fingerprints")
-    nodes = scratch.write(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("carried").alias("carried")), "nodes")
+    nodes = scratch.write(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("carried").alias("carried"), F.count(F.lit(1)).alias("n")), "nodes")
     near = scratch.write(simhash.components(scratch, scratch.write(links(nodes.select("id", "fp"), nodes.count()), "links")), "near")
     # One row's text of each node that has candidates; only these texts move.
     asked = scratch.write(nodes.join(near, nodes.id == near.node).select("carried", "id", "root"), "asked")
     members = common.attach(own.select("carried", "text"), asked, ["carried"], "inner").select("id", "root", "text")
     roots = scratch.write(simhash.components(scratch, scratch.write(verified(members), "alike"), "exact"), "roots")
-    return rows.join(roots, rows.id == roots.node, "left").select("doc_id", "carried", F.coalesce("root", "id").alias("component_root"))
+    named = scratch.write(nodes.join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("component_root"), "n"), "named")
+    return common.attach_counted(rows.drop("fp"), named, "id", "n").select("doc_id", "carried", "component_root")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ CHANCE = 1e-6
 #: documents do. So it is never singular, and a group of any size has an estimate of its own, by one rule.
 PRIOR = 5.0
 #: Change of means and log determinants at which the concentration steps end; it doubles with each step after so many, so they always end.
-TOLERANCE, PATIENCE = 1e-4, 25
+TOLERANCE, PATIENCE = 1e-3, 25
 #: Bins per doubling of a squared distance, in which the core's edge is found; the bin at the edge counts in part.
 BINS = 64
 #: Steps per unit in which medians and scales of the statistics are found.
@@ -235,6 +235,13 @@ def _better(state: DataFrame) -> DataFrame:
     return state.select(*_KEY, "rows", F.array_min(F.transform("s", lambda x: F.struct(x["log_det"], x["start"], x["e"].alias("e"))))["e"].alias("best"))
 
 
+def _with_parents(state: DataFrame, top: Column) -> DataFrame:
+    """state with the estimate `up` of the group one level up; `top` for all documents."""
+    parents = _better(state).filter("level < 2").select(F.col("level").alias("u_level"), F.col("lang").alias("u_lang"), F.col("best").alias("up"))
+    above = F.when(F.col("level") == 2, F.col("lang"))
+    return state.join(parents, (F.col("u_level") == F.col("level") - 1) & F.col("u_lang").eqNullSafe(above), "left").select(*_KEY, "rows", "s", F.coalesce("up", top).alias("up"))
+
+
 def estimates(scratch: common.Scratch, points: DataFrame, p: int, core: float = CORE, prior: float = PRIOR, least: list[float] | None = None) -> DataFrame:
     """Per group of points (lang, source, z_i), on all three levels: level, lang, source, rows, best (struct of mu_i and l_i_j, of the core).
 
@@ -255,23 +262,22 @@ def estimates(scratch: common.Scratch, points: DataFrame, p: int, core: float =
     group = W.partitionBy(*_KEY, "start")
     # The second start's first step takes all rows as its core: they share a bin.
     edge = F.when(F.col("whole"), F.lit(0)).otherwise(F.floor(F.log2(est.distance("e") + F.lit(1e-9)) * BINS).cast("int"))
-    sums = [f"m_{i}" for i in range(p)] + [f"m_{i}_{j}" for i, j in est.pairs]
+    sums = ["m_n", *[f"m_{i}" for i in range(p)], *[f"m_{i}_{j}" for i, j in est.pairs]]
     before = F.coalesce(F.sum("m_n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     wanted = F.when(F.col("whole"), F.col("total")).otherwise(F.ceil(F.col("total") * core))
     share = F.greatest(F.least((wanted - F.col("before")) / F.col("m_n"), F.lit(1.0)), F.lit(0.0))
-    none = F.lit(None).cast("string")
     moments, solved = est.moments("e"), est.solved(prior)
     moved = F.when(F.col("whole"), F.lit(math.inf)).otherwise(F.greatest(F.abs(F.col("log_det") - F.col("was")), *[F.abs(F.col(f"mu_{i}") - F.col(f"e.mu_{i}")) for i in range(p)]))
     while groups:
-        near = common.attach(rows, state.select(*_KEY, "s"), _KEY, "inner", small_rows=groups).select(*_KEY, F.explode("s").alias("s"), *z).select(*_KEY, "s.start", "s.e", "s.whole", *z)
-        part = near.withColumn("bin", edge).groupBy(*_KEY, "start", "bin").agg(*moments, F.first("whole").alias("whole"))
-        part = part.withColumn("before", before).withColumn("total", F.sum("m_n").over(group)).withColumn("share", share).filter("share > 0")
-        summed = part.groupBy(*_KEY, "start").agg(*[F.sum(F.col(c) * F.col("share")).alias(c) for c in ["m_n", *sums]])
-        parents = _better(state).filter("level < 2").select(F.col("level").alias("u_level"), F.col("lang").alias("u_lang"), F.col("best").alias("up"))
-        last = state.select(*_KEY, "rows", F.explode("s").alias("s")).select(*[F.col(c).alias(f"o_{c}") for c in _KEY], "rows", F.col("s.start").alias("o_start"), "s.e", "s.whole", F.col("s.log_det").alias("was"))
-        last = last.join(parents, (F.col("u_level") == F.col("o_level") - 1) & F.col("u_lang").eqNullSafe(F.when(F.col("o_level") == 2, F.col("o_lang")).otherwise(none)), "left").withColumn("up", F.coalesce("up", top))
-        both = summed.join(last, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in [*_KEY, "start"]]))
-        new = est.factored(both.select(*_KEY, "rows", "start", "e", "whole", "was", *solved)).withColumn("moved", moved)
+        last = _with_parents(state, top)
+        near = common.attach(rows, last, _KEY, "inner", small_rows=groups).select(*_KEY, F.explode("s").alias("s"), *z).select(*_KEY, "s.start", "s.e", "s.whole", *z)
+        bins = near.withColumn("bin", edge).groupBy(*_KEY, "start", "bin").agg(*moments, F.max("whole").alias("whole"))
+        # Bins of a group meet once, and stay so for all that follows.
+        part = bins.repartition(*_KEY).withColumn("before", before).withColumn("total", F.sum("m_n").over(group)).withColumn("share", share).filter("share > 0")
+        summed = part.groupBy(*_KEY, "start").agg(*[F.sum(F.col(c) * F.col("share")).alias(c) for c in sums])
+        flat = last.select(*_KEY, "rows", F.explode("s").alias("s"), "up").select(*_KEY, "rows", "s.start", "s.e", "s.whole", F.col("s.log_det").alias("was"), "up")
+        own = common.attach(summed, flat, [*_KEY, "start"], "inner", small_rows=2 * groups)
+        new = est.factored(own.select(*_KEY, "rows", "start", "e", "whole", "was", *solved)).withColumn("moved", moved)
         new = new.groupBy(*_KEY).agg(F.max("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("start", F.struct(*est.columns).alias("e"), "log_det", F.lit(False).alias("whole"), "moved"))).alias("s"))
         step += 1
         state = scratch.write(new, f"step{step}")

@@ -180,7 +180,7 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed = nodes.select("fp", tables.alias("k")).select("fp", F.xxhash64("k.table", "k.bits").alias("key"))
     scratch = common.Scratch(nodes.sparkSession)
     sizes = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    keyed = keyed.join(sizes, "key")
+    keyed = common.attach_counted(keyed, sizes.withColumn("rows", F.col("n")), "key", "rows")
     n_blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), n_blocks).cast("int")
     # In a bucket of several blocks a row goes to each pair of blocks that holds its own.
@@ -236,13 +236,13 @@ def components(scratch: common.Scratch, edges: DataFrame, name: str = "cc") -> D
     step, last = 0, None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Least neighbours are written before they are joined: a node with very many links is then split over tasks.
+        # Least neighbours are counted and written before they are joined: a node with very many links stays dealt over tasks.
         # large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours
-        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), f"{name}least")
-        large = scratch.write(both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b").filter("a <> b").distinct(), f"{name}large")
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), f"{name}least")
+        large = scratch.write(common.attach_counted(both.filter("b > a"), least, "a", "n").select(F.col("m").alias("a"), "b").filter("a <> b").distinct(), f"{name}large")
         # small star: the smaller neighbours of a node, and the node, are linked to the smallest of them
-        low = scratch.write(large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "n"), f"{name}low")
-        small = large.join(low, F.col("b") == F.col("n")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
+        low = scratch.write(large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}low")
+        small = common.attach_counted(large, low, "b", "n").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
         step += 1
         new = scratch.write(small, f"{name}{step}")
         sign = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -257,17 +257,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     """Per row: doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id that links reach, itself included).
 
     Null and blank texts have fingerprint zero and link like any other. Null ids never name a component; a component of
-    null ids only has a null name. Rows that repeat an id are rows of their own. An empty table gives no rows.
+    null ids only has a null name. Rows that repeat an id are rows of their own. An empty table gives no rows; other
+    columns are not carried, so none can clash.
     """
     scratch = common.Scratch(docs.sparkSession)
     rows = scratch.write(fingerprints(common.hidden(docs, doc_id=doc_id, text=text), "text", shingle), "fingerprints")
     # Texts with one fingerprint are one node, so copies add no links; nodes and links are of the size of the distinct fingerprints.
-    nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = scratch.write(components(scratch, scratch.write(links(nodes.select("fp")), "links")), "roots")
-    merged = scratch.write(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "merged")
-    smallest = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.write(merged.join(smallest, "root").select("fp", "root", "component_id"), "named")
-    out = rows.join(named, "fp")
+    merged = scratch.write(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "merged")
+    smallest = scratch.write(merged.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "smallest")
+    named = scratch.write(common.attach_counted(merged, smallest, "root", "nodes").select("fp", "root", "component_id", "n"), "named")
+    out = common.attach_counted(rows, named, "fp", "n")
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("root").alias("component_root"))
 
 

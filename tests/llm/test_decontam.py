@@ -68,5 +68,18 @@ def test_odd_rows(spark):
     check(spark, [], items)
 
 
+def test_matches_are_the_longest_of_their_places(spark):
+    """Many items at one place, one item at many offsets, three blocks: one match per place, and all items."""
+    line = "a b a b a b a b a b a b a b"
+    items = [(i, line) for i in range(40)] + [(77, line + " c d e"), (78, "c d e f g h i j k l m"), (79, "q " * 3)]
+    got = check(spark, [(1, line + " c d e f g h i j k l m x"), (2, "q q q q"), (3, None)] * 2, items, block_bytes=400)
+    assert len(list(decontam.item_blocks(spark.createDataFrame(items, "item_id long, text string"), 400))) >= 3
+    for r in got:
+        assert len({m.at for m in r.matches}) == len(r.matches)
+    places = {m.at: (m.length, m.item_id) for m in got[0].matches}
+    assert places[0] == (17, "77") and places[14] == (11, "78")
+    assert places[1] == (16, "77") and places[2][0] == 15
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

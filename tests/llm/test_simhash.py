@@ -80,6 +80,28 @@ def test_bit_slices_equal_plain_distances(radius):
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
+def test_a_hub_and_a_hot_fingerprint(spark, monkeypatch):
+    """A node of 10,000 links, and a fingerprint with a third of the rows: components are whole, and hot keys are not shuffled."""
+    hub, n = 5, 10_000
+    edges = spark.range(n).selectExpr(f"{hub}L AS a", "id * 3 + 100 AS b").union(spark.range(300).selectExpr("id * 3 + 100 AS a", "id * 3 + 101 AS b"))
+    got = {r.node: r.root for r in simhash.components(common.Scratch(spark), edges).collect()}
+    assert len(got) == n + 1 + 300 and set(got.values()) == {hub}
+    docs = spark.createDataFrame([(i, None if i % 3 == 0 else f"w{i} x{i} y{i} z{i}") for i in range(3600)], "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in simhash.classes(docs).collect()}
+    assert {want[i] for i in range(0, 3600, 3)} == {0}
+    monkeypatch.setattr(common, "LEAST_HOT", 10**9)
+    assert {r.doc_id: r.component_id for r in simhash.classes(docs).collect()} == want
+
+
+def test_hot_keys_are_broadcast(spark):
+    big = spark.range(40_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v")
+    small = big.groupBy("k").count().withColumn("name", common.F.col("k") * 2)
+    out = common.attach_counted(big, small, "k", "count")
+    assert out.columns == ["k", "v", "name"] and out.count() == 40_000 and out.filter("name <> k * 2").isEmpty()
+    assert "Union" in out._jdf.queryExecution().toString()
+    assert common.attach_counted(big.limit(0), small.limit(0), "k", "count").count() == 0
+
+
 ODD = [None, "", " \n", "Wörter ÀÉ", "one", "ONE", "two words", "a b c", "a b c d", "x " * 3000, "\x85 \xa0 a\x0bb"]
 
 
