@@ -15,6 +15,7 @@ STATUS_TEXT = {"uploaded": "等待处理", "processing": "处理中", "completed
 STATUS_MESSAGE = {"uploaded": "📄 等待开始GraphRAG处理...", "processing": "🚀 正在进行GraphRAG处理...", "completed": "✅ 处理完成", "failed": "❌ 处理失败"}
 PROGRESS_BANDS = [(5, "🚀 正在启动GraphRAG处理..."), (30, "📖 正在提取PDF内容..."), (50, "🔤 正在生成嵌入向量..."), (65, "💾 正在保存向量数据..."), (86, "🧠 正在构建知识图谱..."), (99, "🕸️ 正在保存图数据...")]
 PROGRESS_LAST, PROGRESS_UPLOADED = "🎉 即将完成...", "📄 准备开始GraphRAG处理..."
+KIND_NAMES = {"image": "图片", "table": "表格", "chart": "图表"}
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp"}
 DATES = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{4}年\d{1,2}月\d{1,2}日)"
 
@@ -67,6 +68,29 @@ def mapped(x: Column, values: dict[str, str], other: str) -> Column:
     return out
 
 
+def kind_name(x: Column) -> Column:
+    """How a kind of content is shown; an unknown one as it is."""
+    return F.coalesce(F.create_map(*[F.lit(v) for pair in KIND_NAMES.items() for v in pair])[x], x)
+
+
+def iso_time(ts: Column) -> Column:
+    """Date and time as ISO 8601 text, with microseconds where there are any."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(ts, "SSSSSS") != "000000", F.date_format(ts, ".SSSSSS")).otherwise(F.lit("")))
+
+
+def two_decimals(x: Column) -> Column:
+    """A double with two decimals, rounded by its exact value, ties to the even digit; the usual formats round its shortest decimal form, ties up."""
+    whole = F.floor(F.abs(x))
+    f = F.abs(x) - whole
+    high = f * 134217729.0 - (f * 134217729.0 - f)  # the upper half of the digits, so that both products are exact
+    q = f * 100.0
+    rest = (high * 100.0 - q) + (f - high) * 100.0  # what rounding took from q
+    tie = (q - F.floor(q)) == 0.5
+    n = F.when(tie & (rest > 0), F.floor(q) + 1).when(tie & (rest < 0), F.floor(q)).otherwise(F.rint(q)).cast("bigint")
+    exact = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), (whole + F.floor(n / 100)).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(F.abs(x) < 1e15, exact).otherwise(F.format_string("%.2f", x))
+
+
 def human_size(n: Column) -> Column:
     def in_unit(unit: int, name: str) -> Column:
         return F.concat(F.regexp_replace(F.round(n / float(unit), 2).cast("string"), r"\.0$", ""), F.lit(name))

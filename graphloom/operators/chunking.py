@@ -2,58 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from bisect import bisect_right
+from itertools import accumulate
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import prepare
 from ..functions.text import blank, language, strip
 
 SIZE, OVERLAP = 1000, 200
-_STATE = "struct<out:array<string>,cur:string>"
-_SENTENCE_END = "[.!?。！？]"
-
-
-def _state(out: Column, cur: Column) -> Column:
-    return F.struct(out.alias("out"), cur.alias("cur")).cast(_STATE)
-
-
-def _start() -> Column:
-    return _state(F.array().cast("array<string>"), F.lit(""))
-
-
-def _finish(s: Column) -> Column:
-    return F.when(blank(s["cur"]), s["out"]).otherwise(F.concat(s["out"], F.array(strip(s["cur"]))))
-
-
-def sentence_pieces(paragraph: Column, size: int) -> Column:
-    """Sentences packed to `size` characters, joined by an ideographic full stop; one over-long sentence is cut once."""
-    sentences = F.filter(F.transform(F.split(paragraph, _SENTENCE_END), strip), lambda s: s != "")
-
-    def take(s: Column, x: Column) -> Column:
-        full = F.length(s["cur"]) + F.length(x) > size
-        emit = F.when(s["cur"] != "", strip(s["cur"])).otherwise(F.substring(x, 1, size))
-        return F.when(full, _state(F.concat(s["out"], F.array(emit)), F.when(s["cur"] != "", x).otherwise(F.substring(x, F.lit(size + 1), F.length(x))))).otherwise(_state(s["out"], F.when(s["cur"] == "", x).otherwise(F.concat(s["cur"], F.lit("。"), x))))
-
-    return F.aggregate(sentences, _start(), take, _finish)
+_SENTENCE_END = re.compile("[.!?。！？]")
+
+
+def _joined(held: str, parts: list[str], at: int, ends: list[int], glue: str, size: int) -> tuple[str, int]:
+    """held and the parts from `at` on that still fit beside it, and the number of the first that doesn't.
+
+    A part fits if it and what is held so far have `size` characters at most; ends are sums of the parts' lengths with their
+    glue, so the place is found by halving.
+    """
+    stop = bisect_right(ends, size + len(glue) - len(held) + ends[at], lo=at) - 1
+    return glue.join([held, *parts[at:stop]]), max(stop, at)
+
+
+def _ends(parts: list[str], glue: str) -> list[int]:
+    return list(accumulate((len(p) + len(glue) for p in parts), initial=0))
+
+
+def _sentence_pieces(paragraph: str, size: int) -> list[str]:
+    """Sentences packed to `size` characters, joined by an ideographic full stop; a first sentence that is longer is cut once."""
+    parts = [s for s in map(str.strip, _SENTENCE_END.split(paragraph)) if s]
+    if not parts:
+        return []
+    out = [parts[0][:size]] if len(parts[0]) > size else []
+    held, at, ends = parts[0][size if out else 0 :], 1, _ends(parts, "。")
+    while True:
+        held, at = _joined(held, parts, at, ends, "。", size)
+        out.append(held.strip())
+        if at == len(parts):
+            return out
+        held, at = parts[at], at + 1
+
+
+def _paragraph_chunks(text: str, size: int, overlap: int) -> list[str]:
+    parts = [p for p in map(str.strip, text.split("\n\n")) if p]
+    ends, out, held, at = _ends(parts, "\n\n"), [], "", 0
+    while at < len(parts):
+        if not held:
+            *done, held = (_sentence_pieces(parts[at], size) or [""]) if len(parts[at]) > size else [parts[at]]
+            out += done
+            at += 1
+            continue
+        held, at = _joined(held, parts, at, ends, "\n\n", size)
+        if at < len(parts):
+            out.append(held.strip())
+            held = (held[-overlap:] + "\n" if 0 < overlap < len(held) else "") + parts[at]
+            at += 1
+    return out + [held.strip()] * bool(held.strip())
 
 
 def paragraph_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Paragraphs (between empty lines) packed to `size`; after a full chunk its last `overlap` characters come again."""
-    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
-
-    def after_full(s: Column, p: Column) -> Column:
-        again = F.concat(F.right(s["cur"], F.lit(overlap)), F.lit("\n"), p)
-        return _state(F.concat(s["out"], F.array(strip(s["cur"]))), F.when((F.lit(overlap) > 0) & (F.length(s["cur"]) > overlap), again).otherwise(p))
+    """Paragraphs (between empty lines) packed to `size`; a paragraph that is longer is packed by sentences, if it starts a
+    chunk; after a full chunk its last `overlap` characters come again.
 
-    def take(s: Column, p: Column) -> Column:
-        def cut(pieces: Column) -> Column:
-            return _state(F.concat(s["out"], F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))), F.coalesce(F.get(pieces, F.size(pieces) - 1), F.lit("")))
+    In Arrow batches, as a fold in SQL copies all chunks so far at each step: here time is linear in a text.
+    """
+    prepare(SparkSession.active())
 
-        full = F.length(s["cur"]) + F.length(p) > size
-        # The pieces are bound once, as the lambda of a one-element array.
-        long = F.transform(F.array(sentence_pieces(p, size)), cut)[0]
-        return F.when(full & (s["cur"] != ""), after_full(s, p)).when(full, long).otherwise(_state(s["out"], F.when(s["cur"] == "", p).otherwise(F.concat(s["cur"], F.lit("\n\n"), p))))
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _paragraph_chunks(t, size, overlap) for t in texts], dtype=object)
 
-    return F.aggregate(paragraphs, _start(), take, _finish)
+    return chunks(text)
 
 
 def fixed_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:

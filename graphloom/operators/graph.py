@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import sanitise, strip
 
@@ -56,6 +57,35 @@ def nodes_exist(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return names.join(nodes.select("name").distinct().withColumn("hit", F.lit(True)), "name", "left").select("name", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
+def merge_properties(writes: DataFrame) -> DataFrame:
+    """Nodes (label, name, props) after writes (label, name, props map, seq): each property has the value of its last write, and
+    goes if that is null; properties that later writes don't name stay.
+    """
+    rows = writes.select("label", "name", "seq", F.explode_outer("props").alias("k", "v"))
+    last = rows.groupBy("label", "name", "k").agg(F.max_by(F.struct("v"), "seq").alias("s"))
+    kept = F.when(F.col("k").isNotNull() & F.col("s.v").isNotNull(), F.struct("k", "s.v"))
+    return last.groupBy("label", "name").agg(F.map_from_entries(F.array_sort(F.collect_list(kept))).alias("props"))
+
+
+def properties(props: Column, without: tuple[str, ...] = ("type", "name")) -> Column:
+    """A map of properties without those that are kept elsewhere."""
+    return F.map_filter(props, lambda k, _: ~k.isin(*without))
+
+
+def relation_outcomes(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """relations with `outcome`: error where an end or the predicate is blank, failed where a node is missing, else created."""
+    names = nodes.select("name").distinct()
+    a, b = names.select(F.col("name").alias("subject"), F.lit(True).alias("__a")), names.select(F.col("name").alias("object"), F.lit(True).alias("__b"))
+    wrong = reduce(lambda x, y: x | y, [F.coalesce(F.length(strip(F.col(c))) == 0, F.lit(True)) for c in ("subject", "predicate", "object")])
+    outcome = F.when(wrong, F.lit("error")).when(F.col("__a") & F.col("__b"), F.lit("created")).otherwise(F.lit("failed"))
+    return relations.join(a, "subject", "left").join(b, "object", "left").select(*relations.columns, outcome.alias("outcome"))
+
+
+def outcome_counts(outcomes: DataFrame, by: str) -> DataFrame:
+    """The counters of a batch of writes: created, failed and errors."""
+    return outcomes.groupBy(by).agg(*[F.count_if(F.col("outcome") == k).alias(n) for k, n in (("created", "created"), ("failed", "failed"), ("error", "errors"))])
+
+
 def detach_delete(nodes: DataFrame, edges: DataFrame, file_id: str) -> tuple[DataFrame, DataFrame]:
     """Without the nodes of a file, the edges at those nodes, and the edges of the file."""
     gone = nodes.filter(F.col("file_id") == file_id)
@@ -87,13 +117,28 @@ def trails(edges: DataFrame, starts: DataFrame, most_hops: int = 3, per_term: in
     return kept
 
 
-_ITEMS = T.StructType([T.StructField("entities", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])))])
+_ENTITIES, _RELATIONS = "array<struct<name:string,type:string>>", "array<struct<subject:string,predicate:string,object:string,confidence:double>>"
+
+
+def _answered(response: Column) -> Column:
+    """What the JSON between the first and last brace of a model's answer holds."""
+    return F.from_json(F.regexp_extract(response, r"(?s)(\{.*\})", 1), f"entities {_ENTITIES}, relations {_RELATIONS}")
+
+
+def parse_relations(response: Column) -> Column:
+    """Relations (subject, predicate, object, confidence) of a model's answer; those without both ends are dropped, a missing
+    predicate is RELATED_TO and a missing confidence 0.8.
+    """
+    some = lambda x: F.coalesce(F.length(strip(x)) > 0, F.lit(False))
+    body = F.coalesce(_answered(response)["relations"], F.array().cast(_RELATIONS))
+    good = F.filter(body, lambda r: some(r["subject"]) & some(r["object"]))
+    return F.transform(good, lambda r: F.struct(strip(r["subject"]).alias("subject"), strip(F.coalesce(r["predicate"], F.lit(EDGE_DEFAULTS["predicate"]))).alias("predicate"), strip(r["object"]).alias("object"), F.coalesce(r["confidence"], F.lit(0.8)).alias("confidence")))
 
 
 def parse_entities(response: Column) -> Column:
     """Entities (name, type, confidence) of a model's answer: the JSON between its first and last brace; bad elements are dropped."""
-    body = F.from_json(F.regexp_extract(response, r"(?s)(\{.*\})", 1), _ITEMS)["entities"]
-    good = F.filter(F.coalesce(body, F.array().cast(_ITEMS["entities"].dataType)), lambda e: F.coalesce(F.length(strip(e["name"])) > 0, F.lit(False)) & e["type"].isNotNull())
+    body = _answered(response)["entities"]
+    good = F.filter(F.coalesce(body, F.array().cast(_ENTITIES)), lambda e: F.coalesce(F.length(strip(e["name"])) > 0, F.lit(False)) & e["type"].isNotNull())
     return F.transform(good, lambda e: F.struct(strip(e["name"]).alias("name"), strip(e["type"]).alias("type"), F.lit(0.8).alias("confidence")))
 
 

@@ -21,7 +21,7 @@ def image_chunks(pages: DataFrame) -> DataFrame:
     """Images of at least 50 pixels either way that are not CMYK; a broken image is left out without harm to the others."""
     rows = pages.select("file_id", "page_number", F.posexplode("images").alias("chunk_index", "image"))
     good = rows.filter((F.col("image.width") >= SMALLEST_IMAGE) & (F.col("image.height") >= SMALLEST_IMAGE) & (F.col("image.channels") - F.col("image.alpha") < 4))
-    return good.select(_chunk_id("image"), "file_id", F.lit("image").alias("content_type"), F.lit("").alias("content"), "page_number", "chunk_index", F.col("image.bytes").alias("media_bytes"), F.col("image.format").alias("media_format"))
+    return good.select(_chunk_id("image"), "file_id", F.lit("image").alias("content_type"), F.lit("").alias("content"), "page_number", "chunk_index", F.col("image.bytes").alias("media_bytes"), F.col("image.format").alias("media_format"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
 
 
 def table_chunks(pages: DataFrame) -> DataFrame:
@@ -53,10 +53,25 @@ def vectors(chunks: DataFrame, embedder: providers.Embedder | None = None) -> Da
     return providers.embed(chunks.filter(F.length("content") > 0).select("file_id", "chunk_id", "content", meta), "content", embedder)
 
 
-def knowledge(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of chunks: names in text, headers and cells of tables, labels of charts; merged and filtered."""
-    text = chunks.filter("content_type = 'text'").select("file_id", (F.col("page_number").cast("long") * 1_000_000 + F.col("chunk_index")).alias("seq"), "chunk_id", "content")
-    found = providers.text_entities(text).select("file_id", "name", "type", F.lit(0.8).alias("confidence"), F.lit("text").alias("source_type"), "source_chunks")
+def _read(chunks: DataFrame, kind: str, content: str, extractor: providers.Extractor | None, source_type: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) that an extractor finds in a column of the chunks of a kind."""
+    own = chunks.filter((F.col("content_type") == kind) & (F.length(content) > 0))
+    found = providers.extracted(own.select("file_id", (F.col("page_number").cast("long") * 1_000_000 + F.col("chunk_index")).alias("seq"), "chunk_id", F.col(content).alias("content")), extractor)
+    entities = providers.text_entities(found).select("file_id", "name", "type", F.lit(0.8).alias("confidence"), F.lit(source_type).alias("source_type"), "source_chunks")
+    relations = providers.text_relations(found).select(F.element_at("source_chunks", 1).alias("chunk_id"), "subject", "predicate", "object", "confidence")
+    return entities, relations
+
+
+def knowledge(chunks: DataFrame, extractor: providers.Extractor | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of chunks: what an extractor finds in texts and in text that was read in pictures, objects seen in
+    pictures, headers and cells of tables, labels of charts; merged, and relations without both ends dropped.
+    """
+    found, text_relations = _read(chunks, "text", "content", extractor, "text")
+    if "text_content" in chunks.columns:
+        seen, picture_relations = _read(chunks, "image", "text_content", extractor, "image")
+        objects = graph.image_entities(chunks.filter("content_type = 'image'")).join(chunks.select("chunk_id", "file_id"), "chunk_id")
+        found = found.unionByName(seen).unionByName(objects.select("file_id", "name", "type", "confidence", F.lit("image").alias("source_type"), F.array("chunk_id").alias("source_chunks")))
+        text_relations = text_relations.unionByName(picture_relations)
     tabled = chunks.filter("content_type = 'table'")
     files = chunks.select("chunk_id", "file_id")
     of_tables = tables.table_entities(tabled).join(files, "chunk_id").select("file_id", "name", "type", "confidence", "source_type", F.array("chunk_id").alias("source_chunks"))
@@ -64,5 +79,5 @@ def knowledge(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_charts = of_charts.join(files, "chunk_id").select("file_id", "name", "type", "confidence", F.lit("chart").alias("source_type"), F.array("chunk_id").alias("source_chunks"))
     entities = found.unionByName(of_tables).unionByName(of_charts).withColumn("seq", F.xxhash64("file_id", "name", "type", F.to_json("source_chunks")))
     merged = graph.merge_entities(entities)
-    relations = tables.field_pairs(tabled).unionByName(chart_relations).withColumn("seq", F.xxhash64("chunk_id", "subject", "object"))
+    relations = text_relations.unionByName(tables.field_pairs(tabled)).unionByName(chart_relations).withColumn("seq", F.xxhash64("chunk_id", "subject", "object"))
     return merged, graph.filter_relations(relations, merged)

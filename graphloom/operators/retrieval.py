@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, strip
+from ..functions.text import dot, query_terms, strip
+from ..sources import providers
+from . import graph
 
 TOP_K, THRESHOLD, FUSED, GRAPH_SCORE = 5, 0.7, 15, 0.8
 
@@ -82,6 +84,36 @@ def probed_top_k_of_each(indexed: DataFrame, centres: DataFrame, queries: DataFr
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def vector_search(vectors: DataFrame, question: str, embedder=None, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of the vector table (chunk_id, file_id, content, metadata, embedding) nearest to a question, if near enough; seq is their rank."""
+    spark = vectors.sparkSession
+    asked = providers.embed(spark.createDataFrame([(question,)], "text string"), "text", embedder)
+    found = top_k(vectors, asked, k, threshold, "chunk_id").drop("embedding")
+    kind = F.coalesce(F.get_json_object("metadata", "$.type"), F.lit("text")).alias("content_type")
+    return found.select("chunk_id", "file_id", "content", "metadata", kind, "score", F.row_number().over(W.orderBy(F.desc("score"), "chunk_id")).cast("long").alias("seq"))
+
+
+def graph_search(edges: DataFrame, questions: DataFrame, max_hops: int = 3, max_paths: int = 10) -> DataFrame:
+    """Trails from the nodes that terms of the questions (question_id, question) name: question_id, term, hops, key, nodes."""
+    asked = questions.select("question_id", F.explode(F.array_distinct(query_terms(F.col("question")))).alias("term"))
+    return asked.join(graph.trails(edges, asked.select("term").distinct(), max_hops, max_paths), "term")
+
+
+def search(vectors: DataFrame, edges: DataFrame, question: str, embedder=None, k: int = TOP_K, threshold: float = THRESHOLD, most: int = FUSED) -> DataFrame:
+    """A question's way: its vector to the nearest chunks, its terms to trails of the graph, and both fused. A blank question finds nothing."""
+    asked = vectors.sparkSession.createDataFrame([(0, question)] if question.strip() else [], "question_id long, question string")
+    near = vector_search(vectors if question.strip() else vectors.limit(0), question, embedder, k, threshold)
+    found = graph_search(edges, asked)
+    return fuse(near, found.select(F.col("nodes").alias("path"), F.row_number().over(W.orderBy("term", "hops", "key")).cast("long").alias("seq")), most)
+
+
+def media_flags(fused: DataFrame) -> DataFrame:
+    """One row: whether there are images, tables and charts, how many media, results, and the kinds other than text."""
+    media = ("image", "table", "chart")
+    any_ = lambda k: F.coalesce(F.bool_or(F.col("content_type") == k), F.lit(False)).alias(f"has_{k}s")
+    return fused.agg(*map(any_, media), F.count_if(F.col("content_type").isin(*media)).alias("media_count"), F.count(F.lit(1)).alias("results"), F.array_sort(F.collect_set(F.when(F.col("content_type") != "text", F.col("content_type")))).alias("kinds"))
+
+
 def fuse(vector_hits: DataFrame, graph_hits: DataFrame, most: int = FUSED) -> DataFrame:
     """Vector hits (chunk_id, file_id, content, content_type, score, seq) and graph hits (path, seq), media before text, then by
     score, then in order of arrival; the first fifteen, with their rank.
@@ -104,9 +136,9 @@ def context(fused: DataFrame, placeholders: bool = False) -> DataFrame:
     """One row: the numbered pieces of the fused results; with placeholders, media stand as [TYPE:chunk]."""
     n = F.col("rank").cast("string")
     text = F.concat(F.lit(PIECE), n, F.lit("：\n"), F.col("content"), F.lit("\n"))
-    graph = F.concat(F.lit(RELATION), n, F.lit("：\n"), F.lit(GRAPH_TEXT), F.lit("\n"))
+    relation = F.concat(F.lit(RELATION), n, F.lit("：\n"), F.lit(GRAPH_TEXT), F.lit("\n"))
     media = F.concat(F.lit(MEDIA), n, F.lit("（"), F.col("content_type"), F.lit("）："), placeholder(F.col("content_type"), F.col("chunk_id")), F.lit("\n"), F.lit(DESCRIPTION), F.col("content"), F.lit("\n"))
-    piece = F.when(F.col("type") == "graph", graph)
+    piece = F.when(F.col("type") == "graph", relation)
     if placeholders:
         piece = piece.when(F.col("content_type") != "text", media)
     return fused.select("rank", piece.otherwise(text).alias("piece")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"]), "\n").alias("context"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, is_date, is_number, strip, to_number
+from ..functions.text import blank, is_date, is_number, strip, to_number, two_decimals
 
 ROWS_SHOWN, ROWS_SAMPLED, INSIGHTS, NAMES_SHOWN, ENTITY_ROWS = 50, 5, 5, 3, 5
 
@@ -65,7 +65,7 @@ def column_means(t: Column) -> Column:
 def insights(t: Column) -> Column:
     """The table's size, then means, together at most five."""
     size = F.concat(F.lit("数据维度："), (F.size(t) - 1).cast("string"), F.lit("行×"), _width(t).cast("string"), F.lit("列"))
-    lines = F.transform(column_means(t), lambda m: F.concat(m["name"], F.lit("平均值："), F.format_string("%.2f", m["mean"])))
+    lines = F.transform(column_means(t), lambda m: F.concat(m["name"], F.lit("平均值："), two_decimals(m["mean"])))
     return F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(F.slice(F.concat(F.array(size), lines), 1, INSIGHTS))
 
 

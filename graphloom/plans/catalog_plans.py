@@ -115,6 +115,18 @@ def f23_relative_time(spark, sf_dir):
     return e.select("event_id", X.relative_time(age, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("age"))
 
 
+@query("f15_timestamps", "SELECT event_id, replace(strftime(ts, '%Y-%m-%dT%H:%M:%S'), ' ', '') || CASE WHEN strftime(ts, '%f') <> '000000' THEN '.' || strftime(ts, '%f') ELSE '' END AS iso, CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events")
+def f15_timestamps(spark, sf_dir):
+    ts = F.col("ts").cast("timestamp")
+    return load(spark, sf_dir, "events").select("event_id", X.iso_time(ts).alias("iso"), F.unix_seconds(ts).alias("seconds"))
+
+
+@query("f25_kind_names", f"WITH k AS (SELECT doc_id, ['text', 'image', 'table', 'chart', 'graph', 'other'][doc_id % 6 + 1] AS kind FROM documents) SELECT doc_id, CASE kind WHEN 'image' THEN '图片' WHEN 'table' THEN '表格' WHEN 'chart' THEN '图表' ELSE kind END AS shown FROM k")
+def f25_kind_names(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("text", "image", "table", "chart", "graph", "other"))), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
+    return load(spark, sf_dir, "documents").select("doc_id", X.kind_name(kind).alias("shown"))
+
+
 @query(
     "f24_progress_message",
     f"""WITH {FILES_SQL} SELECT file_id, CASE status WHEN 'uploaded' THEN '等待处理' WHEN 'processing' THEN '处理中' WHEN 'completed' THEN '已完成' WHEN 'failed' THEN '处理失败' ELSE '未知' END AS status_text,

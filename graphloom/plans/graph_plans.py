@@ -13,15 +13,16 @@ from .registry import query
 
 @query(
     "k08_entity_dedup",
-    r"""WITH e AS (SELECT doc_id, i, string_split(text[1:300], ' ')[i] AS name, source AS type FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text[1:300], ' ')) + 1)) AS i)),
-        f AS (SELECT doc_id * 1000 + i - 1 AS seq, name, type, 0.5::DOUBLE + (length(name) + doc_id) % 5 / 10 AS confidence, CAST(doc_id AS VARCHAR) AS chunk, lower(regexp_replace(name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS key FROM e),
+    r"""WITH w AS (SELECT doc_id, source, string_split(text, ' ') AS w FROM documents),
+        e AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS name, source AS type FROM w),
+        f AS (SELECT doc_id * 16777216 + i AS seq, name, type, 0.5::DOUBLE + (length(name) + doc_id) % 5 / 10 AS confidence, CAST(doc_id AS VARCHAR) AS chunk, lower(regexp_replace(name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS key FROM e),
         g AS (SELECT key, arg_max({'name': name, 'type': type, 'confidence': confidence}, (confidence, -seq)) AS b, array_to_string(list_sort(list_distinct(list(chunk))), ',') AS source_chunks, count(*) AS n FROM f WHERE key <> '' GROUP BY key)
         SELECT b.name AS name, b.type AS type, round(b.confidence, 6) AS confidence, source_chunks, CASE WHEN n > 1 THEN n END AS merged_count FROM g""",
 )
 def k08_entity_dedup(spark, sf_dir):
-    words = F.posexplode(F.split(F.substring("text", 1, 300), " ")).alias("i", "name")
+    words = F.posexplode(F.split("text", " ")).alias("i", "name")
     e = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("type"), words).filter(~X.blank(F.col("name")))
-    e = e.select("name", "type", F.lit("text").alias("source_type"), (F.lit(0.5) + (F.length("name") + F.col("doc_id")) % 5 / 10).alias("confidence"), (F.col("doc_id") * 1000 + F.col("i")).alias("seq"), F.array(F.col("doc_id").cast("string")).alias("source_chunks"))
+    e = e.select("name", "type", F.lit("text").alias("source_type"), (F.lit(0.5) + (F.length("name") + F.col("doc_id")) % 5 / 10).alias("confidence"), (F.col("doc_id") * (1 << 24) + F.col("i")).alias("seq"), F.array(F.col("doc_id").cast("string")).alias("source_chunks"))
     return graph.merge_entities(e).select("name", "type", F.round("confidence", 6).alias("confidence"), F.array_join("source_chunks", ",").alias("source_chunks"), "merged_count")
 
 
@@ -98,19 +99,44 @@ def k12_edge_expand(spark, sf_dir):
     return graph.upsert_edges(rel, nodes)
 
 
-@query("j04_nodes_exist", f"WITH {_PLACES}, q AS (SELECT c_name AS name FROM customer WHERE c_custkey < 5 UNION SELECT n_name FROM nation WHERE n_nationkey < 5) SELECT q.name, q.name IN (SELECT name FROM nodes) AS found FROM q")
+@query("j04_nodes_exist", f"WITH {_PLACES}, q AS (SELECT c_name AS name FROM customer UNION SELECT n_name FROM nation UNION SELECT r_name FROM region) SELECT q.name, q.name IN (SELECT name FROM nodes) AS found FROM q")
 def j04_nodes_exist(spark, sf_dir):
-    q = load(spark, sf_dir, "customer").filter("c_custkey < 5").select(F.col("c_name").alias("name")).union(load(spark, sf_dir, "nation").filter("n_nationkey < 5").select("n_name"))
-    return graph.nodes_exist(q, _places(spark, sf_dir)[0])
+    q = [load(spark, sf_dir, t).select(F.col(c).alias("name")) for t, c in (("customer", "c_name"), ("nation", "n_name"), ("region", "r_name"))]
+    return graph.nodes_exist(q[0].union(q[1]).union(q[2]).distinct(), _places(spark, sf_dir)[0])
 
 
-@query("j06_unsafe_relations", f"WITH {_REL}, n AS (SELECT c_name AS name FROM customer WHERE c_custkey % 3 = 0 UNION SELECT n_name FROM nation WHERE n_nationkey < 12) SELECT predicate, count(*) FILTER (WHERE subject IN (SELECT name FROM n) AND object IN (SELECT name FROM n)) AS created, count(*) FILTER (WHERE subject NOT IN (SELECT name FROM n) OR object NOT IN (SELECT name FROM n)) AS failed FROM rel GROUP BY predicate")
+_WRITES = "w AS (SELECT subject, CASE WHEN seq >= 10000000 THEN ' ' ELSE predicate END AS predicate, object, 'batch ' || object AS batch FROM rel), n AS (SELECT c_name AS name FROM customer WHERE c_acctbal > 0 UNION SELECT n_name FROM nation WHERE n_regionkey > 0)"
+
+
+@query(
+    "j06_unsafe_relations",
+    f"""WITH {_REL}, {_WRITES}, o AS (SELECT batch, trim(predicate) = '' AS wrong, subject IN (SELECT name FROM n) AND object IN (SELECT name FROM n) AS ok FROM w)
+        SELECT batch, count(*) FILTER (WHERE NOT wrong AND ok) AS created, count(*) FILTER (WHERE NOT wrong AND NOT ok) AS failed, count(*) FILTER (WHERE wrong) AS errors FROM o GROUP BY batch""",
+)
 def j06_unsafe_relations(spark, sf_dir):
-    n = load(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_name").alias("name")).union(load(spark, sf_dir, "nation").filter("n_nationkey < 12").select("n_name")).distinct()
-    a, b = n.select(F.col("name").alias("subject"), F.lit(1).alias("a")), n.select(F.col("name").alias("object"), F.lit(1).alias("b"))
-    rows = _relations(spark, sf_dir).join(a, "subject", "left").join(b, "object", "left")
-    ok = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return rows.groupBy("predicate").agg(F.count_if(ok).alias("created"), F.count_if(~ok).alias("failed"))
+    n = load(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_name").alias("name")).union(load(spark, sf_dir, "nation").filter("n_regionkey > 0").select("n_name"))
+    rel = _relations(spark, sf_dir).select("subject", F.when(F.col("seq") >= 10_000_000, F.lit(" ")).otherwise(F.col("predicate")).alias("predicate"), "object", F.concat(F.lit("batch "), "object").alias("batch"))
+    return graph.outcome_counts(graph.relation_outcomes(rel, n), "batch")
+
+
+@query(
+    "u06_property_merge",
+    """WITH w AS (SELECT user_id, event_type AS k, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS v, event_id AS seq FROM events),
+       l AS (SELECT user_id, k, arg_max({'v': v}, seq) AS s FROM w GROUP BY 1, 2)
+       SELECT 'USER' AS label, CAST(user_id AS VARCHAR) AS name, coalesce(string_agg(k || '=' || s.v, ',' ORDER BY k), '') AS props FROM l GROUP BY user_id""",
+)
+def u06_property_merge(spark, sf_dir):
+    value = F.when(F.pmod("event_id", F.lit(7)) != 0, F.col("event_id").cast("string"))
+    writes = load(spark, sf_dir, "events").select(F.lit("USER").alias("label"), F.col("user_id").cast("string").alias("name"), F.create_map("event_type", value).alias("props"), F.col("event_id").alias("seq"))
+    return graph.merge_properties(writes).select("label", "name", F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("props"))
+
+
+@query("p13_properties", "SELECT event_id, '{\"type\":\"x\",\"k\":\"' || (props ->> '$.k') || '\",\"name\":\"n\"}' AS given, 'k=' || (props ->> '$.k') AS kept FROM events")
+def p13_properties(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    given = F.create_map(F.lit("type"), F.lit("x"), F.lit("k"), k, F.lit("name"), F.lit("n"))
+    left = graph.properties(given)
+    return load(spark, sf_dir, "events").select("event_id", F.to_json(given).alias("given"), F.array_join(F.transform(F.map_entries(left), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("kept"))
 
 
 @query(
@@ -136,21 +162,45 @@ def k18_llm_json(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.explode(graph.parse_entities(r)).alias("e")).select("doc_id", "e.*")
 
 
+@query(
+    "k18_relations",
+    r"""WITH a AS (SELECT doc_id, 'So:' || chr(10) || '```' || chr(10) || '{"relations": [{"subject": " ' || source || '", "predicate": "holds", "object": "d' || doc_id || ' ", "confidence": 0.' || (doc_id % 9 + 1) || '}, {"subject": "x", "object": "' || lang || '"}, {"subject": " ", "predicate": "p", "object": "y"}, {"subject": "z", "predicate": "p", "object": null}]}' || chr(10) || '```' AS r FROM documents),
+        e AS (SELECT doc_id, unnest(json_extract(regexp_extract(r, '(?s)(\{.*\})', 1), '$.relations[*]')) AS e FROM a)
+        SELECT doc_id, trim(e ->> '$.subject') AS subject, trim(coalesce(e ->> '$.predicate', 'RELATED_TO')) AS predicate, trim(e ->> '$.object') AS object, coalesce(CAST(e ->> '$.confidence' AS DOUBLE), 0.8::DOUBLE) AS confidence
+        FROM e WHERE trim(coalesce(e ->> '$.subject', '')) <> '' AND trim(coalesce(e ->> '$.object', '')) <> ''""",
+)
+def k18_relations(spark, sf_dir):
+    i = F.col("doc_id")
+    first = F.concat(F.lit('So:\n```\n{"relations": [{"subject": " '), "source", F.lit('", "predicate": "holds", "object": "d'), i.cast("string"), F.lit(' ", "confidence": 0.'), (i % 9 + 1).cast("string"))
+    r = F.concat(first, F.lit('}, {"subject": "x", "object": "'), "lang", F.lit('"}, {"subject": " ", "predicate": "p", "object": "y"}, {"subject": "z", "predicate": "p", "object": null}]}\n```'))
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(graph.parse_relations(r)).alias("e")).select("doc_id", "e.*")
+
+
 TERMS = ["ASIA", "NATION_3", "Supplier#000000001", "Nobody"]
 _STEPS = """e AS (SELECT 's' || s_suppkey AS edge_id, s_name AS src, n_name AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 steps AS (SELECT edge_id, src AS f, dst AS t FROM e UNION ALL SELECT edge_id, dst, src FROM e WHERE src <> dst)"""
-PATHS_SQL = f"""{_STEPS},
+
+
+def paths_sql(terms: str) -> str:
+    """Trails from the terms that a subquery gives."""
+    return f"""{_STEPS},
 paths(term, node_end, hops, path_edges, path_nodes) AS (
-  SELECT term, term, 0, []::VARCHAR[], [term] FROM (SELECT unnest([{', '.join(f"'{t}'" for t in TERMS)}]) AS term)
+  SELECT term, term, 0, []::VARCHAR[], [term] FROM ({terms}) AS t(term)
   UNION ALL SELECT term, t, hops + 1, list_append(path_edges, edge_id), list_append(path_nodes, t) FROM paths JOIN steps ON node_end = f WHERE hops < 3 AND NOT list_contains(path_edges, edge_id)),
 best AS (SELECT term, hops, array_to_string(path_edges, '>') AS key, array_to_string(path_nodes, '>') AS nodes FROM paths WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY hops, array_to_string(path_edges, '>')) <= 10)"""
 
 
-def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+PATHS_SQL = paths_sql("SELECT unnest([{}])".format(", ".join(f"'{t}'" for t in TERMS)))
+
+
+def places_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (load(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     e = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("edge_id"), F.col("s_name").alias("src"), F.col("n_name").alias("dst"))
-    e = e.union(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "n_name", "r_name"))
-    return graph.trails(e, spark.createDataFrame([(t,) for t in TERMS], "term string"))
+    return e.union(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "n_name", "r_name"))
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.trails(places_edges(spark, sf_dir), spark.createDataFrame([(t,) for t in TERMS], "term string"))
 
 
 @query("j07_paths", f"WITH RECURSIVE {PATHS_SQL} SELECT term, CAST(hops AS INTEGER) AS hops, key, nodes FROM best")

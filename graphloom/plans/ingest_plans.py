@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import files as lifecycle
 from ..operators import graph, ingest
+from ..sources import providers
 from ..sources import tables as src
 from ..sources.tables import load
 from . import catalog_plans
@@ -23,15 +28,47 @@ def s03_image_filter(spark, sf_dir):
 
 @query(
     "s06_multimodal_union",
-    """WITH t AS (SELECT doc_id, 'text' AS kind, 1 AS o FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT page_id, 'image', 2 FROM pages UNION ALL SELECT item_id, 'table', 3 FROM benchmark)
+    """WITH t AS (SELECT doc_id, 'text' AS kind, 1 AS o FROM documents UNION ALL SELECT page_id, 'image', 2 FROM pages UNION ALL SELECT item_id, 'table', 3 FROM benchmark)
        SELECT 'f' || doc_id AS file_id, kind AS content_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) AS INTEGER) AS seq FROM t""",
 )
 def s06_multimodal_union(spark, sf_dir):
-    parts = [load(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", F.lit("text").alias("content_type"), F.lit(1).alias("o")), load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("image").alias("content_type"), F.lit(2).alias("o")), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("table").alias("content_type"), F.lit(3).alias("o"))]
+    parts = [load(spark, sf_dir, "documents").select("doc_id", F.lit("text").alias("content_type"), F.lit(1).alias("o")), load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("image").alias("content_type"), F.lit(2).alias("o")), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("table").alias("content_type"), F.lit(3).alias("o"))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_id"), "content_type", F.row_number().over(W.partitionBy("doc_id").orderBy("o")).alias("seq"))
 
 
+def _pages(spark, sf_dir):
+    """Parts as pages with a text, a table, an image and a chart each."""
+    p, k = load(spark, sf_dir, "part"), F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    image = F.struct((F.col("p_size") * 4).cast("int").alias("width"), (k % 120).cast("int").alias("height"), F.lit(3).alias("channels"), F.lit(0).alias("alpha"), F.lit("png").alias("format"), F.col("p_name").cast("binary").alias("bytes"))
+    table = F.array(F.array(F.lit("type"), F.lit("size")), F.array(F.col("p_type"), size))
+    chart = F.struct(F.col("p_type").alias("chart_type"), F.create_map(F.lit("x"), F.col("p_brand")).alias("axis_labels"), F.array(size).alias("legend_info"))
+    return p.select(F.concat(F.lit("f"), k.cast("string")).alias("file_id"), (k % 7).cast("int").alias("page_number"), F.col("p_name").alias("text"), F.array(table, F.array(F.array(F.lit("only")))).alias("tables"), F.array(image).alias("images"), F.array(chart).alias("charts"))
+
+
+_OWN_PAGES = """p AS (SELECT 'f' || p_partkey AS file_id, CAST(p_partkey % 7 AS INTEGER) AS page_number, * FROM part),
+  chunks AS (SELECT file_id, page_number, 'text' AS content_type, p_name AS content, 1 AS kind_order, 0 AS media FROM p
+    UNION ALL SELECT file_id, page_number, 'image', '', 2, length(p_name) FROM p WHERE p_size * 4 >= 50 AND p_partkey % 120 >= 50
+    UNION ALL SELECT file_id, page_number, 'table', '表格(第' || (page_number + 1) || '页，表1)：' || chr(10) || '表头：type | size' || chr(10) || '第1行：' || p_type || ' | ' || p_size, 3, 0 FROM p
+    UNION ALL SELECT file_id, page_number, 'chart', p_type, 4, 0 FROM p)"""
+
+
+@query("s05_multimodal_chunks", f"WITH {_OWN_PAGES} SELECT file_id || '_page_' || page_number || '_' || content_type || '_0' AS chunk_id, content_type, content, kind_order, media FROM chunks")
+def s05_multimodal_chunks(spark, sf_dir):
+    out = ingest.multimodal_chunks(_pages(spark, sf_dir))
+    return out.select("chunk_id", "content_type", "content", "kind_order", F.coalesce(F.length("media_bytes"), F.lit(0)).alias("media"))
+
+
+@query("f30_image_analysis", f"WITH {_OWN_PAGES} SELECT file_id || '_page_' || page_number || '_image_0' AS chunk_id, '图像(第' || (page_number + 1) || '页)：尺寸' || p_size * 4 || 'x' || p_partkey % 120 || '，包含文字：' || p_name AS description, p_brand AS objects, p_name AS text_content FROM p WHERE p_size * 4 >= 50 AND p_partkey % 120 >= 50")
+def f30_image_analysis(spark, sf_dir):
+    """Pictures through a reader that takes their bytes for their text; objects are looked up beside them."""
+    images = ingest.image_chunks(_pages(spark, sf_dir))
+    seen = providers.analyse_images(images, reader=providers.PlainReader())
+    brands = load(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file_id"), F.col("p_brand").alias("objects"))
+    return seen.join(brands, "file_id").select("chunk_id", "description", "objects", "text_content")
+
+
 @query("s16_has_data", "SELECT (SELECT count(*) FROM embeddings) > 0 AS vectors, (SELECT count(*) FROM embeddings WHERE vec_id < 0) > 0 AS none")
 def s16_has_data(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings").select("vec_id")
@@ -56,10 +93,10 @@ def p03_blank_filter(spark, sf_dir):
     return load(spark, sf_dir, "conversations").filter(~X.blank(t)).select("conv_id", "turn")
 
 
-@query("p11_vector_rows", "SELECT 'f' || doc_id AS file_id, text[1:50] AS content, '{\"type\":\"text\",\"page\":' || doc_id % 9 || ',\"language\":\"' || lang || '\"}' AS metadata FROM documents")
+@query("p11_vector_rows", "SELECT 'f' || doc_id AS file_id, text AS content, '{\"type\":\"text\",\"page\":' || doc_id % 9 || ',\"language\":\"' || lang || '\"}' AS metadata FROM documents")
 def p11_vector_rows(spark, sf_dir):
     meta = F.to_json(F.struct(F.lit("text").alias("type"), F.pmod("doc_id", F.lit(9)).alias("page"), F.col("lang").alias("language")))
-    return load(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_id"), F.substring("text", 1, 50).alias("content"), meta.alias("metadata"))
+    return load(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_id"), F.col("text").alias("content"), meta.alias("metadata"))
 
 
 @query("p10_metadata_filter", "SELECT doc_id, lang FROM documents WHERE lang = 'fr'")
@@ -69,10 +106,11 @@ def p10_metadata_filter(spark, sf_dir):
     return rows.select("doc_id", kind.alias("lang")).filter("lang = 'fr'")
 
 
-@query("u04_missing_names", "SELECT DISTINCT c_name AS name FROM customer WHERE c_custkey < 50 EXCEPT SELECT c_name FROM customer WHERE c_custkey % 3 = 0")
+@query("u04_missing_names", "SELECT c_name AS name FROM customer EXCEPT SELECT c_name FROM customer JOIN orders ON o_custkey = c_custkey")
 def u04_missing_names(spark, sf_dir):
-    c = load(spark, sf_dir, "customer")
-    return c.filter("c_custkey < 50").select(F.col("c_name").alias("name")).distinct().join(c.filter("c_custkey % 3 = 0").select(F.col("c_name").alias("name")), "name", "left_anti")
+    c = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    known = c.join(load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey").select("name")
+    return c.select("name").distinct().join(known, "name", "left_anti")
 
 
 @query("w06_batches", "SELECT conv_id, b AS batch, count(*) AS messages, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS joined FROM (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS BIGINT) AS b FROM conversations) GROUP BY conv_id, b")
@@ -83,9 +121,9 @@ def w06_batches(spark, sf_dir):
     return own.select("conv_id", "batch", "messages", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("joined"))
 
 
-@query("k06_image_entities", r"SELECT 'c' || doc_id AS chunk_id, trim(o) AS name, 'IMAGE_OBJECT' AS type, 0.8::DOUBLE AS confidence FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')[1:3]) AS o FROM documents) WHERE trim(o) <> ''")
+@query("k06_image_entities", r"SELECT 'c' || doc_id AS chunk_id, trim(o) AS name, 'IMAGE_OBJECT' AS type, 0.8::DOUBLE AS confidence FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS o FROM documents) WHERE trim(o) <> ''")
 def k06_image_entities(spark, sf_dir):
-    objects = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 3)
+    objects = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     return graph.image_entities(load(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), objects.alias("objects_detected")))
 
 
@@ -114,15 +152,58 @@ def r05_media_enrichment(spark, sf_dir):
     return out.withColumn("data_uri", F.regexp_replace("data_uri", "[\r\n]", ""))
 
 
+@query(
+    "s24_register_files",
+    """WITH u AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '.pdf' WHEN 1 THEN source || '.PDF' ELSE source || '.txt' END AS name, n_chars * CASE WHEN doc_id % 7 = 0 THEN 100000 ELSE 1 END AS size FROM documents),
+       r AS (SELECT *, lower(string_split(name, '.')[-1]) = 'pdf' AS type_ok, size <= 104857600 AS size_ok FROM u)
+       SELECT 'f' || doc_id AS file_id, name AS original_filename, CASE WHEN type_ok AND size_ok THEN '/in/f' || doc_id || '_' || (1704067200 + doc_id) || '.pdf' END AS file_path, size AS file_size, CASE WHEN type_ok AND size_ok THEN 'uploaded' END AS status, type_ok AND size_ok AS success,
+              CASE WHEN NOT type_ok THEN '不支持的文件类型，仅支持: pdf' WHEN NOT size_ok THEN '文件大小超过限制 (100MB)' ELSE '文件上传成功，GraphRAG处理已开始' END AS message FROM r""",
+)
+def s24_register_files(spark, sf_dir):
+    k = F.pmod("doc_id", F.lit(3))
+    name = F.concat("source", F.when(k == 0, F.lit(".pdf")).when(k == 1, F.lit(".PDF")).otherwise(F.lit(".txt")))
+    size = F.col("n_chars") * F.when(F.pmod("doc_id", F.lit(7)) == 0, F.lit(100_000)).otherwise(F.lit(1))
+    uploads = load(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_id"), name.alias("original_filename"), size.alias("size"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("uploaded_at"))
+    return lifecycle.register(uploads, "/in").select("file_id", "original_filename", "file_path", "file_size", "status", "success", "message")
+
+
+@query(
+    "p16_file_details",
+    f"""WITH {catalog_plans.FILES_SQL}, live AS (SELECT 'f' || user_id AS file_id, max_by(event_type, (ts, event_id)) AS message, max_by(event_id % 101, (ts, event_id)) AS progress FROM events GROUP BY user_id),
+        c AS (SELECT 'f' || conv_id AS file_id, count(*) AS n FROM conversations GROUP BY 1), e AS (SELECT 'f' || c_nationkey AS file_id, count(*) AS n FROM customer GROUP BY 1), r AS (SELECT 'f' || s_nationkey AS file_id, count(*) AS n FROM supplier GROUP BY 1)
+        SELECT files.file_id, original_filename, file_size, status, processing_progress, upload_time, CASE WHEN status = 'processing' THEN coalesce(live.progress, processing_progress) ELSE processing_progress END AS progress,
+               coalesce(CASE WHEN status = 'processing' THEN live.message END, CASE status WHEN 'uploaded' THEN '📄 等待开始GraphRAG处理...' WHEN 'processing' THEN '🚀 正在进行GraphRAG处理...' WHEN 'completed' THEN '✅ 处理完成' ELSE '❌ 处理失败' END) AS message,
+               coalesce(c.n, 0) AS chunks, coalesce(e.n, 0) AS entities, coalesce(r.n, 0) AS relations
+        FROM files LEFT JOIN live USING (file_id) LEFT JOIN c USING (file_id) LEFT JOIN e USING (file_id) LEFT JOIN r USING (file_id)""",
+)
+def p16_file_details(spark, sf_dir):
+    named = lambda table, key: load(spark, sf_dir, table).select(F.concat(F.lit("f"), F.col(key).cast("string")).alias("file_id"))
+    events = load(spark, sf_dir, "events").withColumn("file_id", F.concat(F.lit("f"), F.col("user_id").cast("string"))).withColumn("progress", F.pmod("event_id", F.lit(101)))
+    live = catalog_plans.catalog.latest_status(events, "file_id", ["ts", "event_id"], ["event_type", "progress"]).select("file_id", "progress", F.col("event_type").alias("message"))
+    return lifecycle.details(catalog_plans.files(spark, sf_dir), live, named("conversations", "conv_id"), named("customer", "c_nationkey"), named("supplier", "s_nationkey"))
+
+
+@query("n01_new_sessions", "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, '' AS title, 'active' AS status, '2024-05-01 00:00:00' AS session_created FROM conversations")
+def n01_new_sessions(spark, sf_dir):
+    asked = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.lit(None).cast("string").alias("title")).distinct()
+    out = lifecycle.new_sessions(asked, F.lit("2024-05-01 00:00:00").cast("timestamp"))
+    return out.select("session_id", "title", "status", F.date_format("session_created", "yyyy-MM-dd HH:mm:ss").alias("session_created"))
+
+
 @query(
     "m01_delete_file",
-    f"""WITH {catalog_plans.CHUNKS_SQL}, v AS (SELECT vec_id % 50 AS file_id FROM embeddings)
-        SELECT f.file_id, coalesce(c.n, 0) AS chunks, coalesce(v.n, 0) AS vectors FROM (SELECT unnest(range(50)) AS file_id) f LEFT JOIN (SELECT file_id, count(*) AS n FROM chunks GROUP BY 1) c ON c.file_id = f.file_id LEFT JOIN (SELECT file_id, count(*) AS n FROM v GROUP BY 1) v ON v.file_id = f.file_id WHERE f.file_id NOT IN (3, 7)""",
+    """WITH doc AS (SELECT source AS file_id, 'c' || doc_id AS chunk_id, doc_id FROM documents), node AS (SELECT 'SUPPLIER' AS label, s_name AS name, 'src' || s_nationkey AS file_id FROM supplier UNION ALL SELECT 'NATION', n_name, 'other' FROM nation),
+       edge AS (SELECT s_name, 'src' || s_nationkey % 5 AS file_id, 'src' || s_nationkey AS node_file FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+       SELECT 'files' AS store, count(DISTINCT file_id) AS n FROM doc WHERE file_id <> 'src3' UNION ALL SELECT 'chunks', count(*) FROM doc WHERE file_id <> 'src3' UNION ALL SELECT 'vectors', count(*) FROM embeddings JOIN doc ON vec_id = doc_id WHERE file_id <> 'src3'
+       UNION ALL SELECT 'media', count(*) FROM pages WHERE page_id NOT IN (SELECT doc_id FROM doc WHERE file_id = 'src3') UNION ALL SELECT 'nodes', count(*) FROM node WHERE file_id <> 'src3' UNION ALL SELECT 'edges', count(*) FROM edge WHERE file_id <> 'src3' AND node_file <> 'src3'""",
 )
 def m01_delete_file(spark, sf_dir):
-    gone = spark.createDataFrame([(3,), (7,)], "file_id long")
-    left = lambda df: df.join(F.broadcast(gone), "file_id", "left_anti")  # noqa: E731  two rows
-    files = left(spark.range(50).withColumnRenamed("id", "file_id"))
-    chunks = left(catalog_plans.chunks(spark, sf_dir)).groupBy("file_id").agg(F.count("*").alias("chunks"))
-    vectors = left(load(spark, sf_dir, "embeddings").select(F.pmod("vec_id", F.lit(50)).alias("file_id"))).groupBy("file_id").agg(F.count("*").alias("vectors"))
-    return files.join(chunks, "file_id", "left").join(vectors, "file_id", "left").select("file_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("vectors", F.lit(0)).alias("vectors"))
+    d = load(spark, sf_dir, "documents").select(F.col("source").alias("file_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), "doc_id")
+    vectors = load(spark, sf_dir, "embeddings").join(d, F.col("vec_id") == F.col("doc_id")).select("file_id", "vec_id")
+    media = load(spark, sf_dir, "pages").select(F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("chunk_id"))
+    s, n = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "nation")
+    file = lambda k: F.concat(F.lit("src"), k.cast("string"))
+    nodes = s.select(F.lit("SUPPLIER").alias("label"), F.col("s_name").alias("name"), file(F.col("s_nationkey")).alias("file_id")).union(n.select(F.lit("NATION"), "n_name", F.lit("other")))
+    edges = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("SUPPLIER").alias("src_label"), F.col("s_name").alias("subject"), F.lit("NATION").alias("dst_label"), F.col("n_name").alias("object"), file(F.col("s_nationkey") % 5).alias("file_id"))
+    left = lifecycle.delete("src3", d.select("file_id").distinct(), d, vectors, media, nodes, edges)
+    return reduce(DataFrame.union, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(store).alias("store"), "n") for store, df in left.items()])

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
+from ..sources import providers
 from ..sources.tables import load
-from . import graph_plans
+from . import graph_plans, text_plans
 from .registry import query
 
 _DOT = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -33,10 +34,10 @@ def p05_vector_threshold(spark, sf_dir):
     return retrieval.top_k(v, q, 20, 0.2).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("j08_multi_query", f"SELECT q.vec_id AS query_id, e.vec_id, round({_DOT}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 20 QUALIFY rank <= 5")
+@query("j08_multi_query", f"SELECT q.vec_id AS query_id, e.vec_id, round({_DOT}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5")
 def j08_multi_query(spark, sf_dir):
     v, _ = _vectors(spark, sf_dir)
-    out = retrieval.top_k_of_each(v, v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"))
+    out = retrieval.top_k_of_each(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -52,6 +53,56 @@ def r02_ivf_topk(spark, sf_dir):
     return retrieval.probed_top_k_of_each(indexed, centres, queries, probes=PROBES).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("r02_ivf_recall", "SELECT count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0")
+def r02_ivf_recall(spark, sf_dir):
+    """Whether the index finds nine tenths of the nearest, held against the exact search of the same queries."""
+    v, _ = _vectors(spark, sf_dir)
+    exact = retrieval.top_k_of_each(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")).select("query_id", "vec_id")
+    both = exact.join(r02_ivf_topk(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
+QUESTION = "Where is NATION_3 of ASIA"
+_QUESTION_TERMS = graph_plans.paths_sql("SELECT unnest(['Where', 'NATION_3', 'ASIA'])")
+_KIND = "['text', 'image', 'table', 'chart'][{} % 4 + 1]"
+
+
+def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of the vector table, embedded."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    d = load(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("file_id"), F.col("text").alias("content"), F.to_json(F.struct(kind.alias("type"))).alias("metadata"))
+    return providers.embed(d, "content")
+
+
+@query(
+    "r01_question",
+    f"""WITH RECURSIVE {_QUESTION_TERMS},
+        v AS ({text_plans.embedded_sql(f"(SELECT doc_id AS k, text FROM documents UNION ALL SELECT -1, '{QUESTION}')")}),
+        scored AS (SELECT e.k, list_inner_product(e.v::FLOAT[]::DOUBLE[], q.v::FLOAT[]::DOUBLE[]) AS score FROM v e, v q WHERE q.k = -1 AND e.k >= 0 AND e.n > 0),
+        top AS (SELECT k, score, row_number() OVER (ORDER BY score DESC, 'c' || k) AS seq FROM scored WHERE score >= 0.1 ORDER BY score DESC, 'c' || k LIMIT 5),
+        u AS (SELECT 'vector' AS type, {_KIND.format('k')} AS content_type, text AS content, source AS file_id, 'c' || k AS chunk_id, score, CAST(NULL AS VARCHAR) AS path, 0 AS part, seq FROM top JOIN documents ON doc_id = k
+          UNION ALL SELECT 'graph', 'graph', NULL, NULL, NULL, 0.8::DOUBLE, nodes, 1, row_number() OVER (ORDER BY term, hops, key) FROM best)
+        SELECT CAST(row_number() OVER (ORDER BY content_type <> 'text' DESC, score DESC, part, seq) AS INTEGER) AS rank, type, content_type, chunk_id, file_id, content, path, round(score, 6) AS score FROM u QUALIFY rank <= 15""",
+)
+def r01_question(spark, sf_dir):
+    """A question in words, through its vector and its terms."""
+    out = retrieval.search(vector_rows(spark, sf_dir), graph_plans.places_edges(spark, sf_dir), QUESTION, threshold=0.1)
+    return out.select("rank", "type", "content_type", "chunk_id", "file_id", "content", "path", F.round("score", 6).alias("score"))
+
+
+@query(
+    "r03_graph_search",
+    f"""WITH RECURSIVE q AS (SELECT n_nationkey AS question_id, 'in which ' || r_name || ' is ' || n_name AS question FROM nation JOIN region ON n_regionkey = r_regionkey),
+        asked AS (SELECT DISTINCT question_id, unnest(list_filter(string_split(question, ' '), lambda w: length(w) > 2)[1:3]) AS term FROM q),
+        {graph_plans.paths_sql("SELECT DISTINCT term FROM asked")}
+        SELECT question_id, asked.term, CAST(hops AS INTEGER) AS hops, key, nodes FROM asked JOIN best ON asked.term = best.term""",
+)
+def r03_graph_search(spark, sf_dir):
+    n = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    questions = n.select(F.col("n_nationkey").alias("question_id"), F.concat(F.lit("in which "), "r_name", F.lit(" is "), "n_name").alias("question"))
+    return retrieval.graph_search(graph_plans.places_edges(spark, sf_dir), questions).select("question_id", "term", "hops", "key", "nodes")
+
+
 KINDS = ["text", "image", "table", "chart"]
 
 
@@ -59,7 +110,7 @@ def hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """The vectors nearest to the first one, with documents in the part of their chunks."""
     v, q = _vectors(spark, sf_dir)
     top = retrieval.top_k(v, q, k)
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 200).alias("content"), F.col("source").alias("file_id"))
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"), F.col("source").alias("file_id"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.pmod("vec_id", F.lit(4)) + 1).cast("int"))
     return top.join(d, "vec_id", "left").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), "file_id", "content", kind.alias("content_type"), "score", F.col("vec_id").alias("seq"))
 
@@ -73,7 +124,7 @@ def fused(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
 def _fused_sql(k: int) -> str:
     return f"""{graph_plans.PATHS_SQL},
 top AS (SELECT e.vec_id, {_DOT} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {_DOT} DESC, e.vec_id LIMIT {k}),
-u AS (SELECT 'vector' AS type, ['text', 'image', 'table', 'chart'][vec_id % 4 + 1] AS content_type, text[1:200] AS content, source AS file_id, 'c' || vec_id AS chunk_id, score, CAST(NULL AS VARCHAR) AS path, 0 AS part, vec_id AS seq FROM top LEFT JOIN documents ON doc_id = vec_id
+u AS (SELECT 'vector' AS type, ['text', 'image', 'table', 'chart'][vec_id % 4 + 1] AS content_type, text AS content, source AS file_id, 'c' || vec_id AS chunk_id, score, CAST(NULL AS VARCHAR) AS path, 0 AS part, vec_id AS seq FROM top LEFT JOIN documents ON doc_id = vec_id
   UNION ALL SELECT 'graph', 'graph', NULL, NULL, NULL, 0.8::DOUBLE, nodes, 1, row_number() OVER (ORDER BY key) FROM best WHERE term = 'ASIA'),
 fused AS (SELECT *, CAST(row_number() OVER (ORDER BY content_type <> 'text' DESC, score DESC, part, seq) AS INTEGER) AS rank FROM u QUALIFY rank <= 15)"""
 
@@ -107,14 +158,14 @@ def r08_context_placeholders(spark, sf_dir):
 @query(
     "r25_placeholders",
     f"""WITH RECURSIVE {_fused_sql(12)}, m AS (SELECT chunk_id, content FROM fused WHERE content_type NOT IN ('text', 'graph')),
-        a AS (SELECT doc_id AS answer_id, regexp_extract_all('See [IMAGE:c' || doc_id || '] and [TABLE:c' || (doc_id + 1) || '], not [this] ' || text[1:20], '(\\[[A-Z]+:[^\\]]+\\])', 1) AS marks FROM documents),
+        a AS (SELECT doc_id AS answer_id, regexp_extract_all('See [IMAGE:c' || doc_id || '] and [TABLE:c' || (doc_id + 1) || '], not [this] ' || text, '(\\[[A-Z]+:[^\\]]+\\])', 1) AS marks FROM documents),
         p AS (SELECT answer_id, CAST(i - 1 AS INTEGER) AS position, marks[i] AS mark FROM a, LATERAL (SELECT unnest(range(1, len(marks) + 1)) AS i)),
         k AS (SELECT answer_id, position, lower(regexp_extract(mark, '^\\[([A-Z]+):', 1)) AS kind, regexp_extract(mark, ':([^\\]]+)\\]$', 1) AS chunk_id FROM p)
         SELECT answer_id, position, kind, k.chunk_id, m.chunk_id IS NOT NULL AS known, m.content AS description FROM k LEFT JOIN m ON k.chunk_id = m.chunk_id""",
 )
 def r25_placeholders(spark, sf_dir):
     i = F.col("doc_id")
-    text = F.concat(F.lit("See [IMAGE:c"), i.cast("string"), F.lit("] and [TABLE:c"), (i + 1).cast("string"), F.lit("], not [this] "), F.substring("text", 1, 20))
+    text = F.concat(F.lit("See [IMAGE:c"), i.cast("string"), F.lit("] and [TABLE:c"), (i + 1).cast("string"), F.lit("], not [this] "), F.col("text"))
     return retrieval.resolve_placeholders(load(spark, sf_dir, "documents").select(i.alias("answer_id"), text.alias("text")), retrieval.media_map(fused(spark, sf_dir, 12)))
 
 
@@ -141,16 +192,26 @@ def a09_type_histogram(spark, sf_dir):
 
 @query(
     "r20_key_points",
-    r"""WITH d AS (SELECT source, ['text', 'image', 'text', 'chart'][doc_id % 4 + 1] AS k, replace(text, '.', '。') AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 5),
-        p AS (SELECT source, n, i, CASE WHEN k = 'text' THEN regexp_replace(string_split(c, '。')[i], '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS s, k, c FROM d, (SELECT unnest([1, 2]) AS i) WHERE length(c) > 50 AND (k = 'text' OR i = 1)),
-        o AS (SELECT source, n, i, CASE WHEN k = 'text' THEN s || '。' ELSE k || '内容：' || c[1:100] || '...' END AS point FROM p WHERE k <> 'text' OR length(s) > 20)
-        SELECT source, array_to_string(list(point ORDER BY n, i)[1:5], '|') AS points FROM o GROUP BY source""",
+    r"""WITH d AS (SELECT doc_id, string_split(replace(text, '.', '。'), chr(10)) AS l FROM documents),
+        r AS (SELECT doc_id, n, ['text', 'image', 'text', 'chart'][(doc_id + n) % 4 + 1] AS k, l[n] AS c FROM d, (SELECT unnest(range(1, 6)) AS n) WHERE n <= len(l)),
+        p AS (SELECT doc_id, n, i, CASE WHEN k = 'text' THEN regexp_replace(string_split(c, '。')[i], '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS s, k, c FROM r, (SELECT unnest([1, 2]) AS i) WHERE length(c) > 50 AND (k = 'text' OR i = 1)),
+        o AS (SELECT doc_id, n, i, CASE WHEN k = 'text' THEN s || '。' ELSE k || '内容：' || c[1:100] || '...' END AS point FROM p WHERE k <> 'text' OR length(s) > 20)
+        SELECT doc_id, array_to_string(list(point ORDER BY n, i)[1:5], '|') AS points FROM o GROUP BY doc_id""",
 )
 def r20_key_points(spark, sf_dir):
-    kind = F.element_at(F.array(*map(F.lit, ("text", "image", "text", "chart"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
-    d = load(spark, sf_dir, "documents").withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter("n <= 5")
-    rows = d.select("source", F.struct("n", kind.alias("content_type"), F.replace("text", F.lit("."), F.lit("。")).alias("content")).alias("r")).groupBy("source").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return rows.select("source", F.array_join(retrieval.key_points(F.col("r")), "|").alias("points")).filter("points <> ''")
+    kinds = F.array(*map(F.lit, ("text", "image", "text", "chart")))
+    kind = lambda i: F.element_at(kinds, (F.pmod(F.col("doc_id") + i + 1, F.lit(4)) + 1).cast("int"))
+    results = F.transform(F.split(F.replace("text", F.lit("."), F.lit("。")), "\n"), lambda c, i: F.struct(kind(i).alias("content_type"), c.alias("content")))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(retrieval.key_points(results), "|").alias("points")).filter("points <> ''")
+
+
+@query(
+    "a11_media_flags",
+    f"""WITH RECURSIVE {_fused_sql(12)} SELECT bool_or(content_type = 'image') AS has_images, bool_or(content_type = 'table') AS has_tables, bool_or(content_type = 'chart') AS has_charts,
+        count(*) FILTER (WHERE content_type IN ('image', 'table', 'chart')) AS media_count, count(*) AS results, array_to_string(list_sort(list(DISTINCT content_type) FILTER (WHERE content_type <> 'text')), ',') AS kinds FROM fused""",
+)
+def a11_media_flags(spark, sf_dir):
+    return retrieval.media_flags(fused(spark, sf_dir, 12)).withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query(

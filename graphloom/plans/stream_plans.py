@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.tables import load
 from ..streaming import jobs
 from . import text_plans
 from .registry import query
@@ -12,7 +13,7 @@ from .registry import query
 @query("g01_stream_ingest", text_plans._RECORDS)
 def g01_stream_ingest(spark, sf_dir):
     d = jobs.source(spark, f"{sf_dir}/documents.parquet")
-    pages = d.select(F.col("source").alias("file_id"), F.pmod("doc_id", F.lit(1000)).cast("int").alias("page_number"), "text")
+    pages = d.select(F.concat("source", F.lit("_"), F.col("doc_id").cast("string")).alias("file_id"), F.pmod("doc_id", F.lit(9)).cast("int").alias("page_number"), "text")
     return jobs.ingest(pages, jobs.shared_folder(spark)).select("chunk_id", "file_id", "content_type", "content", "page_number", "chunk_index", "metadata.length", "metadata.language")
 
 
@@ -40,6 +41,7 @@ def g04_stream_history(spark, sf_dir):
        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n FROM s GROUP BY user_id, k""",
 )
 def g05_stream_sessions(spark, sf_dir):
-    e = jobs.source(spark, f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    out = jobs.session_windows(e, jobs.shared_folder(spark))
+    own = lambda df: df.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    closed = jobs.session_windows(own(jobs.source(spark, f"{sf_dir}/events.parquet")), jobs.shared_folder(spark))
+    out = closed.unionByName(jobs.open_sessions(own(load(spark, sf_dir, "events")), closed))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")

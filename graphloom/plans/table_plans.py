@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import tables
+from ..sources import tables as src
 from ..sources.tables import load
 from .registry import query
 
@@ -77,6 +78,31 @@ def b06_column_means(spark, sf_dir):
     return rows.select("chunk_id", "m.name", F.round("m.mean", 6).alias("mean"))
 
 
+@query(
+    "b06_insights",
+    f"""WITH {PARTS_SQL}, {_CELLS}, n AS (SELECT chunk_id, c, name, avg(try_cast(replace(replace(v, ',', ''), '%', '') AS DOUBLE)) AS x FROM cells GROUP BY 1, 2, 3),
+        m AS (SELECT chunk_id, list(name || '平均值：' || printf('%.2f', x) ORDER BY c) FILTER (WHERE x IS NOT NULL) AS l FROM n GROUP BY chunk_id)
+        SELECT chunk_id, array_to_string(list_prepend('数据维度：' || (len(t) - 1) || '行×' || len(t[1]) || '列', coalesce(l, []))[1:5], '|') AS insights FROM tb JOIN m USING (chunk_id)""",
+)
+def b06_insights(spark, sf_dir):
+    return part_tables(spark, sf_dir).select("chunk_id", F.array_join(tables.insights(F.col("table_data")), "|").alias("insights"))
+
+
+@query(
+    "r05_table_enrichment",
+    f"""WITH {PARTS_SQL}, c AS (SELECT chunk_id, t, md5(chunk_id) < '8' AS there FROM tb UNION ALL SELECT 'none', NULL, false)
+        SELECT chunk_id, 'about ' || chunk_id AS table_summary, CASE WHEN there THEN CAST(len(t) - 1 AS INTEGER) ELSE 0 END AS rows, CASE WHEN there THEN CAST(len(t[1]) AS INTEGER) ELSE 0 END AS columns, 'number,text' AS data_types, '' AS key_insights,
+               CASE WHEN there THEN 'loaded' ELSE 'failed' END AS status, CASE WHEN there THEN coalesce(t[2][2], '-') END AS first_name FROM c""",
+)
+def r05_table_enrichment(spark, sf_dir):
+    """Chunks of tables, half of them with their table, with what an answer shows of it."""
+    own = part_tables(spark, sf_dir)
+    chunks = own.select("chunk_id").union(spark.createDataFrame([("none",)], "chunk_id string")).select("chunk_id", F.concat(F.lit("about "), "chunk_id").alias("content"), F.lit('{"data_types": ["number", "text"]}').alias("metadata"))
+    out = src.with_tables(chunks, own.filter(F.md5(F.col("chunk_id").cast("binary")) < "8"))
+    first = F.when(F.col("status") == "loaded", F.coalesce(F.get(F.element_at("table_data", 2), F.lit(1)), F.lit("-")))
+    return out.select("chunk_id", "table_summary", "rows", "columns", F.array_join("data_types", ",").alias("data_types"), F.array_join("key_insights", ",").alias("key_insights"), "status", first.alias("first_name"))
+
+
 _ENTITIES = """SELECT chunk_id, name, 'TABLE_FIELD' AS type, CAST(0.9 AS DOUBLE) AS confidence, 'table' AS source_type, CAST(NULL AS INTEGER) AS row, CAST(NULL AS INTEGER) AS col FROM (SELECT chunk_id, unnest(t[1]) AS name FROM tb)
   UNION ALL SELECT chunk_id, trim(t[r][c]), 'TABLE_VALUE', CAST(0.7 AS DOUBLE), 'table', CAST(r - 1 AS INTEGER), CAST(c - 1 AS INTEGER) FROM tb, (SELECT unnest(range(1, 6)) AS c), LATERAL (SELECT unnest(range(2, least(len(t), 6) + 1)) AS r)
   WHERE c <= len(t[1]) AND trim(coalesce(t[r][c], '')) <> '' AND try_cast(replace(replace(t[r][c], ',', ''), '%', '') AS DOUBLE) IS NULL"""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import data_uri
@@ -35,9 +37,11 @@ def sql(spark: SparkSession, query: str, args: dict | list | None = None, **view
 
 
 class Snapshots:
-    """A table as numbered folders and a pointer: a write makes a new folder, then moves the pointer, so readers see whole versions.
+    """A table as folders and numbered manifests: a manifest lists the folders of a version, so readers see whole versions,
+    and an append adds a folder without touching the others.
 
-    The pointer is a one-row JSON file, written through Spark, so any store that Spark can write to will do.
+    A manifest is made by exclusive creation: of two writers one gets a number, and the other goes on from what the first
+    left. So a write needs a store whose creation without overwriting is atomic, as HDFS and local disks have.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -50,29 +54,86 @@ class Snapshots:
 
     def versions(self) -> list[str]:
         fs, path = self._fs()
-        where = path(f"{self.root}/_pointers")
-        return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+        where = path(f"{self.root}/_manifests")
+        return sorted(f.getPath().getName() for f in fs.listStatus(where) if not f.getPath().getName().startswith(".")) if fs.exists(where) else []
+
+    def folders(self) -> list[str]:
+        """The folders of the last whole manifest; one that is just being written doesn't count."""
+        for name in reversed(self.versions()):
+            lines = [r[0] for r in self.spark.read.text(f"{self.root}/_manifests/{name}").collect()]
+            if lines and lines[-1] == "end":
+                return json.loads(lines[0])
+        return []
 
     def read(self) -> DataFrame | None:
-        found = self.versions()
-        if not found:
-            return None
-        target = json.loads(self.spark.read.text(f"{self.root}/_pointers/{found[-1]}").first()[0])["folder"]
-        return self.spark.read.parquet(f"{self.root}/{target}")
+        found = self.folders()
+        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in found]) if found else None
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def _commit(self, change: Callable[[list[str]], list[str]]) -> DataFrame:
+        """Makes the next manifest of what `change` makes of the last one's folders; again, if another writer was first."""
+        fs, path = self._fs()
+        while True:
+            last = self.versions()
+            text = json.dumps(change(self.folders())) + "\nend\n"
+            try:
+                out = fs.create(path(f"{self.root}/_manifests/{int(last[-1]) + 1 if last else 0:012d}"), False)
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in str(e.java_exception):
+                    raise
+                continue
+            out.write(bytearray(text.encode()))
+            out.close()
+            return self.read()
+
+    def _folder(self, df: DataFrame) -> str:
         folder = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        number = f"{len(self.versions()):012d}"
-        self.spark.createDataFrame([(json.dumps({"folder": folder}),)], "value string").coalesce(1).write.text(f"{self.root}/_pointers/{number}")
-        return self.read()
+        return folder
+
+    def write(self, df: DataFrame) -> DataFrame:
+        folder = self._folder(df)
+        return self._commit(lambda _: [folder])
 
     def append(self, df: DataFrame) -> DataFrame:
-        now = self.read()
-        return self.write(df if now is None else now.unionByName(df))
+        folder = self._folder(df)
+        return self._commit(lambda now: [*now, folder])
 
     def delete(self, condition) -> DataFrame:
-        return self.write(self.read().filter(~F.coalesce(condition, F.lit(False))))
+        """Without the rows that meet the condition. Only folders that have such rows are written again."""
+        wanted = F.coalesce(condition, F.lit(False))
+        done: dict[str, str] = {}
+
+        def change(now: list[str]) -> list[str]:
+            for f in now:
+                if f not in done:
+                    rows = self.spark.read.parquet(f"{self.root}/{f}")
+                    done[f] = f if rows.filter(wanted).isEmpty() else self._folder(rows.filter(~wanted))
+            return [done[f] for f in now]
+
+        return self._commit(change)
+
+
+class VectorTable(Snapshots):
+    """Vectors with file_id, chunk_id, content, metadata and embedding; all embeddings have one dimension."""
+
+    def __init__(self, spark: SparkSession, root: str, dim: int):
+        super().__init__(spark, root)
+        self.dim = dim
+
+    def insert(self, rows: DataFrame) -> DataFrame:
+        return self.append(assert_embeddings(rows, self.dim))
+
+    def of_file(self, file_id: str) -> DataFrame | None:
+        """The rows of a file: the filter reaches the scan."""
+        now = self.read()
+        return None if now is None else now.filter(F.col("file_id") == file_id)
+
+    def delete_file(self, file_id: str) -> DataFrame:
+        return self.delete(F.col("file_id") == file_id)
+
+    def has_data(self) -> bool:
+        now = self.read()
+        return now is not None and not now.isEmpty()
 
 
 def assert_embeddings(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
@@ -87,6 +148,35 @@ def with_media(chunks: DataFrame, media: DataFrame) -> DataFrame:
     return chunks.join(own, "chunk_id", "left").withColumn("media_status", F.when(F.col("data_uri").isNotNull(), F.lit("loaded")).otherwise(F.lit("failed")))
 
 
+def with_tables(chunks: DataFrame, tables: DataFrame) -> DataFrame:
+    """chunks (chunk_id, content, metadata as JSON) with their table (chunk_id, table_data): data, summary, rows beside the
+    header, columns, types and insights from the metadata, and whether it was found.
+    """
+    t = F.col("table_data")
+    out = chunks.join(tables.select("chunk_id", "table_data"), "chunk_id", "left")
+    listed = lambda k: F.coalesce(F.from_json(F.get_json_object("metadata", f"$.{k}"), "array<string>"), F.array().cast("array<string>")).alias(k)
+    return out.select(
+        *chunks.columns, "table_data", F.col("content").alias("table_summary"), F.when(F.size(t) > 1, F.size(t) - 1).otherwise(F.lit(0)).alias("rows"),
+        F.when(F.size(t) > 0, F.size(F.element_at(t, 1))).otherwise(F.lit(0)).alias("columns"), listed("data_types"), listed("key_insights"),
+        F.when(F.size(t) > 0, F.lit("loaded")).otherwise(F.lit("failed")).alias("status"),
+    )
+
+
+#: What an answer shows of the metadata of a picture and of a chart.
+IMAGE_METADATA = "width int, height int, format string, objects_detected array<string>, text_content string"
+CHART_METADATA = "chart_type string, data_points array<double>, trend_analysis string, statistical_summary map<string,string>, axis_labels map<string,string>, legend_info array<string>"
+
+
+def media_metadata(metadata: Column, fields: str) -> Column:
+    """The named fields of a medium's metadata, which is JSON."""
+    return F.from_json(metadata, fields)
+
+
+def write_media(chunks: DataFrame, path: str) -> None:
+    """Pictures of chunks (chunk_id, media_bytes, media_format) as a table beside the others; chunks without one are left out."""
+    chunks.filter("media_bytes IS NOT NULL").select("chunk_id", F.col("media_format").alias("extension"), F.col("media_bytes").alias("bytes")).write.mode("append").parquet(path)
+
+
 def write_table_csv(tables: DataFrame, path: str) -> None:
     """One CSV record per row of cells: chunk id, row number, cells; missing cells are empty."""
     rows = tables.select("chunk_id", F.posexplode("table_data").alias("row", "cells"))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import chunking
 from ..operators.sessions import KEPT, line
@@ -20,12 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def source(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
-    """New Parquet files under path, as a stream with the schema of those there; a single file is watched in its folder."""
+def source(spark: SparkSession, path: str, files_per_batch: int = 16, schema: StructType | None = None) -> DataFrame:
+    """New Parquet files under path, as a stream with the schema of those there, or the one given; a single file is watched in its folder."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     single = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    stream = spark.readStream.schema(schema or spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     if single:
         folder, _, name = path.rstrip("/").rpartition("/")
         return stream.option("pathGlobFilter", name).parquet(folder)
@@ -43,9 +44,12 @@ def drain(stream: DataFrame, out: str, mode: str = "append", each: Callable[[Dat
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    schema = stream.schema if each is None else None
     spark = stream.sparkSession
-    reader = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, batch int") if schema is not None else spark.read
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/rows")
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)  # there was nothing, so no batch ran
+    reader = spark.read.schema(schema) if each is None else spark.read
     return reader.option("basePath", f"{out}/rows").parquet(f"{out}/rows")
 
 
@@ -77,10 +81,17 @@ def bounded_history(messages: DataFrame, out: str, most: int = KEPT) -> DataFram
     return rows.groupBy("session_id").agg(F.max_by("history", "batch").alias("history"))
 
 
+def _sessions(events: DataFrame, gap: str) -> DataFrame:
+    return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
 def session_windows(events: DataFrame, out: str, gap: str = "24 hours", late: str = "1 hour") -> DataFrame:
-    """Sessions of a stream of (user_id, ts) that end after a gap: closed once the watermark passes, open ones as they stand."""
-    marked = events.withWatermark("ts", late)
-    now = marked.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-    rows = drain(now, out, "complete")
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(last), "batch", "left_semi").drop("batch")
+    """Sessions of a stream of (user_id, ts) that have ended: one is put out, and leaves the state, once the watermark is past its end."""
+    return drain(_sessions(events.withWatermark("ts", late), gap), out).drop("batch")
+
+
+def open_sessions(events: DataFrame, closed: DataFrame, gap: str = "24 hours") -> DataFrame:
+    """Sessions that stand open, from a batch read of the events (user_id, ts): of each user those after the last closed session."""
+    last = closed.groupBy("user_id").agg(F.max("end").alias("last"))
+    left = events.join(last, "user_id", "left").filter(F.col("last").isNull() | (F.col("ts") >= F.col("last")))
+    return _sessions(left.select("user_id", "ts"), gap)

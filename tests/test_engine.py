@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import answers, catalog, graph, ingest, retrieval, sessions, tables
-from graphloom.sources import providers
+from graphloom.operators import answers, catalog, files, graph, ingest, retrieval, sessions, tables
+from graphloom.sources import config, providers
 from graphloom.sources import tables as src
 from graphloom.streaming import jobs
 
@@ -109,15 +109,110 @@ def test_ingestion(spark):
     names = {r.name: r for r in entities.collect()}
     assert {"Alice Smith", "Name", "Age", "Alice", "Bob", "x1", "Year", "Sales"} <= names.keys()
     assert names["Bob"].merged_count == 2
-    assert [(r.subject, r.object) for r in relations.collect()] == [("Name", "Age")]
+    assert sorted((r.subject, r.predicate, r.object) for r in relations.collect()) == [("Alice Smith", "RELATED_TO", "Bob"), ("Name", "RELATED_FIELD", "Age"), ("They", "RELATED_TO", "Paris")]
     media = chunks.filter("media_bytes is not null").select("chunk_id", F.col("media_format").alias("extension"), F.col("media_bytes").alias("bytes"))
     shown = {r.chunk_id: r.media_status for r in src.with_media(chunks.select("chunk_id"), media).collect()}
     assert shown[got[1]] == "loaded" and shown[got[0]] == "failed"
 
 
+class Camera:
+    """Sees a lamp in each picture and reads its bytes."""
+
+    def read(self, picture):
+        return [(picture.decode(), 0.9), ("", 0.1)]
+
+    def analyse(self, picture):
+        return {"scene": "room", "objects": ["Lamp", " "]}
+
+    def charts(self, picture):
+        return [{"chart_type": "pie", "axis_labels": {"x": "Year"}, "legend_info": ["North"]}] if picture else []
+
+
+def test_pictures_and_charts_are_analysed(spark):
+    images = ingest.image_chunks(pages(spark).withColumn("images", F.transform("images", lambda i: i.withField("bytes", F.lit("Acme Corp met Zed").cast("binary")))))
+    seen = providers.analyse_images(images, Camera(), Camera())
+    r = seen.first()
+    assert (r.description, r.scene, r.objects_detected, r.text_content) == ("图像(第1页)：尺寸60x60，包含文字：Acme Corp met Zed", "room", ["Lamp", " "], "Acme Corp met Zed")
+    plain = providers.analyse_images(images).first()
+    assert (plain.description, plain.objects_detected, plain.text_content) == ("图像(第1页)：尺寸60x60", [], "")
+    chunks = seen.unionByName(ingest.table_chunks(pages(spark)), allowMissingColumns=True).unionByName(ingest.chart_chunks(pages(spark)), allowMissingColumns=True)
+    entities, relations = ingest.knowledge(chunks)
+    kinds = {r.name: r.type for r in entities.collect()}
+    assert kinds["Lamp"] == "IMAGE_OBJECT" and kinds["Acme Corp"] == kinds["Zed"] == "NAME"
+    assert ("Acme Corp", "Zed") in {(r.subject, r.object) for r in relations.collect()}
+    found = providers.detect_charts(spark.createDataFrame([("f", 0, bytearray(b"x")), ("f", 1, None)], "file_id string, page_number int, picture binary"), Camera())
+    assert [(r.content, r.axis_labels) for r in ingest.chart_chunks(found).collect()] == [("pie", {"x": "Year"})]
+
+
+class Oracle:
+    """Answers with JSON, some of it malformed."""
+
+    def answer(self, prompt):
+        if "relations" in prompt:
+            yield 'Sure: {"relations": [{"subject": "A", "object": " B "}, {"subject": "", "object": "B"}, {"subject": "A", "predicate": "p", "object": "B", "confidence": 0.5}, 3]}'
+        else:
+            yield '```json\n{"entities": [{"name": " A ", "type": "T"}, {"name": "B"}, {"name": ""}, "x", {"name": "C", "type": null}]}\n```'
+
+
+def test_a_model_extracts(spark):
+    chunks = spark.createDataFrame([("f", 1, "c1", "one"), ("f", 2, "c2", "two"), ("f", 3, "c3", "")], "file_id string, seq int, chunk_id string, content string")
+    found = providers.extracted(chunks, providers.ModelExtractor(Oracle()))
+    assert [(r.batch, r.source_chunks, r.name, r.type) for r in providers.text_entities(found).orderBy("batch", "name").collect()][:2] == [(0, ["c1", "c2"], "A", "T"), (0, ["c1", "c2"], "B", "UNKNOWN")]
+    assert {(r.subject, r.predicate, r.object, r.confidence) for r in providers.text_relations(found).collect()} == {("A", "RELATED_TO", "B", 0.8), ("A", "p", "B", 0.5)}
+    silent = providers.ModelExtractor(providers.EchoModel())
+    assert silent.entities("no json { here") == [] and silent.relations("x", []) == []
+
+
+def test_relations_of_model_answers(spark):
+    rows = [('{"relations": [{"subject": " A", "predicate": null, "object": "B "}, {"subject": " ", "object": "C"}, {"subject": "D"}]}',), ("none",), (None,)]
+    got = [[tuple(x) for x in r.e] for r in spark.createDataFrame(rows, "r string").select(graph.parse_relations(F.col("r")).alias("e")).collect()]
+    assert got == [[("A", "RELATED_TO", "B", 0.8)], [], []]
+
+
+def test_properties_merge(spark):
+    w = spark.createDataFrame([("L", "n", {"a": "1", "b": "2"}, 1), ("L", "n", {"a": "3", "b": None, "c": "4"}, 2), ("L", "m", None, 1), ("L", "m", {}, 2)], "label string, name string, props map<string,string>, seq long")
+    assert {r.name: r.props for r in graph.merge_properties(w).collect()} == {"n": {"a": "3", "c": "4"}, "m": {}}
+
+
+def test_a_question_finds_chunks_and_trails(spark):
+    rows = [("c1", "f", "the red house of Ann", '{"type": "image"}'), ("c2", "f", "blue boats at sea", '{"type": "text"}'), ("c3", "g", "", None)]
+    vectors = providers.embed(spark.createDataFrame(rows, "chunk_id string, file_id string, content string, metadata string"), "content")
+    edges = spark.createDataFrame([("e1", "house", "Ann"), ("e2", "Ann", "town")], "edge_id string, src string, dst string")
+    got = retrieval.search(vectors, edges, "the red house of Ann").orderBy("rank").collect()
+    assert [(r.type, r.chunk_id, r.path) for r in got] == [("vector", "c1", None), ("graph", None, "house>Ann"), ("graph", None, "house>Ann>town")]
+    assert retrieval.search(vectors, edges, "  ").count() == 0
+    assert retrieval.search(vectors.limit(0), edges, "red house").count() == 2
+    flags = retrieval.media_flags(retrieval.search(vectors, edges, "the red house of Ann")).first()
+    assert (flags.has_images, flags.has_tables, flags.media_count, flags.results, flags.kinds) == (True, False, 1, 3, ["graph", "image"])
+
+
+def test_files_are_registered_and_deleted(spark):
+    up = spark.createDataFrame([("a", "x.pdf", 10, 1000), ("b", "x.doc", 10, 1000), ("c", "x.pdf", 1 << 40, 1000), ("d", None, None, 1000)], "file_id string, original_filename string, size long, t long").withColumn("uploaded_at", F.timestamp_seconds("t"))
+    rows = files.register(up, "/in/")
+    assert {r.file_id: r.success for r in rows.collect()} == {"a": True, "b": False, "c": False, "d": False}
+    (kept,) = files.accepted(rows).collect()
+    assert (kept.file_path, kept.status, kept.processing_progress, len(kept)) == ("/in/a_1000.pdf", "uploaded", 0, 8)
+
+
+def test_settings_by_path(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("search:\n  top_k: 5\n  media: {kinds: [image]}\n")
+    (tmp_path / "b.yaml").write_text("x: [1\n")
+    c = config.Config(spark, {"app": f"file://{tmp_path}/a.yaml", "bad": f"file://{tmp_path}/b.yaml", "none": f"file://{tmp_path}/c.yaml"})
+    assert c.get("app.search.top_k") == 5 and c.get("app.search.media.kinds") == ["image"]
+    assert c.get("app.search.top_k.x", 7) == 7 and c.get("bad.x") is None and c.get("none.y", 1) == 1 and c.get("other") is None
+
+
 def test_page_splitter(spark):
-    files = spark.createDataFrame([("f", bytearray("a\fb".encode()))], "file_id string, content binary")
-    assert [(r.page_number, r.text) for r in providers.split_pages(files).orderBy("page_number").collect()] == [(0, "a"), (1, "b")]
+    some = spark.createDataFrame([("f", bytearray("a\fb".encode()))], "file_id string, content binary")
+    assert [(r.page_number, r.text) for r in providers.split_pages(some).orderBy("page_number").collect()] == [(0, "a"), (1, "b")]
+
+
+def test_files_are_read_as_pages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "my.book.txt").write_bytes("one\ftwo".encode())
+    (tmp_path / "in" / "empty.txt").write_bytes(b"")  # an empty file has no pages
+    got = sorted((r.file_id, r.page_number, r.text) for r in providers.read_pages(spark, f"file://{tmp_path}/in").collect())
+    assert got == [("my.book", 0, "one"), ("my.book", 1, "two")]
 
 
 def test_snapshots(spark, tmp_path):
@@ -129,6 +224,52 @@ def test_snapshots(spark, tmp_path):
     assert sorted(r.id for r in s.read().collect()) == [0, 2, 3, 4] and len(s.versions()) == 3
 
 
+def test_snapshots_append_without_rewriting(spark, tmp_path):
+    s = src.Snapshots(spark, f"file://{tmp_path}/t")
+    s.append(spark.range(3))
+    first = s.folders()
+    s.append(spark.range(3, 5))
+    assert s.folders()[:1] == first and len(s.folders()) == 2
+    s.delete(F.col("id") == 4)
+    assert s.folders()[:1] == first  # a folder without such rows stays as it is
+    s.write(spark.range(1))
+    assert [r.id for r in s.read().collect()] == [0] and len(s.folders()) == 1
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/t"
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: src.Snapshots(spark, root).append(spark.range(k * 10, k * 10 + 10)), range(6)))
+    s = src.Snapshots(spark, root)
+    assert sorted(r.id for r in s.read().collect()) == list(range(60)) and len(s.versions()) == 6
+    (tmp_path / "t" / "_manifests" / "000000000006").write_text('["half')  # a manifest that is just being written
+    assert s.read().count() == 60
+
+
+def test_vector_table(spark, tmp_path):
+    t = src.VectorTable(spark, f"file://{tmp_path}/v", 2)
+    assert not t.has_data() and t.of_file("f") is None
+    rows = spark.createDataFrame([("f", "c1", "x", None, [1.0, 0.0]), ("g", "c2", "y", None, [0.0, 1.0])], "file_id string, chunk_id string, content string, metadata string, embedding array<float>")
+    t.insert(rows)
+    t.insert(rows.withColumn("chunk_id", F.concat("chunk_id", F.lit("b"))))
+    assert t.has_data() and sorted(r.chunk_id for r in t.of_file("f").collect()) == ["c1", "c1b"]
+    assert "PushedFilters: [IsNotNull(file_id), EqualTo(file_id,f)]" in t.of_file("f")._jdf.queryExecution().toString()
+    assert t.delete_file("f").count() == 2 and t.of_file("f").isEmpty()
+    with pytest.raises(Exception, match="dimension"):
+        t.insert(rows.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+
+
+def test_media_table(spark, tmp_path):
+    chunks = ingest.multimodal_chunks(pages(spark))
+    src.write_media(chunks, f"file://{tmp_path}/m")
+    assert [(r.chunk_id, r.extension, bytes(r.bytes)) for r in spark.read.parquet(f"file://{tmp_path}/m").collect()] == [("f1_page_0_image_0", "png", b"p")]
+    meta = spark.createDataFrame([('{"width": 3, "objects_detected": ["a"], "chart_type": "bar"}',), (None,)], "m string")
+    got = meta.select(src.media_metadata(F.col("m"), src.IMAGE_METADATA).alias("i"), src.media_metadata(F.col("m"), src.CHART_METADATA).alias("c")).collect()
+    assert (got[0].i.width, got[0].i.objects_detected, got[0].c.chart_type, got[1].i) == (3, ["a"], "bar", None)
+
+
 def test_csv_round_trip(spark, tmp_path):
     t = spark.createDataFrame([("c", [["a", 'q"uo,te'], [None, "new\nline"]])], "chunk_id string, table_data array<array<string>>")
     src.write_table_csv(t, f"file://{tmp_path}/csv")
@@ -158,6 +299,25 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert got == want
 
 
+def test_an_empty_stream_gives_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = spark.createDataFrame([], "file_id string, page_number int, text string").schema
+    assert jobs.ingest(jobs.source(spark, f"{tmp_path}/in", schema=schema), f"{tmp_path}/out").count() == 0
+
+
+def test_sessions_close_and_leave_the_state(spark, tmp_path):
+    hours = [0, 1, 40, 41, 90, 91, 200]
+    e = spark.createDataFrame([(u, h * 3600) for u in (1, 2) for h in hours] + [(3, 10)], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
+    for k, (a, b) in enumerate(((0, 50), (50, 100), (100, 300))):
+        e.filter(F.unix_seconds("ts").between(a * 3600, b * 3600 - 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.source(spark, f"{tmp_path}/in", 1)
+    closed = jobs.session_windows(stream, f"{tmp_path}/out")
+    both = closed.unionByName(jobs.open_sessions(e, closed))
+    key = lambda df: sorted((r.user_id, r.start, r.end, r.n) for r in df.collect())
+    assert key(both) == key(jobs._sessions(e, "24 hours"))
+    assert closed.count() == 7 and jobs.open_sessions(e, closed).count() == 2  # the last session of each user is open
+
+
 def test_status_overlay(spark):
     f = spark.createDataFrame([("a", "processing", 3), ("b", "processing", 3), ("c", "odd", 4)], "file_id string, status string, processing_progress long")
     live = spark.createDataFrame([("a", 9, "busy"), ("c", 9, "busy")], "file_id string, progress long, message string")

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,54 +13,62 @@ def one(spark, expr, *values):
     return spark.createDataFrame([tuple(values)], ", ".join(f"c{i} {'string' if v is None or isinstance(v, str) else 'long'}" for i, v in enumerate(values))).select(expr.alias("x")).first().x
 
 
-def strip_spec(s):
-    return s.strip()
-
-
-def pieces_spec(p, size):
-    out, cur = [], ""
-    import re
-
-    for s in filter(None, (strip_spec(x) for x in re.split("[.!?。！？]", p))):
-        if len(cur) + len(s) <= size:
-            cur = cur + "。" + s if cur else s
-        elif cur:
-            out, cur = [*out, strip_spec(cur)], s
-        else:
-            out, cur = [*out, s[:size]], s[size:]
-    return out + [strip_spec(cur)] * bool(strip_spec(cur))
-
-
-def chunks_spec(text, size, overlap):
-    out, cur = [], ""
-    for p in filter(None, (strip_spec(x) for x in text.split("\n\n"))):
-        if len(cur) + len(p) <= size:
-            cur = cur + "\n\n" + p if cur else p
-        elif cur:
-            out, cur = [*out, strip_spec(cur)], (cur[-overlap:] + "\n" + p if 0 < overlap < len(cur) else p)
-        else:
-            *more, cur = pieces_spec(p, size) or [""]
-            out += more
-    return out + [strip_spec(cur)] * bool(strip_spec(cur))
-
-
 CASES = [("aaaa\n\nbbbb\n\ncccc", 10, 3, ["aaaa\n\nbbbb", "bbb\ncccc"]), ("abc.defgh.ijklmnop", 5, 0, ["abc", "defgh", "ijklmnop"]), ("abcdefgh", 5, 0, ["abcde", "fgh"]), ("ab\n\ncdefghij", 5, 2, ["ab", "cdefghij"]), ("3.14 is pi", 9, 0, ["3。14 is pi"]), ("", 5, 1, []), (" \n\n　", 5, 1, [])]
 
 
 @pytest.mark.parametrize("text,size,overlap,want", CASES)
 def test_chunks(spark, text, size, overlap, want):
-    assert one(spark, chunking.paragraph_chunks(F.col("c0"), size, overlap), text) == want == chunks_spec(text, size, overlap)
+    assert one(spark, chunking.paragraph_chunks(F.col("c0"), size, overlap), text) == want
+
 
+def letters(text):
+    """What no rule of chunking may lose: all but white space and the ends of sentences."""
+    return re.sub(r"[\s.!?。！？]", "", text)
 
-def test_chunks_equal_the_rules_on_random_text(spark):
-    import random
 
-    r = random.Random(3)
+@pytest.mark.parametrize("size,overlap", [(10, 3), (25, 8), (7, 0)])
+def test_chunks_keep_the_rules_on_random_text(spark, size, overlap):
+    r = random.Random(size)
     texts = ["".join(r.choice("ab .!\n\n　。é") for _ in range(r.randint(0, 200))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    for size, overlap in ((10, 3), (25, 8), (7, 0)):
-        for row in df.select("i", chunking.paragraph_chunks(F.col("t"), size, overlap).alias("c")).collect():
-            assert row.c == chunks_spec(texts[row.i], size, overlap)
+    for row in df.select("i", chunking.paragraph_chunks(F.col("t"), size, overlap).alias("c")).collect():
+        text, chunks = texts[row.i], row.c
+        paragraphs = [p for p in map(str.strip, text.split("\n\n")) if p]
+        # No chunk is blank or has space at its edges.
+        assert all(c and c == c.strip() for c in chunks)
+        # A text that fits is one chunk, its paragraphs parted by an empty line.
+        if sum(map(len, paragraphs)) + 2 * len(paragraphs) <= size:
+            assert chunks == ["\n\n".join(paragraphs)] * bool(paragraphs)
+        # Nothing but space and sentence ends is lost: each paragraph's letters come in order, in neighbouring chunks.
+        if not overlap:
+            assert letters("".join(chunks)) == letters(text)
+        else:
+            assert set(letters(text)) == set(letters("".join(chunks)))
+            assert len(letters("".join(chunks))) <= len(letters(text)) + overlap * len(chunks)
+        # A chunk is at most a size long, beside its glue and the overlap before; only a paragraph that comes whole is longer.
+        longest, glue = max(map(len, paragraphs), default=0), 2 * len(paragraphs) + len(re.findall("[.!?。！？]", text))
+        assert all(len(c) <= max(size, longest) + overlap + 1 + glue for c in chunks)
+
+
+def test_an_overlap_is_the_tail_of_the_chunk_before(spark):
+    text = "\n\n".join(f"paragraph {i} has its own words" for i in range(12))
+    chunks = one(spark, chunking.paragraph_chunks(F.col("c0"), 70, 15), text)
+    assert len(chunks) > 3
+    for before, after in zip(chunks, chunks[1:], strict=False):
+        assert after.startswith(before[-15:].strip() + "\n")
+
+
+def test_time_is_linear_in_a_text(spark):
+    """One paragraph of very many sentences, and one text of very many paragraphs."""
+    took = {}
+    for sep in (". ", "\n\n"):
+        for n in (20_000, 80_000):
+            df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("a sentence of several words "), i.cast("string"))), sep).alias("t"))
+            df = spark.createDataFrame(df.collect(), "t string")
+            start = time.time()
+            assert df.select(F.size(chunking.paragraph_chunks(F.col("t")))).first()[0] > n / 40
+            took[sep, n] = time.time() - start
+    assert all(took[sep, 80_000] < 10 * took[sep, 20_000] + 1 for sep in (". ", "\n\n")), took
 
 
 def test_windows(spark):
@@ -94,6 +106,13 @@ def test_uploads(spark, name, size, want):
     assert tuple(one(spark, c, name, size) for c in X.upload_checks(F.col("c0"), F.col("c1"))) == want
 
 
+def test_two_decimals(spark):
+    r = random.Random(5)
+    values = [23.125, 2.675, 1.005, 0.125, 0.375, -0.125, 1e12 + 0.005, 0.0, 1e15 / 3, 8.345] + [r.randrange(10**6) / 1000 for _ in range(3000)] + [r.uniform(-1e6, 1e6) for _ in range(500)]
+    got = [x.t for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(X.two_decimals(F.col("v")).alias("t")).collect()]
+    assert [g.replace("-0.00", "0.00") for g in got] == [f"{v:.2f}".replace("-0.00", "0.00") for v in values]
+
+
 def test_terms_and_progress(spark):
     assert one(spark, X.query_terms(F.col("c0")), "what is the GDP of France") == ["what", "the", "GDP"]
     assert one(spark, X.page_progress(F.col("c0"), F.lit(3), 0.2), 0) == 6
