@@ -1,5 +1,5 @@
-"""Near copies at a similarity of 0.8: wide SimHash fingerprints, met in tables of sampled bits, compared bit-sliced, give
-candidates; the exact similarity of their shingles decides.
+"""Near copies at a similarity of 0.8: documents meet by the least hashes of their shingles, wide SimHash fingerprints are
+compared bit-sliced where they meet, and the exact similarity of the shingles decides.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from .suffix_dedup import _mix
 #: Words of a shingle, and 64-bit words of a fingerprint.
 SHINGLE, WIDE = 5, 4
 BITS = 64 * WIDE
-#: Similarity (Jaccard, of shingles) that is sought, and chance that two texts just as similar miss every table.
-SIMILARITY, MISS = 0.8, 0.001
-#: Least bits of a table's key.
-LEAST_KEY = 14
+#: Similarity (Jaccard, of shingles) that is sought.
+SIMILARITY = 0.8
+#: Keys of a document, and least hashes that each is made of. Two texts agree in a least hash with a chance of their
+#: similarity, so those just as similar as is sought miss each other with 0.0008, and texts of nothing in common share no key:
+#: the keys of a document are as many however many documents there are.
+KEYS, LEAST_HASHES = 18, 5
 #: Fingerprints that one comparison holds; a larger bucket is cut into blocks.
 BLOCK = 2048
 #: Texts of candidates whose shingles meet in one task are at most two such blocks.
@@ -81,32 +83,25 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, digest=xxhash.xxh64_intdige
     return _fingerprint(shingles(text, shingle, digest))
 
 
-def missed(bits: int, count: int) -> float:
-    """Chance that texts just as similar as is sought share none of so many keys, over all distances that they may have."""
-    p = 1 - agreement(SIMILARITY)
-    return sum(math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d) * (1 - math.comb(BITS - d, bits) / math.comb(BITS, bits)) ** count for d in range(BITS + 1))
+_ODD = _mix(np.arange(1, KEYS * LEAST_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_PLACES = _mix(np.arange(1, LEAST_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def tables(rows: int) -> tuple[int, int]:
-    """(bits of a key, tables) for so many fingerprints: keys of about log2(rows) bits hold a bucket's chance size level, and
-    more bits take more tables, so that the chance of a miss stays MISS.
-    """
-    bits = max(LEAST_KEY, math.ceil(math.log2(max(rows, 1) + 1)) - 4)
-    count = 1
-    while missed(bits, count) > MISS:
-        count += max(1, count // 16)
-    return bits, count
-
-
-def _keys(fps: np.ndarray, bits: int, count: int) -> np.ndarray:
-    """One key per table: sampled bits of the fingerprints, and the table, hashed."""
-    one = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-    r = np.random.default_rng(1)
-    out = np.empty((count, len(fps)), np.uint64)
-    for t in range(count):
-        own = one[:, r.choice(BITS, bits, replace=False)].astype(np.uint64)
-        out[t] = _mix((own << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return out
+def missed(similarity: float = SIMILARITY) -> float:
+    """Chance that texts of a similarity share none of their keys."""
+    return (1 - similarity**LEAST_HASHES) ** KEYS
+
+
+def keys(hashes: np.ndarray) -> np.ndarray:
+    """A text's keys: each from the least of its shingles' hashes in orders of the key's own. None of a text without words."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    x = hashes ^ (hashes >> np.uint64(29))
+    least = np.full(len(_ODD), ~np.uint64(0))
+    for i in range(0, len(x), 4096):
+        np.minimum(least, (x[i : i + 4096, None] * _ODD).min(axis=0), out=least)
+    joined = (least.reshape(KEYS, LEAST_HASHES) * _PLACES).sum(axis=1, dtype=np.uint64)
+    return _mix(joined + np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _near(left: np.ndarray, right: np.ndarray, shape, radius: int) -> np.ndarray:
@@ -155,31 +150,23 @@ def _compare(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, sides: np.ndarr
     return simhash.forest(np.arange(len(pair)), np.arange(len(pair)) + len(pair), np.concatenate((pair[:, 0], pair[:, 1])))
 
 
-def links(nodes: DataFrame, rows: int, radius: int = CANDIDATE_RADIUS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between nodes (id, fp: WIDE words as bytes) within the radius that share a key of some table.
+def links(nodes: DataFrame, radius: int = CANDIDATE_RADIUS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between nodes (id, fp: WIDE words as bytes, keys) within the radius that share a key.
 
-    A key with more than `block` rows is cut into blocks by hash, and each pair of its blocks is a task's work of its own;
-    no comparison holds more than two blocks. Of a key's links a spanning forest goes on, so a group of n near copies
-    gives about n links for a table.
+    Ids and keys are shuffled first; fingerprints only of nodes whose key another node has too. A key with more than
+    `block` rows is cut into blocks by hash, and each pair of its blocks is a task's work of its own; no comparison holds
+    more than two blocks. Of a key's links a spanning forest goes on, so a group of n near copies gives about n links for
+    a key.
     """
-    bits, count = tables(rows)
     scratch = common.Scratch(nodes.sparkSession)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, WIDE)
-                keys = np.ascontiguousarray(_keys(fps, bits, count).T).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * count), pa.array(keys.ravel()))
-                yield common.with_columns(part, ["id", "fp"], keys=lists)
-
-    keyed = map_arrow(nodes.select("id", "fp"), add, "id long, fp binary, keys array<long>").select("id", "fp", F.explode("keys").alias("key"))
-    large = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "large")
-    n_blocks = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
+    sizes = scratch.write(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    shared = common.attach_counted(keyed, sizes.withColumn("rows", F.col("n")), "key", "rows")
+    n_blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), n_blocks).cast("int")
-    dealt = common.attach(keyed, large, ["key"]).select("id", "fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "fp", (F.col("own") > F.col("other")).alias("side"))
+    dealt = shared.select("id", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", (F.col("own") > F.col("other")).alias("side"))
+    dealt = dealt.join(nodes.select("id", "fp"), "id").select("key", "id", "fp", "side")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -289,22 +276,23 @@ def classes(docs: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, ids = [], []
+            fps, ids, met = [], [], []
             for t in common.texts_of(batch):
                 x = shingles(t)
                 fps.append(_fingerprint(x).astype("<u8").tobytes())
                 ids.append(xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), simhash.SEED) - (1 << 63))
-            yield common.with_columns(batch, ["doc_id", "carried"], fp=pa.array(fps, pa.binary()), id=pa.array(ids, pa.int64()))
+                met.append(keys(x).view(np.int64))
+            yield common.with_columns(batch, ["doc_id", "carried"], id=pa.array(ids, pa.int64()), fp=pa.array(fps, pa.binary()), keys=pa.array(met, pa.list_(pa.int64())))
 
-    rows = scratch.write(map_arrow(own, run, "doc_id long, carried long, fp binary, id long"), "fingerprints")
-    nodes = scratch.write(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.min("carried").alias("carried"), F.count(F.lit(1)).alias("n")), "nodes")
-    near = scratch.write(simhash.components(scratch, scratch.write(links(nodes.select("id", "fp"), nodes.count()), "links")), "near")
+    rows = scratch.write(map_arrow(own, run, "doc_id long, carried long, id long, fp binary, keys array<long>"), "fingerprints")
+    nodes = scratch.write(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("carried").alias("carried"), F.count(F.lit(1)).alias("n")), "nodes")
+    near = scratch.write(simhash.components(scratch, scratch.write(links(nodes), "links")), "near")
     # One row's text of each node that has candidates; only these texts move.
     asked = scratch.write(nodes.join(near, nodes.id == near.node).select("carried", "id", "root"), "asked")
     members = common.attach(own.select("carried", "text"), asked, ["carried"], "inner").select("id", "root", "text")
     roots = scratch.write(simhash.components(scratch, scratch.write(verified(members), "alike"), "exact"), "roots")
     named = scratch.write(nodes.join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("component_root"), "n"), "named")
-    return common.attach_counted(rows.drop("fp"), named, "id", "n").select("doc_id", "carried", "component_root")
+    return common.attach_counted(rows.drop("fp", "keys"), named, "id", "n").select("doc_id", "carried", "component_root")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

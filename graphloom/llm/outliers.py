@@ -32,11 +32,11 @@ CHANCE = 1e-6
 #: documents do. So it is never singular, and a group of any size has an estimate of its own, by one rule.
 PRIOR = 5.0
 #: Change of means and log determinants at which the concentration steps end; it doubles with each step after so many, so they always end.
-TOLERANCE, PATIENCE = 1e-3, 25
+TOLERANCE, PATIENCE = 1e-2, 15
 #: Bins per doubling of a squared distance, in which the core's edge is found; the bin at the edge counts in part.
-BINS = 64
+BINS = 16
 #: Steps per unit in which medians and scales of the statistics are found.
-GRID = 4096
+GRID = 1024
 #: Share that odds begin with, so that those of none and of all are finite.
 ODDS = 0.01
 #: Least conditional variance of a statistic that is no count, against numerical loss.
@@ -172,7 +172,7 @@ def standardised(kept: list[str], lengths: list[tuple[int, list[float], list[flo
 
 
 class _Estimate:
-    """Mean mu_i and Cholesky factor l_i_j of a covariance as columns, and the squared distance by forward substitution."""
+    """Mean mu_i and Cholesky factor l_i_j of a covariance as columns, and squared distances under them."""
 
     def __init__(self, p: int, least: list[float] | None = None):
         self.p = p
@@ -181,20 +181,21 @@ class _Estimate:
         self.pairs = [(i, j) for i in range(p) for j in range(i + 1)]
         self.columns = [f"mu_{i}" for i in range(p)] + [f"l_{i}_{j}" for i, j in self.pairs]
 
-    def distance(self, of: str) -> Column:
-        """From columns z_i, under the estimate in the struct `of`."""
-        y: list[Column] = []
+    def measured(self, df: DataFrame, of: str) -> DataFrame:
+        """df (z_i, and an estimate in the struct `of`) with o_i, the deviations from its mean, and d, the squared distance.
+
+        Column after column, by forward substitution: each is one step of the plan, so the code made of it stays in methods
+        that are small enough to be compiled.
+        """
+        df = df.select("*", *[(F.col(f"z_{i}") - F.col(f"{of}.mu_{i}")).alias(f"o_{i}") for i in range(self.p)])
         for i in range(self.p):
-            r = F.col(f"z_{i}") - F.col(f"{of}.mu_{i}")
-            for k in range(i):
-                r = r - F.col(f"{of}.l_{i}_{k}") * y[k]
-            y.append(r / F.col(f"{of}.l_{i}_{i}"))
-        return sum((v * v for v in y), F.lit(0.0))
+            rest = F.col(f"o_{i}") - sum((F.col(f"{of}.l_{i}_{k}") * F.col(f"y_{k}") for k in range(i)), F.lit(0.0))
+            df = df.withColumn(f"y_{i}", rest / F.col(f"{of}.l_{i}_{i}"))
+        return df.withColumn("d", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(self.p)), F.lit(0.0))).drop(*[f"y_{i}" for i in range(self.p)])
 
-    def moments(self, of: str) -> list[Column]:
-        """Sums about the mean of the estimate `of`, so that nothing is lost to cancellation."""
-        off = [F.col(f"z_{i}") - F.col(f"{of}.mu_{i}") for i in range(self.p)]
-        return [F.count(F.lit(1)).cast("double").alias("m_n"), *[F.sum(off[i]).alias(f"m_{i}") for i in range(self.p)], *[F.sum(off[i] * off[j]).alias(f"m_{i}_{j}") for i, j in self.pairs]]
+    def moments(self) -> list[Column]:
+        """Sums of deviations from an estimate's mean, so that nothing is lost to cancellation."""
+        return [F.count(F.lit(1)).cast("double").alias("m_n"), *[F.sum(f"o_{i}").alias(f"m_{i}") for i in range(self.p)], *[F.sum(F.col(f"o_{i}") * F.col(f"o_{j}")).alias(f"m_{i}_{j}") for i, j in self.pairs]]
 
     def solved(self, prior: float) -> list[Column]:
         """The new estimate's mean and covariance c_i_j, from sums m_*, the last estimate `e` and the parent's `up`.
@@ -261,17 +262,17 @@ def estimates(scratch: common.Scratch, points: DataFrame, p: int, core: float =
     step, tolerance = 0, TOLERANCE
     group = W.partitionBy(*_KEY, "start")
     # The second start's first step takes all rows as its core: they share a bin.
-    edge = F.when(F.col("whole"), F.lit(0)).otherwise(F.floor(F.log2(est.distance("e") + F.lit(1e-9)) * BINS).cast("int"))
+    edge = F.when(F.col("whole"), F.lit(0)).otherwise(F.floor(F.log2(F.col("d") + F.lit(1e-9)) * BINS).cast("int"))
     sums = ["m_n", *[f"m_{i}" for i in range(p)], *[f"m_{i}_{j}" for i, j in est.pairs]]
     before = F.coalesce(F.sum("m_n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     wanted = F.when(F.col("whole"), F.col("total")).otherwise(F.ceil(F.col("total") * core))
     share = F.greatest(F.least((wanted - F.col("before")) / F.col("m_n"), F.lit(1.0)), F.lit(0.0))
-    moments, solved = est.moments("e"), est.solved(prior)
+    moments, solved = est.moments(), est.solved(prior)
     moved = F.when(F.col("whole"), F.lit(math.inf)).otherwise(F.greatest(F.abs(F.col("log_det") - F.col("was")), *[F.abs(F.col(f"mu_{i}") - F.col(f"e.mu_{i}")) for i in range(p)]))
     while groups:
         last = _with_parents(state, top)
         near = common.attach(rows, last, _KEY, "inner", small_rows=groups).select(*_KEY, F.explode("s").alias("s"), *z).select(*_KEY, "s.start", "s.e", "s.whole", *z)
-        bins = near.withColumn("bin", edge).groupBy(*_KEY, "start", "bin").agg(*moments, F.max("whole").alias("whole"))
+        bins = est.measured(near, "e").withColumn("bin", edge).groupBy(*_KEY, "start", "bin").agg(*moments, F.max("whole").alias("whole"))
         # Bins of a group meet once, and stay so for all that follows.
         part = bins.repartition(*_KEY).withColumn("before", before).withColumn("total", F.sum("m_n").over(group)).withColumn("share", share).filter("share > 0")
         summed = part.groupBy(*_KEY, "start").agg(*[F.sum(F.col(c) * F.col("share")).alias(c) for c in sums])
@@ -310,7 +311,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         one = 1 / consistency(core, p)  # a count's variance in a core is that of a single count at least
         best = estimates(scratch, points, p, core, prior, [one if x in COUNTS else GUARD for x in kept]).filter("level = 2").select("lang", "source", F.col("best").alias("est"))
         scored = common.attach(rows.select("*", *standardised(kept, lengths)), best, ["lang", "source"])
-        out = scored.withColumn("distance", _Estimate(p).distance("est") / consistency(core, p))
+        out = _Estimate(p).measured(scored, "est").withColumn("distance", F.col("d") / consistency(core, p))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("distance") <= quantile(1 - chance, max(p, 1)), F.lit(True))
     return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), verdict.alias("kept"))
 

@@ -135,3 +135,47 @@ def test_a_large_group_is_joined_across_blocks(spark, block):
 def test_a_shingle_counts_once_however_often_it_comes(spark):
     rows = [(1, "a b c d e " * 20_000 + " ".join(f"u{i}" for i in range(60))), (2, "a b c d e " * 20_000 + " ".join(f"v{i}" for i in range(60)))]
     assert nc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
+def test_texts_share_a_key_as_their_similarity_says():
+    """Shares of pairs without a common key, beside what the formula gives; texts of nothing in common share none."""
+    r = random.Random(11)
+    for edits, n in ((1, 400), (4, 400), (9, 400), (25, 400)):
+        apart, expected = 0, 0.0
+        for _ in range(n):
+            base = [f"w{r.randrange(10**9)}" for _ in range(120)]
+            a, b = (nc.shingles(t.encode()) for t in (" ".join(base), edited(r, base, edits)))
+            apart += not set(nc.keys(a).tolist()) & set(nc.keys(b).tolist())
+            expected += nc.missed(nc.similarity(a, b))
+        assert abs(apart - expected) < 4 * (expected + 1) ** 0.5 + 2
+    assert nc.missed() < 0.001
+    every = [nc.keys(nc.shingles(" ".join(f"w{r.randrange(10**9)}" for _ in range(50)).encode())) for _ in range(500)]
+    assert len({k for x in every for k in x.tolist()}) == 500 * nc.KEYS
+    assert len(nc.keys(nc.shingles(b""))) == 0
+
+
+def test_recall_of_all_pairs(spark):
+    """Groups of edited copies of all degrees, against the exact similarity of all pairs."""
+    r = random.Random(5)
+    rows = []
+    for _ in range(50):
+        base = [f"w{r.randrange(300)}" for _ in range(r.randint(20, 150))]
+        for _ in range(6):
+            rows.append((len(rows), edited(r, base, r.randint(0, max(1, len(base) // 40)))))
+    text = [nc.shingles(t.encode()) for _, t in rows]
+    want = {(i, j) for i in range(len(rows)) for j in range(i) if nc.similarity(text[i], text[j]) >= 0.8}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.xxhash64("doc_id", "text"))
+    root = {x.doc_id: x.component_root for x in nc.classes(docs, "doc_id", "text", "key").collect()}
+    assert len(want) > 200
+    assert sum(root[i] == root[j] for i, j in want) >= 0.99 * len(want)
+    # No two texts are in one class that no chain of similar pairs joins.
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in want:
+        parent[find(i)] = find(j)
+    assert all(find(i) == find(j) for i in root for j in root if root[i] == root[j])
