@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Every stage takes a table with doc_id, text, lang and source, and all but the last give it back with its columns as they
+are, others among them, whatever their names: a stage's own columns can clash with none. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,11 @@ def _keep(docs: DataFrame, judge, kept) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are near a centroid of some language; those that it rejects, and those without letters, go."""
+    """Documents that are near a centroid of some language; those that it rejects, and those without letters, go.
+
+    Null and empty texts have no letters. A null lang teaches nothing; if no row teaches, all rows go. Rows that repeat are
+    judged alike; of languages that are as near the first by name counts.
+    """
     model = langid.fit(langid.learnt(docs))
     return _keep(docs, lambda d: langid.predict(d, model, text=_OWN + "text"), ~F.col("rejected"))
 
@@ -25,23 +33,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies, that of the smallest doc_id, at a similarity of 0.8 in
     five-word shingles: SimHash fingerprints of 256 bits, as 64 bits at 3 places tell only closer copies apart.
+
+    Null, empty and blank texts are copies of each other. Of rows that are equal one stays; rows that share an id, but not
+    their text, are told apart by a hash of it, the least first; null ids come last.
     """
     return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of ten words, and no shorter whole item, of the benchmark."""
+    """Documents that hold no window of ten words, and no shorter whole item, of the benchmark.
+
+    Null and empty texts hold none and stay, as do all rows if the benchmark is empty; rows that repeat are judged alike.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _keep(docs, lambda d: decontam.decontaminate(d, items, text=_OWN + "text"), ~F.col("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null and empty texts have size 0, and are taken as often as their source's rate says; a null source is one of its own,
+    and one without words gives no rows. Rows that repeat an id are taken as often as each other. Reruns agree.
+    """
     return mixing.emit(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The binary blocks of token ids, read back: doc_id, start, n_tokens, ids_crc32."""
+    """The binary blocks of token ids, read back: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts have the end id only. Null ids come first; rows of one id stand in the order of their texts.
+    """
     return token_store.round_trip(docs)
 
 
