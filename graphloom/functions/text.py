@@ -120,6 +120,11 @@ def query_terms(query: Column, longer_than: int = 2, most: int = 3) -> Column:
     return F.slice(F.filter(words, lambda w: F.length(w) > longer_than), 1, most)
 
 
+def valid_question(query: Column, most: int = 1000) -> Column:
+    """Whether a question says something, in at most a thousand characters."""
+    return F.coalesce((F.length(strip(query)) > 0) & (F.length(strip(query)) <= most), F.lit(False))
+
+
 def page_progress(page: Column, total: Column, part: float) -> Column:
     return (5 + F.floor((page + F.lit(part)) / total * 25)).cast("int")
 

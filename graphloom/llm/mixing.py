@@ -75,7 +75,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def emit(docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS, seed: int = SEED) -> DataFrame:
-    """The rows of docs themselves (doc_id, text, source and any others), each as often as the mix takes it."""
+    """The rows of docs themselves (doc_id, text, source and any others), each as often as the mix takes it.
+
+    Odd input as in `mix`; other columns stay as they are, and none may be named __rate or __n.
+    """
     scratch = common.Scratch(docs.sparkSession)
     sizes = common.hidden(docs, source="source", text="text").select("source", word_count(F.col("text")).alias("size"))
     targets = scratch.write(source_targets(sizes, weights, most), "targets").select(F.col("source"), F.col("rate").alias("__rate"))

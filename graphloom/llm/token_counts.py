@@ -119,8 +119,9 @@ def model_path(name: str = MODEL) -> str:
 def count_tokens(docs: DataFrame, text: str = "text", model_file: str | None = None, limit: int = LIMIT) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit; columns of docs with these names give way.
 
-    Null and empty texts have no tokens. A text of any length is counted as the library encodes it whole, without begin
-    or end tokens; memory is bounded by a text and its chunks. Without model_file each worker takes its own copy of the
+    Null and empty texts have no tokens; ids are not read, and rows that repeat are counted each. A text of just `limit`
+    tokens is not over it. An empty table gives no rows. A text of any length is counted as the library encodes it whole,
+    without begin or end tokens; memory is bounded by a text and its chunks. Without model_file each worker takes its own copy of the
     public model.
     """
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]

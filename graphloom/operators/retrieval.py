@@ -68,6 +68,14 @@ def inverted_file(vectors: DataFrame, lists: int = 128, sample_rows: int = 20_00
     return model.transform(rows).withColumnRenamed("prediction", "list").drop("features"), centres
 
 
+def write_index(indexed: DataFrame, centres: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The index as tables, vectors parted by list, so that a search reads the folders of the lists that it probes; read again."""
+    indexed.repartition("list").write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
+    centres.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    spark = indexed.sparkSession
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/centres")
+
+
 def probed_top_k(indexed: DataFrame, centres: DataFrame, query: DataFrame, k: int = TOP_K, probes: int = 10) -> DataFrame:
     """Approximate top-k: only the lists whose centroids have the highest inner product with the query are searched."""
     q = query.select(F.col("embedding").alias("__q")).limit(1)
@@ -107,6 +115,13 @@ def search(vectors: DataFrame, edges: DataFrame, question: str, embedder=None, k
     return fuse(near, found.select(F.col("nodes").alias("path"), F.row_number().over(W.orderBy("term", "hops", "key")).cast("long").alias("seq")), most)
 
 
+def media_listing(chunks: DataFrame, file_id: str | None = None, kind: str | None = None) -> DataFrame:
+    """Chunks that are no text, of a file and of a kind, where these are given."""
+    out = chunks.filter(F.col("content_type") != "text")
+    out = out if file_id is None else out.filter(F.col("file_id") == file_id)
+    return out if kind is None else out.filter(F.col("content_type") == kind)
+
+
 def media_flags(fused: DataFrame) -> DataFrame:
     """One row: whether there are images, tables and charts, how many media, results, and the kinds other than text."""
     media = ("image", "table", "chart")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import files as lifecycle
-from ..operators import graph, ingest
+from ..operators import graph, ingest, retrieval
 from ..sources import providers
 from ..sources import tables as src
 from ..sources.tables import load
@@ -60,6 +60,11 @@ def s05_multimodal_chunks(spark, sf_dir):
     return out.select("chunk_id", "content_type", "content", "kind_order", F.coalesce(F.length("media_bytes"), F.lit(0)).alias("media"))
 
 
+@query("r23_file_media", f"WITH {_OWN_PAGES} SELECT file_id || '_page_' || page_number || '_' || content_type || '_0' AS chunk_id, file_id, content_type FROM chunks WHERE content_type <> 'text'")
+def r23_file_media(spark, sf_dir):
+    return retrieval.media_listing(ingest.multimodal_chunks(_pages(spark, sf_dir))).select("chunk_id", "file_id", "content_type")
+
+
 @query("f30_image_analysis", f"WITH {_OWN_PAGES} SELECT file_id || '_page_' || page_number || '_image_0' AS chunk_id, '图像(第' || (page_number + 1) || '页)：尺寸' || p_size * 4 || 'x' || p_partkey % 120 || '，包含文字：' || p_name AS description, p_brand AS objects, p_name AS text_content FROM p WHERE p_size * 4 >= 50 AND p_partkey % 120 >= 50")
 def f30_image_analysis(spark, sf_dir):
     """Pictures through a reader that takes their bytes for their text; objects are looked up beside them."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -36,6 +37,35 @@ def sql(spark: SparkSession, query: str, args: dict | list | None = None, **view
     return spark.sql(query, args=args) if args else spark.sql(query)
 
 
+def run_script(spark: SparkSession, script: str) -> int:
+    """Runs the statements of a script, which semicolons outside quotes and comments end; how many there were."""
+    statements, now, at = [], [], 0
+    for m in re.finditer(r"'(?:[^'\\]|\\.)*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|;", script):
+        now.append(script[at : m.start()])
+        at = m.end()
+        if m[0] == ";":
+            statements.append("".join(now))
+            now = []
+        elif not m[0].startswith("--"):
+            now.append(m[0])
+    statements = [s for s in [*statements, "".join([*now, script[at:]])] if s.strip()]
+    for s in statements:
+        spark.sql(s)
+    return len(statements)
+
+
+def environment(spark: SparkSession, tables: list[str], folders: list[str], modules: list[str]) -> DataFrame:
+    """A row (check, name, ok, advice) per thing that a deployment needs: tables of the session, folders that Spark reaches, Python modules."""
+    from importlib.util import find_spec
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rows = [("table", t, spark.catalog.tableExists(t), f"create the table {t}") for t in tables]
+    rows += [("folder", f, path(f).getFileSystem(conf).exists(path(f)), f"make the folder {f}") for f in folders]
+    rows += [("module", m, find_spec(m) is not None, f"install {m}") for m in modules]
+    return spark.createDataFrame([(c, n, ok, None if ok else advice) for c, n, ok, advice in rows], "check string, name string, ok boolean, advice string")
+
+
 class Snapshots:
     """A table as folders and numbered manifests: a manifest lists the folders of a version, so readers see whole versions,
     and an append adds a folder without touching the others.

@@ -194,6 +194,22 @@ def test_files_are_registered_and_deleted(spark):
     assert (kept.file_path, kept.status, kept.processing_progress, len(kept)) == ("/in/a_1000.pdf", "uploaded", 0, 8)
 
 
+def test_unified_answer_and_listing(spark):
+    out = answers.unified_answer("图?", fused(spark))
+    assert list(out["multimedia"]) == ["i"] and (out["has_images"], out["has_tables"], out["has_charts"], out["media_count"]) == (True, False, False, 1)
+    chunks = ingest.multimodal_chunks(pages(spark))
+    assert [r.content_type for r in retrieval.media_listing(chunks, "f1", "chart").collect()] == ["chart"]
+    assert retrieval.media_listing(chunks).count() == 3 and retrieval.media_listing(chunks, "f2").count() == 0
+
+
+def test_scripts_and_environment(spark, tmp_path):
+    script = "CREATE OR REPLACE TEMP VIEW s1 AS SELECT 'a;b' AS x; -- no; end\n;CREATE OR REPLACE TEMP VIEW `s2` AS SELECT * FROM s1 WHERE x <> \"it's;\""
+    assert src.run_script(spark, script) == 2 and spark.table("s2").first().x == "a;b"
+    got = {r.name: (r.ok, r.advice) for r in src.environment(spark, ["s1", "s9"], [f"file://{tmp_path}", f"file://{tmp_path}/no"], ["json", "no_such_module"]).collect()}
+    assert got["s1"] == got["json"] == got[f"file://{tmp_path}"] == (True, None)
+    assert [got[k][0] for k in ("s9", f"file://{tmp_path}/no", "no_such_module")] == [False] * 3 and got["s9"][1] == "create the table s9"
+
+
 def test_settings_by_path(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("search:\n  top_k: 5\n  media: {kinds: [image]}\n")
     (tmp_path / "b.yaml").write_text("x: [1\n")
@@ -332,6 +348,18 @@ def test_search_in_blocks_of_queries(spark, sf):
     assert rows(100) == rows(10_000) and len({r[0] for r in rows(100)}) == v.count()
 
 
+def test_index_on_disk_reads_the_probed_lists(spark, sf, tmp_path):
+    v = src.load(spark, sf, "embeddings").select("vec_id", "embedding")
+    q = v.filter("vec_id = 3")
+    indexed, centres = retrieval.inverted_file(v, 8)
+    want = [(r.vec_id, r.score) for r in retrieval.probed_top_k(indexed, centres, q, probes=3).collect()]
+    stored, known = retrieval.write_index(indexed, centres, f"file://{tmp_path}/i")
+    found = retrieval.probed_top_k(stored, known, q, probes=3)
+    assert [(r.vec_id, r.score) for r in found.collect()] == want
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan and "dynamicpruning" in plan
+
+
 def test_registered_index_search_finds_most_of_the_nearest(spark):
     from graphloom.plans import retrieval_plans
 
