@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, filter_audit, fim, langid, mixing, outliers, quality, simhash, suffix_dedup, token_counts, token_store, toxicity
+from . import decontam, filter_audit, fim, langid, mixing, outliers, phrase_dedup, quality, simhash, suffix_dedup, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_phrase_dedup": phrase_dedup.op11_phrase_dedup,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
@@ -23,6 +24,7 @@ SQL = {
     "op5_suffix_dedup": suffix_dedup.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_decontamination": decontam.OP10_SQL,
+    "op11_phrase_dedup": phrase_dedup.OP11_SQL,
     "op12_fill_in_middle": fim.OP12_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }
