@@ -29,30 +29,51 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Patterns:
-    """The suffixes of some benchmark items as word ids; word 0 stands for words of no item."""
+    """The windows of some benchmark items as word ids; word 0 stands for words of no item, and ends an item.
+
+    Each distinct window is searched once: `first` is where one of its occurrences begins and `need` its words;
+    `at` and `of` are all its occurrences' places and items, those of window w from `since[w]` to `since[w + 1]`.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.names: list[str] = []
+        self.window = window
         ids: list[int] = []
-        first, of, need = [], [], []
+        starts: list[int] = []
         for name, text in items:
             own = words(text)
-            if not own:
-                continue
-            k, at = len(self.names), len(ids)
-            self.names.append(name)
-            ids += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
-            ids.append(0)
-            for o in range(len(own) - window + 1) if len(own) > window else [0]:
-                first.append(at + o)
+            if own:
+                self.names.append(name)
+                starts.append(len(ids))
+                ids += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
+                ids.append(0)
+        self.ids, self.starts = np.array(ids + [0], np.int32), np.array(starts, np.int64)
+        self.ends = np.append(self.starts[1:], len(ids)) - 1 if starts else self.starts
+        known: dict[bytes, int] = {}
+        raw, first, need, win, at, of = self.ids.tobytes(), [], [], [], [], []
+        for k, (a, b) in enumerate(zip(self.starts.tolist(), self.ends.tolist(), strict=True)):
+            n = min(window, b - a)
+            for o in range(a, b - n + 1):
+                w = known.setdefault(raw[4 * o : 4 * (o + n)], len(known))
+                if w == len(first):
+                    first.append(o)
+                    need.append(n)
+                win.append(w)
+                at.append(o)
                 of.append(k)
-                need.append(min(window, len(own)))
-        self.ids = np.array(ids + [0], np.int32)
-        self.first, self.of, self.need = (np.array(x, np.int64) for x in (first, of, need))
-        self.shortest = int(self.need.min()) if len(need) else 0
-        ends = np.flatnonzero(self.ids == 0)
-        self.length = ends[np.searchsorted(ends, self.first)] - self.first if len(first) else self.first
+        self.first, self.need = np.array(first, np.int64), np.array(need, np.int64)
+        order = np.argsort(np.array(win, np.int64), kind="stable")
+        self.at, self.of = np.array(at, np.int64)[order], np.array(of, np.int64)[order]
+        self.since = np.concatenate(([0], np.cumsum(np.bincount(np.array(win, np.int64), minlength=len(first)))))
+        self.shortest = int(self.need.min()) if first else 0
+        self.rank = np.argsort(np.argsort(np.array(self.names, object), kind="stable"), kind="stable") if self.names else np.zeros(0, np.int64)
+
+    def occurrences(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the windows found, and which occurrence, of each occurrence of these."""
+        n = self.since[found + 1] - self.since[found]
+        of = np.repeat(np.arange(len(found)), n)
+        return of, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.since[found][of]
 
 
 def suffix_array(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -108,11 +129,96 @@ def bounds(ids: np.ndarray, sa: np.ndarray, pat: Patterns, which: np.ndarray, li
         hi[live] = np.where(below, hi[live], mid)
 
 
+class Prefixes:
+    """Ranks of all places of ids by their first 1, 2, 4, ... words, up to `depth`, in which any two places' common words are counted."""
+
+    def __init__(self, ids: np.ndarray, depth: int):
+        n = len(ids)
+        stops = np.flatnonzero(ids == 0)
+        self.end = stops[np.searchsorted(stops, np.arange(n))]
+        self.levels = [ids.astype(np.int32)]
+        k = 1
+        while k < depth:
+            rank = self.levels[-1].astype(np.int64)
+            then = np.arange(n) + k
+            beyond = np.where(then < self.end, rank[np.minimum(then, n - 1)], 0)
+            _, rank = np.unique(rank * (int(rank.max()) + 2) + beyond, return_inverse=True)
+            self.levels.append((rank + 1).astype(np.int32))
+            k *= 2
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common words of the places a and b, up to the ends of their runs."""
+        out = np.zeros(len(a), np.int64)
+        most = np.minimum(self.end[a] - a, self.end[b] - b)
+        for k in reversed(range(len(self.levels))):
+            left = np.flatnonzero(out < most)
+            same = left[self.levels[k][a[left] + out[left]] == self.levels[k][b[left] + out[left]]]
+            out[same] += 1 << k
+        return np.minimum(out, most)
+
+
+def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo:hi] of each range, none of them empty."""
+    table, k = [values], 1
+    while 2 * k <= len(values):
+        table.append(np.minimum(table[-1][:-k], table[-1][k:]))
+        k *= 2
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    out = np.empty(len(lo), values.dtype)
+    for i in np.unique(level).tolist():
+        own = level == i
+        out[own] = np.minimum(table[i][lo[own]], table[i][hi[own] - (1 << i)])
+    return out
+
+
+def longest(ids: np.ndarray, places: np.ndarray, pat: Patterns, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For places where whole windows stand, the words of the longest verbatim match with an item and that item: of as long ones, the first by name.
+
+    `found` are the windows that stand there. Text and items are ranked together; a place's longest matches stand beside
+    it in the order of all suffixes, so no place meets every occurrence.
+    """
+    _, which = pat.occurrences(found)
+    items = np.unique(pat.of[which])
+    stops = np.flatnonzero(ids == 0)
+    runs = np.unique(np.searchsorted(stops, places))
+    begins = np.where(runs > 0, stops[runs - 1] + 1, 0)
+    moved_text = np.concatenate(([0], np.cumsum(stops[runs] + 1 - begins)))
+    moved_item = moved_text[-1] + np.concatenate(([0], np.cumsum(pat.ends[items] + 1 - pat.starts[items])))
+    both = np.concatenate([*(ids[a : b + 1] for a, b in zip(begins.tolist(), stops[runs].tolist(), strict=True)), *(pat.ids[a : b + 1] for a, b in zip(pat.starts[items].tolist(), pat.ends[items].tolist(), strict=True))])
+    run = np.searchsorted(begins, places, "right") - 1
+    here = moved_text[run] + places - begins[run]
+    own = np.searchsorted(items, pat.of[which])
+    there = moved_item[own] + pat.at[which] - pat.starts[pat.of[which]]
+    x = Prefixes(both, int((pat.ends[items] - pat.starts[items]).max()))
+    order = np.argsort(x.levels[-1][there], kind="stable")
+    there, name = there[order], pat.rank[pat.of[which]][order]
+    spot = np.searchsorted(x.levels[-1][there], x.levels[-1][here])
+    words_ = np.zeros(len(here), np.int64)
+    for near in (spot - 1, spot):
+        some = np.flatnonzero((near >= 0) & (near < len(there)))
+        words_[some] = np.maximum(words_[some], x.common(here[some], there[near[some]]))
+    # The places in order that share as many words with it stand together around its own spot.
+    edge = []
+    for side in (-1, 1):
+        inner, outer = np.where(side < 0, spot, spot - 1), np.full(len(here), -1 if side < 0 else len(there))
+        while True:
+            live = np.flatnonzero(np.abs(outer - inner) > 1)
+            if not len(live):
+                break
+            mid = (inner[live] + outer[live]) // 2
+            good = x.common(here[live], there[mid]) >= words_[live]
+            inner[live], outer[live] = np.where(good, mid, inner[live]), np.where(good, outer[live], mid)
+        edge.append(inner)
+    first = least_between(name, edge[0], edge[1] + 1)
+    return words_, np.argsort(pat.rank)[first]
+
+
 def search(texts: list[bytes], pat: Patterns) -> dict:
     """Matches of the benchmark in one shard of texts.
 
-    n_words and n_hit per text; pairs (text, item) of windows found; and for each found window its position, with the
-    length of the longest verbatim match that starts there.
+    n_words per text; pairs (of_text, item) of items found; and for each place (text, at) where a window is found the
+    length of the longest verbatim match that starts there and its item (with). Each distinct window is an interval of the
+    suffix array, and intervals of one length meet nowhere, so work grows with texts and windows, not with their pairs.
     """
     get = pat.vocabulary.get
     parts, starts, n_words = [], [], []
@@ -126,7 +232,7 @@ def search(texts: list[bytes], pat: Patterns) -> dict:
         at += len(own) + 1
     ids, starts = np.concatenate([*parts, np.zeros(1, np.int32)]), np.array(starts, np.int64)
     none = np.zeros(0, np.int64)
-    found = {"n_words": np.array(n_words, np.int64), "n_hit": np.zeros(len(texts), np.int64), "text": none, "item": none, "at": none, "offset": none, "length": none}
+    found = {"n_words": np.array(n_words, np.int64), "of_text": none, "item": none, "text": none, "at": none, "length": none, "with": none}
     # Only runs of benchmark words as long as the shortest window can hold a match, so only their suffixes are sorted.
     stops = np.flatnonzero(ids == 0)
     begins = np.concatenate(([0], stops[:-1] + 1))
@@ -135,29 +241,45 @@ def search(texts: list[bytes], pat: Patterns) -> dict:
         return found
     sizes = (stops - begins)[long]
     places = np.repeat(begins[long] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-    sa = suffix_array(ids, places, int(pat.length.max()))
-    which = np.flatnonzero(np.isin(pat.ids[pat.first], ids[places]))
-    need = pat.need[which]
-    low = bounds(ids, sa, pat, which, need, False)
-    high = bounds(ids, sa, pat, which, need, True)
-    n = high - low
-    if not n.sum():
+    sa = suffix_array(ids, places, pat.window)
+    there = np.zeros(len(pat.vocabulary) + 1, bool)
+    there[ids[places]] = True
+    which = np.flatnonzero(there[pat.ids[pat.first]])
+    low = bounds(ids, sa, pat, which, pat.need[which], False)
+    n = bounds(ids, sa, pat, which, pat.need[which], True) - low
+    which, low, n = which[n > 0], low[n > 0], n[n > 0]
+    if not len(which):
         return found
-    pick = np.repeat(which, n)
-    where = sa[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-    edge = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(edge, where, 1)
-    np.add.at(edge, where + pat.need[pick], -1)
-    hit = np.cumsum(edge[:-1]) > 0
-    found["n_hit"] = np.add.reduceat(hit.astype(np.int64), starts)
-    found["text"] = np.searchsorted(starts, where, "right") - 1
-    found["item"] = pat.of[pick]
-    found["at"] = where - starts[found["text"]]
-    found["offset"] = pat.first[pick]
-    found["length"] = lcp(ids, where, pat, pick, pat.length[pick])
+    window = np.repeat(np.arange(len(which)), n)
+    where = sa[low[window] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    text = np.searchsorted(starts, where, "right") - 1
+    # Items of a text: of each window that it has, once.
+    pair = np.unique(text * len(which) + window)
+    items = [np.zeros((2, 0), np.int64)]
+    for t, own in _by(pair // len(which), pair % len(which)):
+        _, occurrence = pat.occurrences(which[own])
+        some = np.unique(pat.of[occurrence])
+        items.append(np.stack((np.full(len(some), t), some)))
+    found["of_text"], found["item"] = np.concatenate(items, axis=1)
+    # A window shorter than others is a whole item, and its match is as long.
+    whole = pat.need[which[window]] == pat.window
+    name = least_between(pat.rank[pat.of], pat.since[which], pat.since[which + 1])
+    length, with_ = pat.need[which[window]], np.argsort(pat.rank)[name[window]]
+    if whole.any():
+        length[whole], with_[whole] = longest(ids, where[whole], pat, which[pat.need[which] == pat.window])
+    order = np.lexsort((pat.rank[with_], -length, where))
+    order = order[np.concatenate(([True], np.diff(where[order]) != 0))]
+    found |= {"text": text[order], "at": (where - starts[text])[order], "length": length[order], "with": with_[order]}
     return found
 
 
+def _by(key: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Values of each key; keys are in order."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else [0]
+    for a, b in zip(edge, edge[1:], strict=False):
+        yield int(key[a]), value[a:b]
+
+
 def item_blocks(items: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of about `most` bytes, by hash of their id, one block on the driver at a time."""
     total = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
@@ -183,19 +305,12 @@ class Findings:
     def add(self, found: dict, pat: Patterns, first: int) -> None:
         """Findings of a shard whose first text is number `first`."""
         self.n_words[first : first + len(found["n_words"])] = found["n_words"]
-        if not len(found["text"]):
-            return
-        # A place may match many items, or one at many offsets: the longest is kept, of equals that of the first item.
-        text, at, item, length = (found[c] for c in ("text", "at", "item", "length"))
-        for t, i in np.unique(np.stack((text, item)), axis=1).T.tolist():
+        for t, i in zip(found["of_text"].tolist(), found["item"].tolist(), strict=True):
             self.items[first + t].add(pat.names[i])
-        order = np.lexsort((item, -length, at, text))
-        new = np.concatenate(([True], (np.diff(text[order]) != 0) | (np.diff(at[order]) != 0)))
-        for t, p, i, n in zip(*(x[order][new].tolist() for x in (text, at, item, length)), strict=True):
+        for t, p, i, n in zip(*(found[c].tolist() for c in ("text", "at", "with", "length")), strict=True):
             own = self.longest.setdefault(first + t, {})
-            better = (-n, pat.names[i])
             old = own.get(p)
-            if old is None or better < (-old[0], old[1]):
+            if old is None or (-n, pat.names[i]) < (-old[0], old[1]):
                 own[p] = (n, pat.names[i])
 
     def matches(self, t: int) -> list[dict]:

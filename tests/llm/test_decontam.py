@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -83,3 +84,47 @@ def test_matches_are_the_longest_of_their_places(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def every_match(text, items, window=10):
+    """place -> (length, first name) over all pairs of a text's words and an item's."""
+    w, out = words(text), {}
+    for name, t in sorted(items):
+        x = words(t)
+        k = min(window, len(x))
+        for p in range(len(w)):
+            for o in range(len(x) - k + 1 if k else 0):
+                n = 0
+                while p + n < len(w) and o + n < len(x) and w[p + n] == x[o + n]:
+                    n += 1
+                if n >= k and n > out.get(p, (0, ""))[0]:
+                    out[p] = (n, name)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_matches_equal_all_pairs(seed):
+    r = random.Random(seed)
+    letters = ["a", "ab", "abc", "abcdefgh", "ab", "abcdefghijklmnop"][seed]
+    text = lambda n: " ".join(r.choice(letters) for _ in range(n))
+    items = [(f"n{i}", text(r.choice((1, 2, 3, 6, 9, 30)))) for i in range(8 if seed else 3)]
+    texts = [text(r.randint(0, 50)) + " " + r.choice(items)[1] for _ in range(12)] + [""]
+    window = r.choice((3, 4))
+    pat = decontam.Patterns([(n, t.encode()) for n, t in items], window)
+    own = decontam.Findings(len(texts))
+    own.add(decontam.search([t.encode() for t in texts], pat), pat, 0)
+    for k, t in enumerate(texts):
+        want = every_match(t, items, window)
+        assert {m["at"]: (m["length"], m["item_id"]) for m in own.matches(k)} == want
+
+
+@pytest.mark.parametrize("text", ["a " * 200_000, " ".join(f"w{i}" for i in range(200_000)), "a b " * 50_000 + "c " * 100_000])
+def test_repeated_and_copied_text_takes_linear_work(text):
+    start = time.time()
+    pat = decontam.Patterns([("x", text.encode()), ("y", text[: len(text) // 2].encode())])
+    own = decontam.Findings(2)
+    own.add(decontam.search([text.encode(), b"new " + text.encode()], pat), pat, 0)
+    n = len(text.split())
+    assert own.hit(0) == own.hit(1) == n and own.items[0] == {"x", "y"}
+    assert own.matches(0)[0] == {"at": 0, "item_id": "x", "length": n}
+    assert time.time() - start < 60
