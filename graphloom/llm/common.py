@@ -145,6 +145,14 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed c0, c1, ... by their places, so that an operator's own columns can clash with none, and
+    the new names by the old; `back.toDF(*docs.columns)` gives the old ones again.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def hidden(docs: DataFrame, **needed: str) -> DataFrame:
     """Only the needed columns, renamed to the operator's own names; other columns cannot clash."""
     return docs.select(*[docs[src].alias(name) for name, src in needed.items()])

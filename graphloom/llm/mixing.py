@@ -77,15 +77,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def emit(docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """The rows of docs themselves (doc_id, text, source and any others), each as often as the mix takes it.
 
-    Odd input as in `mix`; other columns stay as they are, and none may be named __rate or __n.
+    Odd input as in `mix`; other columns stay as they are, whatever their names.
     """
     scratch = common.Scratch(docs.sparkSession)
     sizes = common.hidden(docs, source="source", text="text").select("source", word_count(F.col("text")).alias("size"))
-    targets = scratch.write(source_targets(sizes, weights, most), "targets").select(F.col("source"), F.col("rate").alias("__rate"))
-    rows = common.attach(docs, targets, ["source"])
-    u = uniform(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), seed)
-    n = copies(F.col("__rate"), u)
-    return rows.withColumn("__n", F.explode(F.array_repeat(F.lit(0), n))).select(*[rows[c] for c in docs.columns])
+    own, name = common.numbered(docs)
+    targets = scratch.write(source_targets(sizes, weights, most), "targets").select(F.col("source").alias(name["source"]), "rate")
+    rows = common.attach(own, targets, [name["source"]])
+    u = uniform(F.col(name["doc_id"]), F.md5(F.coalesce(F.col(name["text"]), F.lit("")).cast("binary")), seed)
+    n = copies(F.col("rate"), u)
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), n))).select(*own.columns).toDF(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,10 +310,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     placed = keys.join(won, keys["doc_id"].eqNullSafe(won["w_id"]) & (keys["carried"] == won["w_key"]), "left").select("doc_id", "carried", "times", F.col("w_key").isNotNull().alias("won"))
     # What goes is a table of ids; of rows that are there twice, one is taken back.
     lost = scratch.write(placed.filter(~F.col("won") | (F.col("times") > 1)), "lost")
-    rows = docs.withColumn("__key", key)
-    on = lambda t: [rows[doc_id].eqNullSafe(t["doc_id"]), rows["__key"] == t["carried"]]
-    kept = rows.hint("merge").join(lost, on(lost), "left_anti")
+    own, name = common.numbered(docs)
+    rows = own.withColumn("key", F.xxhash64(name[doc_id], name[text]))
+    on = lambda t: [rows[name[doc_id]].eqNullSafe(t["doc_id"]), rows["key"] == t["carried"]]
+    # Where few rows go, their table is broadcast and the texts stay where they are.
+    few = lost.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS
+    kept = rows.join(F.broadcast(lost) if few else lost.hint("merge"), on(lost), "left_anti")
     twice = lost.filter("won and times > 1")
     if not twice.isEmpty():
-        kept = kept.union(rows.join(twice, on(twice), "left_semi").dropDuplicates([doc_id, "__key"]))
-    return kept.select(*[kept[c] for c in docs.columns])
+        kept = kept.union(rows.join(twice, on(twice), "left_semi").dropDuplicates([name[doc_id], "key"]))
+    return kept.select(*own.columns).toDF(*docs.columns)

@@ -94,6 +94,22 @@ def test_odd_rows_and_clashing_columns(spark, sf, name, stage, rows):
         assert out.columns == docs.columns
 
 
+RESERVED = ["__n", "__rate", "__source", "__salt", "__salt2", "__key", "__doc_id", "__carried", "c0", "key", "copy", "rate", "carried"]
+
+
+@pytest.mark.parametrize("name,stage", cp.STAGES[:4])
+def test_columns_of_any_name_stay_as_they_are(spark, sf, name, stage):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()}
+    rows = [(i, t, "en", "s", *[i * 100 + k for k in range(len(RESERVED))]) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} long" for c in RESERVED))
+    out = stage(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got
+    for r in got:
+        assert tuple(r) == (r.doc_id, texts[r.doc_id], "en", "s", *[r.doc_id * 100 + k for k in range(len(RESERVED))])
+
+
 def test_run(spark, sf, steps):
     got = cp.run(spark, sf).toPandas()
     assert sorted(map(tuple, got[["doc_id", "start", "ids_crc32"]].values.tolist())) == sorted(map(tuple, steps[5][["doc_id", "start", "ids_crc32"]].values.tolist()))
