@@ -91,7 +91,7 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
         right = F.broadcast(right)
     else:
         left = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-        right = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        right = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         on = [left[k].eqNullSafe(right[f"__{k}"]) for k in keys] + [left["__salt"] == right["__salt2"]]
     return left.join(right, on, how).drop("__salt", "__salt2", *[f"__{k}" for k in keys])
 
