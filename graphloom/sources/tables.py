@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
-import uuid
-from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import data_uri
+from .store import Store
 
 # The default rows of the settings table.
 SETTINGS = [("max_file_size_mb", "100", "number"), ("allowed_file_types", '["pdf"]', "json"), ("chunk_size", "1000", "number"), ("chunk_overlap", "200", "number"), ("vector_similarity_threshold", "0.7", "number"), ("max_search_results", "10", "number"), ("session_timeout_hours", "24", "number")]
@@ -67,99 +64,58 @@ def environment(spark: SparkSession, tables: list[str], folders: list[str], modu
 
 
 class Snapshots:
-    """A table as folders and numbered manifests: a manifest lists the folders of a version, so readers see whole versions,
-    and an append adds a folder without touching the others.
-
-    A manifest is made by exclusive creation: of two writers one gets a number, and the other goes on from what the first
-    left. So a write needs a store whose creation without overwriting is atomic, as HDFS and local disks have.
+    """A table of its own with versions: an append adds a folder without touching the others, a delete writes only the folders
+    again that have such rows, and writers at the same time lose nothing (see Store).
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    TABLE = "rows"
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self.store = Store(spark, root, {self.TABLE: keys or []}, "_manifests")
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[str]:
-        fs, path = self._fs()
-        where = path(f"{self.root}/_manifests")
-        return sorted(f.getPath().getName() for f in fs.listStatus(where) if not f.getPath().getName().startswith(".")) if fs.exists(where) else []
-
-    def folders(self) -> list[str]:
-        """The folders of the last whole manifest; one that is just being written doesn't count."""
-        for name in reversed(self.versions()):
-            lines = [r[0] for r in self.spark.read.text(f"{self.root}/_manifests/{name}").collect()]
-            if lines and lines[-1] == "end":
-                return json.loads(lines[0])
-        return []
-
-    def read(self) -> DataFrame | None:
-        found = self.folders()
-        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in found]) if found else None
-
-    def _commit(self, change: Callable[[list[str]], list[str]]) -> DataFrame:
-        """Makes the next manifest of what `change` makes of the last one's folders; again, if another writer was first."""
-        fs, path = self._fs()
-        while True:
-            last = self.versions()
-            text = json.dumps(change(self.folders())) + "\nend\n"
-            try:
-                out = fs.create(path(f"{self.root}/_manifests/{int(last[-1]) + 1 if last else 0:012d}"), False)
-            except Py4JJavaError as e:
-                if "AlreadyExists" not in str(e.java_exception):
-                    raise
-                continue
-            out.write(bytearray(text.encode()))
-            out.close()
-            return self.read()
-
-    def _folder(self, df: DataFrame) -> str:
-        folder = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
-        return folder
+    def versions(self) -> list[int]:
+        return self.store.numbers()
 
-    def write(self, df: DataFrame) -> DataFrame:
-        folder = self._folder(df)
-        return self._commit(lambda _: [folder])
+    def folders(self, where: tuple[str, object] | None = None) -> list[str]:
+        """The folders that are read; where (column, value) is given, those that may have such rows."""
+        return self.store.folders(self.TABLE, where)
 
-    def append(self, df: DataFrame) -> DataFrame:
-        folder = self._folder(df)
-        return self._commit(lambda now: [*now, folder])
+    def read(self, where: tuple[str, object] | None = None) -> DataFrame | None:
+        return self.store.read(self.TABLE, where)
 
-    def delete(self, condition) -> DataFrame:
-        """Without the rows that meet the condition. Only folders that have such rows are written again."""
-        wanted = F.coalesce(condition, F.lit(False))
-        done: dict[str, str] = {}
+    def _run(self, change) -> DataFrame | None:
+        self.store.run(change)
+        return self.read()
 
-        def change(now: list[str]) -> list[str]:
-            for f in now:
-                if f not in done:
-                    rows = self.spark.read.parquet(f"{self.root}/{f}")
-                    done[f] = f if rows.filter(wanted).isEmpty() else self._folder(rows.filter(~wanted))
-            return [done[f] for f in now]
+    def write(self, df: DataFrame) -> DataFrame:
+        return self._run(lambda t: t.overwrite(self.TABLE, df))
+
+    def append(self, df: DataFrame) -> DataFrame:
+        entries = self.store.write_folder(self.TABLE, df)
+        return self._run(lambda t: t.put(self.TABLE, entries))
 
-        return self._commit(change)
+    def delete(self, condition: Column, where: tuple[str, object] | None = None) -> DataFrame | None:
+        """Without the rows that meet the condition, for which `where` must hold, if it is given."""
+        return self._run(lambda t: t.delete(self.TABLE, condition, where))
 
 
 class VectorTable(Snapshots):
     """Vectors with file_id, chunk_id, content, metadata and embedding; all embeddings have one dimension."""
 
     def __init__(self, spark: SparkSession, root: str, dim: int):
-        super().__init__(spark, root)
+        super().__init__(spark, root, ["file_id"])
         self.dim = dim
 
     def insert(self, rows: DataFrame) -> DataFrame:
         return self.append(assert_embeddings(rows, self.dim))
 
     def of_file(self, file_id: str) -> DataFrame | None:
-        """The rows of a file: the filter reaches the scan."""
-        now = self.read()
-        return None if now is None else now.filter(F.col("file_id") == file_id)
+        """The rows of a file: only folders that may have any are opened, and the filter reaches the scan."""
+        return self.read(("file_id", file_id))
 
-    def delete_file(self, file_id: str) -> DataFrame:
-        return self.delete(F.col("file_id") == file_id)
+    def delete_file(self, file_id: str) -> DataFrame | None:
+        return self.delete(F.col("file_id") == file_id, ("file_id", file_id))
 
     def has_data(self) -> bool:
         now = self.read()

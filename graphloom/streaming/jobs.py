@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,12 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import chunking
 from ..operators.sessions import KEPT, line
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.folders import shared_folder  # noqa: F401
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 16, schema: StructType | None = None) -> DataFrame:

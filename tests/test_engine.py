@@ -272,7 +272,7 @@ def test_vector_table(spark, tmp_path):
     t.insert(rows.withColumn("chunk_id", F.concat("chunk_id", F.lit("b"))))
     assert t.has_data() and sorted(r.chunk_id for r in t.of_file("f").collect()) == ["c1", "c1b"]
     assert "PushedFilters: [IsNotNull(file_id), EqualTo(file_id,f)]" in t.of_file("f")._jdf.queryExecution().toString()
-    assert t.delete_file("f").count() == 2 and t.of_file("f").isEmpty()
+    assert t.delete_file("f").count() == 2 and t.of_file("f") is None
     with pytest.raises(Exception, match="dimension"):
         t.insert(rows.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
 
