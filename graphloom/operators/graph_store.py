@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
 from ..sources.store import KeyedTable, Store, Transaction
 from . import graph
 
@@ -61,21 +63,14 @@ class Adjacency:
     def _placed(self, steps: DataFrame) -> DataFrame:
         """steps with the place of each among its node's, in order of edge_id, and the node's degree."""
         ranged = steps.repartitionByRange("node", "edge_id").sortWithinPartitions("node", "edge_id").withColumn("part", F.spark_partition_id())
-        path = f"{self._scratch()}/ranged"
+        path = f"{shared_folder(self.spark, 'ranged')}/steps"
         ranged.write.parquet(path)
         rows = self.spark.read.parquet(path)
         per = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"))
-        from pyspark.sql import Window as W
-
         before = per.select("node", "part", F.coalesce(F.sum("n").over(W.partitionBy("node").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy("node")).alias("degree"))
         own = F.row_number().over(W.partitionBy("node", "part").orderBy("edge_id", "to")) - 1
         return rows.withColumn("own", own).join(before, ["node", "part"]).select("edge_id", "node", "to", (F.col("before") + F.col("own")).alias("place"), "degree")
 
-    def _scratch(self) -> str:
-        from ..sources.folders import shared_folder
-
-        return shared_folder(self.spark, "adjacency")
-
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -93,8 +88,6 @@ class Adjacency:
             raise ValueError("a slice holds fewer edges than a hop may need")
         lists = self.read().filter("slice = 0").select("node", F.slice("edges", 1, per_term + most_hops).alias("edges"))
         now = starts.select("term", F.col("term").alias("end"), F.array().cast("array<string>").alias("path_edges"), F.array("term").alias("path_nodes"))
-        from pyspark.sql import Window as W
-
         rank = W.partitionBy("term").orderBy("hops", "key")
         kept = None
         for hop in range(1, most_hops + 1):
