@@ -6,8 +6,9 @@ passage of two documents shows as an anchor that both have. Such anchors are con
 phrase around one, the phrase recurs whole; where phrases differ, their windows are told apart one by one.
 
 What is confirmed goes, one row for each bucket of documents that has it, with the least id that has it. A bucket compiles
-its passages into automata of bounded size and streams its documents through them; every occurrence found in a document of
-a larger id goes. Words are compared there; before, 128 bits of digests are.
+its passages - phrases that recur whole, and of others the runs of windows that do - into automata of bounded size and
+streams its documents through them; every occurrence found in a document of a larger id goes. Words are compared there;
+before, 128 bits of digests are.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ class Automata:
 
 
 _PHRASES = "anchor long, phrase long, bucket int, doc long, at long, n int"
-_WINDOWS = "key binary, bucket int, doc long, at long, low long, high long"
+_WINDOWS = "key binary, bucket int, doc long, phrase_at long, at long, low long, high long"
 _RESULT = "doc long, n_words long, spans array<struct<start:long,end:long>>, n_removed long, kept string"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -146,39 +147,54 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], options: tuple[int, ...])
 
 
 def _texts(texts: pa.Table) -> dict[tuple[int, int], list[bytes]]:
-    """Words of each row (doc, base) of a bucket. Equal rows are one here."""
-    return dict(zip(zip(texts.column("doc").to_pylist(), texts.column("base").to_pylist(), strict=True), [t.split() for t in texts.column("text").cast(pa.binary()).to_pylist()], strict=True))
+    """Words of each row (doc, base) of a bucket. Equal rows are one here; an empty text, which shares its base with the next row of its id, is none."""
+    rows = zip(texts.column("doc").to_pylist(), texts.column("base").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist(), strict=True)
+    return {(doc, base): t.split() for doc, base, t in rows if t}
 
 
-def _sources(texts: dict[tuple[int, int], list[bytes]], asked: pa.Table) -> Iterator[tuple[dict, list[bytes], int]]:
-    """Each asked row of a bucket with the words of its text and its place in them."""
+def _sources(texts: dict[tuple[int, int], list[bytes]], doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[list[bytes], int]]:
+    """The words, and the place in them, of each (doc, at) of a bucket."""
     bases: dict[int, list[int]] = {}
-    for doc, base in sorted(texts):
-        bases.setdefault(doc, []).append(base)
-    for row in asked.to_pylist():
-        own = bases[row["doc"]]
-        base = own[np.searchsorted(own, row["at"], "right") - 1]
-        yield row, texts[row["doc"], base], row["at"] - base
+    for d, base in sorted(texts):
+        bases.setdefault(d, []).append(base)
+    for d, p in zip(doc.tolist(), at.tolist(), strict=True):
+        own = bases[d]
+        base = own[0] if len(own) == 1 else own[np.searchsorted(own, p, "right") - 1]
+        yield texts[d, base], p - base
+
+
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
 
 
 def _tell_apart(texts: pa.Table, asked: pa.Table, window: int) -> pa.Table:
-    """Windows of phrases that differ around their anchor: one row of each in a bucket, with the least and largest id that has it there."""
-    found: dict[bytes, list[int]] = {}
-    for row, words, at in _sources(_texts(texts), asked) if asked.num_rows else ():
-        for i, key in enumerate(windows(words, at, row["n"], window)):
-            old = found.get(key)
-            if old is None:
-                found[key] = [row["bucket"], row["doc"], row["at"] + i, row["low"], row["high"]]
-            else:
-                old[3:] = min(old[3], row["low"]), max(old[4], row["high"])
-    columns = list(zip(*found.values(), strict=True)) or [[]] * 5
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.Table.from_pydict({"key": pa.array(list(found), pa.binary())} | {c: pa.array(x, t) for c, x, t in zip(("bucket", "doc", "at", "low", "high"), columns, types, strict=True)})
+    """The windows of phrases that differ around their anchor, each with the least and largest id that has its phrase in the bucket."""
+    if not asked.num_rows:
+        asked = asked.slice(0, 0)
+    bucket, doc, at, n, low, high = _columns(asked, "bucket", "doc", "at", "n", "low", "high")
+    keys = [k for (words, p), count in zip(_sources(_texts(texts), doc, at), n.tolist(), strict=True) for k in windows(words, p, count, window)] if len(n) else []
+    each = lambda x, t: pa.array(np.repeat(x, n), t)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+    return pa.Table.from_pydict({"key": pa.array(keys, pa.binary()), "bucket": each(bucket, pa.int32()), "doc": each(doc, pa.int64()), "phrase_at": each(at, pa.int64()), "at": pa.array(place, pa.int64()), "low": each(low, pa.int64()), "high": each(high, pa.int64())})
+
+
+def _runs(passages: pa.Table) -> tuple[np.ndarray, ...]:
+    """(doc, at, n, least) of passages, windows of one phrase that follow each other with one least id joined."""
+    doc, phrase, at, n, least = (x.astype(np.int64) for x in _columns(passages, "doc", "phrase_at", "at", "n", "least"))
+    order = np.lexsort((at, phrase, doc))
+    doc, phrase, at, n, least = (x[order] for x in (doc, phrase, at, n, least))
+    new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(phrase) != 0) | (at[1:] != at[:-1] + n[:-1]) | (np.diff(least) != 0)))
+    first = np.flatnonzero(new)
+    return doc[first], at[first], np.add.reduceat(n, first), least[first]
 
 
 def _remove(texts: pa.Table, passages: pa.Table, window: int) -> pa.Table:
     """Per row: words that occurrences of passages of smaller ids cover, and what is left."""
-    automata = Automata([(words[at : at + row["n"] + window - 1], row["least"]) for row, words, at in _sources(_texts(texts), passages)] if passages.num_rows else [])
+    found = []
+    if passages.num_rows:
+        doc, at, n, least = _runs(passages)
+        found = [(words[p : p + k + window - 1], i) for (words, p), k, i in zip(_sources(_texts(texts), doc, at), n.tolist(), least.tolist(), strict=True)]
+    automata = Automata(found)
     out = []
     for doc, text in zip(texts.column("doc").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist(), strict=True):
         words = text.split()
@@ -231,8 +247,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     told = scratch.write(told.applyInArrow(lambda a, b: _tell_apart(a, b, window), _WINDOWS), "windows")
     seen = told.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("last"), F.count(F.lit(1)).alias("rows"))
     seen = scratch.write(seen.filter("least < last").drop("last"), "seen")
-    alone = common.attach_counted(told, seen, "key", "rows").select("bucket", "doc", "at", F.lit(1).alias("n"), "least", "high")
-    passages = in_bucket.filter("NOT several").select("bucket", "doc", "at", "n", "least", "high").union(alone).filter("high > least").drop("high")
+    alone = common.attach_counted(told, seen, "key", "rows").select("bucket", "doc", "phrase_at", "at", F.lit(1).alias("n"), "least", "high")
+    whole = in_bucket.filter("NOT several").select("bucket", "doc", F.col("at").alias("phrase_at"), "at", "n", "least", "high")
+    passages = whole.union(alone).filter("high > least").drop("high")
     out = by_bucket(rows).cogroup(by_bucket(passages)).applyInArrow(lambda a, b: _remove(a, b, window), _RESULT)
     return out.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), "n_words", "spans", "n_removed", "kept")
 
