@@ -38,11 +38,11 @@ _REL = "rel AS (SELECT c_name AS subject, 'LIVES_IN' AS predicate, n_name AS obj
 
 @query(
     "k09_relation_filter",
-    f"""WITH {_REL}, e AS (SELECT c_name AS name FROM customer WHERE c_acctbal > 0 UNION ALL SELECT n_name FROM nation WHERE n_nationkey < 20)
+    f"""WITH {_REL}, e AS (SELECT c_name AS name FROM customer WHERE c_acctbal > 0 UNION ALL SELECT n_name FROM nation WHERE n_regionkey > 0)
         SELECT subject, predicate, object, min(seq) AS seq FROM rel WHERE subject IN (SELECT name FROM e) AND object IN (SELECT name FROM e) GROUP BY 1, 2, 3""",
 )
 def k09_relation_filter(spark, sf_dir):
-    e = load(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_name").alias("name")).union(load(spark, sf_dir, "nation").filter("n_nationkey < 20").select("n_name"))
+    e = load(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_name").alias("name")).union(load(spark, sf_dir, "nation").filter("n_regionkey > 0").select("n_name"))
     return graph.filter_relations(_relations(spark, sf_dir), e)
 
 
@@ -66,7 +66,7 @@ def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "customer")
     one = c.select(F.col("c_mktsegment").alias("type"), F.col("c_name").alias("name"), F.lit("f1").alias("file_id"), F.lit(0.8).alias("confidence"), F.lit("text").alias("source_type"), F.col("c_custkey").alias("seq"))
     two = c.filter("c_custkey % 2 = 0").select("c_mktsegment", F.concat(F.lit(" "), "c_name", F.lit("　")), F.lit("f2"), F.lit(None).cast("double"), F.lit(None).cast("string"), F.col("c_custkey") + 10_000_000)
-    return one.union(two).union(c.limit(1).select(F.lit("T"), F.lit(" "), F.lit("f3"), F.lit(0.1), F.lit("x"), F.lit(0).cast("long")))
+    return one.union(two).union(c.select(F.lit("T"), F.lit(" "), F.lit("f3"), F.lit(0.1), F.lit("x"), F.lit(0).cast("long")))
 
 
 _NODES = "nodes AS (SELECT upper(c_mktsegment) AS label, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'f2' ELSE 'f1' END AS file_id, CASE WHEN c_custkey % 2 = 0 THEN 0.0 ELSE 0.8 END::DOUBLE AS confidence, CASE WHEN c_custkey % 2 = 0 THEN 'unknown' ELSE 'text' END AS source_type, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 10000000 ELSE c_custkey END AS seq FROM customer)"
@@ -81,13 +81,13 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, relations): suppliers in nations in regions; regions stand under two labels."""
     s, n, r = (load(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     node = lambda df, label, name, file: df.select(F.lit(label).alias("label"), F.col(name).alias("name"), F.lit(file).alias("file_id"))
-    nodes = node(s, "SUPPLIER", "s_name", "f1").union(node(n, "NATION", "n_name", "f1")).union(node(r, "REGION", "r_name", "f1")).union(node(r.filter("r_regionkey < 3"), "AREA", "r_name", "f2"))
+    nodes = node(s, "SUPPLIER", "s_name", "f1").union(node(n, "NATION", "n_name", "f1")).union(node(r, "REGION", "r_name", "f1")).union(node(r.filter("r_name < 'E'"), "AREA", "r_name", "f2"))
     sn = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("subject"), F.lit("based in").alias("predicate"), F.col("n_name").alias("object"), F.lit("f1").alias("file_id"), F.lit(0.9).alias("confidence"), F.col("s_suppkey").alias("seq"))
     nr = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.lit("part-of"), "r_name", F.when(F.col("n_nationkey") % 5 == 1, F.lit("f2")).otherwise(F.lit("f1")), F.lit(0.7), (F.col("n_nationkey") + 1_000_000).cast("long"))
     return nodes, sn.union(nr)
 
 
-_PLACES = """nodes AS (SELECT 'SUPPLIER' AS label, s_name AS name, 'f1' AS file_id FROM supplier UNION ALL SELECT 'NATION', n_name, 'f1' FROM nation UNION ALL SELECT 'REGION', r_name, 'f1' FROM region UNION ALL SELECT 'AREA', r_name, 'f2' FROM region WHERE r_regionkey < 3),
+_PLACES = """nodes AS (SELECT 'SUPPLIER' AS label, s_name AS name, 'f1' AS file_id FROM supplier UNION ALL SELECT 'NATION', n_name, 'f1' FROM nation UNION ALL SELECT 'REGION', r_name, 'f1' FROM region UNION ALL SELECT 'AREA', r_name, 'f2' FROM region WHERE r_name < 'E'),
 rel AS (SELECT s_name AS subject, 'BASED_IN' AS rel_type, n_name AS object, 'f1' AS file_id, 0.9::DOUBLE AS confidence, s_suppkey AS seq FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT n_name, 'PART_OF', r_name, CASE WHEN n_nationkey % 5 = 1 THEN 'f2' ELSE 'f1' END, 0.7::DOUBLE, n_nationkey + 1000000 FROM nation JOIN region ON n_regionkey = r_regionkey),
 edges AS (SELECT a.label AS src_label, subject, rel_type, b.label AS dst_label, object, rel.file_id, confidence, seq FROM rel JOIN nodes a ON a.name = subject JOIN nodes b ON b.name = object)"""

@@ -26,17 +26,6 @@ def s03_image_filter(spark, sf_dir):
     return ingest.image_chunks(pages).select("chunk_id", F.col("media_bytes").cast("string").cast("long").alias("p_partkey"))
 
 
-@query(
-    "s06_multimodal_union",
-    """WITH t AS (SELECT doc_id, 'text' AS kind, 1 AS o FROM documents UNION ALL SELECT page_id, 'image', 2 FROM pages UNION ALL SELECT item_id, 'table', 3 FROM benchmark)
-       SELECT 'f' || doc_id AS file_id, kind AS content_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) AS INTEGER) AS seq FROM t""",
-)
-def s06_multimodal_union(spark, sf_dir):
-    parts = [load(spark, sf_dir, "documents").select("doc_id", F.lit("text").alias("content_type"), F.lit(1).alias("o")), load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("image").alias("content_type"), F.lit(2).alias("o")), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("table").alias("content_type"), F.lit(3).alias("o"))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_id"), "content_type", F.row_number().over(W.partitionBy("doc_id").orderBy("o")).alias("seq"))
-
-
 def _pages(spark, sf_dir):
     """Parts as pages with a text, a table, an image and a chart each."""
     p, k = load(spark, sf_dir, "part"), F.col("p_partkey")
@@ -60,6 +49,12 @@ def s05_multimodal_chunks(spark, sf_dir):
     return out.select("chunk_id", "content_type", "content", "kind_order", F.coalesce(F.length("media_bytes"), F.lit(0)).alias("media"))
 
 
+@query("s06_multimodal_union", f"WITH {_OWN_PAGES} SELECT file_id, content_type, CAST(row_number() OVER (PARTITION BY file_id ORDER BY page_number, kind_order) AS INTEGER) AS seq FROM chunks")
+def s06_multimodal_union(spark, sf_dir):
+    out = ingest.multimodal_chunks(_pages(spark, sf_dir))
+    return out.select("file_id", "content_type", F.row_number().over(W.partitionBy("file_id").orderBy("page_number", "kind_order", "chunk_index")).alias("seq"))
+
+
 @query("r23_file_media", f"WITH {_OWN_PAGES} SELECT file_id || '_page_' || page_number || '_' || content_type || '_0' AS chunk_id, file_id, content_type FROM chunks WHERE content_type <> 'text'")
 def r23_file_media(spark, sf_dir):
     return retrieval.media_listing(ingest.multimodal_chunks(_pages(spark, sf_dir))).select("chunk_id", "file_id", "content_type")
@@ -80,10 +75,18 @@ def s16_has_data(spark, sf_dir):
     return spark.createDataFrame([(not v.isEmpty(), not v.filter("vec_id < 0").isEmpty())], "vectors boolean, none boolean")
 
 
-@query("s30_settings", "SELECT * FROM (VALUES ('max_file_size_mb', '100', CAST(100 AS BIGINT)), ('allowed_file_types', '[\"pdf\"]', NULL), ('chunk_size', '1000', 1000), ('chunk_overlap', '200', 200), ('vector_similarity_threshold', '0.7', NULL), ('max_search_results', '10', 10), ('session_timeout_hours', '24', 24)) v(config_key, config_value, whole)")
+@query(
+    "s30_settings",
+    """WITH s AS (SELECT * FROM (VALUES ('max_file_size_mb', '100', CAST(100 AS BIGINT)), ('allowed_file_types', '["pdf"]', NULL), ('chunk_size', '1000', 1000), ('chunk_overlap', '200', 200), ('vector_similarity_threshold', '0.7', NULL), ('max_search_results', '10', 10), ('session_timeout_hours', '24', 24)) v(config_key, config_value, whole))
+       SELECT source, config_key, config_value, whole, n_chars // whole AS times FROM s CROSS JOIN (SELECT source, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY source)""",
+)
 def s30_settings(spark, sf_dir):
+    """The settings, and how often each whole number of them goes into a source's characters."""
     value = F.col("config_value")
-    return src.settings(spark).select("config_key", "config_value", F.when(value.rlike(r"^\d+$"), value.try_cast("bigint")).alias("whole"))
+    own = src.settings(spark).select("config_key", "config_value", F.when(value.rlike(r"^\d+$"), value.try_cast("bigint")).alias("whole"))
+    sizes = load(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n_chars"))
+    # Seven settings: they are broadcast to the sources.
+    return sizes.join(F.broadcast(own)).select("source", "config_key", "config_value", "whole", F.expr("n_chars div whole").alias("times"))
 
 
 @query("p04_type_filter", f"WITH {catalog_plans.CHUNKS_SQL} SELECT file_id, content_type FROM chunks WHERE content_type IN ('image', 'chart')")

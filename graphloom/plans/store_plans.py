@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import upkeep
 from ..operators.graph_store import GraphStore
+from ..operators.vector_index import VectorIndex
 from ..sources.folders import shared_folder
 from ..sources.store import Store
 from ..sources.tables import load
-from . import graph_plans, ingest_plans  # noqa: F401  the SQL of m01 is there
+from . import graph_plans, ingest_plans, retrieval_plans  # noqa: F401  the SQL of m01 is there
 from .registry import SQL, query
 
 
@@ -120,3 +121,44 @@ def j07_stored_paths(spark, sf_dir):
     return lists.trails(spark.createDataFrame([(t,) for t in graph_plans.TERMS], "term string")).select("term", F.col("hops").cast("int").alias("hops"), "key", "nodes")
 
 
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame]:
+    """The embeddings in an index, the second half inserted after the first; and every id divisible by 20 as a query."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = VectorIndex(Store(spark, shared_folder(spark, "store")))
+    late = F.pmod(F.xxhash64("vec_id"), F.lit(2)) == 1
+    index.create(v.filter(~late))
+    index.insert(v.filter(late))
+    return index, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("r02_index_topk")
+def r02_index_topk(spark, sf_dir):
+    """The five nearest by codes and a short list; recall is held against the exact search in r02_index_recall."""
+    index, queries = _indexed(spark, sf_dir)
+    return index.search(queries).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("r02_index_recall", "SELECT count(*) AS queries, 5 * count(*) AS found, true AS recall_reached, true AS few_scored FROM embeddings WHERE vec_id % 20 = 0")
+def r02_index_recall(spark, sf_dir):
+    """Whether nine tenths of the nearest are found and at most a fifth of all vectors is scored exactly for a query."""
+    index, queries = _indexed(spark, sf_dir)
+    return recall(index, queries).select("queries", "found", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("scored") <= 0.2).alias("few_scored"))
+
+
+def recall(index: VectorIndex, queries: DataFrame) -> DataFrame:
+    """One row: queries, rows found, recall, and the share of all vectors that is scored exactly."""
+    exact = index.exact(queries).select("query_id", "vec_id")
+    found = index.search(queries).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    short = index.shortlist(queries).agg(F.count(F.lit(1)).alias("scored"))
+    all_ = index.store.read(index.table("vectors")).agg(F.count(F.lit(1)).alias("vectors"))
+    both = exact.join(found, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    return both.crossJoin(short).crossJoin(all_).select("queries", "found", "recall", (F.col("scored") / (F.col("vectors") * F.col("queries"))).alias("scored"))
+
+
+@query("j08_pruned_query", SQL["j08_multi_query"])
+def j08_pruned_query(spark, sf_dir):
+    """As j08_multi_query: only vectors whose bound reaches the fifth best are scored."""
+    index, queries = _indexed(spark, sf_dir)
+    return index.exact(queries).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")

@@ -127,10 +127,20 @@ _CELL_CASES = ["1,234", "12.5%", "nan", "1_000", " 5 ", "", "1d", "¥85", "None"
 _ARE = dict(zip(_CELL_CASES, [True] * 5 + [False] * 4 + [True] * 3 + [False] * 2 + [True] + [False] * 4, strict=True))
 
 
+_CELLS = """SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) || ',000' AS cell, true AS number, false AS date FROM orders UNION ALL SELECT o_orderkey, o_orderpriority, false, false FROM orders
+  UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), false, true FROM orders UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') || ' noon', false, true FROM orders
+  UNION ALL SELECT p_partkey, p_size || '%', true, false FROM part UNION ALL SELECT p_partkey, p_name, false, false FROM part UNION ALL SELECT p_partkey, strftime(DATE '2020-01-01' + CAST(p_size AS INTEGER), '%Y年%m月%d日'), false, true FROM part"""
+
+
 @query(
     "b04_cell_kinds",
-    "SELECT region.r_regionkey, v.cell, v.number, v.date FROM region, (VALUES " + ", ".join(f"('{c}', {n}, {c.startswith('2024') or c == '01/02/2024'})" for c, n in _ARE.items()) + ") v(cell, number, date)",
+    f"{_CELLS} UNION ALL SELECT r_regionkey, v.cell, v.number, v.date FROM region, (VALUES " + ", ".join(f"('{c}', {n}, {c.startswith('2024') or c == '01/02/2024'})" for c, n in _ARE.items()) + ") v(cell, number, date)",
 )
 def b04_cell_kinds(spark, sf_dir):
-    cells = load(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(c) for c in _CELL_CASES])).alias("cell"))
-    return cells.select("r_regionkey", "cell", X.is_number(F.col("cell")).alias("number"), X.is_date(F.col("cell")).alias("date"))
+    """Cells of orders and parts, and some odd ones."""
+    o, p = load(spark, sf_dir, "orders"), load(spark, sf_dir, "part")
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size").cast("int"))
+    cells = o.select(F.col("o_orderkey").alias("k"), F.explode(F.array(F.concat(F.col("o_orderkey").cast("string"), F.lit(",000")), F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" noon")))).alias("cell"))
+    cells = cells.union(p.select("p_partkey", F.explode(F.array(F.concat(F.col("p_size").cast("string"), F.lit("%")), F.col("p_name"), F.date_format(day, "yyyy年MM月dd日")))))
+    cells = cells.union(load(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(c) for c in _CELL_CASES]))))
+    return cells.select("k", "cell", X.is_number(F.col("cell")).alias("number"), X.is_date(F.col("cell")).alias("date"))
