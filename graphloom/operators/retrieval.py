@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.shipping import prepare
 from ..functions.text import dot, query_terms, strip
 from ..sources import providers
+from ..sources.tables import CHART_METADATA, IMAGE_METADATA, media_metadata, with_tables
 from . import graph
 
 TOP_K, THRESHOLD, FUSED, GRAPH_SCORE = 5, 0.7, 15, 0.8
@@ -36,21 +42,43 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int = TOP_K, threshold: float
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def top_k_of_each(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, most_queries: int = 1000) -> DataFrame:
-    """As top_k for a stated set of queries (query_id, embedding): the k best of each.
+#: Vectors, and queries, that one group of the search of many queries scores against each other.
+VECTOR_BLOCK, QUERY_BLOCK = 1 << 14, 1000
 
-    Queries go to the vectors in blocks of about most_queries, each as one array; a task keeps k rows per query (partial
-    top-k) before the shuffle.
+
+def top_k_of_each(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, most_queries: int = QUERY_BLOCK, key: str = "vec_id") -> DataFrame:
+    """As top_k for a stated set of queries (query_id, embedding): the k best of each, with their rank; ties go by key.
+
+    Vectors and queries are dealt over blocks, and each block of the one meets each of the other once, as two matrices: one
+    plan whatever the number of queries. A group keeps k rows of each of its queries before these are shuffled.
     """
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    scored = None
-    n = max(1, -(-queries.count() // most_queries))
-    for i in range(n):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries
-        part = vectors.join(F.broadcast(own.select("query_id", F.col("embedding").alias("__q")))).select("query_id", "vec_id", dot(F.col("embedding"), F.col("__q")).alias("score"))
-        part = part.withColumn("rank", rank).filter(F.col("rank") <= k)
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+    spark = vectors.sparkSession
+    prepare(spark)
+    n, m = vectors.count(), queries.count()
+    # At least as many blocks as tasks run at once, where there are so many rows.
+    blocks = max(1, -(-n // VECTOR_BLOCK), min(spark.sparkContext.defaultParallelism, n // 256))
+    turns = max(1, -(-m // most_queries))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    x = vectors.select(F.col(key).alias("key"), F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), every(turns).alias("turn"))
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int").alias("turn"), every(blocks).alias("block"))
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField(key, x.schema["key"].dataType), T.StructField("score", T.DoubleType())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, ids = left.column("key"), right.column("query_id")
+        if not len(keys) or not len(ids):
+            return pa.Table.from_arrays([ids.slice(0, 0), keys.slice(0, 0), pa.array([], pa.float64())], names=schema.names)
+        # Vectors in order of their keys, so that of equal scores the first stay.
+        order = pc.sort_indices(keys).to_numpy()
+        x = np.array(left.column("v").to_pylist(), np.float64)[order]
+        score = np.array(right.column("q").to_pylist(), np.float64) @ x.T
+        score[np.isnan(score)] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        at = np.repeat(np.arange(len(ids)), best.shape[1])
+        return pa.Table.from_arrays([ids.take(pa.array(at)), keys.take(pa.array(order[best.ravel()])), pa.array(np.take_along_axis(score, best, 1).ravel())], names=schema.names)
+
+    scored = x.groupBy("block", "turn").cogroup(q.groupBy("block", "turn")).applyInArrow(meet, schema)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def inverted_file(vectors: DataFrame, lists: int = 128, sample_rows: int = 20_000, seed: int = 7):
@@ -115,6 +143,23 @@ def search(vectors: DataFrame, edges: DataFrame, question: str, embedder=None, k
     return fuse(near, found.select(F.col("nodes").alias("path"), F.row_number().over(W.orderBy("term", "hops", "key")).cast("long").alias("seq")), most)
 
 
+def search_each(vectors: DataFrame, edges: DataFrame, questions: DataFrame, embedder=None, k: int = TOP_K, threshold: float = THRESHOLD, most: int = FUSED) -> DataFrame:
+    """As search for many questions (question_id, question) in one plan: question_id, and the columns of its fused results.
+
+    Questions are embedded beside each other and meet the vectors in blocks; trails are searched once for each distinct
+    term; each question's results are ranked on their own, which are k + 3 * 10 rows at most. Blank questions find nothing.
+    """
+    own = questions.filter(F.length(strip(F.coalesce("question", F.lit("")))) > 0)
+    asked = providers.embed(own.select("question_id", "question"), "question", embedder).select(F.col("question_id").alias("query_id"), "embedding")
+    best = top_k_of_each(vectors, asked, k, key="chunk_id").filter((F.col("score") >= threshold) & ~F.isnan("score"))
+    rows = vectors.select("chunk_id", "file_id", "content", "metadata")
+    near = best.select(F.col("query_id").alias("question_id"), "chunk_id", "score", F.col("rank").cast("long").alias("seq")).join(rows, "chunk_id")
+    near = near.withColumn("content_type", F.coalesce(F.get_json_object("metadata", "$.type"), F.lit("text")))
+    found = graph_search(edges, own)
+    paths = found.select("question_id", F.col("nodes").alias("path"), F.row_number().over(W.partitionBy("question_id").orderBy("term", "hops", "key")).cast("long").alias("seq"))
+    return fuse(near, paths, most, ["question_id"])
+
+
 def media_listing(chunks: DataFrame, file_id: str | None = None, kind: str | None = None) -> DataFrame:
     """Chunks that are no text, of a file and of a kind, where these are given."""
     out = chunks.filter(F.col("content_type") != "text")
@@ -129,16 +174,33 @@ def media_flags(fused: DataFrame) -> DataFrame:
     return fused.agg(*map(any_, media), F.count_if(F.col("content_type").isin(*media)).alias("media_count"), F.count(F.lit(1)).alias("results"), F.array_sort(F.collect_set(F.when(F.col("content_type") != "text", F.col("content_type")))).alias("kinds"))
 
 
-def fuse(vector_hits: DataFrame, graph_hits: DataFrame, most: int = FUSED) -> DataFrame:
-    """Vector hits (chunk_id, file_id, content, content_type, score, seq) and graph hits (path, seq), media before text, then by
-    score, then in order of arrival; the first fifteen, with their rank.
+def fuse(vector_hits: DataFrame, graph_hits: DataFrame, most: int = FUSED, by: list[str] | None = None) -> DataFrame:
+    """Vector hits (chunk_id, file_id, content, content_type, score, seq, and metadata where there are any) and graph hits
+    (path, seq), media before text, then by score, then in order of arrival; the first fifteen, with their rank. `by` names
+    columns of both, such as a question's id: each of their values is fused on its own.
     """
-    v = vector_hits.select(F.lit("vector").alias("type"), "content_type", "content", "file_id", "chunk_id", "score", F.lit(None).cast("string").alias("path"), F.lit(0).alias("part"), "seq")
-    g = graph_hits.select(F.lit("graph").alias("type"), F.lit("graph").alias("content_type"), F.lit(GRAPH_SCORE).alias("score"), "path", F.lit(1).alias("part"), "seq")
+    keys = by or []
+    extra = [c for c in ("metadata",) if c in vector_hits.columns]
+    v = vector_hits.select(*keys, F.lit("vector").alias("type"), "content_type", "content", "file_id", "chunk_id", *extra, "score", F.lit(None).cast("string").alias("path"), F.lit(0).alias("part"), "seq")
+    g = graph_hits.select(*keys, F.lit("graph").alias("type"), F.lit("graph").alias("content_type"), F.lit(GRAPH_SCORE).alias("score"), "path", F.lit(1).alias("part"), "seq")
     both = v.unionByName(g, allowMissingColumns=True)
     order = [(F.col("content_type") != "text").desc(), F.desc("score"), F.asc("part"), F.asc("seq")]
-    top = both.orderBy(*order).limit(most)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(*order))).drop("part", "seq")
+    top = both if keys else both.orderBy(*order).limit(most)
+    return top.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= most).drop("part", "seq")
+
+
+def with_details(fused: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Fused results with what their kind has to tell, of their metadata (JSON): of an image and a chart the fields that an answer
+    shows, of a table its data (tables: chunk_id, table_data), summary, size, column types and insights; null for other kinds.
+    """
+    kind = F.col("content_type")
+    of = lambda k, fields: F.when(kind == k, media_metadata(F.col("metadata"), fields))
+    out = fused.withColumns({"image": of("image", IMAGE_METADATA), "chart": of("chart", CHART_METADATA)})
+    if tables is None:
+        return out
+    own = with_tables(fused.filter(kind == "table").select("chunk_id", "content", "metadata").distinct(), tables)
+    parts = ("table_data", "table_summary", "rows", "columns", "data_types", "key_insights", "status")
+    return out.join(own.select("chunk_id", F.struct(*parts).alias("table")), "chunk_id", "left")
 
 
 def media_map(fused: DataFrame) -> DataFrame:

@@ -90,6 +90,49 @@ def r01_question(spark, sf_dir):
     return out.select("rank", "type", "content_type", "chunk_id", "file_id", "content", "path", F.round("score", 6).alias("score"))
 
 
+_ASKS = "SELECT conv_id * 1000 + turn AS question_id, text || ' in NATION_' || conv_id % 25 || ' of ASIA' AS question FROM conversations WHERE role = 'user' AND (conv_id * 1000 + turn) % 20 = 0"
+
+
+def _asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn whose id is divisible by 20, as a question that names a nation."""
+    c = load(spark, sf_dir, "conversations").filter("role = 'user' AND (conv_id * 1000 + turn) % 20 = 0")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat("text", F.lit(" in NATION_"), (F.col("conv_id") % 25).cast("string"), F.lit(" of ASIA")).alias("question"))
+
+
+@query(
+    "r01_many_questions",
+    f"""WITH RECURSIVE q AS ({_ASKS}),
+        asked AS (SELECT DISTINCT question_id, unnest(list_filter(string_split(question, ' '), lambda w: length(w) > 2)[1:3]) AS term FROM (SELECT question_id, regexp_replace(question, '{text_plans._WS}+', ' ', 'g') AS question FROM q)),
+        {graph_plans.paths_sql("SELECT DISTINCT term FROM asked")},
+        v AS ({text_plans.embedded_sql("(SELECT doc_id AS k, text FROM documents UNION ALL SELECT -1 - question_id, question FROM q)")}),
+        scored AS (SELECT -1 - q.k AS question_id, e.k, list_inner_product(e.v::FLOAT[]::DOUBLE[], q.v::FLOAT[]::DOUBLE[]) AS score FROM v e, v q WHERE q.k < 0 AND e.k >= 0 AND e.n > 0),
+        top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, 'c' || k) AS seq FROM scored QUALIFY seq <= 5),
+        u AS (SELECT question_id, 'vector' AS type, {_KIND.format('k')} AS content_type, source AS file_id, 'c' || k AS chunk_id, score, CAST(NULL AS VARCHAR) AS path, 0 AS part, seq FROM top JOIN documents ON doc_id = k WHERE score >= 0.1
+          UNION ALL SELECT question_id, 'graph', 'graph', NULL, NULL, 0.8::DOUBLE, nodes, 1, row_number() OVER (PARTITION BY question_id ORDER BY asked.term, hops, key) FROM asked JOIN best ON asked.term = best.term)
+        SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY content_type <> 'text' DESC, score DESC, part, seq) AS INTEGER) AS rank, type, content_type, chunk_id, file_id, path, round(score, 6) AS score FROM u QUALIFY rank <= 15""",
+)
+def r01_many_questions(spark, sf_dir):
+    """All questions through their vectors and terms, in one plan."""
+    out = retrieval.search_each(vector_rows(spark, sf_dir), graph_plans.places_edges(spark, sf_dir), _asks(spark, sf_dir), threshold=0.1)
+    return out.select("question_id", "rank", "type", "content_type", "chunk_id", "file_id", "path", F.round("score", 6).alias("score"))
+
+
+@query(
+    "p12_result_details",
+    f"""WITH top AS (SELECT e.vec_id, {_DOT} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {_DOT} DESC, e.vec_id LIMIT 12)
+        SELECT 'c' || vec_id AS chunk_id, CASE WHEN vec_id % 4 = 1 THEN n_chars END AS width, CASE WHEN vec_id % 4 = 3 THEN lang END AS chart_type, CASE WHEN vec_id % 4 = 2 THEN text END AS summary,
+               CASE WHEN vec_id % 4 = 2 THEN CASE WHEN page_id IS NULL THEN 'failed' ELSE 'loaded' END END AS status, CASE WHEN vec_id % 4 = 2 AND page_id IS NOT NULL THEN url END AS cell
+        FROM top LEFT JOIN documents ON doc_id = vec_id LEFT JOIN pages ON page_id = vec_id""",
+)
+def p12_result_details(spark, sf_dir):
+    """The nearest chunks, fused, with the details of images, charts and tables."""
+    d = load(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.to_json(F.struct(F.col("n_chars").alias("width"), F.col("lang").alias("chart_type"))).alias("metadata"))
+    tables = load(spark, sf_dir, "pages").select(F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("chunk_id"), F.array(F.array(F.lit("url")), F.array("url")).alias("table_data"))
+    none = spark.createDataFrame([], "path string, seq long")
+    out = retrieval.with_details(retrieval.fuse(hits(spark, sf_dir, 12).join(d, "chunk_id", "left"), none), tables)
+    return out.select("chunk_id", F.col("image.width").cast("long").alias("width"), "chart.chart_type", F.col("table.table_summary").alias("summary"), F.col("table.status").alias("status"), F.get(F.get("table.table_data", F.lit(1)), F.lit(0)).alias("cell"))
+
+
 @query(
     "r03_graph_search",
     f"""WITH RECURSIVE q AS (SELECT n_nationkey AS question_id, 'in which ' || r_name || ' is ' || n_name AS question FROM nation JOIN region ON n_regionkey = r_regionkey),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from ..streaming import jobs
+from ..streaming import jobs, sessions
 from . import text_plans
 from .registry import query
 
@@ -45,3 +45,18 @@ def g05_stream_sessions(spark, sf_dir):
     closed = jobs.session_windows(own(jobs.source(spark, f"{sf_dir}/events.parquet")), jobs.shared_folder(spark))
     out = closed.unionByName(jobs.open_sessions(own(load(spark, sf_dir, "events")), closed))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
+
+
+@query(
+    "g05_stateful_sessions",
+    """WITH e AS (SELECT user_id, event_id, ts, event_type, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new FROM events),
+       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e),
+       r AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS back FROM s)
+       SELECT user_id AS session_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS n, string_agg(event_type, chr(10) ORDER BY ts, event_id) FILTER (WHERE back <= 10) AS history FROM r GROUP BY user_id, k""",
+)
+def g05_stateful_sessions(spark, sf_dir):
+    """Sessions with their last ten messages: the closed ones as the stream gives them, the open ones from its state."""
+    e = jobs.source(spark, f"{sf_dir}/events.parquet")
+    out = jobs.shared_folder(spark)
+    rows = e.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("line"))
+    return sessions.run(rows, out).unionByName(sessions.still_open(spark, out))
