@@ -14,22 +14,32 @@ NODE_DEFAULTS = {"type": "UNKNOWN", "confidence": 0.0, "source_type": "unknown"}
 EDGE_DEFAULTS = {"predicate": "RELATED_TO", "confidence": 0.0, "source_type": "unknown"}
 
 
-def merge_entities(entities: DataFrame) -> DataFrame:
-    """One row per name, whatever its case and outer spaces: the most confident spelling (the first of equals), all source chunks.
+def entity_classes(entities: DataFrame, by: tuple[str, ...] = (), arrival: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(representatives, members) of entities (name, type, source_type, confidence, source_chunks and their order of arrival).
 
-    Aggregates combine before the shuffle, so a name with very many mentions is no burden to one task.
+    Entities of one name, whatever its case and outer spaces, are a class, apart for each value of the columns `by`. It is
+    represented by its most confident spelling, of equals the one that arrived first, with the number of mentions where
+    there are several. Members are a table (key, chunk), each once: no row holds all chunks of a name, and a name of very
+    many chunks is spread over the tasks.
     """
-    best = F.max_by(F.struct("name", "type", "source_type", "confidence"), F.struct("confidence", (-F.col("seq")).alias("s")))
-    g = entities.groupBy(F.lower(strip(F.col("name"))).alias("key")).agg(best.alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_chunks")))).alias("source_chunks"), F.count("*").alias("n"))
-    return g.select("b.name", "b.type", "b.source_type", "b.confidence", "source_chunks", F.when(F.col("n") > 1, F.col("n")).alias("merged_count"))
-
-
-def filter_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations with both ends among the entities' names, the first of each (subject, predicate, object)."""
-    names = entities.select(F.col("name")).distinct()
-    both = relations.join(names.withColumnRenamed("name", "subject"), "subject", "left_semi").join(names.withColumnRenamed("name", "object"), "object", "left_semi")
-    first = both.groupBy("subject", "predicate", "object").agg(F.min_by(F.struct(*[c for c in relations.columns if c not in ("subject", "predicate", "object")]), "seq").alias("f"))
-    return first.select("subject", "predicate", "object", "f.*")
+    keyed = entities.withColumn("key", F.lower(strip(F.col("name")))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    # Counted per spelling and confidence first: of a frequent name few rows are left to be compared.
+    spelt = keyed.groupBy(*by, "key", "name", "type", "source_type", "confidence").agg(F.min(arrival).alias("first"), F.count(F.lit(1)).alias("n"))
+    best = F.min_by(F.struct("name", "type", "source_type", "confidence"), F.struct((-F.col("confidence")).alias("c"), "first"))
+    own = spelt.groupBy(*by, "key").agg(best.alias("b"), F.sum("n").alias("n"))
+    members = keyed.select(*by, "key", F.explode("source_chunks").alias("chunk")).distinct()
+    return own.select(*by, "key", "b.name", "b.type", "b.source_type", "b.confidence", F.when(F.col("n") > 1, F.col("n")).alias("merged_count")), members
+
+
+def filter_relations(relations: DataFrame, entities: DataFrame, by: tuple[str, ...] = (), arrival: str = "seq") -> DataFrame:
+    """Relations with both ends among the entities' names, the first to arrive of each (subject, predicate, object); apart for each value of the columns `by`."""
+    names = entities.select(*by, F.col("name")).distinct()
+    both = relations
+    for end in ("subject", "object"):
+        both = both.join(names.withColumnRenamed("name", end), [*by, end], "left_semi")
+    keys = [*by, "subject", "predicate", "object"]
+    first = both.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in relations.columns if c not in keys]), arrival).alias("f"))
+    return first.select(*keys, "f.*")
 
 
 def latest(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -143,14 +153,16 @@ def parse_entities(response: Column) -> Column:
 
 
 def chart_graph(charts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities (axis labels, legend) and relations (a legend's series to the chart type) of charts (chunk_id, chart_type, axis_labels, legend_info)."""
-    axes = charts.select("chunk_id", F.explode("axis_labels").alias("axis", "label")).select("chunk_id", strip(F.col("label")).alias("name"), F.lit("CHART_AXIS").alias("type"), F.lit(0.9).alias("confidence"))
-    series = charts.select("chunk_id", "chart_type", F.explode("legend_info").alias("label")).select("chunk_id", "chart_type", strip(F.col("label")).alias("name")).filter("name <> ''")
-    entities = axes.filter("name <> ''").unionByName(series.select("chunk_id", "name", F.lit("CHART_SERIES").alias("type"), F.lit(0.8).alias("confidence")))
-    relations = series.filter("chart_type <> ''").select("chunk_id", F.col("name").alias("subject"), F.lit("DISPLAYED_IN").alias("predicate"), F.col("chart_type").alias("object"), F.lit(0.8).alias("confidence"))
+    """Entities (axis labels, legend) and relations (a legend's series to the chart type) of charts (chunk_id, chart_type,
+    axis_labels, legend_info), with their part (axes before legend) and place in it.
+    """
+    axes = charts.select("chunk_id", F.posexplode(F.map_entries("axis_labels")).alias("place", "e")).select("chunk_id", strip(F.col("e.value")).alias("name"), F.lit("CHART_AXIS").alias("type"), F.lit(0.9).alias("confidence"), F.lit(0).alias("part"), "place")
+    series = charts.select("chunk_id", "chart_type", F.posexplode("legend_info").alias("place", "label")).select("chunk_id", "chart_type", strip(F.col("label")).alias("name"), "place").filter("name <> ''")
+    entities = axes.filter("name <> ''").unionByName(series.select("chunk_id", "name", F.lit("CHART_SERIES").alias("type"), F.lit(0.8).alias("confidence"), F.lit(1).alias("part"), "place"))
+    relations = series.filter("chart_type <> ''").select("chunk_id", "place", F.col("name").alias("subject"), F.lit("DISPLAYED_IN").alias("predicate"), F.col("chart_type").alias("object"), F.lit(0.8).alias("confidence"))
     return entities, relations
 
 
 def image_entities(images: DataFrame) -> DataFrame:
-    """Objects found in images (chunk_id, objects_detected)."""
-    return images.select("chunk_id", F.explode("objects_detected").alias("name")).select("chunk_id", strip(F.col("name")).alias("name"), F.lit("IMAGE_OBJECT").alias("type"), F.lit(0.8).alias("confidence")).filter("name <> ''")
+    """Objects found in images (chunk_id, objects_detected), with their place."""
+    return images.select("chunk_id", F.posexplode("objects_detected").alias("place", "name")).select("chunk_id", "place", strip(F.col("name")).alias("name"), F.lit("IMAGE_OBJECT").alias("type"), F.lit(0.8).alias("confidence")).filter("name <> ''")

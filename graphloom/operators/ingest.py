@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import providers
@@ -53,31 +53,60 @@ def vectors(chunks: DataFrame, embedder: providers.Embedder | None = None) -> Da
     return providers.embed(chunks.filter(F.length("content") > 0).select("file_id", "chunk_id", "content", meta), "content", embedder)
 
 
-def _read(chunks: DataFrame, kind: str, content: str, extractor: providers.Extractor | None, source_type: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) that an extractor finds in a column of the chunks of a kind."""
+#: Order in which the kinds of a file's chunks arrive in its graph.
+ARRIVAL = ("text", "table", "image", "chart")
+
+
+def _arrival(kind: str, *parts) -> Column:
+    """Where something arrives among all of a file: numbers that are compared one after the other."""
+    parts = [F.lit(ARRIVAL.index(kind)), *parts, *[F.lit(0)] * (4 - len(parts))]
+    return F.array(*[p.cast("long") for p in parts]).alias("arrival")
+
+
+def _read(chunks: DataFrame, kind: str, content: str, extractor: providers.Extractor | None, batch: int) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) that an extractor finds in a column of the chunks of a kind, `batch` of them at a time."""
     own = chunks.filter((F.col("content_type") == kind) & (F.length(content) > 0))
-    found = providers.extracted(own.select("file_id", (F.col("page_number").cast("long") * 1_000_000 + F.col("chunk_index")).alias("seq"), "chunk_id", F.col(content).alias("content")), extractor)
-    entities = providers.text_entities(found).select("file_id", "name", "type", F.lit(0.8).alias("confidence"), F.lit(source_type).alias("source_type"), "source_chunks")
-    relations = providers.text_relations(found).select(F.element_at("source_chunks", 1).alias("chunk_id"), "subject", "predicate", "object", "confidence")
+    found = providers.extracted(own.select("file_id", (F.col("page_number").cast("long") * 1_000_000 + F.col("chunk_index")).alias("seq"), "chunk_id", F.col(content).alias("content")), extractor, batch)
+    # All chunks of a batch are sources; what was found comes in the order of the batches, and in its own.
+    place = [F.col("batch")] if kind == "text" else [F.col("page_number"), F.col("chunk_index")]
+    if kind != "text":
+        found = found.join(own.select(F.array("chunk_id").alias("source_chunks"), "page_number", "chunk_index"), "source_chunks")
+    e = found.select("*", F.posexplode("entities").alias("place", "e"))
+    r = found.select("*", F.posexplode("relations").alias("place", "r"))
+    entities = e.select("file_id", "e.name", "e.type", F.lit(0.8).alias("confidence"), F.lit(kind).alias("source_type"), "source_chunks", _arrival(kind, *place, F.lit(0), F.col("place")) if kind != "text" else _arrival(kind, *place, F.col("place")))
+    relations = r.select("file_id", F.element_at("source_chunks", 1).alias("chunk_id"), "r.subject", "r.predicate", "r.object", "r.confidence", _arrival(kind, *place, F.col("place")))
     return entities, relations
 
 
-def knowledge(chunks: DataFrame, extractor: providers.Extractor | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of chunks: what an extractor finds in texts and in text that was read in pictures, objects seen in
-    pictures, headers and cells of tables, labels of charts; merged, and relations without both ends dropped.
+def mentions(chunks: DataFrame, extractor: providers.Extractor | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of chunks, every mention of them: what an extractor finds in texts and in text that was read in
+    pictures, objects seen in pictures, headers and cells of tables, labels of charts; with their file, sources and order of arrival.
     """
-    found, text_relations = _read(chunks, "text", "content", extractor, "text")
+    entities, relations = _read(chunks, "text", "content", extractor, 2)
+    at = chunks.select("chunk_id", "file_id", "page_number", "chunk_index")
+    own = lambda df, source, kind, *place: df.join(at, "chunk_id").select("file_id", "name", "type", "confidence", F.lit(source).alias("source_type"), F.array("chunk_id").alias("source_chunks"), _arrival(kind, F.col("page_number"), F.col("chunk_index"), *place))
+    linked = lambda df, kind: df.join(at, "chunk_id").select("file_id", "chunk_id", "subject", "predicate", "object", "confidence", _arrival(kind, F.col("page_number"), F.col("chunk_index"), F.col("place")))
     if "text_content" in chunks.columns:
-        seen, picture_relations = _read(chunks, "image", "text_content", extractor, "image")
-        objects = graph.image_entities(chunks.filter("content_type = 'image'")).join(chunks.select("chunk_id", "file_id"), "chunk_id")
-        found = found.unionByName(seen).unionByName(objects.select("file_id", "name", "type", "confidence", F.lit("image").alias("source_type"), F.array("chunk_id").alias("source_chunks")))
-        text_relations = text_relations.unionByName(picture_relations)
+        seen, of_pictures = _read(chunks, "image", "text_content", extractor, 1)
+        objects = graph.image_entities(chunks.filter("content_type = 'image'"))
+        entities = entities.unionByName(seen).unionByName(own(objects, "image", "image", F.lit(1), F.col("place")))
+        relations = relations.unionByName(of_pictures)
     tabled = chunks.filter("content_type = 'table'")
-    files = chunks.select("chunk_id", "file_id")
-    of_tables = tables.table_entities(tabled).join(files, "chunk_id").select("file_id", "name", "type", "confidence", "source_type", F.array("chunk_id").alias("source_chunks"))
+    entities = entities.unionByName(own(tables.table_entities(tabled), "table", "table", F.col("place.row"), F.col("place.col")))
     of_charts, chart_relations = graph.chart_graph(chunks.filter("content_type = 'chart'"))
-    of_charts = of_charts.join(files, "chunk_id").select("file_id", "name", "type", "confidence", F.lit("chart").alias("source_type"), F.array("chunk_id").alias("source_chunks"))
-    entities = found.unionByName(of_tables).unionByName(of_charts).withColumn("seq", F.xxhash64("file_id", "name", "type", F.to_json("source_chunks")))
-    merged = graph.merge_entities(entities)
-    relations = text_relations.unionByName(tables.field_pairs(tabled)).unionByName(chart_relations).withColumn("seq", F.xxhash64("chunk_id", "subject", "object"))
-    return merged, graph.filter_relations(relations, merged)
+    entities = entities.unionByName(own(of_charts, "chart", "chart", F.col("part"), F.col("place")))
+    return entities, relations.unionByName(linked(tables.field_pairs(tabled), "table")).unionByName(linked(chart_relations, "chart"))
+
+
+def knowledge(chunks: DataFrame, extractor: providers.Extractor | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of chunks, file by file: mentions of one name are merged, relations without both ends dropped, and
+    of equal ones the first to arrive stays. The chunks of each entity are in `members`.
+    """
+    entities, relations = mentions(chunks, extractor)
+    merged, _ = graph.entity_classes(entities, ("file_id",), "arrival")
+    return merged, graph.filter_relations(relations, merged, ("file_id",), "arrival").drop("arrival")
+
+
+def members(chunks: DataFrame, extractor: providers.Extractor | None = None) -> DataFrame:
+    """Which chunks (file_id, key, chunk) each entity of `knowledge` has its mentions in; key is the name in lower case."""
+    return graph.entity_classes(mentions(chunks, extractor)[0], ("file_id",), "arrival")[1]

@@ -70,16 +70,16 @@ def insights(t: Column) -> Column:
 
 
 def table_entities(tables: DataFrame) -> DataFrame:
-    """Entities of tables (chunk_id, table_data): headers, and cells of the first rows that are not numbers."""
+    """Entities of tables (chunk_id, table_data): headers, and cells of the first rows that are not numbers; place is their row and column."""
     rows = tables.filter(F.size("table_data") > 1).select("chunk_id", F.posexplode(F.slice("table_data", 1, ENTITY_ROWS + 1)).alias("row", "cells"))
     cells = rows.select("chunk_id", "row", F.posexplode("cells").alias("col", "cell")).filter(F.col("cell").isNotNull() & ~blank(F.col("cell")))
     cells = cells.filter((F.col("row") == 0) | ~is_number(F.col("cell")))
     head = F.col("row") == 0
-    return cells.select("chunk_id", strip(F.col("cell")).alias("name"), F.when(head, F.lit("TABLE_FIELD")).otherwise(F.lit("TABLE_VALUE")).alias("type"), F.when(head, F.lit(0.9)).otherwise(F.lit(0.7)).alias("confidence"), F.lit("table").alias("source_type"), F.when(~head, F.col("row")).alias("row"), F.when(~head, F.col("col")).alias("col"))
+    return cells.select("chunk_id", strip(F.col("cell")).alias("name"), F.when(head, F.lit("TABLE_FIELD")).otherwise(F.lit("TABLE_VALUE")).alias("type"), F.when(head, F.lit(0.9)).otherwise(F.lit(0.7)).alias("confidence"), F.lit("table").alias("source_type"), F.when(~head, F.col("row")).alias("row"), F.when(~head, F.col("col")).alias("col"), F.struct("row", "col").alias("place"))
 
 
 def field_pairs(tables: DataFrame) -> DataFrame:
-    """Relations between neighbouring headers."""
+    """Relations between neighbouring headers, with their place."""
     head = F.element_at("table_data", 1)
     pairs = F.zip_with(F.slice(head, F.lit(1), F.size(head) - 1), F.slice(head, F.lit(2), F.size(head)), lambda a, b: F.struct(a.alias("subject"), b.alias("object")))
-    return tables.filter(F.size("table_data") > 1).select("chunk_id", F.explode(pairs).alias("p")).select("chunk_id", "p.subject", F.lit("RELATED_FIELD").alias("predicate"), "p.object", F.lit(0.6).alias("confidence"))
+    return tables.filter(F.size("table_data") > 1).select("chunk_id", F.posexplode(pairs).alias("place", "p")).select("chunk_id", "place", "p.subject", F.lit("RELATED_FIELD").alias("predicate"), "p.object", F.lit(0.6).alias("confidence"))

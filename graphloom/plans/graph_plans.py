@@ -11,19 +11,30 @@ from ..sources.tables import load
 from .registry import query
 
 
+_WORDS = r"""w AS (SELECT doc_id, source, string_split(text, ' ') AS w FROM documents),
+        e AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS name, source AS type FROM w),
+        f AS (SELECT doc_id * 16777216 + i AS seq, name, type, 0.5::DOUBLE + (length(name) + doc_id) % 5 / 10 AS confidence, CAST(doc_id AS VARCHAR) AS chunk, lower(regexp_replace(name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS key FROM e)"""
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every document as a mention of an entity."""
+    words = F.posexplode(F.split("text", " ")).alias("i", "name")
+    e = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("type"), words).filter(~X.blank(F.col("name")))
+    return e.select("name", "type", F.lit("text").alias("source_type"), (F.lit(0.5) + (F.length("name") + F.col("doc_id")) % 5 / 10).alias("confidence"), (F.col("doc_id") * (1 << 24) + F.col("i")).alias("seq"), F.array(F.col("doc_id").cast("string")).alias("source_chunks"))
+
+
 @query(
     "k08_entity_dedup",
-    r"""WITH w AS (SELECT doc_id, source, string_split(text, ' ') AS w FROM documents),
-        e AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS name, source AS type FROM w),
-        f AS (SELECT doc_id * 16777216 + i AS seq, name, type, 0.5::DOUBLE + (length(name) + doc_id) % 5 / 10 AS confidence, CAST(doc_id AS VARCHAR) AS chunk, lower(regexp_replace(name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS key FROM e),
-        g AS (SELECT key, arg_max({'name': name, 'type': type, 'confidence': confidence}, (confidence, -seq)) AS b, array_to_string(list_sort(list_distinct(list(chunk))), ',') AS source_chunks, count(*) AS n FROM f WHERE key <> '' GROUP BY key)
-        SELECT b.name AS name, b.type AS type, round(b.confidence, 6) AS confidence, source_chunks, CASE WHEN n > 1 THEN n END AS merged_count FROM g""",
+    f"""WITH {_WORDS}, g AS (SELECT key, arg_max({{'name': name, 'type': type, 'confidence': confidence}}, (confidence, -seq)) AS b, count(*) AS n FROM f WHERE key <> '' GROUP BY key)
+        SELECT b.name AS name, b.type AS type, round(b.confidence, 6) AS confidence, CASE WHEN n > 1 THEN n END AS merged_count FROM g""",
 )
 def k08_entity_dedup(spark, sf_dir):
-    words = F.posexplode(F.split("text", " ")).alias("i", "name")
-    e = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("type"), words).filter(~X.blank(F.col("name")))
-    e = e.select("name", "type", F.lit("text").alias("source_type"), (F.lit(0.5) + (F.length("name") + F.col("doc_id")) % 5 / 10).alias("confidence"), (F.col("doc_id") * (1 << 24) + F.col("i")).alias("seq"), F.array(F.col("doc_id").cast("string")).alias("source_chunks"))
-    return graph.merge_entities(e).select("name", "type", F.round("confidence", 6).alias("confidence"), F.array_join("source_chunks", ",").alias("source_chunks"), "merged_count")
+    return graph.entity_classes(_words(spark, sf_dir))[0].select("name", "type", F.round("confidence", 6).alias("confidence"), "merged_count")
+
+
+@query("u03_entity_chunks", f"WITH {_WORDS} SELECT DISTINCT key, chunk FROM f WHERE key <> ''")
+def u03_entity_chunks(spark, sf_dir):
+    return graph.entity_classes(_words(spark, sf_dir))[1]
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def w06_batches(spark, sf_dir):
 @query("k06_image_entities", r"SELECT 'c' || doc_id AS chunk_id, trim(o) AS name, 'IMAGE_OBJECT' AS type, 0.8::DOUBLE AS confidence FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS o FROM documents) WHERE trim(o) <> ''")
 def k06_image_entities(spark, sf_dir):
     objects = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    return graph.image_entities(load(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), objects.alias("objects_detected")))
+    return graph.image_entities(load(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), objects.alias("objects_detected"))).drop("place")
 
 
 _CHARTS = "c AS (SELECT 'c' || p_partkey AS chunk_id, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS chart_type, p_brand AS label, p_name AS series FROM part)"
@@ -140,12 +140,12 @@ _CHARTS = "c AS (SELECT 'c' || p_partkey AS chunk_id, CASE WHEN p_partkey % 4 =
 
 @query("k07_chart_entities", f"WITH {_CHARTS} SELECT chunk_id, label AS name, 'CHART_AXIS' AS type, 0.9::DOUBLE AS confidence FROM c UNION ALL SELECT chunk_id, series, 'CHART_SERIES', 0.8::DOUBLE FROM c")
 def k07_chart_entities(spark, sf_dir):
-    return graph.chart_graph(_charts(spark, sf_dir))[0]
+    return graph.chart_graph(_charts(spark, sf_dir))[0].drop("part", "place")
 
 
 @query("k07_chart_relations", f"WITH {_CHARTS} SELECT chunk_id, series AS subject, 'DISPLAYED_IN' AS predicate, chart_type AS object, 0.8::DOUBLE AS confidence FROM c WHERE chart_type <> ''")
 def k07_chart_relations(spark, sf_dir):
-    return graph.chart_graph(_charts(spark, sf_dir))[1]
+    return graph.chart_graph(_charts(spark, sf_dir))[1].drop("place")
 
 
 def _charts(spark, sf_dir):

@@ -110,17 +110,17 @@ _ENTITIES = """SELECT chunk_id, name, 'TABLE_FIELD' AS type, CAST(0.9 AS DOUBLE)
 
 @query("k05_table_entities", f"WITH {PARTS_SQL} {_ENTITIES}")
 def k05_table_entities(spark, sf_dir):
-    return tables.table_entities(part_tables(spark, sf_dir))
+    return tables.table_entities(part_tables(spark, sf_dir)).drop("place")
 
 
 @query("k05_field_pairs", f"WITH {PARTS_SQL} SELECT chunk_id, t[1][i] AS subject, 'RELATED_FIELD' AS predicate, t[1][i + 1] AS object, CAST(0.6 AS DOUBLE) AS confidence FROM tb, (SELECT unnest(range(1, 5)) AS i)")
 def k05_field_pairs(spark, sf_dir):
-    return tables.field_pairs(part_tables(spark, sf_dir))
+    return tables.field_pairs(part_tables(spark, sf_dir)).drop("place")
 
 
 @query("k05_nation_entities", f"WITH {NATIONS_SQL} {_ENTITIES}")
 def k05_nation_entities(spark, sf_dir):
-    return tables.table_entities(nation_tables(spark, sf_dir))
+    return tables.table_entities(nation_tables(spark, sf_dir)).drop("place")
 
 
 _CELL_CASES = ["1,234", "12.5%", "nan", "1_000", " 5 ", "", "1d", "¥85", "None", "1e5", "-.5", "5.", "__1", "1__0", "inf", "2024-01-02 10:00", "01/02/2024", "2024年1月2日", "1/2/2024"]

@@ -12,10 +12,12 @@ from graphloom.streaming import jobs
 
 def test_entities_merge(spark):
     e = spark.createDataFrame([("Acme", "T", "text", 0.8, 1, ["c1"]), ("ACME ", "T", "text", 0.9, 2, ["c2"]), ("X", "T", "text", 0.5, 3, ["c1"])], "name string, type string, source_type string, confidence double, seq long, source_chunks array<string>")
-    got = {r.name: r for r in graph.merge_entities(e).collect()}
-    assert got["ACME "].source_chunks == ["c1", "c2"] and got["ACME "].merged_count == 2 and got["X"].merged_count is None
+    classes, members = graph.entity_classes(e)
+    got = {r.name: r for r in classes.collect()}
+    assert got["ACME "].merged_count == 2 and got["X"].merged_count is None
+    assert sorted((r.key, r.chunk) for r in members.collect()) == [("acme", "c1"), ("acme", "c2"), ("x", "c1")]
     rel = spark.createDataFrame([("Acme", "OWNS", "X", 1), ("ACME ", "OWNS", "X", 2), ("ACME ", "OWNS", "X", 3)], "subject string, predicate string, object string, seq long")
-    assert [tuple(r) for r in graph.filter_relations(rel, graph.merge_entities(e)).collect()] == [("ACME ", "OWNS", "X", 2)]
+    assert [tuple(r) for r in graph.filter_relations(rel, classes).collect()] == [("ACME ", "OWNS", "X", 2)]
 
 
 def test_upsert_and_delete(spark):
