@@ -116,6 +116,16 @@ def attach_counted(big: DataFrame, small: DataFrame, key: str, count: str) -> Da
     return near.unionByName(big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def dealt_by_bucket(df: DataFrame, parts: int) -> DataFrame:
+    """df dealt over `parts` tasks by its column `bucket`, bucket after bucket in turn, and not by a hash of what is dealt already."""
+    return df.withColumn("part", F.pmod("bucket", F.lit(parts)).cast("int")).repartitionById(parts, "part")
+
+
+def by_bucket(df: DataFrame, parts: int):
+    """df grouped by bucket, for a cogroup with another that is dealt alike: neither is shuffled again."""
+    return dealt_by_bucket(df, parts).groupBy("part", "bucket")
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts of an Arrow batch as UTF-8 bytes; null counts as empty."""
     return [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]

@@ -516,18 +516,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     # one to another is one packed row.
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     meets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    buckets = max(2 * meets + 1, -(-size // GROUP_BYTES))
-    by_bucket = lambda df: df.repartition(meets, "bucket")
-    dealt = lambda df: by_bucket(df).sortWithinPartitions("bucket")
+    buckets = meets * max(2, -(-size // (meets * GROUP_BYTES)))
+    by_bucket = lambda df: common.by_bucket(df, meets)
+    dealt = lambda df: common.dealt_by_bucket(df, meets).drop("part").sortWithinPartitions("bucket")
     phrases = map_arrow(rows, lambda it: (_with_a(b) for b in _parse_batches(it, length, span, gram, buckets, meets)), _REPS)
     met = scratch.write(map_arrow(dealt(phrases), lambda it: _meet_phrases(it, buckets), _PACKED), "met")
-    texts = by_bucket(rows.select(_bucket_column(F.col("doc"), buckets).alias("bucket"), "doc", "base", "text"))
+    texts = rows.select(_bucket_column(F.col("doc"), buckets).alias("bucket"), "doc", "base", "text")
     packed = ("bucket", "doc", "pos", "n")
     asked = met.filter(F.col("kind") == ASKED).select(*packed)
-    sorted_ = texts.groupBy("bucket").cogroup(by_bucket(asked).groupBy("bucket")).applyInArrow(lambda a, b: _sort_asked(a, b, length, buckets, meets), _REPS)
+    sorted_ = by_bucket(texts).cogroup(by_bucket(asked)).applyInArrow(lambda a, b: _sort_asked(a, b, length, buckets, meets), _REPS)
     windows = map_arrow(dealt(sorted_), lambda it: _meet_windows(it, buckets), _PACKED)
     marks = met.filter(F.col("kind") == MARKS).select(*packed).union(windows.select(*packed))
-    out = texts.groupBy("bucket").cogroup(by_bucket(marks).groupBy("bucket")).applyInArrow(lambda a, b: _remove(a, b, length), _RESULT)
+    out = by_bucket(texts).cogroup(by_bucket(marks)).applyInArrow(lambda a, b: _remove(a, b, length), _RESULT)
     if repeated:
         # The second of equal rows is a copy from its first byte on.
         copy = (F.row_number().over(W.partitionBy("doc", "base", "kept_sha256").orderBy("n_removed")) > 1) & (F.col("n_bytes") >= length)
