@@ -230,7 +230,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     rows, _ = _placed(scratch, common.hidden(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    buckets = max(2 * parts + 1, -(-size // BUCKET_BYTES))
+    buckets = parts * max(2, -(-size // (parts * BUCKET_BYTES)))
     rows = rows.select("doc", "base", F.pmod(F.xxhash64("doc", "base"), F.lit(buckets)).cast("int").alias("bucket"), "text")
     options = (window, span, gram)
     parsed = scratch.write(map_arrow(rows, lambda it: _parse_batches(it, options), _PHRASES), "phrases")
@@ -242,7 +242,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     in_bucket = shared.groupBy("bucket", "anchor", "phrase", "least", "several").agg(F.min(source).alias("source"), F.max("doc").alias("high"))
     in_bucket = scratch.write(in_bucket.select("bucket", "source.doc", "source.at", "source.n", "least", "several", "high"), "shared")
     scratch.drop("phrases")
-    by_bucket = lambda df: df.repartition(parts, "bucket").groupBy("bucket")
+    by_bucket = lambda df: common.by_bucket(df, parts)
     told = by_bucket(rows).cogroup(by_bucket(in_bucket.filter("several").select("bucket", "doc", "at", "n", F.col("doc").alias("low"), "high")))
     told = scratch.write(told.applyInArrow(lambda a, b: _tell_apart(a, b, window), _WINDOWS), "windows")
     seen = told.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("last"), F.count(F.lit(1)).alias("rows"))
