@@ -101,14 +101,24 @@ class Snapshots:
 
 
 class VectorTable(Snapshots):
-    """Vectors with file_id, chunk_id, content, metadata and embedding; all embeddings have one dimension."""
+    """Vectors with file_id, chunk_id, content, metadata and embedding; all embeddings have one dimension. Vectors of another
+    dimension than the table's are no use beside its rows: their first insert takes the place of what stood.
+    """
 
     def __init__(self, spark: SparkSession, root: str, dim: int):
         super().__init__(spark, root, ["file_id"])
         self.dim = dim
 
     def insert(self, rows: DataFrame) -> DataFrame:
-        return self.append(assert_embeddings(rows, self.dim))
+        entries = self.store.write_folder(self.TABLE, assert_embeddings(rows, self.dim))
+
+        def change(t) -> None:
+            stands = t.base.notes.get("dimension")
+            if stands != self.dim:
+                t.note("dimension", self.dim)
+            t.put(self.TABLE, entries, t.folders(self.TABLE) if stands not in (None, self.dim) else ())
+
+        return self._run(change)
 
     def of_file(self, file_id: str) -> DataFrame | None:
         """The rows of a file: only folders that may have any are opened, and the filter reaches the scan."""

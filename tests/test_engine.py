@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -372,3 +373,108 @@ def test_registered_index_search_finds_most_of_the_nearest(spark):
         got = {(r.query_id, r.vec_id) for r in retrieval_plans.r02_ivf_topk(spark, sf).collect()}
         assert {i for i, _ in got} == {i for i, _ in want}
         assert len(got & want) >= 0.9 * len(want)
+
+
+class Slow:
+    """Says a word after each of some pauses, or fails after so many words."""
+
+    def __init__(self, pauses, fails_at=None):
+        self.pauses, self.fails_at, self.seen = pauses, fails_at, []
+
+    def answer(self, prompt, temperature=None):
+        self.seen.append((prompt, temperature))
+        for i, p in enumerate(self.pauses):
+            if i == self.fails_at:
+                raise RuntimeError("gone")
+            time.sleep(p)
+            yield f"w{i} "
+
+
+def test_a_model_is_held_to_its_limits():
+    said = lambda m, **o: "".join(providers.LimitedModel(m, **o).answer("q"))
+    assert said(Slow([0] * 5)) == "w0 w1 w2 w3 w4 " and said(Slow([0] * 5), max_tokens=2) == "w0 w1 "
+    start = time.time()
+    assert said(Slow([0, 0, 30]), seconds=0.5) == "w0 w1 " and time.time() - start < 5
+    assert said(Slow([0] * 5, fails_at=0)) == "" and said(Slow([0] * 5, fails_at=3)) == "w0 w1 w2 "
+    m = Slow([0])
+    said(m, temperature=0.2)
+    assert m.seen == [("q", 0.2)]
+    assert said(providers.EchoModel()) == "q "
+    x = providers.ModelExtractor(Slow([0], fails_at=0))
+    assert x.entities("t") == [] and x.relations("t", [("a", "T")]) == []
+
+
+def test_structured_answers(spark):
+    class Asked:
+        def __init__(self, fails=False):
+            self.prompts, self.fails = [], fails
+
+        def answer(self, prompt):
+            self.prompts.append(prompt)
+            if self.fails and prompt.startswith("请分析"):
+                raise RuntimeError("gone")
+            yield "said"
+
+    own, m = fused(spark), Asked()
+    out = answers.structured_answer("图", own, m, "用户: before")
+    image, summary = out["sections"]
+    assert (image["section"], image["analysis"], summary["section"], summary["content"]) == ("images", "said", "text_summary", "said")
+    assert m.prompts[0].startswith("请分析这些图片的内容") and "an image" in m.prompts[0]
+    # the summary is over the whole context and the history
+    assert "用户: before" in m.prompts[1] and "文档片段 3" in m.prompts[1] and "相关实体关系信息" in m.prompts[1]
+    failed = answers.structured_answer("图", own, Asked(True))
+    assert failed["sections"][0]["analysis"] == "分析暂时不可用。" and failed["sections"][1]["content"] == "said"
+    assert answers.analysis("table", [], m) == ""
+
+
+def test_an_answer_searches_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    own = fused(spark)
+    once = own.mapInArrow(counted, own.schema)
+    for answer in (answers.direct_answer, answers.unified_answer, answers.structured_answer, lambda q, f: list(answers.frames(q, f))):
+        before = runs.value
+        answer("图", once)
+        assert runs.value - before == 3
+
+
+def test_many_questions_equal_one_by_one(spark):
+    words = ["red apple pie", "green pear", "blue sky", "apple tart", "an old map"]
+    v = spark.createDataFrame([(f"c{i}", "f", w, '{"type": "%s"}' % ("image" if i == 3 else "text")) for i, w in enumerate(words * 3)], "chunk_id string, file_id string, content string, metadata string")
+    v = providers.embed(v, "content")
+    edges = spark.createDataFrame([("e1", "apple", "fruit"), ("e2", "pear", "fruit"), ("e3", "map", "paper")], "edge_id string, src string, dst string")
+    asked = ["apple pie", " ", "green pear", "map of the sky", "nothing known"]
+    many = retrieval.search_each(v, edges, spark.createDataFrame([(i, q) for i, q in enumerate(asked)] + [(9, None)], "question_id long, question string"), threshold=0.3).collect()
+    cols = ("rank", "type", "content_type", "chunk_id", "content", "metadata", "path")
+    for i, q in enumerate(asked):
+        one = retrieval.search(v, edges, q, threshold=0.3).collect()
+        assert sorted(str([r[c] for c in cols]) for r in many if r.question_id == i) == sorted(str([r[c] for c in cols]) for r in one)
+    assert {r.question_id for r in many} == {0, 2, 3}
+
+
+def test_details_of_fused_results(spark):
+    hits = spark.createDataFrame([("i", "f", "", "image", 0.9, 1, '{"width": 7}'), ("t", "f", "sum", "table", 0.8, 2, '{"data_types": ["number"]}'), ("u", "f", "sum", "table", 0.7, 3, None), ("x", "f", "text", "text", 0.6, 4, None)], "chunk_id string, file_id string, content string, content_type string, score double, seq long, metadata string")
+    tables_ = spark.createDataFrame([("t", [["a"], ["1"]])], "chunk_id string, table_data array<array<string>>")
+    got = {r.chunk_id: r for r in retrieval.with_details(retrieval.fuse(hits, spark.createDataFrame([("a>b", 1)], "path string, seq long")), tables_).collect()}
+    assert got["i"].image.width == 7 and got["i"].table is None and got["x"].image is None
+    assert (got["t"].table.rows, got["t"].table.data_types, got["t"].table.status, got["u"].table.status) == (1, ["number"], "loaded", "failed")
+    assert got[None].path == "a>b" and got[None].table is None
+
+
+def test_vectors_of_another_dimension_take_the_place_of_the_old(spark, tmp_path):
+    rows = lambda n, c: spark.createDataFrame([("f", c, "x", None, [1.0] * n)], "file_id string, chunk_id string, content string, metadata string, embedding array<float>")
+    t = src.VectorTable(spark, f"file://{tmp_path}/v", 2)
+    t.insert(rows(2, "a"))
+    t.insert(rows(2, "b"))
+    assert t.read().count() == 2
+    with pytest.raises(Exception, match="dimension"):
+        t.insert(rows(3, "c"))
+    u = src.VectorTable(spark, f"file://{tmp_path}/v", 3)
+    u.insert(rows(3, "c"))
+    u.insert(rows(3, "d"))
+    assert sorted(r.chunk_id for r in u.read().collect()) == ["c", "d"]
