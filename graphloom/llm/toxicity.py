@@ -41,8 +41,15 @@ THRESHOLD = 0.5
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SYMBOL = re.escape("".join(LEET))
 _ANY_SYMBOL, _ANY_LETTER = re.compile(f"[{_SYMBOL}]"), re.compile("[a-z]")
-_SPACED = re.compile(rf"(?<!\S)(?:[a-z{_SYMBOL}][ .\-_*]{{1,3}}){{3,}}[a-z{_SYMBOL}](?![a-z{_SYMBOL}])")
-_GAP = re.compile(r"[ .\-_*]+")
+#: What stands between spaced letters: some of the usual marks, or one of those that else part words.
+_BETWEEN = r"(?:[ .\-_*]{1,4}|[/,:~\n])"
+_SPACED = re.compile(rf"(?<!\S)(?:[a-z{_SYMBOL}]{_BETWEEN}){{2,}}[a-z{_SYMBOL}](?![a-z{_SYMBOL}])")
+_GAP = re.compile(r"[ .\-_*/,:~\n]+")
+#: Characters that are not seen.
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+#: A stretch of three spaced letters may be initials or a list: it is a word if a letter of it costs so much more, at most,
+#: than one of the corpus does.
+SHORT, SHORT_COST = 3, 1.5
 _RUN = re.compile(r"([a-z])\1\1")
 _EDGE = ".,;:?\"'()[]{}<>#%&*"
 
@@ -94,7 +101,10 @@ class LanguageModel:
         p1 = (uni + 1) / (uni.sum() + SIZE)
         p2 = (bi + 4 * p1[None, :]) / (bi.sum(axis=1, keepdims=True) + 4)
         p3 = (tri + 4 * p2[None, :, :]) / (tri.sum(axis=2, keepdims=True) + 4)
-        self.cost = (-np.log(p3)).tolist()
+        cost = -np.log(p3)
+        self.cost = cost.tolist()
+        #: what a character of the corpus costs
+        self.mean = float((tri * cost).sum() / max(tri.sum(), 1))
 
 
 def _code(c: str) -> int:
@@ -113,7 +123,7 @@ class Restorer:
     """Finds obfuscated stretches of lower-case text and decodes each to what it most likely was."""
 
     def __init__(self, model: LanguageModel):
-        self.cost = model.cost
+        self.cost, self.mean = model.cost, model.mean
         self.remembered: dict[str, str] = {}
 
     def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
@@ -184,12 +194,13 @@ class Restorer:
         return ("".join(done) + min(_text(chain) for x, chain in paths.values() if x == best))[:-1]
 
     def restore(self, text: str) -> str:
-        """The text (lower case) with its obfuscated stretches decoded; what lies between them stays as it is.
+        """The text (lower case) with its obfuscated stretches decoded; what lies between them stays as it is, but for
+        characters that are not seen.
 
         A stretch between white space is decoded if, without the marks at its edges, it has letters and symbols that may
         stand for letters, wherever these are, or a run of one letter. Symbols alone stay: they are numbers and rulers.
         """
-        text = _SPACED.sub(lambda m: self._known(m[0]), text)
+        text = _SPACED.sub(lambda m: self._known(m[0]), _UNSEEN.sub("", text))
         spans: list[tuple[int, int, str]] = []
         for pattern in (_ANY_SYMBOL, _RUN):
             at = 0
@@ -215,6 +226,22 @@ class Restorer:
             at = b
         return "".join([*out, text[at:]])
 
+    def _spaced(self, stretch: str) -> str:
+        """A spaced stretch decoded; one of three letters stays as it is unless it makes a likely word."""
+        found = self.decode(stretch)
+        letters = _GAP.split(stretch)
+        if len(letters) > SHORT:
+            return found
+        if len(set(letters)) == 1 or not all(map(str.isalpha, found)):
+            return stretch
+        a = b = SPACE
+        total = 0.0
+        for c in found + " ":
+            k = _code(c)
+            total += self.cost[a][b][k]
+            a, b = b, k
+        return found if total <= (len(found) + 1) * (self.mean + SHORT_COST) else stretch
+
     def _known(self, stretch: str) -> str:
         if len(stretch) > LONGEST_REMEMBERED:
             return self.decode(stretch)
@@ -222,7 +249,7 @@ class Restorer:
         if found is None:
             if len(self.remembered) >= REMEMBERED:
                 self.remembered.clear()
-            found = self.remembered[stretch] = self.decode(stretch)
+            found = self.remembered[stretch] = self._spaced(stretch) if _SPACED.fullmatch(stretch) else self.decode(stretch)
         return found
 
 

@@ -180,3 +180,23 @@ def test_every_word_of_a_labelled_text_counts(spark, models):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     (_, _, w), = tox.sample(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), models[0], "toxic", 10)
     assert set(w.split()) == set(tox.Restorer(models[0]).restore(text).encode().split())
+
+
+@pytest.fixture(scope="module")
+def english(spark):
+    lines = ["you are so stupid and worthless", "such an ass of a man", "the pass was a mass of grass", "j. r. r. told us to ask", "the idiot lost a class"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines * 20)], "doc_id long, text string")
+    return tox.Restorer(tox.LanguageModel(tox.trigram_counts(docs)))
+
+
+MARKS = [("i/d/i/o/t", "idiot"), ("i,d,i,o,t", "idiot"), ("i    d    i    o    t", "idiot"), ("s\nt\nu\np\ni\nd", "stupid"), ("a s s", "ass"), ("you a-s-s", "you ass"), ("stu\u200bpid", "stupid"), ("st\u00adupid", "stupid")]
+
+
+@pytest.mark.parametrize("hidden,plain", MARKS)
+def test_other_marks_and_short_words(english, hidden, plain):
+    assert english.restore(hidden) == plain
+
+
+@pytest.mark.parametrize("text", ["x q z", "b, c, d", "x x x", "1 2 3", "a - b", "k. v. w. foo"])
+def test_short_stretches_that_are_no_words_stay(english, text):
+    assert english.restore(text) == text
