@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared_folder
+from ..sources.numbering import placed
 from ..sources.store import KeyedTable, Store, Transaction
 from . import graph
 
@@ -55,22 +55,10 @@ class Adjacency:
     def __init__(self, edges: DataFrame, path: str, buckets: int = 64, slice_size: int = 4096):
         self.spark, self.name, self.slice_size = edges.sparkSession, f"adjacency_{uuid.uuid4().hex}", slice_size
         steps = edges.select("edge_id", F.col("src").alias("node"), F.col("dst").alias("to")).union(edges.filter("src <> dst").select("edge_id", F.col("dst"), F.col("src")))
-        # A node's edges in total order over many tasks: sorted by range, each range counts its own, and slices number on from the ranges before.
-        placed = self._placed(steps)
-        slices = placed.groupBy("node", "degree", F.floor(F.col("place") / slice_size).cast("int").alias("slice")).agg(F.array_sort(F.collect_list(F.struct("edge_id", "to"))).alias("edges"))
+        rows = placed(steps, "node", ["edge_id", "to"])
+        slices = rows.groupBy("node", F.col("place_of").alias("degree"), F.floor(F.col("place") / slice_size).cast("int").alias("slice")).agg(F.array_sort(F.collect_list(F.struct("edge_id", "to"))).alias("edges"))
         slices.write.bucketBy(buckets, "node").sortBy("node", "slice").option("path", path).saveAsTable(self.name)
 
-    def _placed(self, steps: DataFrame) -> DataFrame:
-        """steps with the place of each among its node's, in order of edge_id, and the node's degree."""
-        ranged = steps.repartitionByRange("node", "edge_id").sortWithinPartitions("node", "edge_id").withColumn("part", F.spark_partition_id())
-        path = f"{shared_folder(self.spark, 'ranged')}/steps"
-        ranged.write.parquet(path)
-        rows = self.spark.read.parquet(path)
-        per = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"))
-        before = per.select("node", "part", F.coalesce(F.sum("n").over(W.partitionBy("node").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy("node")).alias("degree"))
-        own = F.row_number().over(W.partitionBy("node", "part").orderBy("edge_id", "to")) - 1
-        return rows.withColumn("own", own).join(before, ["node", "part"]).select("edge_id", "node", "to", (F.col("before") + F.col("own")).alias("place"), "degree")
-
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
