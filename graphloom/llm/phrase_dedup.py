@@ -85,7 +85,7 @@ class Automata:
     """
 
     def __init__(self, passages: list[tuple[list[bytes], int]], most: int = AUTOMATON_WORDS):
-        self.parts: list[tuple[dict[bytes, int], ahocorasick.Automaton, list[tuple[int, int]]]] = []
+        self.parts: list[tuple[dict[bytes, int], ahocorasick.Automaton, list[tuple[int, int]], int]] = []
         held, size = [], 0
         for p in passages:
             held.append(p)
@@ -108,22 +108,30 @@ class Automata:
             else:
                 values[k] = (len(own), min(least, values[k][1]))
         automaton.make_automaton()
-        self.parts.append((number, automaton, values))
+        self.parts.append((number, automaton, values, min(n for n, _ in values)))
 
     @staticmethod
-    def _written(numbers: list[int]) -> str:
+    def _written(numbers: list[int] | np.ndarray) -> str:
         x = np.array(numbers, np.uint32)
         out = np.empty(2 * len(x), "<u4")
         out[0::2], out[1::2] = 0x100 + (x >> 8), x & 255
         return out.tobytes().decode("utf-32-le")
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(first word, word after the last, least id) of every occurrence of every passage."""
-        for number, automaton, values in self.parts:
+        """(first word, word after the last, least id) of every occurrence of every passage.
+
+        Only runs of words of passages as long as the shortest of these can hold one, so only they go through an automaton.
+        """
+        for number, automaton, values, shortest in self.parts:
             get = number.get
-            for last, k in automaton.iter(self._written([get(w, 0) for w in words])):
-                n, least = values[k]
-                yield last // 2 + 1 - n, last // 2 + 1, least
+            ids = np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
+            edge = np.concatenate(([-1], np.flatnonzero(ids == 0), [len(ids)]))
+            for i in np.flatnonzero(np.diff(edge) > shortest).tolist():
+                first = int(edge[i]) + 1
+                for last, k in automaton.iter(self._written(ids[first : edge[i + 1]])):
+                    n, least = values[k]
+                    end = first + last // 2 + 1
+                    yield end - n, end, least
 
 
 _PHRASES = "anchor long, phrase long, bucket int, doc long, at long, n int"
