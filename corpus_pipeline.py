@@ -32,7 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies, that of the smallest doc_id, at a similarity of 0.8 in
-    five-word shingles: SimHash fingerprints of 256 bits, as 64 bits at 3 places tell only closer copies apart.
+    five-word shingles. Texts meet by least hashes of their shingles; SimHash fingerprints of 256 bits, as 64 bits at 3 places
+    tell only closer copies apart, are compared bit-sliced where they meet; of what is left the exact similarity decides.
 
     Null, empty and blank texts are copies of each other. Of rows that are equal one stays; rows that share an id, but not
     their text, are told apart by a hash of it, the least first; null ids come last.
