@@ -26,7 +26,7 @@ class Counters:
         sums = rows.groupBy(self.key).agg(*[F.sum(c).alias(c) for c in ("total", *self.counts)])
         return sums.filter("total <> 0")
 
-    def _counted(self, folders: list[str], sign: int) -> DataFrame | None:
+    def _counted(self, folders: dict[str, dict], sign: int) -> DataFrame | None:
         rows = self.store.open(folders)
         if rows is None:
             return None
@@ -41,12 +41,12 @@ class Counters:
         read: list[str] = []
 
         def change(t: Transaction) -> None:
-            came, went = self.store.changes(self.table, t.base.notes.get(self.note, -1), t.base)
-            read[:] = came + went
+            came, went = self.store.changes(self.table, t.reached_by(self.note), t.base)
+            read[:] = [*came, *went]
             parts = [x for x in (self._counted(came, 1), self._counted(went, -1)) if x is not None]
             if parts:
                 self.kept.merge(t, self._summed_all(parts[0].unionByName(parts[1])) if len(parts) > 1 else parts[0])
-            t.note(self.note, t.base.version)
+            t.reached(self.note, t.base.version)
 
         self.store.run(change)
         return read
@@ -61,27 +61,12 @@ def delete_file(t: Transaction, file_id: str) -> dict[str, int]:
     All of it becomes visible with the transaction's commit, or nothing does.
     """
     opened = {}
-    own = t.read("chunks", ("file_id", file_id))
-    # Media go by chunk: one file's chunk ids, which a file's pages bound.
-    gone = own.select("chunk_id").distinct() if own is not None else None
-    if gone is not None and t.folders("media"):
-        opened["media"] = 0
-        for f in t.folders("media"):
-            rows = t.store.open([f])
-            left = rows.join(gone, "chunk_id", "left_anti")
-            if not rows.join(gone, "chunk_id", "left_semi").isEmpty():
-                t.put("media", t.store.write_folder("media", left), [f])
-            opened["media"] += 1
-    nodes = t.read("nodes", ("file_id", file_id))
+    own, nodes = t.read("chunks", ("file_id", file_id)), t.read("nodes", ("file_id", file_id))
+    if own is not None:
+        opened["media"] = t.delete_keys("media", own, ["chunk_id"])
     if nodes is not None:
-        lost = nodes.select("label", "name").distinct()
-        for f in t.folders("edges"):
-            rows = t.store.open([f])
-            left = rows
-            for label, name in (("src_label", "subject"), ("dst_label", "object")):
-                left = left.join(lost.select(F.col("label").alias(label), F.col("name").alias(name)), [label, name], "left_anti")
-            if left.count() < rows.count():
-                t.put("edges", t.store.write_folder("edges", left.select(*rows.columns)), [f])
+        for label, name in (("src_label", "subject"), ("dst_label", "object")):
+            t.delete_keys("edges", nodes.select(F.col("label").alias(label), F.col("name").alias(name)), [label, name])
     for table in ("files", "chunks", "vectors", "nodes", "edges"):
         opened[table] = t.delete_where(table, "file_id", file_id)
     return opened

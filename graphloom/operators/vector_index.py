@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shipping import map_arrow, prepare
-from ..sources.store import Store, Transaction
+from ..sources.store import State, Store, Transaction
 
 LISTS, PROBES, SHORTLIST, TOP_K = 128, 96, 100, 5
 #: Dimensions of a subspace, and codewords for one.
@@ -103,7 +103,11 @@ _CODES = "vec_id long, list int, code binary, error double, radius double"
 
 
 class VectorIndex:
-    """The index as tables of a store: codes by list, vectors by id, and the books. An insert adds folders and changes none."""
+    """The index as tables of a store: codes by list, vectors by id, and the books.
+
+    An insert adds folders and changes none; a deletion writes the folders again that have such ids. A search reads one
+    version throughout, whatever others do meanwhile. An id that is inserted twice stands for two vectors.
+    """
 
     def __init__(self, store: Store, name: str = "index", vector_buckets: int = 16):
         self.store, self.name, self.buckets = store, name, vector_buckets
@@ -124,17 +128,21 @@ class VectorIndex:
         def change(t: Transaction) -> None:
             t.overwrite(self.table("books"), table.coalesce(1))
             for what in ("codes", "vectors"):
-                t.put(self.table(what), {}, t.folders(self.table(what)))
+                t.replace(self.table(what), {})
             self._add(t, rows, books)
 
         self.store.run(change)
 
     def insert(self, vectors: DataFrame) -> None:
-        """Indexes more vectors by the books as they are."""
-        self.store.run(lambda t: self._add(t, vectors.filter("embedding IS NOT NULL"), self.books()))
+        """Indexes more vectors by the books as they are; by the new ones, if they are made anew meanwhile."""
+        self.store.run(lambda t: self._add(t, vectors.filter("embedding IS NOT NULL"), self.books(t.read(self.table("books")))))
+
+    def delete(self, ids: DataFrame) -> None:
+        """Removes vectors (vec_id), any number of them, from codes and vectors in one commit."""
+        self.store.run(lambda t: [t.delete_keys(self.table(what), ids, ["vec_id"]) for what in ("codes", "vectors")])
 
-    def books(self) -> Books:
-        rows = self.store.read(self.table("books")).collect()
+    def books(self, table: DataFrame | None = None) -> Books:
+        rows = (table if table is not None else self.store.read(self.table("books"))).collect()
         centres = np.array([r.v for r in sorted((r for r in rows if r.kind == "centre"), key=lambda r: r.m)])
         words = [r for r in rows if r.kind == "word"]
         out = np.zeros((max(r.m for r in words) + 1, WORDS, PART))
@@ -159,6 +167,11 @@ class VectorIndex:
 
     # searching
 
+    def _read(self, what: str, state: State) -> DataFrame:
+        """A table of the index; where all was deleted, no rows."""
+        rows = self.store.read(self.table(what), state=state)
+        return rows if rows is not None else self.spark.createDataFrame([], {"codes": _CODES, "vectors": "vec_id long, embedding array<double>"}[what])
+
     def _probed(self, queries: DataFrame, books, probes: int) -> DataFrame:
         """queries (query_id, embedding) with the lists to search: one row each."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +184,16 @@ class VectorIndex:
 
         return map_arrow(queries, run, "query_id long, embedding array<double>, list int")
 
-    def _meet(self, probed: DataFrame, floor: DataFrame | None, books, best: int) -> DataFrame:
+    def _meet(self, probed: DataFrame, floor: DataFrame | None, books, best: int, state: State) -> DataFrame:
         """(query_id, vec_id, score by code): of each query the best of a block of codes, or, where `floor` (query_id, least) is
         given, all whose bound reaches it. Codes and queries of a list meet in blocks of bounded size.
         """
         bounded = floor is not None
         probed = probed.withColumn("least", F.lit(None).cast("double")) if not bounded else probed.join(floor, "query_id")
         asked = {r[0] for r in probed.select("list").distinct().collect()}
-        entries = {f: e for f, e in self.store.state().tables[self.table("codes")].items() if e["bucket"] in asked}
+        entries = {f: e for f, e in state.tables[self.table("codes")].items() if e["bucket"] in asked}
+        if not entries:
+            return self.spark.createDataFrame([], "query_id long, vec_id long, score double")
         rows = {i: sum(e["rows"] for e in entries.values() if e["bucket"] == i) for i in asked}
         of_list = self.spark.createDataFrame([(i, -(-n // BLOCK) or 1) for i, n in rows.items()], "list int, blocks int")
         turns = max(1, -(-probed.select("query_id").distinct().count() // QUERIES))
@@ -205,9 +220,9 @@ class VectorIndex:
         keys = ("list", "block", "turn")
         return codes.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
 
-    def _scored(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    def _scored(self, pairs: DataFrame, queries: DataFrame, state: State) -> DataFrame:
         """pairs (query_id, vec_id) with their inner product."""
-        vectors = self.store.read(self.table("vectors")).select("vec_id", F.col("embedding").alias("v"))
+        vectors = self._read("vectors", state).select("vec_id", F.col("embedding").alias("v"))
         both = pairs.select("query_id", "vec_id").join(vectors, "vec_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
         dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
         return both.select("query_id", "vec_id", dot.alias("score"))
@@ -217,42 +232,46 @@ class VectorIndex:
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
-    def shortlist(self, queries: DataFrame, probes: int = PROBES, size: int = SHORTLIST) -> DataFrame:
+    def shortlist(self, queries: DataFrame, probes: int = PROBES, size: int = SHORTLIST, state: State | None = None) -> DataFrame:
         """(query_id, vec_id): of each query (query_id, embedding) the best by code in the lists nearest to it."""
         prepare(self.spark)
-        books = self.spark.sparkContext.broadcast(self.books())
+        state = state or self.store.state()
+        books = self.spark.sparkContext.broadcast(self.books(self._read("books", state)))
         own = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
-        return self._ranked(self._meet(self._probed(own, books, probes), None, books, size), size).select("query_id", "vec_id")
+        return self._ranked(self._meet(self._probed(own, books, probes), None, books, size, state), size).select("query_id", "vec_id")
 
-    def search(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST, state: State | None = None) -> DataFrame:
         """The k vectors of highest inner product with each query, nearly always: query_id, vec_id, score, rank. Only a short list is scored exactly."""
-        return self._ranked(self._scored(self.shortlist(queries, probes, size), queries), k)
+        state = state or self.store.state()
+        return self._ranked(self._scored(self.shortlist(queries, probes, size, state), queries, state), k)
 
-    def candidates(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST) -> DataFrame:
+    def candidates(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST, state: State | None = None) -> DataFrame:
         """(query_id, vec_id): all vectors that can be among a query's k best, by the bounds of their codes.
 
         The k-th best of the short list is a floor of the true k-th best. Lists whose centre and radius cannot reach it are
         left out whole, and of the others the codes that cannot.
         """
-        books = self.spark.sparkContext.broadcast(self.books())
+        state = state or self.store.state()
+        books = self.spark.sparkContext.broadcast(self.books(self._read("books", state)))
         own = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
-        floor = self.search(queries, k, probes, size).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
-        reach = {r["list"]: r["radius"] for r in self.store.read(self.table("codes")).groupBy("list").agg(F.max("radius").alias("radius")).collect()}
+        floor = self.search(queries, k, probes, size, state).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
+        reach = {r["list"]: r["radius"] for r in self._read("codes", state).groupBy("list").agg(F.max("radius").alias("radius")).collect()}
         radius = self.spark.sparkContext.broadcast(reach)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     q, least = _floats(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
-                    lists = np.array(sorted(radius.value))
+                    lists = np.array(sorted(radius.value), np.int64)
                     most = q @ books.value.centres[lists].T + np.linalg.norm(q, axis=1)[:, None] * np.array([radius.value[i] for i in lists])
                     at, which = np.nonzero(most >= least[:, None] - 1e-9)
                     yield pa.RecordBatch.from_pydict({"query_id": batch.column(0).take(pa.array(at)), "embedding": batch.column(1).take(pa.array(at)), "list": pa.array(lists[which].astype(np.int32))})
 
         kept = own.join(floor, "query_id", "left").select("query_id", "embedding", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
         near = map_arrow(kept, run, "query_id long, embedding array<double>, list int")
-        return self._meet(near, kept.select("query_id", "least"), books, 0).select("query_id", "vec_id")
+        return self._meet(near, kept.select("query_id", "least"), books, 0, state).select("query_id", "vec_id")
 
     def exact(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST) -> DataFrame:
         """The k vectors of highest inner product with each query, ties by id: query_id, vec_id, score, rank."""
-        return self._ranked(self._scored(self.candidates(queries, k, probes, size), queries), k)
+        state = self.store.state()
+        return self._ranked(self._scored(self.candidates(queries, k, probes, size, state), queries, state), k)

@@ -113,7 +113,7 @@ class VectorTable(Snapshots):
         entries = self.store.write_folder(self.TABLE, assert_embeddings(rows, self.dim))
 
         def change(t) -> None:
-            stands = t.base.notes.get("dimension")
+            stands = t.noted("dimension")
             if stands != self.dim:
                 t.note("dimension", self.dim)
             t.put(self.TABLE, entries, t.folders(self.TABLE) if stands not in (None, self.dim) else ())

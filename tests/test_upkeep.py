@@ -118,3 +118,33 @@ def test_a_hub_is_read_in_slices_and_edges_are_not_shuffled(spark, tmp_path):
     assert re.search(r"Bucketed: true", plan)
     assert len(re.findall(r"Exchange hashpartitioning\(end", plan)) == 1 and not re.search(r"Exchange hashpartitioning\(node", plan)
     lists.drop()
+
+
+def test_counters_follow_after_old_folders_are_deleted(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", upkeep.FILE_KEYS)
+    counters = upkeep.Counters(store, "chunks", "file_id", {}, 4)
+    chunks = lambda *files: spark.createDataFrame([(f,) for f in files], "file_id string")
+    store.run(lambda t: t.append("chunks", chunks("f", "f", "g")))
+    counters.refresh()
+    store.run(lambda t: t.delete_where("chunks", "file_id", "f"))
+    store.run(lambda t: t.append("chunks", chunks("h")))
+    store.vacuum()
+    assert len(counters.refresh()) == 3
+    assert sorted((r.file_id, r.total) for r in counters.read().collect()) == [("g", 1), ("h", 1)]
+    assert store.vacuum() > 0 and counters.refresh() == []
+
+
+def test_a_graph_takes_more_after_a_file_was_deleted(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", upkeep.FILE_KEYS)
+    own = GraphStore(store, 4)
+    mention = lambda rows, first=0: spark.createDataFrame([("P", n, f, 0.8, "text", first + i) for i, (n, f) in enumerate(rows)], "type string, name string, file_id string, confidence double, source_type string, seq long")
+    rel = lambda rows: spark.createDataFrame([(a, "knows", b, f, None, i) for i, (a, b, f) in enumerate(rows)], "subject string, predicate string, object string, file_id string, confidence double, seq long")
+    store.run(lambda t: own.upsert(t, mention([(n, "f") for n in "abcd"] + [(n, "g") for n in "efgh"])))
+    store.run(lambda t: own.upsert(t, None, rel([("a", "e", "g"), ("e", "f", "g"), ("g", "h", "f"), ("h", "e", "g")])))
+    store.run(lambda t: upkeep.delete_file(t, "f"))
+    assert sorted(r.name for r in own.nodes.read().collect()) == list("efgh")
+    assert sorted((r.subject, r.object) for r in own.edges.read().collect()) == [("e", "f"), ("h", "e")]
+    store.run(lambda t: own.upsert(t, mention([("a", "i"), ("e", "i")], 100)))
+    store.run(lambda t: own.upsert(t, None, rel([("a", "e", "i"), ("b", "e", "i")])))
+    assert sorted((r.name, r.file_id) for r in own.nodes.read().collect()) == [("a", "i"), ("e", "i"), ("f", "g"), ("g", "g"), ("h", "g")]
+    assert sorted((r.subject, r.object) for r in own.edges.read().collect()) == [("a", "e"), ("e", "f"), ("h", "e")]

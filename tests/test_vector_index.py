@@ -72,3 +72,43 @@ def test_exact_search_of_any_lengths_in_small_blocks(spark, tmp_path, monkeypatc
     assert rows(index.exact(queries, 4, 2, 8), 4) == brute(x, x[:10], 4)
     few = rows(index.exact(queries.limit(1), 100, 4, 200), 100)[0]
     assert sorted(i for i in few if i is not None) == list(range(90))
+
+
+def test_deleted_vectors_are_found_no_more(spark, tmp_path):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(120, 8))
+    index = vi.VectorIndex(Store(spark, f"file://{tmp_path}/i"), vector_buckets=2)
+    index.create(frame(spark, x[:80]), lists=4)
+    index.insert(frame(spark, x[80:], 80))
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(6)], "query_id long, embedding array<double>")
+    old = index.store.state()
+    index.delete(spark.range(0, 120, 3).withColumnRenamed("id", "vec_id"))
+    left = np.flatnonzero(np.arange(120) % 3)
+    assert rows(index.exact(queries, 4, 2, 8), 4) == [[int(left[i]) for i in w] for w in brute(x[left], x[:6], 4)]
+    assert rows(index.search(queries, 4, 4, 120, old), 4) == brute(x, x[:6], 4)
+    index.insert(frame(spark, x[:1]))
+    assert rows(index.exact(queries.limit(1), 1, 2, 8), 1) == [[0]]
+    index.delete(index.store.read("index_codes").select("vec_id"))
+    assert index.search(queries).isEmpty() and index.exact(queries).isEmpty()
+
+
+def test_an_insert_goes_by_the_books_that_stand(spark, tmp_path, monkeypatch):
+    """The index is made anew while vectors are encoded: they are encoded again."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(60, 8))
+    index = vi.VectorIndex(Store(spark, f"file://{tmp_path}/i"), vector_buckets=2)
+    index.create(frame(spark, x[:30]), lists=2)
+    real = vi.VectorIndex._add
+
+    def meanwhile(self, t, vectors, books):
+        real(self, t, vectors, books)
+        monkeypatch.setattr(vi.VectorIndex, "_add", real)
+        index.create(frame(spark, 10 * x[30:50], 30), lists=3)
+
+    monkeypatch.setattr(vi.VectorIndex, "_add", meanwhile)
+    index.insert(frame(spark, x[50:], 50))
+    books = index.books()
+    assert len(books.centres) == 3 and index.store.read("index_vectors").count() == 30
+    stored = {c.vec_id: (c.list, bytes(c.code)) for c in index.store.read("index_codes").collect()}
+    own, code, _, _ = books.encode(x[50:])
+    assert [stored[50 + i] for i in range(10)] == [(int(a), c.tobytes()) for a, c in zip(own, code, strict=True)]
