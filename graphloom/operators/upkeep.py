@@ -63,10 +63,11 @@ def delete_file(t: Transaction, file_id: str) -> dict[str, int]:
     opened = {}
     own, nodes = t.read("chunks", ("file_id", file_id)), t.read("nodes", ("file_id", file_id))
     if own is not None:
-        opened["media"] = t.delete_keys("media", own, ["chunk_id"])
+        opened["media"] = t.delete_keys("media", (own, ["chunk_id"]))
+    ends = []
     if nodes is not None:
-        for label, name in (("src_label", "subject"), ("dst_label", "object")):
-            t.delete_keys("edges", nodes.select(F.col("label").alias(label), F.col("name").alias(name)), [label, name])
-    for table in ("files", "chunks", "vectors", "nodes", "edges"):
+        ends = [(nodes.select(F.col("label").alias(label), F.col("name").alias(name)), [label, name]) for label, name in (("src_label", "subject"), ("dst_label", "object"))]
+    opened["edges"] = t.delete_keys("edges", *ends, condition=F.col("file_id") == file_id) if ends else t.delete_where("edges", "file_id", file_id)
+    for table in ("files", "chunks", "vectors", "nodes"):
         opened[table] = t.delete_where(table, "file_id", file_id)
     return opened

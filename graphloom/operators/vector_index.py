@@ -139,7 +139,7 @@ class VectorIndex:
 
     def delete(self, ids: DataFrame) -> None:
         """Removes vectors (vec_id), any number of them, from codes and vectors in one commit."""
-        self.store.run(lambda t: [t.delete_keys(self.table(what), ids, ["vec_id"]) for what in ("codes", "vectors")])
+        self.store.run(lambda t: [t.delete_keys(self.table(what), (ids, ["vec_id"])) for what in ("codes", "vectors")])
 
     def books(self, table: DataFrame | None = None) -> Books:
         rows = (table if table is not None else self.store.read(self.table("books"))).collect()
