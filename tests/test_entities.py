@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph, ingest
+from graphloom.plans.catalogue import QUERIES
 
 
 def in_order(mentions, relations):
@@ -51,6 +52,23 @@ def test_a_name_of_every_document_is_spread_over_tasks(spark):
     assert sum(sizes) == n and max(sizes) < 0.4 * n
 
 
+def test_names_of_chunks_are_members_once_whatever_rows_a_chunk_has(spark):
+    rows = [("1", ["A", "a", "\u00a0a", "b", "", "\t"]), ("2", ["b"]), ("2", ["B", "c"]), (None, ["c", "d"]), (None, ["D"]), ("3", None)]
+    want = [("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("c", None), ("d", None)]
+    for some in (rows, rows[:2]):
+        c = spark.createDataFrame(some, "chunk string, names array<string>").repartition(4)
+        got = [(x.key, x.chunk) for x in graph.named_chunks(c).collect()]
+        assert sorted(got, key=str) == sorted((w for w in want if some is rows or w in (("a", "1"), ("b", "1"), ("b", "2"))), key=str)
+
+
+def test_entities_of_documents_come_with_all_their_chunks(spark, sf):
+    members = {}
+    for x in QUERIES["u03_entity_chunks"](spark, sf).collect():
+        members.setdefault(x.key, []).append(x.chunk)
+    got = [(x.name.strip().lower(), x.source_chunks) for x in QUERIES["k08_entity_dedup"](spark, sf).collect()]
+    assert sorted(got) == sorted((k, ",".join(sorted(c))) for k, c in members.items())
+
+
 class Letters:
     """Finds each word as an entity, and relates each to the next."""
 
