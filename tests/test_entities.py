@@ -61,6 +61,11 @@ def test_names_of_chunks_are_members_once_whatever_rows_a_chunk_has(spark):
         assert sorted(got, key=str) == sorted((w for w in want if some is rows or w in (("a", "1"), ("b", "1"), ("b", "2"))), key=str)
 
 
+def test_chunks_of_documents_with_ids_of_their_own_are_not_shuffled_word_by_word(spark, sf):
+    plan = QUERIES["u03_entity_chunks"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_entities_of_documents_come_with_all_their_chunks(spark, sf):
     members = {}
     for x in QUERIES["u03_entity_chunks"](spark, sf).collect():
