@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import products, retrieval
 from graphloom.plans.catalogue import QUERIES
+from graphloom.sources.providers import HashingEmbedder
 
 
 def sorted_all(q, x, k):
@@ -63,3 +64,15 @@ def test_lists_meet_their_queries_as_matrices_in_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 3)
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
     assert rows() == want
+
+
+def test_vectors_of_many_questions_are_made_once(spark, sf):
+    plan = QUERIES["r01_many_questions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # they are read from a stored table, each time
+
+
+def test_places_of_words_are_kept_up_to_a_number():
+    one, some = HashingEmbedder(), HashingEmbedder()
+    some.most_known = 3
+    texts = [f"a b{i % 7} C{i} a" for i in range(40)]
+    assert [some.embed([t])[0] for t in texts] == one.embed(texts) and len(some._known) <= 6
