@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from graphloom.streaming import jobs, sessions
@@ -60,3 +61,49 @@ def test_sessions_close_by_event_time_across_restarts(spark, tmp_path):
     assert spark.read.format("statestore").option("path", f"{out}/state").option("stateVarName", "messages").load().count() == 1
     closed, opened = send("4", [(1, 61, "again"), (2, 200, "far")])
     assert [(c[0], c[3]) for c in closed] == [(1, 5), (1, 1), (2, 1), (3, 1)] and [o[0] for o in opened] == [2]
+
+
+class Held:
+    """State, timers and times of one id, as the stream hands them."""
+
+    def __init__(self):
+        self.timers, self.set, self.lists, self.now = set(), 0, {}, 0
+
+    def getListState(self, name, schema):
+        rows = self.lists.setdefault(name, [])
+
+        class State:
+            exists = staticmethod(lambda: bool(rows))
+            get = staticmethod(lambda: iter(list(rows)))
+            put = staticmethod(lambda new: rows.__setitem__(slice(None), new))
+            clear = staticmethod(rows.clear)
+
+        return State()
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+        self.set += 1
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return min(self.timers)
+
+
+def test_an_id_of_many_sessions_has_one_timer_that_closes_all_that_are_due():
+    held = Held()
+    own = sessions.Sessions(1_000_000, 3)
+    own.init(held)
+    micros = [i * 5_000_000 for i in range(6)]
+    list(own.handleInputRows((1,), iter([pd.DataFrame({"micros": micros, "seq": range(6), "line": list("abcdef")})]), held))
+    assert held.timers == {1000} and held.set == 1
+    held.now = 16_001  # the first four are due
+    closed = pd.concat(list(own.handleExpiredTimer((1,), held, held)))
+    held.timers.remove(1000)
+    assert closed["history"].tolist() == list("abcd") and held.timers == {21_000} and held.set == 2
+    held.now = 30_000
+    assert pd.concat(list(own.handleExpiredTimer((1,), held, held)))["history"].tolist() == list("ef") and not any(held.lists.values())
