@@ -17,7 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shipping import map_arrow, prepare
+from ..sources.folders import stored
 from ..sources.store import State, Store, Transaction
+from . import products
 
 LISTS, PROBES, SHORTLIST, TOP_K = 128, 96, 100, 5
 #: Dimensions of a subspace, and codewords for one.
@@ -25,7 +27,7 @@ PART, WORDS = 4, 256
 #: Vectors that centres and codewords are fitted on, at most, by a hash of their ids; every vector is indexed.
 SAMPLE_ROWS = 20_000
 #: Codes, and queries, that are scored against each other at once.
-BLOCK, QUERIES = 1 << 15, 512
+BLOCK, QUERIES = 1 << 15, 1 << 13
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7, spherical: bool = False) -> np.ndarray:
@@ -85,18 +87,28 @@ class Books:
         left = rest - self.words[np.arange(rest.shape[1]), code]
         return own, code, np.sqrt((left**2).sum(axis=(1, 2))), np.sqrt((rest**2).sum(axis=(1, 2)))
 
+    def decode(self, list_: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The vectors that lists and codes stand for: a code's score is its product with a query."""
+        rest = self.words[np.arange(code.shape[1]), code].reshape(len(code), -1)
+        return self.centres[list_] + rest[:, : self.centres.shape[1]]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, subspaces, WORDS): products of the queries' parts with all codewords."""
         return np.einsum("qmp,mwp->qmw", self.parts(q), self.words)
 
 
-def _floats(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def _floats(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return products.matrix(column if isinstance(column, pa.ChunkedArray) else pa.chunked_array([column]))
 
 
-def _best(score: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k best of a row of scores."""
-    return np.argpartition(-score, k - 1)[:k] if len(score) > k else np.arange(len(score))
+def _reaching(q: np.ndarray, x: np.ndarray, error: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some queries at a time (the first's number; query, row, score by code): all rows of decoded x whose bound reaches the query's least."""
+    step = max(1, products.HELD // len(x))
+    for i in range(0, len(q), step):
+        some = slice(i, i + step)
+        score = q[some] @ x.T
+        at, which = np.nonzero(score + np.linalg.norm(q[some], axis=1)[:, None] * error >= least[some, None] - 1e-9)
+        yield i, at, which, score[at, which]
 
 
 _CODES = "vec_id long, list int, code binary, error double, radius double"
@@ -202,19 +214,19 @@ class VectorIndex:
         sides = probed.join(F.broadcast(of_list), "list").select("query_id", "embedding", "least", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int").alias("turn"))
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            a, b, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             if left.num_rows and right.num_rows:
                 own = books.value
-                q, ids, vec = _floats(right.column("embedding")), right.column("query_id").to_numpy(), left.column("vec_id").to_numpy()
+                q, ids, vec = products.matrix(right.column("embedding")), right.column("query_id").to_numpy(), left.column("vec_id").to_numpy()
                 code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(vec), -1)
-                base = q @ own.centres[right.column("list")[0].as_py()]
-                error, least, length = left.column("error").to_numpy(), right.column("least").to_numpy(zero_copy_only=False), np.linalg.norm(q, axis=1)
-                for i in range(len(q)):
-                    table = own.tables(q[i : i + 1])[0]
-                    score = base[i] + table[np.arange(code.shape[1]), code].sum(axis=1)
-                    some = _best(score, best) if not bounded else np.flatnonzero(score + length[i] * error >= least[i] - 1e-9)
-                    found.append((np.full(len(some), ids[i]), vec[some], score[some]))
-            a, b, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+                x = own.decode(left.column("list").to_numpy(), code)
+                if not bounded:
+                    at, which, c = products.best(q, x, best)
+                else:
+                    least = right.column("least").to_numpy(zero_copy_only=False)
+                    found = [(at + i, which, c) for i, at, which, c in _reaching(q, x, left.column("error").to_numpy(), least)]
+                    at, which, c = (np.concatenate(f) for f in zip(*found, strict=True))
+                a, b = ids[at], vec[which]
             return pa.Table.from_pydict({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
         keys = ("list", "block", "turn")
@@ -240,10 +252,10 @@ class VectorIndex:
         own = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
         return self._ranked(self._meet(self._probed(own, books, probes), None, books, size, state), size).select("query_id", "vec_id")
 
-    def search(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST, state: State | None = None) -> DataFrame:
-        """The k vectors of highest inner product with each query, nearly always: query_id, vec_id, score, rank. Only a short list is scored exactly."""
+    def search(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST, state: State | None = None, short: DataFrame | None = None) -> DataFrame:
+        """The k vectors of highest inner product with each query, nearly always: query_id, vec_id, score, rank. Only a short list is scored exactly, which may be given."""
         state = state or self.store.state()
-        return self._ranked(self._scored(self.shortlist(queries, probes, size, state), queries, state), k)
+        return self._ranked(self._scored(short if short is not None else self.shortlist(queries, probes, size, state), queries, state), k)
 
     def candidates(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST, state: State | None = None) -> DataFrame:
         """(query_id, vec_id): all vectors that can be among a query's k best, by the bounds of their codes.
@@ -252,9 +264,14 @@ class VectorIndex:
         left out whole, and of the others the codes that cannot.
         """
         state = state or self.store.state()
+        near, kept, books = self._near(queries, k, probes, size, state)
+        return self._meet(near, kept.select("query_id", "least"), books, 0, state).select("query_id", "vec_id")
+
+    def _near(self, queries: DataFrame, k: int, probes: int, size: int, state: State, short: DataFrame | None = None):
+        """(queries with each list that can reach their floor, queries with their floor, books)."""
         books = self.spark.sparkContext.broadcast(self.books(self._read("books", state)))
         own = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
-        floor = self.search(queries, k, probes, size, state).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
+        floor = self.search(queries, k, probes, size, state, short).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
         reach = {r["list"]: r["radius"] for r in self._read("codes", state).groupBy("list").agg(F.max("radius").alias("radius")).collect()}
         radius = self.spark.sparkContext.broadcast(reach)
 
@@ -268,10 +285,40 @@ class VectorIndex:
                     yield pa.RecordBatch.from_pydict({"query_id": batch.column(0).take(pa.array(at)), "embedding": batch.column(1).take(pa.array(at)), "list": pa.array(lists[which].astype(np.int32))})
 
         kept = own.join(floor, "query_id", "left").select("query_id", "embedding", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-        near = map_arrow(kept, run, "query_id long, embedding array<double>, list int")
-        return self._meet(near, kept.select("query_id", "least"), books, 0, state).select("query_id", "vec_id")
+        kept = stored(kept, "floors")
+        return map_arrow(kept, run, "query_id long, embedding array<double>, list int"), kept, books
+
+    def exact(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST, short: DataFrame | None = None) -> DataFrame:
+        """The k vectors of highest inner product with each query, ties by id: query_id, vec_id, score, rank.
 
-    def exact(self, queries: DataFrame, k: int = TOP_K, probes: int = PROBES, size: int = SHORTLIST) -> DataFrame:
-        """The k vectors of highest inner product with each query, ties by id: query_id, vec_id, score, rank."""
+        As candidates, but what reaches the floor is scored where vectors of a list meet its queries, so that k rows of each
+        query leave a block and no candidate is shuffled.
+        """
         state = self.store.state()
-        return self._ranked(self._scored(self.candidates(queries, k, probes, size, state), queries, state), k)
+        near, kept, books = self._near(queries, k, probes, size, state, short)
+        turns = max(1, -(-kept.count() // QUERIES))
+        codes = self._read("codes", state)
+        vectors = self._read("vectors", state).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).join(codes.select("vec_id", "list", "code", "error"), "vec_id")
+        of_list = F.broadcast(codes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+        x = vectors.join(of_list, "list").select("vec_id", "embedding", "list", "code", "error", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+        q = near.join(kept.select("query_id", "least"), "query_id").join(of_list, "list").select("query_id", "embedding", "least", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int").alias("turn"))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            a, b, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            if left.num_rows and right.num_rows:
+                ids, vec = right.column("query_id").to_numpy(), left.column("vec_id").to_numpy()
+                order = np.argsort(vec, kind="stable")
+                x, q = products.matrix(left.column("embedding"))[order], products.matrix(right.column("embedding"))
+                error, least = left.column("error").to_numpy(), right.column("least").to_numpy(zero_copy_only=False)
+                code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(vec), -1)[order]
+                reached = np.zeros(len(x), bool)
+                for _, _, which, _ in _reaching(q, books.value.decode(left.column("list").to_numpy(), code), error[order], least):
+                    reached[which] = True
+                some = np.flatnonzero(reached)
+                if len(some):
+                    at, which, c = products.best(q, x[some], k)
+                    a, b = ids[at], vec[order[some[which]]]
+            return pa.Table.from_pydict({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+
+        keys = ("list", "block", "turn")
+        return self._ranked(x.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double"), k)

@@ -112,3 +112,20 @@ def test_an_insert_goes_by_the_books_that_stand(spark, tmp_path, monkeypatch):
     stored = {c.vec_id: (c.list, bytes(c.code)) for c in index.store.read("index_codes").collect()}
     own, code, _, _ = books.encode(x[50:])
     assert [stored[50 + i] for i in range(10)] == [(int(a), c.tobytes()) for a, c in zip(own, code, strict=True)]
+
+
+def test_no_candidate_of_the_exact_search_is_shuffled(spark, made):
+    _, index, queries = made
+    plan = index.exact(queries, 5)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("CoGroupsInArrow")]
+    assert "Join" not in top  # what leaves a block is ranked and nothing else
+
+
+def test_codes_stand_for_vectors_whose_products_are_their_scores():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 10))
+    books = vi.Books.fitted(x, 8)
+    own, code, _, _ = books.encode(x)
+    q = r.normal(size=(5, 10))
+    score = np.stack([q[i] @ books.centres[own].T + books.tables(q[i : i + 1])[0][np.arange(code.shape[1]), code].sum(axis=1) for i in range(5)])
+    assert np.allclose(q @ books.decode(own, code).T, score)
