@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import upkeep
 from ..operators.graph_store import GraphStore
 from ..operators.vector_index import VectorIndex
-from ..sources.folders import shared_folder
+from ..sources.folders import shared_folder, stored
 from ..sources.store import Store
 from ..sources.tables import load
 from . import graph_plans, ingest_plans, retrieval_plans  # noqa: F401  the SQL of m01 is there
@@ -149,9 +149,10 @@ def r02_index_recall(spark, sf_dir):
 
 def recall(index: VectorIndex, queries: DataFrame) -> DataFrame:
     """One row: queries, rows found, recall, and the share of all vectors that is scored exactly."""
-    exact = index.exact(queries).select("query_id", "vec_id")
-    found = index.search(queries).select("query_id", "vec_id", F.lit(1).alias("hit"))
-    short = index.shortlist(queries).agg(F.count(F.lit(1)).alias("scored"))
+    listed = stored(index.shortlist(queries), "short")
+    exact = index.exact(queries, short=listed).select("query_id", "vec_id")
+    found = index.search(queries, short=listed).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    short = listed.agg(F.count(F.lit(1)).alias("scored"))
     all_ = index.store.read(index.table("vectors")).agg(F.count(F.lit(1)).alias("vectors"))
     both = exact.join(found, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
     return both.crossJoin(short).crossJoin(all_).select("queries", "found", "recall", (F.col("scored") / (F.col("vectors") * F.col("queries"))).alias("scored"))
