@@ -46,6 +46,29 @@ def test_products_of_a_group_are_held_some_at_a_time():
     assert peak < len(x) * len(q) * 4 / 2  # of all products in single precision, less than half
 
 
+def test_copies_of_a_vector_are_not_all_made_exactly_for_each_of_its_queries(monkeypatch):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1::2] = x[1]  # half of them are one vector, which is the nearest of half of the queries
+    q, made, plain = x[100:300], [], products.exact
+    monkeypatch.setattr(products, "exact", lambda q, x, at, which: made.append(len(at)) or plain(q, x, at, which))
+    at, which, score = products.best(q, x, 5)
+    assert sum(made) < 20 * len(q)  # of 2,000 copies to each of 100 queries, 200,000 products
+    monkeypatch.undo()
+    assert which.tolist() == sorted_all(q, x, 5).tolist()
+    assert which.reshape(-1, 5)[1].tolist() == [1, 3, 5, 7, 9]  # of copies, the first
+    assert np.allclose(score, (q[at] * x[which]).sum(axis=1))
+
+
+def test_the_first_copies_of_rows():
+    x = np.array([[1.0, 2], [3, 4], [1, 2], [1, 2], [3, 4], [np.nan, 0], [1, 2], [np.nan, 0], [np.nan, 0]])
+    assert products.first_copies(x, 2).tolist() == [0, 1, 2, 4, 5, 7]
+    assert products.first_copies(x, 9).tolist() == list(range(9))
+    assert products.best(x[:1], x, 9)[1].tolist() == sorted_all(x[:1], x, 9).tolist()
+    assert products.best(x, x, 2)[1].tolist() == sorted_all(x, x, 2).tolist()
+
+
 def test_vectors_of_a_table_as_rows():
     for of in (pa.float32(), pa.float64()):
         column = pa.chunked_array([pa.array([[1.0, 2.0]], pa.list_(of)), pa.array([[3.0, None], [5.0, 6.0]], pa.list_(of))])
