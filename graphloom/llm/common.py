@@ -82,7 +82,8 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
     """big joined to small on keys, nulls equal; small must have been written, as it is counted, unless its rows are known.
 
     Up to BROADCAST_ROWS rows small is broadcast. Beyond, its rows are copied once per salt and big is salted,
-    so a key with a third of all rows is dealt to several tasks.
+    so a key with a third of all rows is dealt to several tasks. The copies must then be merged: Spark goes by the size of
+    small's files, which does not count them, and would broadcast millions of rows.
     """
     left = big
     right = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
@@ -91,7 +92,7 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
         right = F.broadcast(right)
     else:
         left = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-        right = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        right = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).hint("merge")
         on = [left[k].eqNullSafe(right[f"__{k}"]) for k in keys] + [left["__salt"] == right["__salt2"]]
     return left.join(right, on, how).drop("__salt", "__salt2", *[f"__{k}" for k in keys])
 

@@ -14,6 +14,15 @@ def test_attach_is_a_join_with_equal_nulls(spark, monkeypatch, few, how):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_attach_broadcasts_no_copies_of_many_rows(spark, monkeypatch, tmp_path, how):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+    spark.range(200).selectExpr("id AS k", "id % 2 AS v").write.parquet(f"{tmp_path}/small")
+    got = common.attach(spark.range(300).toDF("k"), spark.read.parquet(f"{tmp_path}/small"), ["k"], how)
+    assert sorted((r.k, r.v) for r in got.collect() if r.v is not None) == [(k, k % 2) for k in range(200)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_attach_counted_is_an_inner_join(spark, monkeypatch):
     monkeypatch.setattr(common, "LEAST_HOT", 20)
     big = spark.createDataFrame([(i % 50 if i % 2 else 7, i) for i in range(400)], "k long, n long")

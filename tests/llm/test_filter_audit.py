@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -83,6 +84,15 @@ def test_odd_rows(spark):
     check(spark, [], [(1, 1, 1)])
 
 
+def test_many_labels_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(fa.common, "BROADCAST_ROWS", 20)
+    rows, labels = corpus(3, 100)
+    check(spark, rows, labels)
+    out = fa.audit(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search("SortMergeJoin .*LeftOuter", plan) and not re.search("BroadcastHashJoin .*LeftOuter", plan)
+
+
 @pytest.mark.parametrize("text,want", [(b"", 1), (b"w " * 50, 2), (b" ".join(b"w%d" % i for i in range(50)), 0), (b" ".join(b"W%d" % i for i in range(50)), 4), (b" ".join(b"w%d" % i for i in range(50)) + b"|", 8), ("É".encode() * 3, 1)])
 def test_failures(text, want):
     assert fa.failures(text) == want
